@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_rules, sharding
+from . import decontam, line_rules, packing, sharding
 
 QUERIES = {
+    "op2_prefix_decontamination": decontam.op2_prefix_decontamination,
     "op3_feistel_shards": sharding.op3_feistel_shards,
+    "op7_hierarchical_packing": packing.op7_hierarchical_packing,
     "op10_line_first_rules": line_rules.op10_line_first_rules,
 }
 ORACLE: dict[str, str] = {"op10_line_first_rules": line_rules.ORACLE}
