@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, line_rules, packing, sharding
+from . import decontam, langid, line_rules, packing, quality_knn, sharding
 
 QUERIES = {
     "op2_prefix_decontamination": decontam.op2_prefix_decontamination,
     "op3_feistel_shards": sharding.op3_feistel_shards,
+    "op5_subword_language": langid.op5_subword_language,
     "op7_hierarchical_packing": packing.op7_hierarchical_packing,
+    "op8_neighbour_quality": quality_knn.op8_neighbour_quality,
     "op10_line_first_rules": line_rules.op10_line_first_rules,
 }
 ORACLE: dict[str, str] = {"op10_line_first_rules": line_rules.ORACLE}
