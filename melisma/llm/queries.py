@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, line_rules, packing, quality_knn, sharding
+from . import decontam, htmlwrap, langid, line_rules, packing, quality_knn, sharding
 
 QUERIES = {
     "op2_prefix_decontamination": decontam.op2_prefix_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_subword_language": langid.op5_subword_language,
     "op7_hierarchical_packing": packing.op7_hierarchical_packing,
     "op8_neighbour_quality": quality_knn.op8_neighbour_quality,
+    "op9_wrapper_induction": htmlwrap.op9_wrapper_induction,
     "op10_line_first_rules": line_rules.op10_line_first_rules,
 }
 ORACLE: dict[str, str] = {"op10_line_first_rules": line_rules.ORACLE}
