@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, htmlwrap, langid, line_rules, packing, quality_knn, sharding
+from . import decontam, htmlwrap, langid, line_rules, merkle, packing, quality_knn, sharding
 
 QUERIES = {
+    "op1_merkle_fixity": merkle.op1_merkle_fixity,
     "op2_prefix_decontamination": decontam.op2_prefix_decontamination,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op5_subword_language": langid.op5_subword_language,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_wrapper_induction": htmlwrap.op9_wrapper_induction,
     "op10_line_first_rules": line_rules.op10_line_first_rules,
 }
-ORACLE: dict[str, str] = {"op10_line_first_rules": line_rules.ORACLE}
+ORACLE: dict[str, str] = {"op1_merkle_fixity": merkle.ORACLE, "op10_line_first_rules": line_rules.ORACLE}
