@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, htmlwrap, langid, line_rules, merkle, ngramjoin, packing, quality_knn, sharding
+from . import decontam, htmlwrap, langid, line_rules, merkle, ngramjoin, packing, quality_knn, sharding, suffixdedup
 
 QUERIES = {
     "op1_merkle_fixity": merkle.op1_merkle_fixity,
     "op2_prefix_decontamination": decontam.op2_prefix_decontamination,
     "op3_feistel_shards": sharding.op3_feistel_shards,
+    "op4_suffix_dedup": suffixdedup.op4_suffix_dedup,
     "op5_subword_language": langid.op5_subword_language,
     "op6_chosen_path_join": ngramjoin.op6_chosen_path_join,
     "op7_hierarchical_packing": packing.op7_hierarchical_packing,
