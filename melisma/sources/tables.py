@@ -34,7 +34,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight = F.create_map(*(F.lit(x) for k, v in KINDS.items() for x in (k, v[1])))
     return e.select(
         F.col("event_id").alias("sequence"), F.col("user_id").alias("listener"), F.get_json_object("props", "$.k").cast("long").alias("track"), kind[F.col("event_type")].alias("kind"), weight[F.col("event_type")].alias("weight"),
-        F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("at"),
+        F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("said"),
     )
 
 
@@ -42,7 +42,7 @@ FEEDBACK_SQL = """feedback AS (
   SELECT event_id AS sequence, user_id AS listener, json_extract_string(props, '$.k')::BIGINT AS track,
     CASE event_type WHEN 'purchase' THEN 'like' WHEN 'click' THEN 'more_like' WHEN 'error' THEN 'dislike' WHEN 'view' THEN 'exposure' WHEN 'signup' THEN 'accept' END AS kind,
     CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'click' THEN 0.8 WHEN 'error' THEN -1.0 WHEN 'view' THEN 0.0 WHEN 'signup' THEN 0.35 END::DOUBLE AS weight,
-    epoch(ts)::BIGINT AS at
+    floor(epoch(ts))::BIGINT AS said
   FROM events)"""
 TRACKS_SQL = """tracks AS (
   SELECT p_partkey AS id, p_name AS title, p_brand AS artist, p_type AS genre, p_brand || ' ' || p_size AS album, (p_retailprice * 100)::BIGINT AS duration_ms FROM part)"""
