@@ -94,13 +94,15 @@ def fit(c: np.ndarray, labels: np.ndarray, seed: int = 11) -> Model:
     return Model(idf, directions, unit(x @ directions).astype(np.float32), labels.astype(np.float32), float(labels.mean()))
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """A model of the rows with a text and a label of 0 or 1; None if there are none. A class gives sample_rows rows in expectation, chosen by a hash of the id."""
-    rows = labelled.filter(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-    n = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """A model of the documents with a text and a label of 0 or 1; None if there are none. A class gives sample_rows labels in expectation, chosen by a hash of the id, and only these meet the documents."""
+    labels = labels.filter(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("label"))
+    n = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
     place = F.pmod(F.xxhash64(F.lit("quality"), id_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.when(F.col(label_col) == 1, min(1.0, sample_rows / n.get(1, 1))).otherwise(min(1.0, sample_rows / n.get(0, 1)))
-    got = rows.filter(place < share).select(F.col(label_col).cast("int"), text_col).mapInArrow(sampled, "label int, bag binary").collect()
+    share = F.when(F.col("label") == 1, min(1.0, sample_rows / n.get(1, 1))).otherwise(min(1.0, sample_rows / n.get(0, 1)))
+    chosen = labels.filter(place < share)
+    # About 2 * sample_rows rows of two numbers, whatever the size of the tables.
+    got = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col).select("label", text_col).mapInArrow(sampled, "label int, bag binary").collect()
     got.sort(key=lambda r: (r.label, bytes(r.bag)))
     if not got:
         return None
@@ -142,5 +144,5 @@ def op8_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
     held = remainder("doc_id", 5) == 0
     labels = tables(spark, sf_dir, "labels").filter(~held).select("doc_id", "quality")
-    model = train(docs.join(labels, "doc_id"), "doc_id", "text", "quality")
+    model = train(docs, labels, "doc_id", "text", "quality")
     return classify(docs.select("doc_id", held.alias("held_out"), "text"), model, "text").drop("text")
