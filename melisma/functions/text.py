@@ -56,8 +56,30 @@ def tokens(x: Column) -> Column:
     return F.filter(F.split(x, " "), lambda t: t != "")
 
 
-#: Fixed value: words that a search may leave out when it finds nothing with them.
-FILLER = ("a", "an", "the", "of", "by", "for", "with", "and", "some", "song", "songs", "music", "track", "tracks", "play", "like")
+#: Words that a search leaves out only when it finds nothing with them, and words that don't count in semantic text.
+FILLER = (
+    "song", "songs", "track", "tracks", "tune", "tunes", "music", "stuff", "vibe", "vibes", "playlist", "mix", "like", "similar", "radio", "the", "a", "an", "some", "and", "by", "feat", "ft",
+)
+STOP = ("a", "an", "and", "but", "for", "in", "of", "or", "the", "to", "with")
+
+#: Spellings of styles, and the styles that are kinds of another.
+STYLES = {"ambient electronica": "ambient electronic", "rock and roll": "rock & roll", "rock n roll": "rock & roll", "rock roll": "rock & roll", "electronica": "electronic"}
+STYLE_PARENTS = {
+    "ambient electronic": "electronic", "techno": "electronic", "house": "electronic", "electro": "electronic", "idm": "electronic", "synthpop": "electronic", "drum and bass": "electronic", "downtempo": "electronic",
+    "trance": "electronic", "rock & roll": "rock", "alternative rock": "rock", "indie rock": "rock", "hard rock": "rock", "dance-rock": "rock",
+}
+
+
+def canonical_style(x: Column) -> Column:
+    y = identity_part(x)
+    return F.coalesce(F.create_map(*(F.lit(v) for kv in STYLES.items() for v in kv))[y], y)
+
+
+def style_matches(wanted: Column, actual: Column) -> Column:
+    """A style matches itself and its kinds, but not the other way round."""
+    w, a = canonical_style(wanted), canonical_style(actual)
+    parent = F.create_map(*(F.lit(v) for kv in STYLE_PARENTS.items() for v in kv))
+    return (w == a) | F.coalesce(parent[a] == w, F.lit(False))
 
 
 def without_filler(toks: Column) -> Column:
@@ -66,7 +88,7 @@ def without_filler(toks: Column) -> Column:
     return F.when(F.size(left) > 0, left).otherwise(toks)
 
 
-def semantic_tokens(x: Column, stop: tuple[str, ...] = FILLER) -> Column:
+def semantic_tokens(x: Column, stop: tuple[str, ...] = STOP) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda t: ~t.isin(*stop))
 
 
@@ -103,8 +125,8 @@ def entity_id(kind: str, value: Column) -> Column:
 
 
 def keyed_priority(seed: int, domain: str, x: Column) -> Column:
-    """A hash that orders ids for sampling: of a version, the seed's 8 little-endian bytes, the domain and the id, parted by NUL. Hex sorts as bytes do."""
-    head = b"priority-v1\0" + (seed & (1 << 64) - 1).to_bytes(8, "little") + b"\0" + domain.encode() + b"\0"
+    """A hash that orders ids for sampling: of a version (a fixed value), the seed's 8 little-endian bytes, and, after a NUL each, the domain and the id. Hex sorts as bytes do."""
+    head = b"keyed-artist-round-robin/v1" + (seed & (1 << 64) - 1).to_bytes(8, "little") + b"\0" + domain.encode() + b"\0"
     return F.sha2(F.concat(F.lit(bytearray(head)), x.cast("string").cast("binary")), 256)
 
 

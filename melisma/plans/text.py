@@ -30,7 +30,7 @@ def search_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("semantic_keys", """
-WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: t NOT IN ('a','an','the','of','by','for','with','and','some','song','songs','music','track','tracks','play','like')) AS t FROM benchmark),
+WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: t NOT IN ('a','an','and','but','for','in','of','or','the','to','with')) AS t FROM benchmark),
 k AS (SELECT item_id, t, list_concat([array_to_string(t, ' ')], list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), t) AS keys FROM w)
 SELECT item_id, len(t)::BIGINT AS n_tokens, len(list_distinct(list_filter(keys, lambda x: x <> '')))::BIGINT AS n_keys, keys[1] AS phrase FROM k""")
 def semantic_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def recording_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("keyed_sample", """
-SELECT o_orderkey, sha256('priority-v1' || chr(0) || chr(42) || repeat(chr(0), 7) || chr(0) || 'orders' || chr(0) || o_orderkey) AS priority FROM orders ORDER BY priority LIMIT 100""")
+SELECT o_orderkey, sha256('keyed-artist-round-robin/v1' || chr(42) || repeat(chr(0), 7) || chr(0) || 'orders' || chr(0) || o_orderkey) AS priority FROM orders ORDER BY priority LIMIT 100""")
 def keyed_sample(spark: SparkSession, d: str) -> DataFrame:
     """The orders of the 100 least hashes: a sample that any partitioning gives."""
     return table(spark, d, "orders").select("o_orderkey", T.keyed_priority(42, "orders", F.col("o_orderkey")).alias("priority")).orderBy("priority").limit(100)
@@ -129,13 +129,14 @@ def typed_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("style_lookup", """
-WITH s(alias, style) AS (VALUES ('STEEL','hip hop'),('BRASS','hip hop'),('COPPER','rock'),('TIN','electronic'))
-SELECT p_partkey, coalesce(style, lower(p_type)) AS style FROM part LEFT JOIN s ON upper(split_part(p_type, ' ', -1)) = alias""")
+WITH s(k, raw) AS (VALUES (0, 'Rock and  Roll'), (1, 'electronica'), (2, 'Techno'), (3, 'rock n roll'), (4, 'jazz')), c(raw, style) AS (VALUES ('rock and roll', 'rock & roll'), ('electronica', 'electronic'), ('rock n roll', 'rock & roll')),
+t AS (SELECT p_partkey, coalesce(style, lower(regexp_replace(s.raw, '\\s+', ' ', 'g'))) AS style FROM part JOIN s ON p_partkey % 5 = k LEFT JOIN c ON c.raw = lower(regexp_replace(s.raw, '\\s+', ' ', 'g')))
+SELECT p_partkey, style, style IN ('electronic', 'techno') AS electronic, style IN ('rock', 'rock & roll') AS rock, style = 'techno' AS techno FROM t""")
 def style_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Synonyms to one name, by a literal map; unknown ones stay."""
-    names = {"STEEL": "hip hop", "BRASS": "hip hop", "COPPER": "rock", "TIN": "electronic"}
-    look = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    return table(spark, d, "part").select("p_partkey", F.coalesce(look[F.upper(F.element_at(F.split("p_type", " "), -1))], F.lower("p_type")).alias("style"))
+    """Spellings to one name, and matches that go from a style to its kinds only."""
+    raw = F.get(F.array(*map(F.lit, ("Rock and  Roll", "electronica", "Techno", "rock n roll", "jazz"))), (F.col("p_partkey") % 5).cast("int"))
+    is_ = lambda w: T.style_matches(F.lit(w), raw).alias(w)
+    return table(spark, d, "part").select("p_partkey", T.canonical_style(raw).alias("style"), is_("electronic"), is_("rock"), is_("techno"))
 
 
 @query("content_fingerprints", """SELECT count(DISTINCT r_name || '|' || n_name) AS n, bool_and(length(sha256(n_name)) = 64) AS hashed FROM nation JOIN region ON n_regionkey = r_regionkey""")
