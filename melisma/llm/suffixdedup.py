@@ -34,7 +34,7 @@ LENGTH = 50
 ANCHOR_BITS, INDEX_BITS = 40, 24
 SEGMENT = 1 << 23
 #: Pieces in a bucket of step 1, bytes of text in a bucket of step 4; and the most buckets that there are.
-BUCKET_PIECES, BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 1 << 25, 1 << 20
+BUCKET_PIECES, BUCKET_BYTES, MOST_BUCKETS = 1 << 18, 1 << 25, 1 << 20
 #: Different pieces of one anchor from which on it is hot.
 HOT = 256
 WHOLE = np.iinfo(np.int32).max
@@ -96,14 +96,22 @@ def home(doc: np.ndarray, n: int) -> np.ndarray:
     return (K.mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-def blobs(to: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Entries by where they go: (to, kind, the columns one after another)."""
+def halves(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 40-bit hash in the 5 bytes that it needs."""
+    return anchor.astype(np.uint32), (anchor >> np.uint64(32)).astype(np.uint8)
+
+
+def blobs(to: np.ndarray, kind: int, *columns: np.ndarray, steps: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """Entries by where they go: (to, kind, the columns one after another). With `steps` the first column, which is sorted, is written as differences, most of which are 0 and compress to nothing."""
     order = np.argsort(to, kind="stable")
     to, columns = to[order], [c[order] for c in columns]
     cuts = np.flatnonzero(to[1:] != to[:-1]) + 1
     edges = [0, *cuts.tolist(), len(to)] if len(to) else [0]
     for a, b in zip(edges, edges[1:], strict=False):
-        yield int(to[a]), kind, b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)
+        parts = [c[a:b] for c in columns]
+        if steps:
+            parts[0] = np.diff(parts[0], prepend=0)
+        yield int(to[a]), kind, b"".join(np.ascontiguousarray(c).tobytes() for c in parts)
 
 
 def entries(blob: bytes, *kinds: str) -> list[np.ndarray]:
@@ -166,7 +174,7 @@ def find_pieces(batches: Iterator[pa.RecordBatch], n_buckets: int, n_homes: int,
         yield from blobs(home(d[over], n_homes) % n_buckets, FULL, d[over], own[over])
         order = np.argsort(d[new], kind="stable")
         d, anchor, own = d[new][order], anchor[new][order], own[new][order]
-        yield from blobs(anchor_bucket(anchor, n_buckets), ASK, d, anchor, own)
+        yield from blobs(anchor_bucket(anchor, n_buckets), ASK, d, *halves(anchor), own, steps=True)
 
     for batch in batches:
         yield from as_batches(of(batch))
@@ -194,10 +202,13 @@ def settle_pieces(batches: Iterator[pa.RecordBatch], n_homes: int) -> Iterator[p
             if kind == FULL:
                 d, own = entries(blob, "i8", "u8")
                 yield from blobs(home(d, n_homes), FULL, d, own, np.zeros(len(d), np.int32), np.full(len(d), WHOLE, np.int32))
-        asked = [entries(blob, "i8", "u8", "u8") for kind, blob in held if kind == ASK]
+        asked = [entries(blob, "i8", "u4", "u1", "u8") for kind, blob in held if kind == ASK]
         if not asked:
             return
-        d, anchor, own = (np.concatenate(x) for x in zip(*asked, strict=True))
+        d = np.concatenate([np.cumsum(x[0]) for x in asked])
+        anchor = np.concatenate([x[1] | x[2].astype(np.uint64) << np.uint64(32) for x in asked])
+        own = np.concatenate([x[3] for x in asked])
+        del asked
         order = np.lexsort((d, own, anchor))
         d, anchor, own = d[order], anchor[order], own[order]
         group = np.ones(len(d), bool)
