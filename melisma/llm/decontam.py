@@ -99,6 +99,7 @@ def rarity(items: Items, shingle: int) -> dict[int, np.ndarray]:
     return {k: np.unique(np.concatenate([items.codes(items.windows[w, : items.lengths[w]], k) for w in own])) for k, own in items.shingle_sizes(shingle).items()}
 
 
+@K.tidy
 def count_shingles(batches: Iterator[pa.RecordBatch], items: Items, wanted: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     counts = {k: np.zeros(len(c), np.int64) for k, c in wanted.items()}
     for batch in batches:
@@ -188,6 +189,7 @@ def occurrences(items: Items, tables_: dict[int, Prefixes], own: np.ndarray, at:
 FOUND = StructType([StructField("n_words", LongType()), StructField("spans", ArrayType(ArrayType(IntegerType()))), StructField("items", ArrayType(StringType()))])
 
 
+@K.tidy
 def mark(batches: Iterator[pa.RecordBatch], items: Items, found: dict[int, Prefixes], text: int) -> Iterator[pa.RecordBatch]:
     """Adds to each row its number of words, its hit spans [from, to) in words, and its items; earlier blocks' results are kept."""
     for batch in batches:

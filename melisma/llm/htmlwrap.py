@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .store import Scratch, tables
 
 #: A node is template if at least this part of the host's pages have it with one text, and the host has at least so many pages.
@@ -214,6 +215,7 @@ class Aligner:
         return got
 
 
+@K.tidy
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (host, html, seed): for each node of the seed that has text, how many pages match it and how many with the same text."""
     aligner, n, counts = Aligner(), {}, {}
@@ -297,6 +299,7 @@ def text_of(page: str, template: set[int] | None = None, aligner: Aligner | None
     return "\n".join(blocks)
 
 
+@K.tidy
 def extract(batches: Iterator[pa.RecordBatch], page_at: int, schema: list[str]) -> Iterator[pa.RecordBatch]:
     aligner = Aligner()
     host_at, seed_at, nodes_at = schema.index("_host"), schema.index("_seed"), schema.index("_template")

@@ -7,12 +7,14 @@ prefix sums times a power of the base's inverse.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U64 = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240601))
 BYTE_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -42,6 +44,23 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return got
 
 
+def tidy(f: Callable) -> Callable:
+    """For functions that a task runs over its batches: at the end, freed memory goes back to the system. Python workers outlive their tasks, and several share an executor's memory."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        try:
+            yield from f(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(31))) * U64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> U64(29))) * U64(0xBF58476D1CE4E5B9)

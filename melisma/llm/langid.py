@@ -50,12 +50,13 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, at
 
 
+@K.tidy
 def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Feature counts of sampled texts, scaled to a sum of 1."""
     for batch in batches:
         data, offsets = K.buffers(batch.column(1))
         rows: list[bytes] = []
-        for a, b in K.blocks(offsets, K.BLOCK // 4):
+        for a, b in K.blocks(offsets, K.BLOCK):
             g, at = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             for r in range(b - a):
                 c = np.bincount(g[:, at[r] : at[r + 1]].ravel(), minlength=(1 << BUCKET_BITS) + 1)[: 1 << BUCKET_BITS].astype(np.float32)
@@ -130,6 +131,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     return fit(np.stack([np.frombuffer(bytes(r.bag), np.float32) for r in got]), [r.lang for r in got])
 
 
+@K.tidy
 def score(batches: Iterator[pa.RecordBatch], model: Model | None, text: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.buffers(batch.column(text))

@@ -59,6 +59,7 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, first, identity
 
 
+@K.tidy
 def sketch(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.buffers(batch.column(1))
@@ -183,6 +184,7 @@ def pairs_here(t: pa.Table) -> np.ndarray:
     return ok
 
 
+@K.tidy
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of blocks that by their sketches may be similar to another."""
     out: list[pa.Table] = []
@@ -215,6 +217,7 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.concat_tables(out).combine_chunks().to_batches()
 
 
+@K.tidy
 def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact similarities of a block's own pairs: for each member its links (copies counted) and, as its way into its class, the least member that it is connected with."""
     for t in grouped(batches):

@@ -8,6 +8,7 @@ document needs.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -19,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .store import Scratch, tables
 
 LIMIT, NEARLY_FULL, ROUND_ITEMS, LEAST_GAIN = 2048, 0.985, 8000, 0.01
@@ -44,10 +46,8 @@ class Tokenizer:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer as Library
 
-        self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         # Byte-level files spell a printable Latin-1 byte as itself, and the n-th other byte as the character 256 + n.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         spelt = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(plain)))}
@@ -57,6 +57,14 @@ class Tokenizer:
         self.fast = tiktoken.Encoding("packing", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.other = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]|[\x1c-\x1f\x85]")
 
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer as Library
+
+        out = Library.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def __call__(self, text: str) -> bytes:
         if self.other.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -108,6 +116,7 @@ def packed(sizes: list[int], members: list[list[tuple]], limit: int, first: int)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + a, first + a + len(part))), pa.array([sum(sizes[i] for i in b) for b in part], pa.int32()), lists], names=["bin", "size", "members"])
 
 
+@K.tidy
 def tokenise_and_pack(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     tokenizer, first = Tokenizer(path), TaskContext.get().partitionId() << 40
     sizes: list[int] = []
@@ -124,6 +133,7 @@ def tokenise_and_pack(batches: Iterator[pa.RecordBatch], path: str, limit: int)
     yield from packed(sizes, members, limit, first)
 
 
+@K.tidy
 def repack(batches: Iterator[pa.RecordBatch], limit: int, level: int) -> Iterator[pa.RecordBatch]:
     sizes: list[int] = []
     members: list[list[tuple]] = []

@@ -52,11 +52,12 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(np.concatenate(terms), minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
 
 
+@K.tidy
 def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.buffers(batch.column(1))
         rows: list[bytes] = []
-        for a, b in K.blocks(offsets, K.BLOCK // 4):
+        for a, b in K.blocks(offsets, K.BLOCK):
             rows += [np.minimum(r, 60000).astype(np.uint16).tobytes() for r in counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["label", "bag"])
 
@@ -117,12 +118,13 @@ def vote(cosines: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
     return np.clip(((w * labels[near]).sum(1) + 1e-6 * prior) / (w.sum(1) + 1e-6), 0.0, 1.0)
 
 
+@K.tidy
 def rate(batches: Iterator[pa.RecordBatch], model: Model | None, text: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.zeros(batch.num_rows)
         data, offsets = K.buffers(batch.column(text))
         if model is not None:
-            for a, b in K.blocks(offsets, K.BLOCK // 4):
+            for a, b in K.blocks(offsets, K.BLOCK):
                 for c in range(a, b, 256):
                     d = min(b, c + 256)
                     x = weighted(counts(data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c]), model.idf)

@@ -11,8 +11,8 @@ times, so suffixes are sorted only where it can matter:
    polynomial hashes. Neighbours that share LENGTH bytes are one class; equal hashes are verified byte by byte.
 4. Coverage goes back to the documents, which compute their pieces again and drop the covered bytes.
 
-Pieces are known by 40 bits of their anchor's hash and 64 of their own. A piece in many documents is reduced to its least document in every batch of rows
-before the shuffle, so a passage in a third of all documents arrives once a batch. Blobs of many entries are moved, not rows.
+Pieces are known by 40 bits of their anchor's hash and 64 of their own. A piece in many documents is reduced to its least document in every ROUND_BYTES of
+text before the shuffle, so a passage in a third of all documents arrives once for these. Blobs of many entries are moved, not rows.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ ANCHOR_BITS, INDEX_BITS = 40, 24
 SEGMENT = 1 << 23
 #: Pieces in a bucket of step 1, bytes of text in a bucket of step 4; and the most buckets that there are.
 BUCKET_PIECES, BUCKET_BYTES, MOST_BUCKETS = 1 << 18, 1 << 25, 1 << 20
+#: Bytes of text whose repeats are settled among each other before the shuffle.
+ROUND_BYTES = 1 << 23
 #: Different pieces of one anchor from which on it is hot.
 HOT = 256
 WHOLE = np.iinfo(np.int32).max
@@ -148,12 +150,17 @@ def anchor_bucket(anchor: np.ndarray, n: int) -> np.ndarray:
     return (K.mix(anchor) % np.uint64(n)).astype(np.int64)
 
 
+@K.tidy
 def find_pieces(batches: Iterator[pa.RecordBatch], n_buckets: int, n_homes: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Step 1, with each batch's repeats settled: entries (document, anchor, piece) by anchor, and, passed on by document, what a smaller document of the batch covers."""
+    """Step 1, with each round's repeats settled: entries (document, anchor, piece) by anchor, and, passed on by document, what a smaller document of the round covers."""
 
     def of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
         doc = ids(batch.column(0))
         data, offsets = K.buffers(batch.column(1))
+        for lo, hi in K.blocks(offsets, ROUND_BYTES):
+            yield from round_of(doc[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+    def round_of(doc: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         got = []
         for a, b in K.blocks(offsets):
             row, _, _, anchor, own = pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
@@ -194,6 +201,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield now, held
 
 
+@K.tidy
 def settle_pieces(batches: Iterator[pa.RecordBatch], n_homes: int) -> Iterator[pa.RecordBatch]:
     """Steps 2 and 3, first half: what equal pieces cover, and which pieces' bytes are needed; both by document."""
 
@@ -283,6 +291,7 @@ def with_texts(batches: Iterator[pa.RecordBatch], kind: int, *kinds: str) -> Ite
             yield batch.slice(a, b - a), replies
 
 
+@K.tidy
 def fetch(batches: Iterator[pa.RecordBatch], n_buckets: int, length: int) -> Iterator[pa.RecordBatch]:
     """Step 3: the bytes of pieces that are asked for, by anchor.
 
@@ -418,6 +427,7 @@ def classes(text: Text, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(np.append(0, ~equal)) if len(order) else np.zeros(0, np.int64)
 
 
+@K.tidy
 def sort_suffixes(batches: Iterator[pa.RecordBatch], n_homes: int, length: int) -> Iterator[pa.RecordBatch]:
     """Step 3: of each bucket's pieces, the strings that a smaller document has too, as byte ranges of the piece, by document."""
 
@@ -461,6 +471,7 @@ def sort_suffixes(batches: Iterator[pa.RecordBatch], n_homes: int, length: int)
         yield from as_batches(of(rest.combine_chunks()))
 
 
+@K.tidy
 def apply(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Step 4. Columns from the fourth on: id, text, and the row's other columns as one struct."""
     for batch, replies in with_texts(batches, FULL, "i8", "u8", "i4", "i4"):
