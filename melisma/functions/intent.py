@@ -64,3 +64,48 @@ def clauses(intents: DataFrame, key: list[str]) -> DataFrame:
         F.transform("intent.stages", lambda x, i: F.struct(F.lit("stage").alias("kind"), x.alias("text"), F.concat(F.lit("stage"), i.cast("string")).alias("scope"), F.lit(False).alias("negative"))),
     )
     return intents.select(*key, F.explode(F.array_distinct(rows)).alias("c")).select(*key, "c.*")
+
+
+def atoms(prompt: str | None) -> list[tuple[str, str, int, int]]:
+    """What the rules find, with its place: (kind, text, start, end), in order of place."""
+    p = prompt or ""
+    out = [(kind, m[g].strip('" ').lower(), m.start(g), m.end(g)) for kind, rx, groups in (("reference", _LIKE, (1,)), ("exclusion", _NOT, (1,)), ("stage", _PATH, (1, 2)), ("count", _COUNT, (1,)), ("duration", _TIME, (0,))) for m in rx.finditer(p) for g in groups]
+    return sorted(out, key=lambda a: (a[2], a[3], a[0]))
+
+
+def reconcile(intent: dict, found: list[tuple[str, str, int, int]]) -> dict:
+    """A model's intent corrected by what the prompt says outright: counts are the prompt's, references and exclusions that it names are there, and what it excludes is not asked for."""
+    said = lambda kind: [t for k, t, _, _ in found if k == kind]
+    out = dict(intent)
+    if said("count"):
+        out |= {"track_count": min(max(number(said("count")[-1]), LEAST), MOST), "explicit_count": True}
+    excluded = list(dict.fromkeys([*out.get("exclusions", []), *said("exclusion")]))
+    out["exclusions"] = excluded
+    out["references"] = [r for r in dict.fromkeys([*out.get("references", []), *said("reference")]) if r not in excluded]
+    if said("stage"):
+        out |= {"stages": said("stage"), "mode": "journey"}
+    return out
+
+
+def problems(intent: dict) -> list[str]:
+    """What is wrong with an intent; nothing for a good one."""
+    out = []
+    if not LEAST <= intent.get("track_count", PLAIN) <= MOST:
+        out.append("track_count is out of range")
+    if intent.get("mode") not in ("similar", "journey"):
+        out.append("mode is unknown")
+    if intent.get("mode") == "journey" and len(intent.get("stages", [])) < 2:
+        out.append("a journey needs two stages")
+    if (intent.get("duration_seconds") or 1) <= 0:
+        out.append("duration isn't positive")
+    if set(intent.get("references", [])) & set(intent.get("exclusions", [])):
+        out.append("a reference is excluded")
+    return out
+
+
+def migrate(old: dict) -> dict:
+    """An intent of an older form (count, seeds, avoid) as a current one; a current one stays."""
+    if "count" not in old and "seeds" not in old and "avoid" not in old:
+        return old
+    n = old.get("count")
+    return {"mode": "journey" if old.get("mode") == "journey" else "similar", "track_count": min(max(n or PLAIN, LEAST), MOST), "explicit_count": n is not None, "duration_seconds": old.get("duration"), "references": list(old.get("seeds", [])), "exclusions": list(old.get("avoid", [])), "stages": list(old.get("stages", []))}

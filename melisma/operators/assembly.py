@@ -250,3 +250,51 @@ def per_request(candidates: DataFrame, choose, columns: str = "request long, pos
         return pd.DataFrame({"request": rows["request"].iloc[0], "position": range(1, len(order) + 1), "id": [rows["id"][i] for i in order]})
 
     return capped(candidates).groupBy("request").applyInPandas(run, columns)
+
+
+def noisy(query: np.ndarray, noise: float, seed: int) -> np.ndarray:
+    """A query with Gaussian noise of a part of its own length; one seed gives one result."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    return query + rng.normal(size=len(query)) * noise * np.linalg.norm(query) / np.sqrt(len(query))
+
+
+def separators(gaps: list[set], tracks: int) -> dict[int, int]:
+    """Scarce tracks to the gaps that need one between tracks of one artist: gap -> track, as many as can be (augmenting paths). gaps[i] holds the tracks that may stand there."""
+    of: dict[int, int] = {}
+
+    def place(gap: int, seen: set[int]) -> bool:
+        for t in sorted(gaps[gap]):
+            if t < tracks and t not in seen:
+                seen.add(t)
+                if t not in of or place(of[t], seen):
+                    of[t] = gap
+                    return True
+        return False
+
+    for g in range(len(gaps)):
+        place(g, set())
+    return {g: t for t, g in of.items()}
+
+
+def reasons(rows: pd.DataFrame, order: list[int]) -> pd.DataFrame:
+    """Why each track stands where it does: its relevance, its likeness to the one before (null for the first or without vectors), and the distance to its artist's last track (null if there is none)."""
+    x, there = unit(rows["vector"])
+    out, last = [], {}
+    for k, i in enumerate(order):
+        j = order[k - 1] if k else None
+        like = float(x[i] @ x[j]) if j is not None and there[i] and there[j] else None
+        artist = rows["artist"].iloc[i]
+        out.append((rows["request"].iloc[0], k + 1, int(rows["id"].iloc[i]), float(rows["total"].iloc[i]), like, k - last[artist] if artist in last else None))
+        last[artist] = k
+    return pd.DataFrame(out, columns=["request", "position", "id", "relevance", "transition", "artist_gap"]).astype({"artist_gap": "Int64", "transition": "Float64"})
+
+
+def playlists(candidates: DataFrame, count: int, diversity: float = 0.5, smoothness: float = 0.5) -> DataFrame:
+    """From candidates (request, id, total, artist, album, vector) to playlists with their reasons: selection, then sequence, a group a request."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id").reset_index(drop=True)
+        kept = rows.iloc[select(rows, count, diversity)].reset_index(drop=True)
+        return reasons(kept, sequence(kept, smoothness, diversity) if len(kept) else [])
+
+    return capped(candidates).groupBy("request").applyInPandas(run, "request long, position long, id long, relevance double, transition double, artist_gap long")

@@ -94,3 +94,16 @@ def segment_score(scores: Column, negative: Column) -> Column:
     """Mean over a recording's segments for what is wanted, the greatest for what is not."""
     mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)
     return F.when(F.size(scores) > 0, F.when(negative, F.array_max(scores)).otherwise(mean))
+
+
+def instrumental(segments: Column, least: float = 0.05) -> Column:
+    """Whether every segment (instrumental, vocal, other: similarities to each group of prompts) prefers the instrumental group by a margin. Null without segments."""
+    clear = F.forall(segments, lambda s: s["instrumental"] - F.greatest(s["vocal"], s["other"]) >= least)
+    return F.when(F.size(segments) > 0, clear)
+
+
+def fit_tier(groups: DataFrame, key: str = "id") -> DataFrame:
+    """(id, tier, gaps): strong if every group of clauses matches, close if none is contradicted, else weak; gaps names the groups that do not match. Of (id, group, state)."""
+    g = groups.groupBy(key, "group").agg(F.bool_or(F.col("state") == MATCH).alias("ok"), F.bool_or(F.col("state") == MISMATCH).alias("bad"))
+    of = g.groupBy(key).agg(F.bool_and("ok").alias("all"), F.bool_or(F.col("bad") & ~F.col("ok")).alias("some"), F.array_join(F.sort_array(F.collect_set(F.when(~F.col("ok"), F.col("group").cast("string")))), ", ").alias("gaps"))
+    return of.select(key, F.when(F.col("all"), "strong").when(~F.col("some"), "close").otherwise("weak").alias("tier"), "gaps")

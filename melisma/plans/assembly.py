@@ -122,3 +122,8 @@ def spacing_repair(spark: SparkSession, d: str) -> DataFrame:
         return A.repair([set(kept)] * len(kept), kept, rows["artist"].tolist()) or kept
 
     return A.per_request(pool(spark, d), choose)
+
+
+@query("playlists_with_reasons")
+def playlists_with_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return A.playlists(pool(spark, d), 20)

@@ -213,3 +213,18 @@ def reference_gate(spark: SparkSession, d: str) -> DataFrame:
 @query("grounded_first", f"WITH {TRACKS_SQL} SELECT id, row_number() OVER (PARTITION BY artist ORDER BY (id % 4 = 0) DESC, id) AS position FROM tracks")
 def grounded_first(spark: SparkSession, d: str) -> DataFrame:
     return tracks(spark, d).select("id", F.row_number().over(Window.partitionBy("artist").orderBy(F.desc(F.col("id") % 4 == 0), "id")).cast("long").alias("position"))
+
+
+@query("fit_tiers", f"""WITH {_EV}, g AS (SELECT id, scope || g AS grp, bool_or(state = 'match') AS ok, bool_or(state = 'mismatch') AS bad FROM e GROUP BY ALL)
+SELECT id, CASE WHEN bool_and(ok) THEN 'strong' WHEN NOT bool_or(bad AND NOT ok) THEN 'close' ELSE 'weak' END AS tier, coalesce(string_agg(CASE WHEN NOT ok THEN grp END, ', ' ORDER BY grp), '') AS gaps FROM g GROUP BY id""")
+def fit_tiers(spark: SparkSession, d: str) -> DataFrame:
+    s = _states(spark, d)
+    return E.fit_tier(s.select("id", F.concat("scope", F.col("group").cast("string")).alias("group"), "state"))
+
+
+@query("instrumental_tracks", "SELECT l_orderkey, bool_and(l_discount - greatest(l_tax, 0.01) >= 0.02) AS instrumental FROM lineitem GROUP BY 1")
+def instrumental_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """An order's lines are the segments."""
+    seg = F.struct(F.col("l_discount").alias("instrumental"), F.col("l_tax").alias("vocal"), F.lit(0.01).alias("other"))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(seg).alias("s"))
+    return g.select("l_orderkey", E.instrumental(F.col("s"), 0.02).alias("instrumental"))

@@ -269,3 +269,46 @@ def test_stream_ignores_what_was_said_earlier(spark, tmp_path):
     q.awaitTermination()
     last = spark.table("prefs").collect()[-1]
     assert (last.direct_kind, last.review_kind) == ("dislike", "accept")
+
+
+def test_separators_are_matched_as_far_as_they_go():
+    assert A.separators([{0, 1}, {0}, {1, 2}], 3) == {0: 1, 1: 0, 2: 2} and len(A.separators([{0}, {0}], 1)) == 1
+
+
+def test_noise_is_seeded():
+    q = np.ones(8)
+    assert (A.noisy(q, 0.1, 3) == A.noisy(q, 0.1, 3)).all() and (A.noisy(q, 0.1, 3) != A.noisy(q, 0.1, 4)).any() and (A.noisy(q, 0.0, 3) == q).all()
+
+
+def test_reasons_follow_the_order():
+    rows = some_pool(1, 6).assign(request=9)
+    order = A.sequence(rows)
+    r = A.reasons(rows, order)
+    assert r["id"].tolist() == order and pd.isna(r["transition"][0]) and r["transition"].notna()[1:].all()
+
+
+def test_prompts_are_reconciled_and_checked():
+    p = "ten songs like Daft Punk, no vocals"
+    a = N.atoms(p)
+    assert [(k, t) for k, t, _, _ in a] == [("count", "ten"), ("reference", "daft punk"), ("exclusion", "vocals")] and all(p[s:e].lower().strip() == t for _, t, s, e in a)
+    fixed = N.reconcile({"mode": "similar", "track_count": 50, "references": ["vocals"], "exclusions": [], "stages": []}, a)
+    assert (fixed["track_count"], fixed["references"], fixed["exclusions"]) == (10, ["daft punk"], ["vocals"]) and N.problems(fixed) == []
+    assert N.problems({"mode": "journey", "track_count": 500, "stages": []}) == ["track_count is out of range", "a journey needs two stages"]
+    assert N.migrate({"count": 7, "seeds": ["x"]})["references"] == ["x"] and N.migrate(fixed) is fixed
+
+
+def test_sound_of_a_sine(spark):
+    from melisma.functions import dsp
+
+    t = np.arange(48_000) / 48_000
+    rows = spark.createDataFrame([(1, (0.5 * np.sin(2 * np.pi * 1000 * t)).tolist(), 48_000), (2, [0.0] * 4096, 48_000), (3, [0.1], 48_000), (4, None, 48_000)], "id long, x array<double>, rate int")
+    got = {r.id: r.f for r in rows.select("id", dsp.features(F.col("x"), F.col("rate")).alias("f")).collect()}
+    assert abs(got[1].rms - 0.5 / 2**0.5) < 1e-3 and abs(got[1].crest - 2**0.5) < 1e-2 and got[1].mid > 0.99 and abs(got[1].centroid - 1000) < 20
+    assert got[2].rms == 0 and got[2].centroid is None and got[3].rms is None and got[4].rms is None
+
+
+def test_packs_combine(spark):
+    rows = [(1, 1, "Song", "Band", 1, "", "i1", ""), (2, 2, "", "Band", 1, "m1", "i1", ""), (3, 1, "Song", "Band", 1, "", "", "")]
+    df = spark.createDataFrame(rows, "id long, pack int, title string, artist string, duration_ms long, mbid string, isrc string, fingerprint string")
+    got = sorted((r.root, r.title, r.mbid, r.n, r.assigned) for r in I.combined(df, "pack", ["title", "artist", "mbid", "isrc"]).collect())
+    assert got == [(1, "Song", "m1", 2, "song band"), (3, "Song", None, 1, "song band-2")]
