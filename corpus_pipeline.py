@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from melisma.llm import decontam, langid, ngramjoin, packing, suffixdedup
 from melisma.llm.store import Scratch, tables
@@ -24,8 +22,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes byte strings that a document with a smaller id has. Where a cut divides a character, what is left of it goes too."""
-    text = F.arrow_udf(lambda kept: pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string()), StringType())
-    found = suffixdedup.remove_repeats(docs).withColumn("text", F.when(F.col("n_removed") > 0, text("kept")).otherwise(F.col("text")))
+    found = suffixdedup.remove_repeats(docs, as_text=True).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import tables
+from .store import short_batches, tables
 
 #: Rows a language in the training sample, in expectation; languages are few, so the sample is bounded.
 SAMPLE_ROWS = 500
@@ -163,6 +163,7 @@ def identify(df: DataFrame, model: Model | None, text_col: str) -> DataFrame:
     A null text or one without letters is `und`, scores 0 and is rejected; so is everything without a model. A text whose score is under the
     calibrated least is rejected but keeps its prediction. Empty tables and repeated rows need no care.
     """
+    short_batches(df.sparkSession)
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(lambda x: score(x, sent.value, at), f"{schema}, lang_pred string, score double, rejected boolean")

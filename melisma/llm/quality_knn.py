@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .langid import remainder
-from .store import tables
+from .store import short_batches, tables
 
 #: Labelled rows a class, in expectation: they bound what is fitted and what is broadcast (2 * SAMPLE_ROWS vectors of DIMENSIONS floats).
 SAMPLE_ROWS = 1500
@@ -137,6 +137,7 @@ def classify(df: DataFrame, model: Model | None, text_col: str) -> DataFrame:
 
     A null or empty text is similar to nothing and scores the sample's share of label 1. Without labelled rows every score is 0.
     """
+    short_batches(df.sparkSession)
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(lambda x: rate(x, sent.value, at), f"{schema}, score double, predicted int")

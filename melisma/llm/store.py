@@ -18,10 +18,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Documents are long: Arrow batches of the usual 10,000 rows would hold tens of MB in several buffers of each task. A session that has set its own size keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Intermediate tables of one operator call. write() cuts the lineage: what it returns is read from files that outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        short_batches(spark)
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from . import kernels as K
 from .store import Scratch, tables
@@ -472,38 +472,49 @@ def sort_suffixes(batches: Iterator[pa.RecordBatch], n_homes: int, length: int)
 
 
 @K.tidy
-def apply(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def apply(batches: Iterator[pa.RecordBatch], length: int, as_text: bool = False) -> Iterator[pa.RecordBatch]:
     """Step 4. Columns from the fourth on: id, text, and the row's other columns as one struct."""
     for batch, replies in with_texts(batches, FULL, "i8", "u8", "i4", "i4"):
         doc = ids(batch.column(3))
         data, offsets = K.buffers(batch.column(4))
-        n_bytes = np.diff(offsets)
-        removed, spans = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-        kept: list[bytes] = []
-        for a, b in K.blocks(offsets):
-            block, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            gone = np.zeros(len(block), bool)
-            if replies.has(doc[a:b]).any():
-                row, s, e, _, own = pieces(block, at, length)
-                asked, reply = replies.find(doc[a:b][row], own)
-                if len(asked):
-                    level = np.zeros(len(block) + 1, np.int32)
-                    np.add.at(level, s[asked] + replies.rest[0][reply], 1)
-                    np.add.at(level, np.minimum(e[asked], s[asked] + np.minimum(replies.rest[1][reply].astype(np.int64), e[asked] - s[asked])), -1)
-                    gone = np.cumsum(level)[:-1] > 0
-            upto = np.concatenate([[0], np.cumsum(gone)])
-            removed[a:b] = upto[at[1:]] - upto[at[:-1]]
-            start = gone.copy()
-            start[1:] &= ~gone[:-1]
-            inner = at[:-1][at[:-1] < len(block)]
-            start[inner] = gone[inner]
-            upto = np.concatenate([[0], np.cumsum(start)])
-            spans[a:b] = upto[at[1:]] - upto[at[:-1]]
-            left = block[~gone].tobytes()
-            ends = np.cumsum(n_bytes[a:b] - removed[a:b]).tolist()
-            kept += [left[x:y] for x, y in zip([0, *ends], ends, strict=False)]
-        rest = [batch.column(i) for i in range(3, batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(n_bytes), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], names=[*batch.schema.names[3:], "n_bytes", "n_removed", "n_spans", "kept"])
+        for lo, hi in K.blocks(offsets, ROUND_BYTES // 2):
+            removed, spans, kept = [], [], []
+            for a, b in ((lo + a, lo + b) for a, b in K.blocks(offsets[lo : hi + 1])):
+                block, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                gone = covered(doc[a:b], block, at, replies, length)
+                upto = np.concatenate([[0], np.cumsum(gone)])
+                removed.append(upto[at[1:]] - upto[at[:-1]])
+                start = gone.copy()
+                start[1:] &= ~gone[:-1]
+                inner = at[:-1][at[:-1] < len(block)]
+                start[inner] = gone[inner]
+                upto = np.concatenate([[0], np.cumsum(start)])
+                spans.append(upto[at[1:]] - upto[at[:-1]])
+                left = block[~gone].tobytes()
+                ends = np.cumsum(np.diff(at) - removed[-1]).tolist()
+                kept += [left[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+            rest = [batch.column(i).slice(lo, hi - lo) for i in range(3, batch.num_columns)]
+            if as_text:
+                null = batch.column(4).slice(lo, hi - lo).is_null().to_pylist()
+                result = pa.array([None if no else x.decode("utf-8", "ignore") for x, no in zip(kept, null, strict=True)], pa.string())
+            else:
+                result = pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*rest, pa.array(np.diff(offsets[lo : hi + 1])), pa.array(np.concatenate(removed)), pa.array(np.concatenate(spans)), result],
+                names=[*batch.schema.names[3:], "n_bytes", "n_removed", "n_spans", "kept"],
+            )
+
+
+def covered(doc: np.ndarray, block: np.ndarray, at: np.ndarray, replies: Replies, length: int) -> np.ndarray:
+    """Which bytes of a block of texts go."""
+    if not replies.has(doc).any():
+        return np.zeros(len(block), bool)
+    row, s, e, _, own = pieces(block, at, length)
+    asked, reply = replies.find(doc[row], own)
+    level = np.zeros(len(block) + 1, np.int32)
+    np.add.at(level, s[asked] + replies.rest[0][reply], 1)
+    np.add.at(level, np.minimum(e[asked], s[asked] + np.minimum(replies.rest[1][reply].astype(np.int64), e[asked] - s[asked])), -1)
+    return np.cumsum(level)[:-1] > 0
 
 
 def free(spark: SparkSession) -> None:
@@ -513,8 +524,8 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """The rows of df with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) added; df must not have these.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """The rows of df with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) added; df must not have these. As text, kept is a string (null for null), in which what is left of a cut character is missing.
 
     Null texts are empty; texts under `length` bytes lose nothing. Only smaller ids count: rows that repeat an id don't cover each other, and a null id is less than
     all others. An empty table gives no rows. Other columns pass through, whatever they are called.
@@ -546,8 +557,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     partial = scratch.write(asked.repartition(tasks, "to").sortWithinPartitions("to").mapInArrow(lambda x: sort_suffixes(x, n_homes, length), BLOBS), "partial")
     free(spark)
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row"))
-    out = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
-    done = with_replies(rows, ["doc", "text", "row"], FULL, partial).mapInArrow(lambda x: apply(x, length), out)
+    out = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if as_text else BinaryType())])
+    done = with_replies(rows, ["doc", "text", "row"], FULL, partial).mapInArrow(lambda x: apply(x, length, as_text), out)
     return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns), "n_bytes", "n_removed", "n_spans", "kept")
 
 
