@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are hashed words and hashed runs of its outline, in which letters, capitals, digits and spaces are one character each and
-symbols stay. Counts of a bounded sample of labelled texts are weighted by TF-IDF and decomposed; all texts are projected onto the
+A text's terms are hashed words, hashed runs of its outline, in which letters, capitals, digits and spaces are one character each and
+symbols stay, and whether words repeat the one before. Counts of a bounded sample of labelled texts are weighted by TF-IDF and decomposed; all texts are projected onto the
 leading directions. Each one's cosines with every labelled vector are computed exactly, in blocks, and the nearest vote by similarity.
 """
 
@@ -28,14 +28,18 @@ _OUTLINE[97:123] = _OUTLINE[128:] = 97
 _OUTLINE[65:91] = 65
 _OUTLINE[48:58] = 48
 _OUTLINE[[9, 11, 12, 13]] = 32
-TERMS = (1 << WORD_BITS) + (1 << OUTLINE_BITS)
+#: The last two terms are words that repeat the word before them, and words that do not.
+TERMS = (1 << WORD_BITS) + (1 << OUTLINE_BITS) + 2
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Term counts, a row a text."""
     n = len(offsets) - 1
     s, e, rows, _ = K.words(data, offsets)
-    terms = [rows * TERMS + (K.word_hashes(data, s, e) >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+    hashes = K.word_hashes(data, s, e)
+    fresh = np.ones(len(s), np.int64)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    terms = [rows * TERMS + (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64), rows * TERMS + TERMS - 2 + fresh]
     shape = _OUTLINE[data]
     row = np.repeat(np.arange(n), np.diff(offsets))
     keep = np.ones(len(shape), bool)
@@ -65,7 +69,7 @@ def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Each kind of term counts alike: log counts times idf, scaled to length 1 by kind."""
     x = np.log1p(c) * idf
-    for part in (x[:, : 1 << WORD_BITS], x[:, 1 << WORD_BITS :]):
+    for part in (x[:, : 1 << WORD_BITS], x[:, 1 << WORD_BITS : -2], x[:, -2:]):
         part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
     return x
 
