@@ -13,7 +13,7 @@ then decided on the whole texts' sets. A pair is decided only in the first bucke
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -276,7 +276,7 @@ def spread(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, observe: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
+def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """doc_id, class_id, n_links for every row: links join texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, a class is what links connect, and its id is its least doc_id.
 
     n_links counts the other rows linked, copies included. A text of 1 to 4 words is one shingle; texts without words are linked if they are equal, nulls
@@ -294,8 +294,6 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tasks = spread(df)
     in_order = lambda d: d.repartition(tasks, "leaf", "block").sortWithinPartitions("leaf", "block")
     may = scratch.write(in_order(in_blocks(held, limit).select("leaf", "block", "side", "vid", "leaves", "n", "sketch")).mapInArrow(candidates, "leaf long, block long, side int, vid long, leaves array<long>"), "candidates")
-    if observe:
-        observe("candidates", may)
     wanted = reps.join(may.select("vid").distinct(), "vid", "left_semi").select("vid", "c1", "c2", "copies", "rep")
     texts = docs.withColumn("rep", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(wanted, "rep").select("vid", "c1", "c2", "copies", "text")
     decided = in_order(may.join(texts, "vid").select("leaf", "block", "side", "vid", "leaves", "c1", "c2", "copies", "text"))
