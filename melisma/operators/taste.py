@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import search
+
+#: Similarities that a task holds at once: at most so many numbers.
+BLOCK_NUMBERS = 2_000_000
+
 DAY = 86_400
 LONG_HALF_LIFE, SHORT_HALF_LIFE, LEAST_EXPOSURE, MOST_EXPOSURES = 30 * DAY, 7 * DAY, 0.01, 2048
 #: Preferences that replace each other; a review (accept, remove) is a slot of its own.
@@ -75,3 +83,46 @@ def clusters(weights: DataFrame, vectors: DataFrame, keep: int = 512) -> DataFra
     liked = weights.filter("w > 0").withColumn("_n", F.row_number().over(Window.partitionBy("listener").orderBy(F.desc("w"), "track"))).filter(F.col("_n") <= keep).drop("_n")
     p = liked.join(vectors.select(F.col("id").alias("track"), "vector"), "track")
     return p.groupBy("listener").applyInPandas(lambda rows: medoids(rows), "listener long, medoid long, size long, share double")
+
+
+def _affinities(batches: Iterator[pa.RecordBatch], names: pa.Array, starts: np.ndarray, by_length: dict[int, tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, BLOCK_NUMBERS // n)
+    for whole in batches:
+        for a in range(0, len(whole), step):
+            batch = whole.slice(a, step)
+            ids, column = batch.column(0), batch.column(1)
+            lengths = np.asarray(column.value_lengths().fill_null(-1))
+            s = np.full((n, len(ids)), np.nan)
+            for d, (at, q) in by_length.items():
+                own = np.flatnonzero(lengths == d)
+                x = np.asarray(column.take(pa.array(own)).flatten(), np.float64).reshape(len(own), d)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s[np.ix_(at, own)] = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+            best = np.fmax.reduceat(s, starts, axis=0).ravel()  # fmax: what is unavailable doesn't count
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(names)), len(ids)))), ids.take(pa.array(np.tile(np.arange(len(ids)), len(names)))), pa.array(best, mask=np.isnan(best))], names=["listener", "id", "affinity"])
+
+
+def affinity(liked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(listener, id, affinity): the greatest cosine of each row (id, vector) to a listener's vectors of `liked` (listener, vector), for every listener and row.
+
+    Null where no pair can be compared (zero vectors, other lengths). Listeners' vectors are sent in blocks; each block is one scan of the rows.
+    """
+    spark = rows.sparkSession
+    n, d = liked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks, out = max(1, -(-n * max(d or 1, 1) // search.QUERY_NUMBERS)), None
+    for b in range(blocks):
+        got = liked.filter(F.pmod(F.xxhash64("listener"), F.lit(blocks)) == b).orderBy("listener").collect()
+        if not got:
+            continue
+        starts = np.array([i for i, r in enumerate(got) if not i or r.listener != got[i - 1].listener])
+        names = pa.array([got[i].listener for i in starts], pa.int64())
+        lengths, by_length = np.array([len(r.vector or ()) for r in got]), {}
+        for k in sorted(set(lengths.tolist()) - {0}):
+            at = np.flatnonzero(lengths == k)
+            q = np.array([got[i].vector for i in at], np.float64)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                by_length[k] = at, q / np.linalg.norm(q, axis=1, keepdims=True)
+        sent = spark.sparkContext.broadcast((names, starts, by_length, len(got)))
+        found = rows.select("id", "vector").mapInArrow(lambda x, sent=sent: _affinities(x, *sent.value), "listener long, id long, affinity double")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "listener long, id long, affinity double")

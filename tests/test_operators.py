@@ -20,6 +20,7 @@ from melisma.operators import identity as I
 from melisma.operators import learning as L
 from melisma.operators import search as S
 from melisma.operators import taste as P
+from melisma.plans import registry
 from melisma.sources import files
 
 
@@ -90,6 +91,26 @@ def test_feedback_last_write_wins(spark):
     assert got == {(1, "direct"): "dislike", (1, "review"): "accept"}
 
 
+def test_affinity_scores_every_candidate(spark, tmp_path, monkeypatch):
+    """More candidates than any cap, for the query over tables of its own and for the operator in blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 4)).round(3)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    events = [(i, u, "purchase", f'{{"k": {t}}}') for i, (u, t) in enumerate([(1, 5), (1, 9), (2, 7)])]
+    e = spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["listener_affinity"](spark, str(tmp_path))
+    assert got.count() == 2 * 800 and got.select("id").distinct().count() == 800
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:50])] + [(50, [0.0] * 4), (51, [1.0])], "id long, vector array<double>")
+    liked = spark.createDataFrame([(n, x[t].tolist()) for n, t in [(1, 5), (1, 9), (2, 7), (3, 8)]] + [(3, [2.0])], "listener long, vector array<double>")
+    want = {(n, i): max(u[t] @ u[i] for t in ts) for n, ts in {1: (5, 9), 2: (7,), 3: (8,)}.items() for i in range(50)} | {(n, i): None for n in (1, 2, 3) for i in (50, 51)} | {(3, 51): 1.0}
+    for most in (8_000_000, 8):
+        monkeypatch.setattr(S, "QUERY_NUMBERS", most)
+        got = {(r.listener, r.id): r.affinity for r in P.affinity(liked, rows).collect()}
+        assert got.keys() == want.keys() and all((got[k] is None) == (w is None) and (w is None or abs(got[k] - w) < 1e-9) for k, w in want.items())
+
+
 def test_temporal_split_keeps_ties_together(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([1, 2, 2, 3, 3])], "id long, t long")
     got = {r.id: r.split for r in E.temporal_split(df, "t").collect()}
