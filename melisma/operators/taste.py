@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from . import search
 
 #: Similarities that a task holds at once: at most so many numbers.
@@ -57,32 +59,53 @@ def centroids(weights: DataFrame, vectors: DataFrame, least: int = 2) -> DataFra
     return c.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("listener", "positive"))))
 
 
-def medoids(rows: pd.DataFrame, most: int = 4, apart: float = 0.3) -> pd.DataFrame:
-    """Clusters of one listener's tracks: the first medoid has the least weighted distance to all, each next one is the farthest from those before while that is `apart` or more; tracks join the nearest, and medoids are found once more."""
-    rows = rows.sort_values("track").reset_index(drop=True)
-    x = np.stack(rows["vector"].to_numpy()).astype(float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    w, d = rows["w"].to_numpy(float), 1 - x @ x.T
-    chosen = [int(np.argmin(np.round(d @ w, 9)))]
-    while len(chosen) < min(most, len(x)):
-        far = d[:, chosen].min(1)
-        if round(float(far.max()), 9) < apart:
-            break
-        chosen.append(int(np.argmax(np.round(far, 9))))
-    near = d[:, chosen].argmin(1)
-    out = []
-    for k in range(len(chosen)):
-        own = np.flatnonzero(near == k)
-        m = own[int(np.argmin(np.round(d[np.ix_(own, own)] @ w[own], 9)))]
-        out.append((rows["listener"][0], int(rows["track"][m]), len(own), float(w[own].sum() / w.sum())))
-    return pd.DataFrame(out, columns=["listener", "medoid", "size", "share"])
-
-
-def clusters(weights: DataFrame, vectors: DataFrame, keep: int = 512) -> DataFrame:
-    """Medoid clusters of each listener's liked tracks. A listener's group holds the `keep` tracks of greatest weight, which is the profile's own bound."""
-    liked = weights.filter("w > 0").withColumn("_n", F.row_number().over(Window.partitionBy("listener").orderBy(F.desc("w"), "track"))).filter(F.col("_n") <= keep).drop("_n")
-    p = liked.join(vectors.select(F.col("id").alias("track"), "vector"), "track")
-    return p.groupBy("listener").applyInPandas(lambda rows: medoids(rows), "listener long, medoid long, size long, share double")
+def _kept(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes a round's table to the checkpoint folder and reads it back, so that rounds don't compute those before again."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="melisma-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, part: str) -> DataFrame:
+        df.write.parquet(f"{root}/{part}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{part}")
+
+    return kept
+
+
+def _central(p: DataFrame, *by: str) -> DataFrame:
+    """Of each group of (track, w, x): its track of least weighted distance to all and that track's vector, its size and weight. Distances to all add up to the group's weight less the product with the group's weighted sum, so no pairs are made."""
+    sums = p.select(*by, "w", F.posexplode("x").alias("i", "v")).groupBy(*by, "i").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+    sums = sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("s"))  # one number a dimension
+    whole = p.groupBy(*by).agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("size")).join(sums, list(by))
+    scored = p.join(whole, list(by)).withColumn("far", F.round(F.col("weight") - V.dot(F.col("x"), F.col("s")), 9))
+    return scored.groupBy(*by).agg(F.min_by(F.struct("track", "x"), F.struct("far", "track")).alias("m"), F.first("size").alias("size"), F.first("weight").alias("weight"))
+
+
+def clusters(weights: DataFrame, vectors: DataFrame, most: int = 4, apart: float = 0.3) -> DataFrame:
+    """(listener, medoid, size, share): clusters of all of each listener's liked tracks.
+
+    The first medoid has the least weighted distance to all, each next one is the farthest from those before while that is `apart` or more; tracks join
+    the nearest, and medoids are found once more. Every step is an aggregate of (track, distance to the nearest medoid), so a listener may have any number of tracks.
+    """
+    kept = _kept(weights.sparkSession, "clusters")
+    liked = weights.filter("w > 0").join(vectors.select(F.col("id").alias("track"), V.unit(F.col("vector")).alias("x")), "track")
+    p = kept(liked.select("listener", "track", "w", "x"), "tracks")
+    first = _central(p, "listener").select("listener", F.col("weight").alias("total"), "m")
+    distance = 1 - V.dot(F.col("x"), F.col("m.x"))
+    here = F.col("m.track") == F.col("track")
+    p = kept(p.join(first, "listener").select("listener", "track", "w", "x", "total", F.lit(0).alias("cluster"), distance.alias("near"), here.alias("chosen")), "near0")
+    for k in range(1, most):
+        far = F.round("near", 9)
+        found = p.filter("not chosen").groupBy("listener").agg(F.max_by(F.struct("track", "x", far.alias("far")), F.struct(far, -F.col("track"))).alias("m")).filter(F.col("m.far") >= apart)
+        nearer = F.coalesce(distance < F.col("near"), F.lit(False))
+        step = p.join(found, "listener", "left").select(
+            "listener", "track", "w", "x", "total", F.when(nearer, k).otherwise(F.col("cluster")).alias("cluster"), F.when(nearer, distance).otherwise(F.col("near")).alias("near"), (F.col("chosen") | F.coalesce(here, F.lit(False))).alias("chosen"),
+        )
+        p = kept(step, f"near{k}")
+    totals = p.groupBy("listener").agg(F.first("total").alias("total"))
+    return _central(p, "listener", "cluster").join(totals, "listener").select("listener", F.col("m.track").alias("medoid"), "size", (F.col("weight") / F.col("total")).alias("share"))
 
 
 def _affinities(batches: Iterator[pa.RecordBatch], names: pa.Array, starts: np.ndarray, by_length: dict[int, tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[pa.RecordBatch]:

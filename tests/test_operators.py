@@ -91,6 +91,45 @@ def test_feedback_last_write_wins(spark):
     assert got == {(1, "direct"): "dislike", (1, "review"): "accept"}
 
 
+def plain_medoids(rows, most=4, apart=0.3):
+    """Clusters of one listener's tracks, with all distances in memory: the first medoid has the least weighted distance to all, each next one is the farthest from those before while that is `apart` or more; tracks join the nearest, and medoids are found once more."""
+    rows = rows.sort_values("track").reset_index(drop=True)
+    x = np.stack(rows["vector"].to_numpy()).astype(float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    w, d = rows["w"].to_numpy(float), 1 - x @ x.T
+    chosen = [int(np.argmin(np.round(d @ w, 9)))]
+    while len(chosen) < min(most, len(x)):
+        far = d[:, chosen].min(1)
+        if round(float(far.max()), 9) < apart:
+            break
+        chosen.append(int(np.argmax(np.round(far, 9))))
+    near = d[:, chosen].argmin(1)
+    out = []
+    for k in range(len(chosen)):
+        own = np.flatnonzero(near == k)
+        m = own[int(np.argmin(np.round(d[np.ix_(own, own)] @ w[own], 9)))]
+        out.append((rows["listener"][0], int(rows["track"][m]), len(own), float(w[own].sum() / w.sum())))
+    return out
+
+
+def test_clusters_take_all_liked_tracks(spark):
+    """A listener of 700 tracks, whose lightest ones are an interest of their own; one of two tracks; one of a single track; disliked tracks play no part."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 6)) * 0.1 + np.eye(6)[rng.integers(0, 2, 700)]
+    x[600:] = rng.normal(size=(100, 6)) * 0.1 + np.eye(6)[5]
+    rows = [(1, t, 2.0 - t / 1000, x[t]) for t in range(700)] + [(2, 3, 1.0, x[3]), (2, 650, 0.5, x[650]), (3, 9, 1.0, x[9])]
+    w = spark.createDataFrame([r[:3] for r in rows] + [(3, 10, -1.0)], "listener long, track long, w double")
+    v = spark.createDataFrame([(t, x[t].tolist()) for t in range(700)], "id long, vector array<double>")
+    want = []
+    for n in (1, 2, 3):
+        own = [r for r in rows if r[0] == n]
+        want += plain_medoids(pd.DataFrame(own, columns=["listener", "track", "w", "vector"]))
+    got = sorted(map(tuple, P.clusters(w, v).collect()))
+    assert [g[:3] for g in got] == sorted(r[:3] for r in want)
+    assert np.allclose([g[3] for g in got], [r[3] for r in sorted(want)])
+    assert sum(g[2] for g in got if g[0] == 1) == 700 and any(g[0] == 1 and g[1] >= 600 for g in got)
+
+
 def test_affinity_scores_every_candidate(spark, tmp_path, monkeypatch):
     """More candidates than any cap, for the query over tables of its own and for the operator in blocks."""
     rng = np.random.default_rng(3)
