@@ -2,7 +2,8 @@
 
 Records lie in an archive in a fixed order; a record's leaf is the SHA-256 of its bytes. Leaves are hashed by ranges of offsets into
 nodes, nodes by FANOUT into higher ones, up to one root a file and one for the archive. Two replicas' trees are compared from the top: only children of
-nodes that differ are read and compared, and under the lowest differing nodes the records are told apart.
+nodes that differ are read and compared, and under the lowest differing nodes the records are told apart. A second replica is hashed whole; its leaves take the
+manifest's offsets by record id, so a record that is lost or has another length moves no other.
 """
 
 from __future__ import annotations
@@ -86,17 +87,35 @@ def audit(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
     )
 
 
-def damaged(index: DataFrame, pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """What a second copy of the archive is found to hold, for the query: ids of remainder 7 by 41 have a byte changed, ids of remainder 13 by 97 are lost."""
-    bad = pages.filter(F.col(id_col) % 41 == 7).select(F.col(id_col).alias("record_id"), F.sha2(record(F.col(url_col), F.col(id_col), F.concat(F.lit("?"), F.expr(f"substring({html_col}, 2)"))), 256).alias("now"))
-    return index.filter(F.col("record_id") % 97 != 13).join(bad, "record_id", "left").withColumn("digest", F.coalesce("now", "digest")).drop("now")
+def placed(index: DataFrame, manifest: DataFrame) -> DataFrame:
+    """A second copy's index with the manifest's offsets (the first one's), matched by record id, so that a lost or resized record doesn't shift those after it.
+
+    Of several records of one id those with equal digests are matched first, the others in the order of digests. What the manifest doesn't have lies behind its end.
+    """
+    end = manifest.agg(F.coalesce(F.max(F.col("offset") + F.col("length")), F.lit(0))).first()[0]
+    both = index.select("*", F.lit(None).cast("long").alias("there")).unionByName(manifest.select("*", F.col("offset").alias("there")))
+    both = both.withColumn("own", F.col("there").isNull()).repartition("record_id")  # one shuffle for all windows
+    in_order = lambda *by: F.row_number().over(Window.partitionBy("record_id", *by).orderBy("digest", "offset"))
+    both = both.withColumn("k", in_order("digest", "own"))
+    both = both.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("record_id", "digest", "k")) == 2)
+    both = both.withColumn("k", F.when(F.col("same"), F.col("k")).otherwise(in_order("own", "same"))).withColumn("as", F.when(F.col("same"), F.col("digest")))
+    met = F.max("there").over(Window.partitionBy("record_id", "same", "as", "k"))
+    return both.withColumn("met", met).filter("own").select("record_id", F.coalesce("met", F.col("offset") + F.lit(end)).alias("offset"), "length", "digest")
+
+
+def damaged(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """The pages of a second copy of the archive, for the query: ids of remainder 7 by 41 have another first character, ids of remainder 13 by 97 are lost."""
+    body = F.coalesce(F.col(html_col), F.lit(""))
+    changed = F.when(F.col(id_col) % 41 == 7, F.concat(F.lit("?"), F.substring(body, 2, 1 << 30))).otherwise(F.col(html_col))
+    return pages.filter(~F.coalesce(F.col(id_col) % 97 == 13, F.lit(False))).withColumn(html_col, changed)
 
 
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tables(spark, sf_dir, "pages")
     scratch = Scratch(spark, "merkle")
     index = scratch.write(archive(pages, "page_id", "url", "html"), "index")
-    return audit(tree(index, scratch, "a"), tree(damaged(index, pages, "page_id", "url", "html"), scratch, "b"))
+    replica = archive(damaged(pages, "page_id", "html"), "page_id", "url", "html")
+    return audit(tree(index, scratch, "a"), tree(placed(replica, index), scratch, "b"))
 
 
 ORACLE = f"""

@@ -39,6 +39,26 @@ def test_corruption_loss_and_extra_records(spark):
     assert {(r.record_id, r.status) for r in rows} == {(7, "corrupt"), (200, "corrupt"), (11, "missing"), (999, "extra")}
 
 
+def test_a_lost_or_resized_record_shifts_no_other(spark):
+    """The second replica is page rows, hashed whole: one record lost, one longer, one more, one changed of two of an id, and lost ones of several equal."""
+    scratch = Scratch(spark, "shift")
+    rows = [(i, f"http://h/{i}", str(i) * 500) for i in range(300)] + [(400, "u", "same")] * 3 + [(401, "u", "one"), (401, "u", "two"), (None, "n", "no id"), (402, "u", None)]
+    other = [r for r in rows if r[0] not in (11, 7, 401, 400)] + [(7, "http://h/7", "much longer" * 900), (400, "u", "same"), (401, "u", "two"), (401, "u", "zwei"), (999, "x", "extra")]
+    pages, copy = (spark.createDataFrame(x, "page_id long, url string, html string") for x in (rows, other))
+    index = scratch.write(merkle.archive(pages, "page_id", "url", "html"), "index")
+    a = merkle.tree(index, scratch, "a")
+    b = merkle.tree(merkle.placed(merkle.archive(copy, "page_id", "url", "html"), index), scratch, "b")
+    got = sorted((r.record_id, r.status) for r in merkle.audit(a, b).collect())
+    assert got == [(7, "corrupt"), (11, "missing"), (400, "missing"), (400, "missing"), (401, "corrupt"), (999, "extra")]
+    same = merkle.tree(merkle.placed(merkle.archive(pages.repartition(3), "page_id", "url", "html"), index), scratch, "same")
+    assert merkle.root(a) == merkle.root(same)
+
+
+def test_the_querys_replica_is_pages(spark):
+    pages = spark.createDataFrame([(7, "u", "abc"), (48, "u", None), (13, "u", "lost"), (1, "u", "kept"), (None, "u", "kept")], "page_id long, url string, html string")
+    assert {(r.page_id, r.html) for r in merkle.damaged(pages, "page_id", "html").collect()} == {(7, "?bc"), (48, "?"), (1, "kept"), (None, "kept")}
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
