@@ -8,8 +8,10 @@ something else, and takes the blocks of the article (else of the main region, el
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -37,35 +39,39 @@ NAMES = frozenset(
 )
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# Every attribute is read, values included, so that a name is never found inside another one's value.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
-_SPLIT = re.compile(r"[^a-z0-9]+")
+# Trees may be as deep as pages are; calls between Python functions take no room on the C stack.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 24))
 
 
 class Node:
-    """An element. parts: texts and child elements in order."""
+    """An element. parts: texts and child elements in order. named: it is dropped for its class or id only."""
 
-    __slots__ = ("article", "drop", "parts", "tag")
+    __slots__ = ("article", "drop", "named", "parts", "tag")
 
-    def __init__(self, tag: str, drop: bool = False, article: str = "") -> None:
-        self.tag, self.drop, self.article, self.parts = tag, drop, article, []
+    def __init__(self, tag: str, drop: bool = False, article: str = "", named: bool = False) -> None:
+        self.tag, self.drop, self.article, self.named, self.parts = tag, drop, article, named, []
 
 
-_seen_attrs: dict[tuple[str, str], tuple[bool, str]] = {}
+_seen_attrs: dict[tuple[str, str], tuple[bool, str, bool]] = {}
 
 
-def judged(tag: str, attrs: str) -> tuple[bool, str]:
-    """Whether an element is dropped by what it says of itself, and whether it says that it holds the article."""
+def judged(tag: str, attrs: str) -> tuple[bool, str, bool]:
+    """Whether an element is dropped by what it says of itself, whether it says that it holds the article, and whether only its class or id has it dropped."""
     if (got := _seen_attrs.get((tag, attrs))) is not None:
         return got
-    a = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs.strip() else {}
-    words = set(_SPLIT.split(f"{a.get('class', '')} {a.get('id', '')}")) if tag not in ("html", "body") else set()
-    drop = tag in DROPPED or a.get("role") in ROLES or bool(words & NAMES) or a.get("aria-hidden") == "true" or "hidden" in a or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
-    drop |= tag == "div" and bool(words & {"header", "top", "topbar"})
+    a: dict[str, str] = {}
+    for k, v in _ATTR.findall(attrs):
+        a.setdefault(k.lower(), v.strip("\"'").lower())
+    words = {*a.get("class", "").split(), *a.get("id", "").split()} if tag not in ("html", "body") else set()
+    drop = tag in DROPPED or a.get("role") in ROLES or a.get("aria-hidden") == "true" or "hidden" in a or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
+    named = not drop and (bool(words & NAMES) or (tag == "div" and bool(words & {"header", "top", "topbar"})))
     article = "article" if tag == "article" or a.get("itemprop") == "articlebody" else "main" if tag == "main" or a.get("role") == "main" else ""
     if len(_seen_attrs) < 50_000:
-        _seen_attrs[tag, attrs] = drop, article
-    return drop, article
+        _seen_attrs[tag, attrs] = drop or named, article, named
+    return drop or named, article, named
 
 
 def parse(page: str) -> Node:
@@ -114,8 +120,7 @@ def parse(page: str) -> Node:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else n
             continue
-        if len(stack) < 400:
-            stack.append(node)
+        stack.append(node)
     return root
 
 
@@ -156,7 +161,8 @@ def _fill(run: Outline) -> None:
     for k in kids:
         _fill(k)
     run.kids = kids
-    run.shape = f"{run.tag}({','.join(k.shape for k in kids)})"
+    # A digest, since a deep tree's outlines written out would hold each other.
+    run.shape = hashlib.blake2b(f"{run.tag}({','.join([k.shape for k in kids])})".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def numbered(root: Outline) -> list[Outline]:
@@ -232,20 +238,41 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000], strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "node", "n"])
 
 
+def regions_of(root: Node, kind: str, named: bool = False) -> list[list[Node]]:
+    """The outermost elements of a kind outside dropped regions, or also in those that only a class or id has dropped; each as its way from the root."""
+    out, stack = [], [(root, None)]
+    while stack:
+        x, way = stack.pop()
+        if x.drop and not (named and x.named):
+            continue
+        way = (x, way)
+        if x.article == kind:
+            nodes = []
+            while way:
+                nodes.append(way[0])
+                way = way[1]
+            out.append(nodes[::-1])
+        else:
+            stack.extend((p, way) for p in reversed(x.parts) if not isinstance(p, str))
+    return out
+
+
 def article_of(root: Node) -> list[Node]:
-    """The outermost article elements outside dropped regions, else the main region, else the root."""
-    for kind in ("article", "main"):
-        out, stack = [], [root]
-        while stack:
-            x = stack.pop()
-            if x.drop:
-                continue
-            if x.article == kind:
-                out.append(x)
-            else:
-                stack.extend(p for p in reversed(x.parts) if not isinstance(p, str))
-        if out:
-            return out
+    """The outermost article elements outside dropped regions, else the main region, else the root.
+
+    A class or id has no region dropped that holds the page's only article or main region. Of several articles that are all dropped so (comments,
+    teasers or a list of posts) a main region outside goes first; without one the root is taken with them in it.
+    """
+    if found := regions_of(root, "article"):
+        return [w[-1] for w in found]
+    dropped = regions_of(root, "article", named=True)
+    if len(dropped) == 1:
+        return [dropped[0][-1]]
+    if found := regions_of(root, "main") or regions_of(root, "main", named=True):
+        return [w[-1] for w in found]
+    for way in dropped:
+        for x in way:
+            x.drop = False
     return [root]
 
 

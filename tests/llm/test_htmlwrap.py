@@ -35,6 +35,25 @@ def test_broken_markup():
     assert text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_names_and_values_that_only_look_like_menus():
+    """Parts of names, values of other attributes, and regions that hold the article drop nothing."""
+    for open_ in ("<article class='post has-sidebar'>", "<div class='no-comments'><article>", "<div id='page' class='with-menu'><article>", "<div class='widget'><article>", "<article class='hidden-gem sidebar'>", "<div id=menu><main>"):
+        assert H.text_of(f"<body>{open_}<p>The text.</p></article></main></div>") == "The text."
+    page = "<article><p>See <a href='/the-hidden-truth'>one</a> <a href=/p?id=menu>two</a> <a title='Hidden gems' data-id='nav'>three</a><a href='/x' hidden> no</a><b class='x sidebar'> no</b>.</p></article>"
+    assert H.text_of(page) == "See one two three."
+    assert H.text_of("<main><p>Text.</p></main><div class='comments'><article><p>A</p></article><article><p>B</p></article></div>") == "Text."
+    assert H.text_of("<article><p>Text.</p></article><div class='related'><article><p>Teaser</p></article></div>") == "Text."
+
+
+def test_deep_pages():
+    """Far below 400 open elements menus still go and paragraphs stay apart."""
+    for depth in (500, 5000):
+        page = "<article>" + "<div>" * depth + "<nav>menu</nav><p>One.</p><p>Two.</p>" + "</div>" * depth + "<p>Three.</p></article>"
+        assert H.text_of(page) == "One.\nTwo.\nThree."
+        tree = H.outline(H.parse(page))
+        assert H.match(tree, tree)[0] > depth
+
+
 def test_tree_matching():
     a, b = H.outline(H.parse("<div><h1>x</h1><p>1</p><p>2</p></div>")), H.outline(H.parse("<div><h1>x</h1><ul><li>a</ul><p>3</p></div>"))
     x, y = H.numbered(a), H.numbered(b)
