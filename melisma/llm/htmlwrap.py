@@ -1,29 +1,34 @@
 """Main text of web pages by wrapper induction.
 
-Every page of a host is aligned with the host's first page by simple tree matching over outlines of their DOM trees, in which runs of
-like siblings are one repeated node. A node of that page which nearly all of the host's pages match, with the same text, is template; nodes whose text varies
-are content slots. Extraction aligns each page again, drops template nodes and the regions that tags, roles and class names mark as
-something else, and takes the blocks of the article (else of the main region, else of the body, without link lists).
+The DOM tree of every page of a host is aligned with that of the host's first page by simple tree matching. What the aligned nodes hold
+over all of the host's pages makes its wrapper: an element whose text is the same on nearly all of them is template; a slot that is mostly
+links is a menu; and the content is what is left of the place where the varying prose is: from the root down, the element that holds
+most of it, with the headings and paragraphs beside the way. An element that says itself that it is the article (or else the main
+region) is taken at its word, and of its text the wrapper only removes whole constant boxes. Regions that tags, roles or the
+class names of adverts, menus and reader comments mark as something else are no part of the trees.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as html_lib
+import json
 import re
 import sys
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import kernels as K
 from .store import Scratch, tables
 
-#: A node is template if at least this part of the host's pages have it with one text, and the host has at least so many pages.
-CONSTANT, LEAST_PAGES = 0.9, 5
+#: A text is template if at least CONSTANT of the pages that have its element have it too, and these are at least COMMON of the host's; an element is gone into if it holds MOST of the varying prose.
+CONSTANT, COMMON, MOST = 0.9, 0.1, 0.6
 
 # HTML's elements without an end tag, raw-text elements, and elements that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,11 +37,19 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 BLOCK = CLOSES_P | frozenset("html body li dt dd tr td th thead tbody tfoot caption option summary".split())
 DROPPED = frozenset("head nav aside footer form button select input textarea label fieldset option datalist script style noscript template iframe svg math canvas object embed audio video map dialog menu title xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip".split())
+# Whole class names (and ids) of what is no part of an article wherever it stands. Names that articles use for their own parts (social, top, header, hidden) are left to the wrapper.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer foot masthead "
-    "comment comments commentlist discussion disqus reply replies respond responses cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup popup modal overlay "
-    "social share sharing sharebar related recommended recommendations widget widgets toolbar pagination pager skip login signin paywall hidden".split()
+    "ad ads advert adverts advertisement advertising adsense ad-banner ad-container ad-slot sponsor sponsored promo promoted nav navbar navigation menu menus main-menu main-nav site-nav breadcrumb breadcrumbs sidebar side-bar footer site-footer masthead "
+    "comment comments comment-list commentlist comments-area disqus replies respond cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice notices newsletter popup modal share sharing sharebar share-buttons "
+    "related related-posts pagination pager widget widgets toolbar".split()
 )
+IDS = frozenset("comments respond disqus_thread sidebar navigation navbar footer cookie-banner cookie-notice newsletter".split())
+# Elements that may hold the content as a whole, those that stand in its flow, and those of which a run of siblings is one node of the tree.
+SHELLS = frozenset("html body div section main article center table tbody tr td form".split())
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+RUNS = frozenset("p li dt dd tr a b i em strong span small sub sup code u s font abbr cite q time".split())
+LISTS = SHELLS | frozenset("ul ol dl menu p header".split())
+BOXES = frozenset("div section ul ol dl table center figure blockquote header".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 # Every attribute is read, values included, so that a name is never found inside another one's value.
@@ -65,9 +78,8 @@ def judged(tag: str, attrs: str) -> tuple[bool, str, bool]:
     a: dict[str, str] = {}
     for k, v in _ATTR.findall(attrs):
         a.setdefault(k.lower(), v.strip("\"'").lower())
-    words = {*a.get("class", "").split(), *a.get("id", "").split()} if tag not in ("html", "body") else set()
     drop = tag in DROPPED or a.get("role") in ROLES or a.get("aria-hidden") == "true" or "hidden" in a or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
-    named = not drop and (bool(words & NAMES) or (tag == "div" and bool(words & {"header", "top", "topbar"})))
+    named = not drop and tag not in ("html", "body") and (not NAMES.isdisjoint(a.get("class", "").split()) or (tag not in FLOW and a.get("id", "").strip() in IDS))
     article = "article" if tag == "article" or a.get("itemprop") == "articlebody" else "main" if tag == "main" or a.get("role") == "main" else ""
     if len(_seen_attrs) < 50_000:
         _seen_attrs[tag, attrs] = drop or named, article, named
@@ -129,113 +141,276 @@ def squash(text: str) -> str:
 
 
 class Outline:
-    """A run of like siblings: tag, kind, children's outlines, and the fixity (crc32) of the runs' own text."""
+    """A node of a page's tree: an element, or a run of siblings of one tag of RUNS. deep: the fixity (crc32) of each one's whole text, 0 for none; own: characters directly in it."""
 
-    __slots__ = ("kids", "nodes", "number", "shape", "tag", "text")
+    __slots__ = ("deep", "kids", "nodes", "number", "own", "shape", "size", "tag")
 
     def __init__(self, tag: str) -> None:
-        self.tag, self.kids, self.nodes, self.text, self.number, self.shape = tag, [], [], 0, -1, ""
+        self.tag, self.kids, self.nodes, self.deep, self.own, self.number, self.shape, self.size = tag, [], [], [], 0, -1, b"", 1
 
 
-def outline(node: Node, tag: str = "#root") -> Outline:
-    out = Outline(tag)
-    out.nodes = [node]
-    _fill(out)
+def outline(root: Node) -> list[Outline]:
+    """The tree of a page without dropped elements, in pre-order; each node's number is its place."""
+    top = Outline(root.tag)
+    top.nodes = [root]
+    _fill(top)
+    out, stack = [], [top]
+    while stack:
+        x = stack.pop()
+        x.number = len(out)
+        out.append(x)
+        stack.extend(reversed(x.kids))
     return out
 
 
 def _fill(run: Outline) -> None:
     kids: list[Outline] = []
-    text = 0
+    parts: list[list] = []
     for node in run.nodes:
+        inside: list = []
         for p in node.parts:
             if isinstance(p, str):
-                if p.strip():
-                    text = zlib.crc32(squash(p).encode("utf-8", "surrogatepass"), text)
-            elif p.tag not in ("br", "wbr"):
-                key = f"{p.tag}{'-' if p.drop else ''}"
-                if not kids or kids[-1].tag != key:
-                    kids.append(Outline(key))
+                if text := squash(p):
+                    run.own += len(text)
+                    inside.append(text)
+            elif not p.drop and p.tag not in VOID:
+                if not kids or kids[-1].tag != p.tag or p.tag not in RUNS:
+                    kids.append(Outline(p.tag))
                 kids[-1].nodes.append(p)
-    run.text = text
+                inside.append((kids[-1], len(kids[-1].nodes) - 1))
+        parts.append(inside)
     for k in kids:
         _fill(k)
+        run.size += k.size
+    for inside in parts:
+        text = 0
+        for p in inside:
+            raw = p.encode("utf-8", "surrogatepass") if isinstance(p, str) else p[0].deep[p[1]].to_bytes(4, "little") if p[0].deep[p[1]] else b""
+            text = zlib.crc32(raw, text) if raw else text
+        run.deep.append(text)
     run.kids = kids
-    # A digest, since a deep tree's outlines written out would hold each other.
-    run.shape = hashlib.blake2b(f"{run.tag}({','.join([k.shape for k in kids])})".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    # A digest, since a deep tree's shapes written out would hold each other.
+    run.shape = hashlib.blake2b(run.tag.encode("utf-8", "surrogatepass") + b"(" + b"".join([k.shape for k in kids]) + b")", digest_size=16).digest()
 
 
-def numbered(root: Outline) -> list[Outline]:
-    """All runs in pre-order; each one's number is its place."""
-    out, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        x.number = len(out)
-        out.append(x)
-        stack.extend(reversed(x.kids))
-    return out
+def written(tree: list[Outline]) -> str:
+    """A tree without its text, as JSON of flat lists."""
+    return json.dumps([[x.tag for x in tree], [len(x.kids) for x in tree], [x.deep for x in tree]])
 
 
-def match(a: Outline, b: Outline) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the most nodes that two trees share in order, roots alike, and their numbers in pairs."""
-    if a.tag != b.tag:
-        return 0, []
-    m, n = len(a.kids), len(b.kids)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    w = [[match(x, y) for y in b.kids] for x in a.kids]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w[i - 1][j - 1][0])
-    pairs, i, j = [], m, n
-    while i and j:
-        if w[i - 1][j - 1][0] and best[i][j] == best[i - 1][j - 1] + w[i - 1][j - 1][0]:
-            pairs += w[i - 1][j - 1][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[m][n] + 1, [(a.number, b.number), *pairs]
+def built(tags: list[str], kids: list[int], deep: list[list[int]]) -> list[Outline]:
+    tree = []
+    for i, (tag, d) in enumerate(zip(tags, deep, strict=True)):
+        x = Outline(tag)
+        x.number, x.deep = i, d
+        tree.append(x)
+    for x, n in zip(reversed(tree), reversed(kids), strict=True):
+        at = x.number + 1
+        for _ in range(n):
+            x.kids.append(tree[at])
+            at += tree[at].size
+        x.size = at - x.number
+        x.shape = hashlib.blake2b(x.tag.encode("utf-8", "surrogatepass") + b"(" + b"".join([k.shape for k in x.kids]) + b")", digest_size=16).digest()
+    return tree
+
+
+class Matching:
+    """Simple tree matching: the most nodes that two trees share in order, roots alike. Pairs of shapes that were met before need no new work; the table of two lists of children is filled a row at a time, so long lists cost numpy steps."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[bytes, bytes], int] = {}
+
+    def weight(self, a: Outline, b: Outline) -> int:
+        if a.shape == b.shape:
+            return a.size
+        if a.tag != b.tag:
+            return 0
+        if not a.kids or not b.kids:
+            return 1
+        key = (a.shape, b.shape)
+        if (got := self.known.get(key)) is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[key] = 1 + self.of_lists(a.kids, b.kids)[0]
+        return got
+
+    def of_lists(self, x: list[Outline], y: list[Outline], way: bool = False) -> tuple[int, list[tuple[Outline, Outline]]]:
+        """The most nodes that two lists of trees share, and, if asked for, which trees go together. Trees of one shape at both beginnings, or at both ends, go together in some best matching."""
+        total, pairs = 0, []
+        a, b, m, n = 0, 0, len(x), len(y)
+        while a < m and b < n and x[a].shape == y[b].shape:
+            total += x[a].size
+            pairs.append((x[a], y[b]))
+            a, b = a + 1, b + 1
+        while m > a and n > b and x[m - 1].shape == y[n - 1].shape:
+            m, n = m - 1, n - 1
+            total += x[m].size
+            pairs.append((x[m], y[n]))
+        x, y = x[a:m], y[b:n]
+        if not x or not y:
+            return total, pairs
+        shapes: dict[bytes, int] = {}
+        kind = np.array([shapes.setdefault(t.shape, len(shapes)) for t in y])
+        some = [y[i] for i in np.unique(kind, return_index=True)[1].tolist()]
+        rows: dict[bytes, np.ndarray] = {}
+        best, up, left = np.zeros(len(y) + 1, np.int64), [], []
+        for t in x:
+            if t.shape not in rows:
+                rows[t.shape] = np.array([self.weight(t, u) for u in some], np.int64)[kind]
+            now = best.copy()
+            np.maximum(now[1:], best[:-1] + rows[t.shape], out=now[1:])
+            now = np.maximum.accumulate(now)
+            if way:
+                up.append(np.packbits(now == best))
+                left.append(np.packbits(now[1:] == now[:-1]))
+            best = now
+        i, j = len(x), len(y)
+        while way and i and j:
+            if up[i - 1][j >> 3] >> (7 - (j & 7)) & 1:
+                i -= 1
+            elif left[i - 1][(j - 1) >> 3] >> (7 - ((j - 1) & 7)) & 1:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((x[i], y[j]))
+        return total + int(best[-1]), pairs
+
+    def pairs(self, a: Outline, b: Outline) -> list[tuple[int, int]]:
+        """Numbers of nodes that go together."""
+        out, stack = [], [(a, b)] if a.tag == b.tag else []
+        while stack:
+            a, b = stack.pop()
+            if a.shape == b.shape:
+                out += zip(range(a.number, a.number + a.size), range(b.number, b.number + b.size), strict=True)
+            else:
+                out.append((a.number, b.number))
+                stack += self.of_lists(a.kids, b.kids, way=True)[1]
+        return out
 
 
 class Aligner:
-    """Alignments with a host's first page; pages of a shape seen before need no new matching."""
+    """Alignments with hosts' first pages; pages of a shape seen before need no new matching."""
 
     def __init__(self) -> None:
         self.trees: dict[str, list[Outline]] = {}
-        self.pairs: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
+        self.known: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+        self.matching = Matching()
 
-    def seed(self, host: str, page: str) -> list[Outline]:
-        if host not in self.trees:
+    def seed(self, text: str) -> list[Outline]:
+        if text not in self.trees:
             if len(self.trees) > 1000:
                 self.trees.clear()
-            self.trees[host] = numbered(outline(parse(page)))
-        return self.trees[host]
+            self.trees[text] = built(*json.loads(text))
+        return self.trees[text]
 
     def align(self, seed: list[Outline], page: list[Outline]) -> list[tuple[int, int]]:
-        key = (seed[0].shape, page[0].shape, "")
-        if (got := self.pairs.get(key)) is None:
-            got = match(seed[0], page[0])[1]
-            if len(self.pairs) < 20_000:
-                self.pairs[key] = got
+        key = (seed[0].shape, page[0].shape)
+        if (got := self.known.get(key)) is None:
+            got = self.matching.pairs(seed[0], page[0])
+            if len(self.known) < 5000:
+                self.known[key] = got
         return got
 
 
+@K.tidy
+def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (host, html): the page's tree without its text."""
+    for batch in batches:
+        trees = []
+        for page in batch.column(1):
+            root = parse(page.as_py() or "")
+            article_of(root)
+            trees.append(written(outline(root)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], names=["_host", "_seed"])
+
+
+STAT = "node int, part int, n long, chars long, links long"
+
+
 @K.tidy
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (host, html, seed): for each node of the seed that has text, how many pages match it and how many with the same text."""
-    aligner, n, counts = Aligner(), {}, {}
+    """Of (host, html, seed): for each node of the seed how many pages have it, with how many characters and links (part -1), and for each of its texts how many of these have that one too. Node -1 counts the pages. A copy of the seed says nothing of what is constant."""
+    aligner, totals = Aligner(), {}
     for batch in batches:
-        for host, page, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            seed = aligner.seed(host, first or "")
-            tree = numbered(outline(parse(page or "")))
-            n[host] = n.get(host, 0) + 1
+        for host, page, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            seed = aligner.seed(first)
+            root = parse(page.as_py() or "")
+            article_of(root)
+            tree = outline(root)
+            if tree[0].deep == seed[0].deep:
+                continue
+            found = totals.setdefault(host, {})
+            found[-1, -1] = (found.get((-1, -1), (0, 0, 0))[0] + 1, 0, 0)
             for i, j in aligner.align(seed, tree):
-                if seed[i].text and seed[i].text == tree[j].text:
-                    counts[host, i] = counts.get((host, i), 0) + 1
-    rows = [(h, -1, c) for h, c in n.items()] + [(h, i, c) for (h, i), c in counts.items()]
+                x, y = seed[i], tree[j]
+                n, chars, links = found.get((i, -1), (0, 0, 0))
+                found[i, -1] = (n + 1, chars + y.own, links + (len(y.deep) if y.tag == "a" else 0))
+                there = set(y.deep)
+                for k, d in enumerate(x.deep):
+                    if d and d in there:
+                        found[i, k] = (found.get((i, k), (0, 0, 0))[0] + 1, 0, 0)
+    rows = [(h, *k, *v) for h, found in totals.items() for k, v in found.items()]
     for a in range(0, len(rows), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000], strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "node", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000], strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "node", "part", "n", "chars", "links"])
+
+
+class Wrapper:
+    """What is learnt of a host (or, without stats, of a page by itself): the texts of each node that are template, the nodes that are menus, and those that hold the content."""
+
+    def __init__(self, tree: list[Outline], stats: list[tuple[int, int, int, int, int]] | None = None) -> None:
+        here = {(i, k): (n, c, a) for i, k, n, c, a in stats} if stats else {(x.number, -1): (1, x.own, len(x.deep) if x.tag == "a" else 0) for x in tree}
+        pages = here.get((-1, -1), (1, 0, 0))[0]
+        self.tree, self.template, self.menus = tree, {}, set()
+        for (i, k), (n, _, _) in here.items():
+            if i >= 0 <= k and n >= CONSTANT * here[i, -1][0] and here[i, -1][0] >= COMMON * pages:
+                self.template.setdefault(i, set()).add(tree[i].deep[k])
+        size = len(tree)
+        chars, linked, links, prose = [0.0] * size, [0.0] * size, [0.0] * size, [0.0] * size
+        for x in reversed(tree):
+            i = x.number
+            n, own, a = here.get((i, -1), (0, 0, 0))
+            texts = {d for d in x.deep if d}
+            constant = len(texts & self.template.get(i, set())) / max(len(texts), 1)
+            chars[i] = own + sum(chars[k.number] for k in x.kids)
+            linked[i] = chars[i] if x.tag == "a" else sum(linked[k.number] for k in x.kids)
+            links[i] = a + sum(links[k.number] for k in x.kids)
+            prose[i] = 0.0 if x.tag == "a" or (texts and constant == 1) else own * (1 - constant) + sum(prose[k.number] for k in x.kids)
+            if x.tag in LISTS and 2 * linked[i] > chars[i] and links[i] >= 2 * max(n, 1):
+                self.menus.add(i)
+                prose[i] = 0.0
+        self.varied = {i for i, p in enumerate(prose) if p}
+        x, self.content = tree[0], []
+        while x.kids and prose[x.number]:
+            k = max(x.kids, key=lambda k: prose[k.number])
+            if k.tag not in SHELLS or prose[k.number] < MOST * prose[x.number]:
+                break
+            self.content += [s.number for s in x.kids if s is not k and s.tag in FLOW and prose[s.number]]
+            x = k
+        self.content = sorted([*self.content, x.number])
+        self.core = x.number
+        self.boxes = {i: d for i, d in self.template.items() if tree[i].tag in BOXES}
+
+    def written(self) -> str:
+        """As JSON, with no more of the seed than its shape."""
+        tree = [[x.tag for x in self.tree], [len(x.kids) for x in self.tree], [[]] * len(self.tree)]
+        return json.dumps([tree, [[i, sorted(d)] for i, d in sorted(self.template.items())], sorted(self.menus), sorted(self.varied), self.content, self.core])
+
+    @classmethod
+    def read(cls, text: str) -> Wrapper:
+        out = cls.__new__(cls)
+        tree, template, menus, varied, out.content, out.core = json.loads(text)
+        out.tree, out.menus, out.varied = built(*tree), set(menus), set(varied)
+        out.template = {i: set(d) for i, d in template}
+        out.boxes = {i: d for i, d in out.template.items() if out.tree[i].tag in BOXES}
+        return out
+
+
+@K.tidy
+def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (host, seed, stats): the host's wrapper."""
+    for batch in batches:
+        made = [Wrapper(built(*json.loads(seed)), [tuple(r.values()) for r in stats.as_py()]).written() for seed, stats in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "_wrapper"])
 
 
 def regions_of(root: Node, kind: str, named: bool = False) -> list[list[Node]]:
@@ -276,41 +451,46 @@ def article_of(root: Node) -> list[Node]:
     return [root]
 
 
-def text_of(page: str, template: set[int] | None = None, aligner: Aligner | None = None, seed: list[Outline] | None = None) -> str:
+def text_of(page: str, wrapper: Wrapper | None = None, aligner: Aligner | None = None) -> str:
     root = parse(page)
-    constant: set[int] = set()
-    if template and aligner is not None and seed is not None:
-        tree = numbered(outline(root))
-        for i, j in aligner.align(seed, tree):
-            if i in template and seed[i].text == tree[j].text:
-                constant.update(map(id, tree[j].nodes))
     regions = article_of(root)
-    plain = regions == [root]
+    marked, found = regions != [root], False
+    silent: set[int] = set()
+    if wrapper is not None and aligner is not None and (wrapper.boxes or not marked):
+        tree = outline(root)
+        there = dict(aligner.align(wrapper.tree, tree))
+        # A marked article keeps its flow; only whole boxes that are constant go, and none if the host's articles do not vary.
+        whole = {id(r) for r in regions}
+        if not marked or any(i in wrapper.varied and any(id(x) in whole for x in tree[j].nodes) for i, j in there.items()):
+            for i, texts in (wrapper.boxes if marked else wrapper.template).items():
+                if i and i in there:
+                    y = tree[there[i]]
+                    silent.update(id(x) for x, d in zip(y.nodes, y.deep, strict=True) if d in texts)
+        if not marked:
+            silent.update(id(x) for i in wrapper.menus if i in there for x in tree[there[i]].nodes)
+            if found := wrapper.core in there:
+                regions = [x for i in wrapper.content if i in there for x in tree[there[i]].nodes]
+    if not marked and not found:
+        alone = Wrapper(outline(root))
+        silent.update(id(x) for i in alone.menus for x in alone.tree[i].nodes)
+        regions = [x for i in alone.content for x in alone.tree[i].nodes]
     blocks: list[str] = []
     own: list[str] = []
-    linked = [0]
 
     def flush() -> None:
-        text = squash("".join(own))
-        own.clear()
-        if text and not (plain and 2 * linked[0] > len(text)):  # without an article, blocks that are mostly links are menus
+        if text := squash("".join(own)):
             blocks.append(text)
-        linked[0] = 0
+        own.clear()
 
     def walk(node: Node, in_article: bool) -> None:
-        # A template node loses its own text; its children are judged by themselves.
-        silent = id(node) in constant
         for p in node.parts:
             if isinstance(p, str):
-                if not silent:
-                    own.append(p)
-                    if node.tag == "a":
-                        linked[0] += len(p)
+                own.append(p)
             elif p.tag in ("br", "hr", "wbr"):
                 own.append(" " if p.tag != "wbr" else "")
                 if p.tag == "hr":
                     flush()
-            elif p.drop or (p.tag == "header" and not in_article):
+            elif p.drop or id(p) in silent or (p.tag == "header" and not in_article):
                 if p.tag in BLOCK:
                     flush()
             elif p.tag in BLOCK:
@@ -321,46 +501,48 @@ def text_of(page: str, template: set[int] | None = None, aligner: Aligner | None
                 walk(p, in_article)
 
     for r in regions:
-        walk(r, r.article == "article")
-        flush()
+        if id(r) not in silent:
+            walk(r, r.article == "article")
+            flush()
     return "\n".join(blocks)
 
 
 @K.tidy
-def extract(batches: Iterator[pa.RecordBatch], page_at: int, schema: list[str]) -> Iterator[pa.RecordBatch]:
-    aligner = Aligner()
-    host_at, seed_at, nodes_at = schema.index("_host"), schema.index("_seed"), schema.index("_template")
-    kept = [i for i, c in enumerate(schema) if i not in (page_at, host_at, seed_at, nodes_at)]
+def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (row, html, wrapper): the row, its text and its code points."""
+    aligner, wrappers = Aligner(), {}
     for batch in batches:
         texts = []
-        for host, page, first, nodes in zip(batch.column(host_at).to_pylist(), batch.column(page_at), batch.column(seed_at).to_pylist(), batch.column(nodes_at).to_pylist(), strict=True):
-            template = set(nodes or ())
-            texts.append(text_of(page.as_py() or "", template, aligner, aligner.seed(host, first or "") if template else None))
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(schema[i] for i in kept), "text", "n_chars"])
+        for page, written_ in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            if written_ is not None and written_ not in wrappers:
+                if len(wrappers) > 1000:
+                    wrappers.clear()
+                wrappers[written_] = Wrapper.read(written_)
+            texts.append(text_of(page.as_py() or "", wrappers.get(written_), aligner))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 
 
 def main_text(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """id, url, text and n_chars (code points) of every row.
 
-    A null or empty page has an empty text; a null url is a host of its own. A host with fewer than LEAST_PAGES pages has no template. Repeated
-    pages count as pages. Empty tables give no rows. Extra columns play no part.
+    A null or empty page has an empty text; a null url is a host of its own. A page whose host has no other page, or only copies of it, has nothing to be
+    aligned with and is judged by its own tree. Repeated pages count as pages. Empty tables give no rows. Other columns play no part, whatever their names. A host's
+    wrapper is as large as its first page's tree; it goes to pages by a join on the host, which Spark broadcasts while it is small and splits where a host is hot.
     """
     scratch = Scratch(df.sparkSession, "wrapper")
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit(""))
-    pages = df.select(F.col(id_col), F.col(url_col), host.alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    first = F.struct(F.xxhash64(F.col(id_col)).alias("h"), F.crc32(F.col("_html").cast("binary")).alias("c"))
+    pages = df.select(F.struct(F.col(id_col), F.col(url_col)).alias("row"), host.alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
+    first = F.struct((F.length("_html") == 0).alias("e"), F.xxhash64(f"row.`{id_col}`").alias("h"), F.crc32(F.col("_html").cast("binary")).alias("c"))
     # One page a host, however many pages it has: min_by is combined before the shuffle.
-    seeds = scratch.write(pages.groupBy("_host").agg(F.min_by("_html", first).alias("_seed")), "seeds")
-    counts = pages.select("_host", "_html").join(seeds, "_host").select("_host", "_html", "_seed").mapInArrow(tally, "host string, node int, n long").groupBy("host", "node").agg(F.sum("n").alias("n"))
-    counts = scratch.write(counts, "counts")
-    sizes = counts.filter("node = -1").select("host", F.col("n").alias("pages"))
-    template = counts.filter("node >= 0").join(sizes, "host").filter((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= CONSTANT * F.col("pages"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("_template"))
-    # A host without template needs no seed page.
-    wrappers = scratch.write(seeds.join(template, seeds["_host"] == template["host"]).drop("host"), "wrappers")
-    joined = pages.join(wrappers, "_host", "left")
-    names = joined.columns
-    kinds = dict(pages.dtypes)
-    return joined.mapInArrow(lambda x: extract(x, names.index("_html"), names), f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long")
+    seeds = scratch.write(pages.groupBy("_host").agg(F.min_by("_html", first).alias("_seed")).mapInArrow(outlines, "_host string, _seed string"), "seeds")
+    found = pages.select("_host", "_html").join(seeds, "_host").select("_host", "_html", "_seed").mapInArrow(tally, f"host string, {STAT}")
+    found = found.groupBy("host", "node", "part").agg(*(F.sum(c).alias(c) for c in ("n", "chars", "links")))
+    stats = found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "part", "n", "chars", "links"))).alias("_stats"))
+    learnt = seeds.join(stats, seeds["_host"] == stats["host"]).select("_host", "_seed", "_stats").mapInArrow(learn, "host string, _wrapper string")
+    wrappers = scratch.write(learnt, "wrappers")
+    joined = pages.join(wrappers, pages["_host"] == wrappers["host"], "left").select("row", "_html", "_wrapper")
+    done = joined.mapInArrow(extract, StructType([pages.schema["row"], StructField("text", StringType()), StructField("n_chars", LongType())]))
+    return done.select(f"row.`{id_col}`", f"row.`{url_col}`", "text", "n_chars")
 
 
 def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:

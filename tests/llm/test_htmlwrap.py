@@ -1,6 +1,11 @@
 import html
+import json
 import re
+import time
 
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from melisma.llm import htmlwrap as H
@@ -51,14 +56,87 @@ def test_deep_pages():
         page = "<article>" + "<div>" * depth + "<nav>menu</nav><p>One.</p><p>Two.</p>" + "</div>" * depth + "<p>Three.</p></article>"
         assert H.text_of(page) == "One.\nTwo.\nThree."
         tree = H.outline(H.parse(page))
-        assert H.match(tree, tree)[0] > depth
+        other = H.outline(H.parse(page.replace("<nav>", "<h2>x</h2><nav>")))
+        assert len(H.Matching().pairs(tree[0], other[0])) > depth
+
+
+def plain_matching(a, b):
+    """Simple tree matching by its definition."""
+    if a.tag != b.tag:
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids, 1):
+        for j, y in enumerate(b.kids, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_matching(x, y))
+    return best[-1][-1] + 1
 
 
 def test_tree_matching():
     a, b = H.outline(H.parse("<div><h1>x</h1><p>1</p><p>2</p></div>")), H.outline(H.parse("<div><h1>x</h1><ul><li>a</ul><p>3</p></div>"))
-    x, y = H.numbered(a), H.numbered(b)
-    n, pairs = H.match(a, b)
-    assert n == 4 and {(x[i].tag, y[j].tag) for i, j in pairs} == {("#root", "#root"), ("div", "div"), ("h1", "h1"), ("p", "p")}
+    pairs = H.Matching().pairs(a[0], b[0])
+    assert {(a[i].tag, b[j].tag) for i, j in pairs} == {("#root", "#root"), ("div", "div"), ("h1", "h1"), ("p", "p")} and len(pairs) == 4
+
+
+MARKUP = st.recursive(st.sampled_from(["x", "y "]), lambda inner: st.builds(lambda t, k: f"<{t}>{''.join(k)}</{t}>", st.sampled_from(["div", "section", "p", "h2", "b"]), st.lists(inner, max_size=4)), max_leaves=25)
+
+
+@settings(max_examples=150, deadline=None)
+@given(MARKUP, MARKUP)
+def test_matching_equals_its_definition(x, y):
+    a, b = H.outline(H.parse(x)), H.outline(H.parse(y))
+    m = H.Matching()
+    pairs = m.pairs(a[0], b[0])
+    assert len(pairs) == m.weight(a[0], b[0]) == plain_matching(a[0], b[0])
+    assert all(a[i].tag == b[j].tag for i, j in pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+    again = H.built(*json.loads(H.written(a)))
+    assert [(t.tag, t.size, t.shape, t.deep) for t in again] == [(t.tag, t.size, t.shape, t.deep) for t in a]
+
+
+def test_long_lists_of_siblings():
+    page = lambda k, n: H.outline(H.parse("".join(f"<div>{'<b>x</b>' * (i % k % 3)}</div><h2>t</h2>" for i in range(n))))
+    began = time.perf_counter()
+    a, b = page(5, 3000), page(7, 3000)
+    assert len(H.Matching().pairs(a[0], b[0])) > 6000
+    assert time.perf_counter() - began < 20
+
+
+UNMARKED = """<html><body><div><a href=/>Home</a><a href=/n>News {0}</a><a href=/t>Topic {1}</a></div><div>Welcome to our site</div><div>Buy {0} now at {1}</div><div><h1>Story {0}</h1><p>It is told here that {1} met {0} by the sea.</p>
+<div>Rate this story</div><p>Nobody knew {0} before that day, or {1} after it.</p><p><a href=/x>See the whole story of {0}</a></p></div><div>Read by {1} people</div></body></html>"""
+
+
+def learnt(pages):
+    trees = [H.outline(H.parse(p)) for p in pages]
+    seed = H.built(*json.loads(H.written(trees[0])))
+    batch = pa.RecordBatch.from_arrays([pa.array(["h"] * len(pages)), pa.array(pages), pa.array([H.written(trees[0])] * len(pages))], names=["host", "html", "seed"])
+    rows = [tuple(r.values())[1:] for b in H.tally(iter([batch])) for r in b.to_pylist()]
+    return H.Wrapper.read(H.Wrapper(seed, rows).written())
+
+
+def test_the_wrapper_decides_where_nothing_is_marked():
+    pages = [UNMARKED.format(chr(97 + k) * (k + 3), k * 7) for k in range(6)]
+    w, aligner = learnt(pages), H.Aligner()
+    for k, page in enumerate(pages):
+        a, b = chr(97 + k) * (k + 3), k * 7
+        want = f"Story {a}\nIt is told here that {b} met {a} by the sea.\nNobody knew {a} before that day, or {b} after it.\nSee the whole story of {a}"
+        assert H.text_of(page, w, aligner) == want
+        assert H.text_of(page) != want
+    assert H.text_of("<p>Another layout", w, aligner) == "Another layout"
+    assert H.text_of("", w, aligner) == ""
+
+
+def test_a_marked_article_keeps_constant_prose_but_not_boxes():
+    page = "<body><article><h2>Introduction</h2><p>Story {0}</p><div><p>Join us</p></div><p>The end.</p></article></body>"
+    pages = [page.format(k) for k in range(4)]
+    w = learnt(pages)
+    assert H.text_of(pages[2], w, H.Aligner()) == "Introduction\nStory 2\nThe end."
+    same = ["<body><p>{0}</p><article><div><p>Same text</p></div></article></body>".format(k) for k in range(4)]
+    assert H.text_of(same[1], learnt(same), H.Aligner()) == "Same text"
+
+
+def test_article_text_that_names_do_not_take():
+    keep = "<article><p title='a hidden gem'>Keep me</p><p data-id=related>and me</p><section id=social>me too</section><div class=top>top</div></article>"
+    assert H.text_of(keep) == "Keep me\nand me\nme too\ntop"
+    assert H.text_of("<body><p><a href=x>One long link</a> end</p></body>") == "One long link end"
 
 
 def test_constant_nodes_become_template(spark):
