@@ -1,7 +1,7 @@
 """Merkle fixity audit of WARC archives.
 
 Records lie in an archive in a fixed order; a record's leaf is the SHA-256 of its bytes. Leaves are hashed by ranges of offsets into
-nodes, nodes by FANOUT into higher ones, up to one root a file and one for the archive. Two replicas' trees are compared from the top: only children of
+nodes, nodes by FANOUT into higher ones (files are one of the levels), up to one root of the archive; trees are as high as their archives need. Two replicas' trees are compared from the top: only children of
 nodes that differ are read and compared, and under the lowest differing nodes the records are told apart. A second replica is hashed whole; its leaves take the
 manifest's offsets by record id, so a record that is lost or has another length moves no other.
 """
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .store import Scratch, tables
 
-RANGE_BYTES, FANOUT, LEVELS, SEGMENT_ROWS = 1 << 16, 16, 4, 20_000
-#: A file holds the records that start in a span of so many bytes: RANGE_BYTES * FANOUT ** (LEVELS - 1).
-FILE_BYTES = RANGE_BYTES * FANOUT ** (LEVELS - 1)
+RANGE_BYTES, FANOUT, FILE_LEVEL, SEGMENT_ROWS = 1 << 16, 16, 4, 20_000
+#: A file holds the records that start in a span of so many bytes.
+FILE_BYTES = RANGE_BYTES * FANOUT ** (FILE_LEVEL - 1)
 
 
 def record(url: Column, record_id: Column, body: Column) -> Column:
@@ -51,36 +51,41 @@ def nodes(below: DataFrame, key: Column, *names: str) -> DataFrame:
     return below.groupBy(key.alias("number_up")).agg(F.sha2(F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["number"].cast("string"), c["digest"])), ",").cast("binary"), 256).alias("digest")).withColumnRenamed("number_up", "number")
 
 
-def tree(index: DataFrame, scratch: Scratch, name: str) -> list[DataFrame]:
-    """Levels of (number, digest), from records (by offset) to files; each is a table of its own, so that an audit reads what it descends to."""
+def height(*indexes: DataFrame) -> int:
+    """Levels above the records, so that the highest has one node: the root."""
+    end = max(x.agg(F.coalesce(F.max("offset"), F.lit(0))).first()[0] for x in indexes)
+    k = FILE_LEVEL
+    while end // (RANGE_BYTES * FANOUT ** (k - 1)):
+        k += 1
+    return k
+
+
+def tree(index: DataFrame, scratch: Scratch, name: str, levels: int) -> list[DataFrame]:
+    """Levels of (number, digest), from records (by offset) to the root; each is a table of its own, so that an audit reads what it descends to."""
     leaf = scratch.write(index.select("record_id", F.col("offset").alias("number"), "length", "digest"), f"{name}-records")
-    levels = [leaf, scratch.write(nodes(leaf.select("number", "digest"), F.floor(F.col("number") / F.lit(RANGE_BYTES))), f"{name}-1")]
-    for k in range(2, LEVELS + 1):
-        levels.append(scratch.write(nodes(levels[-1], F.floor(F.col("number") / F.lit(FANOUT))), f"{name}-{k}"))
-    return levels
+    out = [leaf, scratch.write(nodes(leaf.select("number", "digest"), F.floor(F.col("number") / F.lit(RANGE_BYTES))), f"{name}-1")]
+    for k in range(2, levels + 1):
+        out.append(scratch.write(nodes(out[-1], F.floor(F.col("number") / F.lit(FANOUT))), f"{name}-{k}"))
+    return out
 
 
 def root(levels: list[DataFrame]) -> str | None:
-    """The archive's digest: of the digests of its files, of which there is one for FILE_BYTES bytes."""
-    return nodes(levels[-1], F.lit(0)).select("digest").first()[0] if levels[-1].limit(1).count() else None
+    """The archive's digest, the one node of the highest level; None of an empty archive."""
+    got = levels[-1].select("digest").first()
+    return got and got[0]
 
 
-def audit(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
-    """Records that differ between two replicas' trees: file, offset, length, record_id, status (corrupt, missing or extra in b), digest_a, digest_b."""
-    spark = a[0].sparkSession
+def audit(a: list[DataFrame], b: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """Records that differ between two replicas' trees of one height: file, offset, length, record_id, status (corrupt, missing or extra in b), digest_a, digest_b. Each level's differing nodes are written, so a level is planned once."""
 
     def differing(x: DataFrame, y: DataFrame) -> DataFrame:
         return x.alias("x").join(y.alias("y"), "number", "full").filter(~F.col("x.digest").eqNullSafe(F.col("y.digest")))
 
-    empty = spark.createDataFrame([], "file long, offset long, length long, record_id long, status string, digest_a string, digest_b string")
-    if root(a) == root(b):
-        return empty
-    wrong = differing(a[-1], b[-1]).select("number")
-    for k in range(LEVELS - 1, -1, -1):
-        step = FANOUT if k else RANGE_BYTES
-        up = F.floor(F.col("number") / F.lit(step))
+    wrong = scratch.write(differing(a[-1], b[-1]).select("number"), "wrong")
+    for k in range(len(a) - 2, -1, -1):
+        up = F.floor(F.col("number") / F.lit(FANOUT if k else RANGE_BYTES))
         under = [t.join(wrong.select(F.col("number").alias("up")), up == F.col("up"), "left_semi") for t in (a[k], b[k])]
-        wrong = differing(*under) if not k else differing(*under).select("number")
+        wrong = differing(*under) if not k else scratch.write(differing(*under).select("number"), f"wrong-{k}")
     return wrong.select(
         F.floor(F.col("number") / F.lit(FILE_BYTES)).cast("long").alias("file"), F.col("number").alias("offset"), F.coalesce("x.length", "y.length").alias("length"), F.coalesce("x.record_id", "y.record_id").alias("record_id"),
         F.when(F.col("y.digest").isNull(), "missing").when(F.col("x.digest").isNull(), "extra").otherwise("corrupt").alias("status"), F.col("x.digest").alias("digest_a"), F.col("y.digest").alias("digest_b"),
@@ -114,8 +119,11 @@ def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tables(spark, sf_dir, "pages")
     scratch = Scratch(spark, "merkle")
     index = scratch.write(archive(pages, "page_id", "url", "html"), "index")
-    replica = archive(damaged(pages, "page_id", "html"), "page_id", "url", "html")
-    return audit(tree(index, scratch, "a"), tree(placed(replica, index), scratch, "b"))
+    # The second copy is written as bytes and read back; then it is hashed whole.
+    copy = scratch.write(damaged(pages, "page_id", "html"), "copy")
+    replica = scratch.write(placed(archive(copy, "page_id", "url", "html"), index), "replica")
+    levels = height(index, replica)
+    return audit(tree(index, scratch, "a", levels), tree(replica, scratch, "b", levels), scratch)
 
 
 ORACLE = f"""

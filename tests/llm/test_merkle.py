@@ -9,14 +9,16 @@ from melisma.llm.store import Scratch
 
 def trees(spark, a, b, name):
     scratch = Scratch(spark, name)
-    return [merkle.tree(merkle.archive(x, "page_id", "url", "html"), scratch, k) for k, x in (("a", a), ("b", b))]
+    index = {k: scratch.write(merkle.archive(x, "page_id", "url", "html"), f"index-{k}") for k, x in (("a", a), ("b", b))}
+    levels = merkle.height(*index.values())
+    return *(merkle.tree(x, scratch, k, levels) for k, x in index.items()), scratch
 
 
 def test_equal_replicas_and_edges(spark):
     rows = [(1, "http://a", "<p>x"), (2, None, None), (3, "http://c", ""), (4, "http://d", "y" * 200_000), (5, "u", "same"), (5, "u", "same"), (None, "n", "no id")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("h", F.lit(2))
-    a, b = trees(spark, df, df.repartition(3), "eq")
-    assert merkle.root(a) == merkle.root(b) and merkle.audit(a, b).count() == 0
+    a, b, scratch = trees(spark, df, df.repartition(3), "eq")
+    assert merkle.root(a) == merkle.root(b) and merkle.audit(a, b, scratch).count() == 0
     index = sorted(merkle.archive(df, "page_id", "url", "html").collect(), key=lambda r: r.offset)
     at = 0
     for r in index:
@@ -35,7 +37,8 @@ def test_corruption_loss_and_extra_records(spark):
     index = scratch.write(merkle.archive(pages, "page_id", "url", "html"), "index")
     worse = index.filter("record_id != 11").withColumn("digest", F.when(F.col("record_id").isin(7, 200), F.lit("0" * 64)).otherwise(F.col("digest")))
     more = index.filter("record_id = 3").select(F.lit(999).cast("long").alias("record_id"), (F.col("offset") + 1).alias("offset"), "length", "digest")
-    rows = merkle.audit(merkle.tree(index, scratch, "a"), merkle.tree(worse.unionByName(more), scratch, "b")).collect()
+    levels = merkle.height(index)
+    rows = merkle.audit(merkle.tree(index, scratch, "a", levels), merkle.tree(worse.unionByName(more), scratch, "b", levels), scratch).collect()
     assert {(r.record_id, r.status) for r in rows} == {(7, "corrupt"), (200, "corrupt"), (11, "missing"), (999, "extra")}
 
 
@@ -46,14 +49,23 @@ def test_a_lost_or_resized_record_shifts_no_other(spark):
     other = [r for r in rows if r[0] not in (11, 7, 401, 400)] + [(7, "http://h/7", "much longer" * 900), (400, "u", "same"), (401, "u", "two"), (401, "u", "zwei"), (999, "x", "extra")]
     pages, copy = (spark.createDataFrame(x, "page_id long, url string, html string") for x in (rows, other))
     index = scratch.write(merkle.archive(pages, "page_id", "url", "html"), "index")
-    a = merkle.tree(index, scratch, "a")
-    b = merkle.tree(merkle.placed(merkle.archive(copy, "page_id", "url", "html"), index), scratch, "b")
-    got = sorted((r.record_id, r.status) for r in merkle.audit(a, b).collect())
+    placed = scratch.write(merkle.placed(merkle.archive(copy, "page_id", "url", "html"), index), "placed")
+    levels = merkle.height(index, placed)
+    a, b = merkle.tree(index, scratch, "a", levels), merkle.tree(placed, scratch, "b", levels)
+    got = sorted((r.record_id, r.status) for r in merkle.audit(a, b, scratch).collect())
     assert got == [(7, "corrupt"), (11, "missing"), (400, "missing"), (400, "missing"), (401, "corrupt"), (999, "extra")]
-    same = merkle.tree(merkle.placed(merkle.archive(pages.repartition(3), "page_id", "url", "html"), index), scratch, "same")
+    same = merkle.tree(merkle.placed(merkle.archive(pages.repartition(3), "page_id", "url", "html"), index), scratch, "same", levels)
     assert merkle.root(a) == merkle.root(same)
 
 
+def test_trees_as_high_as_the_archive(spark):
+    scratch = Scratch(spark, "high")
+    index = spark.createDataFrame([(k, k * (1 << 34), 10, f"{k:064d}") for k in range(40)], "record_id long, offset long, length long, digest string")
+    levels = merkle.height(index)
+    a, b = merkle.tree(index, scratch, "a", levels), merkle.tree(index.filter("record_id != 33"), scratch, "b", levels)
+    assert a[-1].count() == 1 and levels > merkle.FILE_LEVEL and [(r.record_id, r.status) for r in merkle.audit(a, b, scratch).collect()] == [(33, "missing")]
+
+
 def test_the_querys_replica_is_pages(spark):
     pages = spark.createDataFrame([(7, "u", "abc"), (48, "u", None), (13, "u", "lost"), (1, "u", "kept"), (None, "u", "kept")], "page_id long, url string, html string")
     assert {(r.page_id, r.html) for r in merkle.damaged(pages, "page_id", "html").collect()} == {(7, "?bc"), (48, "?"), (1, "kept"), (None, "kept")}
