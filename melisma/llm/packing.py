@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents, by partitions first and then up a tree.
 
 Each task tokenises its documents, cuts those over the limit, and packs what it has best-fit decreasing. Bins that are nearly full
-are final. Underfull bins become items of the next round, which has a fraction of the tasks; rounds go on until one hardly
-frees a bin. No task ever holds more than about ROUND_ITEMS items after the first round, and none holds token ids for longer than one
-document needs.
+are final. Underfull bins become items of the next round, which has a fraction of the tasks; no task holds more than about ROUND_ITEMS of them. When
+there is one task left, or tasks of that size hardly free a bin, the root of the tree packs all bins that are left: for
+best fit only the number of bins of each size matters, so the plan is made of these counts (at most `limit` numbers), and bins take
+their places in it by their ranks among bins of their size. Token ids stay with their pieces: nearly full bins are written once, only underfull ones move.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StructField, StructType
 
 from . import kernels as K
-from .store import Scratch, tables
+from .store import Scratch, column, tables
 
-LIMIT, NEARLY_FULL, ROUND_ITEMS, LEAST_GAIN = 2048, 0.985, 8000, 0.01
-MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
-BIN = f"bin bigint, size int, members array<{MEMBER}>"
+LIMIT, NEARLY_FULL, ROUND_ITEMS, LEAST_GAIN = 2048, 0.985, 8000, 0.1
+#: Bytes of token ids that a task holds before it packs them; and bins that are ranked in one group at the root.
+HELD_BYTES, RANKED = 1 << 26, 200_000
+#: Numbers of bins that the root makes begin here, beyond those of the rounds.
+ROOT = 16 << 58
 
 
 def default_tokenizer() -> str:
@@ -35,10 +39,10 @@ def default_tokenizer() -> str:
 
 
 class Tokenizer:
-    """Little-endian unsigned 32-bit ids of texts, equal to the tokenizer file's.
+    """Little-endian unsigned 32-bit ids of texts, equal to those of the tokenizer file's own library at its defaults.
 
     The file is a byte-level BPE whose ids are its merge order, so tiktoken, which is several times as fast, gives the same ids from
-    the same vocabulary. Texts beyond Latin letters, where the two libraries' character classes might differ, go to the file's own library.
+    the same vocabulary. Texts beyond Latin letters, where the two libraries' character classes might differ, and texts that spell a special token go to the file's own library.
     """
 
     # Fixed value: the pattern of byte-level BPE pre-tokenisation.
@@ -52,18 +56,18 @@ class Tokenizer:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         spelt = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(plain)))}
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            content = json.load(f)
+        vocabulary = content["model"]["vocab"]
         ranks = {bytes(spelt[c] for c in token): i for token, i in vocabulary.items() if all(c in spelt for c in token) and not re.fullmatch(r"<\|.*\|>", token)}
         self.fast = tiktoken.Encoding("packing", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.other = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]|[\x1c-\x1f\x85]")
+        added = "".join(f"|{re.escape(t['content'])}" for t in content.get("added_tokens", ()))
+        self.other = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]|[\x1c-\x1f\x85]" + added)
 
     @functools.cached_property
     def library(self):
         from tokenizers import Tokenizer as Library
 
-        out = Library.from_file(self.path)
-        out.encode_special_tokens = True
-        return out
+        return Library.from_file(self.path)
 
     def __call__(self, text: str) -> bytes:
         if self.other.search(text):
@@ -100,81 +104,150 @@ def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-MEMBERS = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+MEMBER = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
 
 
-def packed(sizes: list[int], members: list[list[tuple]], limit: int, first: int) -> Iterator[pa.RecordBatch]:
-    """Bins in batches."""
-    got = best_fit(sizes, limit)
-    for a in range(0, len(got), 2000):
-        part = got[a : a + 2000]
-        inside = [[m for i in b for m in members[i]] for b in part]
-        flat = [m for b in inside for m in b]
-        columns = list(zip(*flat, strict=True)) or [[], [], [], [], []]
-        struct = pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(columns, MEMBERS.value_type, strict=True)], fields=list(MEMBERS.value_type))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, inside)]), pa.int32()), struct)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + a, first + a + len(part))), pa.array([sum(sizes[i] for i in b) for b in part], pa.int32()), lists], names=["bin", "size", "members"])
+def bin_schema(id_type: DataType) -> StructType:
+    kinds = [id_type, IntegerType(), LongType(), LongType(), LongType(), ArrayType(IntegerType())]
+    return StructType([StructField("bin", LongType()), StructField("size", IntegerType()), StructField("members", ArrayType(StructType([StructField(n, t) for n, t in zip(MEMBER, kinds, strict=True)])))])
+
+
+def packed(sizes: np.ndarray, first: np.ndarray, members: pa.StructArray, limit: int, number: int) -> Iterator[pa.RecordBatch]:
+    """Bins of items, of which item i has the members first[i] to first[i + 1], in batches."""
+    got = best_fit(sizes.tolist(), limit)
+    for a in range(0, len(got), 1000):
+        part = got[a : a + 1000]
+        order = np.array([i for b in part for i in b], np.int64)
+        n = first[order + 1] - first[order]
+        which = np.repeat(first[order], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ends = np.cumsum(n)[np.cumsum([len(b) for b in part]) - 1]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), members.take(pa.array(which)))
+        size = np.add.reduceat(sizes[order], np.cumsum([0, *(len(b) for b in part[:-1])]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(number + a, number + a + len(part))), pa.array(size, pa.int32()), lists], names=["bin", "size", "members"])
 
 
 @K.tidy
 def tokenise_and_pack(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
-    tokenizer, first = Tokenizer(path), TaskContext.get().partitionId() << 40
-    sizes: list[int] = []
-    members: list[list[tuple]] = []
+    tokenizer, number = Tokenizer(path), TaskContext.get().partitionId() << 40
+    rows: list[tuple] = []
+    held: list[bytes] = []
+    size, kind = 0, pa.int64()
+
+    def bins() -> Iterator[pa.RecordBatch]:
+        if rows:
+            lengths = np.array([r[3] for r in rows], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(np.frombuffer(b"".join(held), "<i4")))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield from packed(lengths, np.arange(len(rows) + 1), pa.StructArray.from_arrays([*columns, ids], names=MEMBER), limit, number)
+
     for batch in batches:
+        kind = batch.column(0).type
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for k, (start, length, crc) in enumerate(pieces(tokenizer(text.as_py() or "") + b"\0\0\0\0", limit)):
-                sizes.append(length)
-                members.append([(doc, k, start, length, crc)])
-        if len(sizes) >= 4 * ROUND_ITEMS:
-            yield from packed(sizes, members, limit, first)
-            first += len(sizes)
-            sizes, members = [], []
-    yield from packed(sizes, members, limit, first)
+            ids = tokenizer(text.as_py() or "") + b"\0\0\0\0"
+            for k, (start, length, crc) in enumerate(pieces(ids, limit)):
+                rows.append((doc, k, start, length, crc))
+            held.append(ids)
+            size += len(ids)
+            if len(rows) >= 4 * ROUND_ITEMS or size > HELD_BYTES:
+                yield from bins()
+                number += len(rows)
+                rows, held, size = [], [], 0
+    yield from bins()
 
 
 @K.tidy
 def repack(batches: Iterator[pa.RecordBatch], limit: int, level: int) -> Iterator[pa.RecordBatch]:
-    sizes: list[int] = []
-    members: list[list[tuple]] = []
-    for batch in batches:
-        sizes += batch.column(1).to_pylist()
-        members += [[tuple(m.values()) for m in x] for x in batch.column(2).to_pylist()]
-    yield from packed(sizes, members, limit, level << 58 | TaskContext.get().partitionId() << 38)
+    """One round of a task: its underfull bins are the items. A task has about ROUND_ITEMS of them."""
+    if not (some := list(batches)):
+        return
+    t = pa.Table.from_batches(some).combine_chunks()
+    if t.num_rows:
+        lists = t["members"].chunk(0)
+        first = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        yield from packed(t["size"].to_numpy().astype(np.int64), first, lists.flatten(), limit, level << 58 | TaskContext.get().partitionId() << 38)
+
+
+def root_plan(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best-fit decreasing of so many bins of each size, as runs: (size, first rank, rank behind the last, how many a sequence, first sequence, offset of the first one in it).
+
+    Sequences with the same room left are one group, so each size adds a few groups, however many bins there are.
+    """
+    out: list[tuple[int, int, int, int, int, int]] = []
+    rooms: dict[int, list[tuple[int, int]]] = {}  # room -> (first sequence, sequences)
+    sequences = 0
+    for size in sorted(counts, reverse=True):
+        left, rank = counts[size], 0
+        while left:
+            fits = min((r for r in rooms if r >= size), default=None)
+            if fits is None:
+                each = limit // size
+                n = max(1, left // each)
+                room, at, there = limit, sequences, n
+                sequences += n
+            else:
+                at, there = rooms[fits].pop()
+                if not rooms[fits]:
+                    del rooms[fits]
+                room, each = fits, fits // size
+                n = min(there, max(1, left // each))
+            each = min(each, left)
+            if n < there:
+                rooms.setdefault(room, []).append((at + n, there - n))
+            out.append((size, rank, rank + n * each, each, at, limit - room))
+            rank, left = rank + n * each, left - n * each
+            if room - each * size:
+                rooms.setdefault(room - each * size, []).append((at, n))
+    return out
+
+
+def packed_at_the_root(bins: DataFrame, limit: int) -> DataFrame:
+    """(bin, members, base): all bins that are left, packed as one. Ranks among bins of a size come from counts by size and segment."""
+    spark = bins.sparkSession
+    sizes = {r[0]: r[1] for r in bins.groupBy("size").count().collect()}  # at most `limit` numbers
+    plan = spark.createDataFrame(root_plan(sizes, limit) or [(0, 0, 0, 1, 0, 0)], "size int, lo long, hi long, each int, at long, before long")
+    segments = sum(sizes.values()) // RANKED + 1
+    light = bins.select("bin", "size", F.pmod(F.xxhash64("bin"), F.lit(segments)).alias("segment"))
+    starts = light.groupBy("size", "segment").agg(F.count(F.lit(1)).alias("there"))
+    starts = starts.select("size", "segment", (F.sum("there").over(Window.partitionBy("size").orderBy("segment")) - F.col("there")).alias("start"))
+    ranked = light.withColumn("r", F.row_number().over(Window.partitionBy("size", "segment").orderBy("bin")) - 1).join(starts, ["size", "segment"]).select("bin", "size", (F.col("start") + F.col("r")).alias("rank"))
+    # A few runs a size, some thousands at most.
+    placed = ranked.join(F.broadcast(plan), "size").filter("rank >= lo and rank < hi")
+    nth = F.col("rank") - F.col("lo")
+    placed = placed.select(F.col("bin").alias("b"), (F.lit(ROOT) + F.col("at") + F.floor(nth / F.col("each"))).cast("long").alias("sequence"), (F.col("before") + nth % F.col("each") * F.col("size")).alias("base"))
+    return bins.join(placed, F.col("bin") == F.col("b")).select(F.col("sequence").alias("bin"), "members", "base")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids. A sequence is its pieces' ids by offset.
 
-    A null or empty text is the single id 0. Repeated rows are packed each. An empty table gives no rows. Extra columns play no part.
+    A null or empty text is the single id 0. Repeated rows are packed each. Ids of documents are of any type. An empty table gives no rows. Other columns play no part.
+    After the root has packed, no two of the bins that were not nearly full would fit into one sequence, so these are more than half full on average.
     """
     path = tokenizer or default_tokenizer()
     scratch = Scratch(df.sparkSession, "packing")
-    bins = scratch.write(df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lambda x: tokenise_and_pack(x, path, limit), BIN), "level0")
-    out, level = [], 0
+    docs = df.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    schema = bin_schema(docs.schema["doc_id"].dataType)
+    bins = scratch.write(docs.mapInArrow(lambda x: tokenise_and_pack(x, path, limit), schema), "level0")
     enough = int(limit * NEARLY_FULL)
+    under, out = F.col("size") < enough, []
+    level, n = 0, bins.filter(under).count()
     while True:
-        # A bin that no other can join is as full as it gets.
-        least, n = bins.filter(F.col("size") < enough).agg(F.min("size"), F.count(F.lit(1))).first()
-        under = (F.col("size") < enough) & (F.col("size") <= limit - (least or 0))
-        tasks = -(-n // ROUND_ITEMS)
-        if n < 2 or level >= 8:
-            out.append(bins)
+        out.append(bins.filter(~under).select("bin", "members", F.lit(0).cast("long").alias("base")))
+        if n <= ROUND_ITEMS:
             break
-        out.append(bins.filter(~under))
         level += 1
-        waiting = bins.filter(under)
-        bins = scratch.write(waiting.repartition(tasks, "bin").mapInArrow(lambda x, level=level: repack(x, limit, level), BIN), f"level{level}")
-        after = bins.agg(F.count(F.lit(1))).first()[0]
-        if after > (1 - LEAST_GAIN) * n:
-            out.append(bins)
+        bins = scratch.write(bins.filter(under).repartition(-(-n // ROUND_ITEMS), "bin").mapInArrow(lambda x, level=level: repack(x, limit, level), schema), f"level{level}")
+        before, n = n, bins.filter(under).count()
+        if n > (1 - LEAST_GAIN) * before:
+            out.append(bins.filter(~under).select("bin", "members", F.lit(0).cast("long").alias("base")))
             break
+    out.append(packed_at_the_root(bins.filter(under), limit))
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
-    before = F.aggregate(F.slice("members", 1, F.col("at")), F.lit(0).cast("long"), lambda a, m: a + m["length"])
-    return every.select("bin", "members", F.posexplode("members").alias("at", "m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", F.col("bin").alias("sequence_id"), before.alias("offset"))
+    before = F.aggregate(F.transform(F.slice("members", 1, F.col("at")), lambda m: m["length"]), F.col("base"), lambda a, n: a + n)
+    return every.select("bin", "members", "base", F.posexplode("members").alias("at", "m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", F.col("bin").alias("sequence_id"), before.alias("offset"), "m.ids")
 
 
 def op7_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(tables(spark, sf_dir, "documents"))
+    return pack(tables(spark, sf_dir, "documents")).drop("ids")

@@ -8,7 +8,6 @@ from tokenizers import Tokenizer as Library
 from melisma.llm import packing
 
 LIBRARY = Library.from_file(packing.default_tokenizer())
-LIBRARY.encode_special_tokens = True
 TOKENIZER = packing.Tokenizer(packing.default_tokenizer())
 
 
@@ -17,7 +16,7 @@ def ids(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.characters(codec="utf-8", exclude_categories=["Cs"]), max_size=60) | st.text(" \n\t'asdtREll1é\xa0ß$|<>endoftx.", max_size=60))
+@given(st.text(st.characters(codec="utf-8", exclude_categories=["Cs"]), max_size=60) | st.text(" \n\t'asdtREll1é\xa0ß$|<>endoftx.", max_size=60) | st.lists(st.sampled_from(["<|endoftext|>", " x", "<|", "endoftext|>", "\n", "日本"]), max_size=6).map("".join))
 def test_ids_equal_the_library(text):
     assert TOKENIZER(text) == np.array(ids(text)[:-1], "<u4").tobytes()
 
@@ -27,6 +26,25 @@ def test_best_fit_prefers_the_fullest_bin():
     assert packing.best_fit([], 10) == []
 
 
+def test_special_tokens_are_as_the_library_has_them():
+    assert TOKENIZER("hello <|endoftext|> x") == np.array([31373, 220, 50256, 2124], "<u4").tobytes()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
+def test_the_roots_plan_is_best_fit_decreasing(counts):
+    runs = packing.root_plan(counts, 40)
+    sequences = {}
+    for size, lo, hi, each, at, before in runs:
+        for rank in range(lo, hi):
+            sequences.setdefault(at + (rank - lo) // each, []).append((before + (rank - lo) % each * size, size))
+    for members in sequences.values():
+        assert [a for a, _ in sorted(members)] == np.cumsum([0, *(s for _, s in sorted(members))])[:-1].tolist() and sum(s for _, s in members) <= 40
+    items = [s for s, n in counts.items() for _ in range(n)]
+    want = sorted(sorted(items[i] for i in b) for b in packing.best_fit(items, 40))
+    assert sorted(sorted(s for _, s in m) for m in sequences.values()) == want
+
+
 def whole(spark, docs, rows, limit=2048):
     want = {}
     for d, t in docs:
@@ -45,6 +63,9 @@ def whole(spark, docs, rows, limit=2048):
     for r in rows:
         got.setdefault(r.doc_id, []).append(r)
     assert set(got) == set(want)
+    for r in rows:
+        if "ids" in r:
+            assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
     for d, texts in want.items():
         left = []
         for i in texts:
@@ -62,6 +83,16 @@ def test_edges(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_rounds_and_the_root(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROUND_ITEMS", 20)
+    monkeypatch.setattr(packing, "RANKED", 7)
+    docs = [(k, "a " * (k * 37 % 61 + 1)) for k in range(400)]
+    bins, tokens = whole(spark, docs, packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), limit=64).collect(), 64)
+    assert bins <= 1.06 * -(-tokens // 64) + 1
+    big = [(k, "a " * 39) for k in range(300)]  # no two fit together
+    assert whole(spark, big, packing.pack(spark.createDataFrame(big, "doc_id long, text string").repartition(5), limit=64).collect(), 64)[0] == 300
+
+
 def test_query_packs_tightly(spark):
     sf = "/root/testdata/sf0.01"
     rows = packing.op7_hierarchical_packing(spark, sf).collect()
