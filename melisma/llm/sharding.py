@@ -2,7 +2,8 @@
 
 Global row numbers need no global sort in one place and no sampling: rows are ordered by (hash, id, size, crc32), the hash's
 leading bits cut them into ranges of near equal size, and a range's first number is the sum of the counts before it.
-Equal rows are counted first and expanded last, so that a row repeated very often is one row until then.
+What is numbered are the distinct (id, size, crc32) with their counts; rows get their numbers by a join, and rows that are equal in these
+take turns by where they lie, so that one repeated very often is never numbered in one place.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .store import tables
+from .store import Scratch, tables, whole
 
 SHARDS, SEED, ROUNDS, RANGE_ROWS = 16, 20240601, 6, 200_000
 
@@ -39,31 +40,42 @@ def feistel(numbers: np.ndarray, n: int, seed: int = SEED, rounds: int = ROUNDS)
 
 
 def shard(df: DataFrame, id_col: str, text_col: str, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row, whatever its other columns are called.
+    """row (a row of df, whole), law, shard, slot and grown_shard for every row.
 
-    size: UTF-8 bytes of the text plus 1; a null text has none, its crc32 is 0. Null ids are rows like others. Repeated rows each
-    get a slot. An empty table gives no rows. The law is `rows`: shard = permuted row number modulo `shards`, slot = the quotient.
+    Null ids are rows like others. Rows that are equal in id, size and crc32 of their texts (a null text is empty) each get a slot, no matter which of them gets which. An empty table
+    gives no rows. The law is `rows`: shard = permuted row number modulo `shards`, slot = the quotient.
     """
-    rows = df.select(
-        F.col(id_col).alias("doc_id"),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"))
+    spark = df.sparkSession
+    scratch = Scratch(spark, "sharding")
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    rows = whole(df).select("row", F.struct(F.col("row")[id_col].alias("id"), F.octet_length(text).alias("size"), F.crc32(text.cast("binary")).alias("crc")).alias("key"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "key"))
+    counted = rows.groupBy("h", "key").agg(F.count(F.lit(1)).alias("copies"))
     n = df.count()
     bits = max(0, (n // RANGE_ROWS).bit_length())
     ranged = counted.withColumn("range", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
-    in_order = Window.partitionBy("range").orderBy(F.col("h"), F.col("doc_id"), F.col("size"), F.col("text_crc32"))
+    in_order = Window.partitionBy("range").orderBy("h", "key")
     numbered = ranged.withColumn("upto", F.sum("copies").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies"))
     # One row a range: 2**bits rows at most, 1 for each RANGE_ROWS rows of the input.
     starts = ranged.groupBy("range").agg(F.sum("copies").alias("there"))
     starts = starts.select("range", (F.sum("there").over(Window.orderBy("range")) - F.col("there")).alias("before"))
+    numbered = scratch.write(numbered.join(starts, "range").select("h", "key", "copies", (F.col("before") + F.col("upto")).alias("first")), "numbers")
+    placed = rows.join(numbered, ["h", "key"])
+    out = placed.filter("copies = 1").select("row", F.col("first").alias("number"))
+    if numbered.filter("copies > 1").limit(1).count():
+        again = scratch.write(placed.filter("copies > 1").select("row", "h", "key", "first", F.spark_partition_id().alias("at"), F.monotonically_increasing_id().alias("nth")), "repeated")
+        there = again.groupBy("h", "key", "at").agg(F.count(F.lit(1)).alias("there"))
+        there = there.select("h", "key", "at", (F.sum("there").over(Window.partitionBy("h", "key").orderBy("at")) - F.col("there")).alias("before"))
+        turn = F.row_number().over(Window.partitionBy("h", "key", "at").orderBy("nth")) - 1
+        again = again.withColumn("turn", turn).join(there, ["h", "key", "at"]).select("row", (F.col("first") + F.col("before") + F.col("turn")).alias("number"))
+        out = out.unionByName(again)
     permute = F.pandas_udf(lambda x: pd.Series(feistel(x.to_numpy(), n, seed)), LongType())
-    dealt = numbered.join(starts, "range").withColumn("row", F.explode(F.sequence(F.col("before") + F.col("upto"), F.col("before") + F.col("upto") + F.col("copies") - 1)))
-    return dealt.withColumn("p", permute("row")).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.pmod("p", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("p") / F.lit(shards)).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    return out.withColumn("p", permute("number")).select(
+        "row", F.lit("rows").alias("law"), F.pmod("p", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("p") / F.lit(shards)).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(tables(spark, sf_dir, "documents"), "doc_id", "text")
+    dealt = shard(tables(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    text = F.coalesce("row.text", F.lit(""))
+    return dealt.select("row.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "law", "shard", "slot", "grown_shard")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +26,16 @@ def short_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def column(name: str) -> Column:
+    """A column of this very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """The rows of df as one struct called row, so that no column of theirs can clash with what an operator adds."""
+    return df.select(F.struct(*map(column, df.columns)).alias("row"))
+
+
 class Scratch:
     """Intermediate tables of one operator call. write() cuts the lineage: what it returns is read from files that outlive executors."""
 
