@@ -1,7 +1,7 @@
 """Line-first cleaning with SQL expressions only.
 
 Every line is judged by itself: navigation (`a | b | c`), boilerplate, symbol clutter, shouting, and, for long lines, the lack of
-any punctuation. Failing lines are removed; a document that loses too large a part of its words is rejected.
+any punctuation of any script. Failing lines are removed; a document that loses too large a part of its lines' bytes is rejected.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def line_ok(line: Column) -> Column:
     navigation = (pipes >= 2) & (pipes * 4 >= spaces)
     clutter = occurrences(line, SYMBOLS) * 20 > length
     shouting = (length >= 20) & line.rlike(r"\p{Lu}") & ~line.rlike(r"\p{Ll}")
-    unpunctuated = (length > LONG_LINE) & ~line.rlike(r"[.,!?:;]")
+    unpunctuated = (F.char_length(line) > LONG_LINE) & ~line.rlike(r"\p{P}")
     return ~(navigation | clutter | shouting | unpunctuated | line.rlike(BOILERPLATE))
 
 
@@ -112,7 +112,7 @@ x AS (
         ({_COUNT.format('v', '|')} >= 2 AND {_COUNT.format('v', '|')} * 4 >= {_COUNT.format('v', ' ')})
         OR {_SYM('v')} * 20 > strlen(v)
         OR (strlen(v) >= 20 AND regexp_matches(v, '\\p{{Lu}}') AND NOT regexp_matches(v, '\\p{{Ll}}'))
-        OR (strlen(v) > {LONG_LINE} AND NOT regexp_matches(v, '[.,!?:;]'))
+        OR (length(v) > {LONG_LINE} AND NOT regexp_matches(v, '\\p{{P}}'))
         OR regexp_matches(v, '{_BP}'))), lambda v: strlen(v))), 0) AS good
   FROM d),
 y AS (SELECT x.*, coalesce(n, 0)::BIGINT AS n_repeat_words FROM x LEFT JOIN r USING (rid))
