@@ -1,6 +1,7 @@
 """Vectorised numpy work on the bytes of Arrow string columns: words, shingles, rolling hashes.
 
-Texts are taken in blocks of about BLOCK bytes, so that temporaries stay near that size; a longer text is a block of its own.
+Texts are taken in blocks of about BLOCK bytes, so that temporaries stay near that size; a longer text is a block of its own, whose
+hashes are made CHUNK bytes at a time.
 Hashes are polynomials modulo 2**64 over randomly valued bytes, with an odd base: a substring's hash is a difference of
 prefix sums times a power of the base's inverse.
 """
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 18
+BLOCK, CHUNK = 1 << 18, 1 << 21
 U64 = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240601))
 BYTE_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -115,9 +116,28 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """64-bit hashes of the lower-cased words [s, e)."""
-    h = prefix(BYTE_VALUES[LOWER[data]], base)
-    return mix((h[e] - h[s]) * powers(base, len(data))[1][s])
+    """64-bit hashes of the lower-cased words [s, e). A word that is cut by a chunk's end is the sum of its parts."""
+    out = np.zeros(len(s), U64)
+    for lo in range(0, len(data), CHUNK):
+        hi = min(lo + CHUNK, len(data))
+        i, j = int(np.searchsorted(e, lo, "right")), int(np.searchsorted(s, hi))
+        if i == j:
+            continue
+        h = prefix(BYTE_VALUES[LOWER[data[lo:hi]]], base)
+        a, b = np.maximum(s[i:j], lo) - lo, np.minimum(e[i:j], hi) - lo
+        part = (h[b] - h[a]) * powers(base, hi - lo)[1][a]
+        if s[i] < lo:
+            part[0] *= U64(pow(base, lo - int(s[i]), 1 << 64))
+        out[i:j] += part
+    return mix(out)
+
+
+def whole_hash(data: np.ndarray, base: int) -> np.ndarray:
+    """The polynomial of all bytes, as an array of one number."""
+    out = np.zeros(1, U64)
+    for lo in range(0, len(data), CHUNK):
+        out += prefix(BYTE_VALUES[data[lo : lo + CHUNK]], base)[-1:] * U64(pow(base, lo, 1 << 64))
+    return out
 
 
 def shingles(hashes: np.ndarray, upto: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,8 @@
 Texts are sets of 5-word shingles. Sets are embedded by T minhashes, so that all have T tokens (coordinate, minimum), and two sets share
 a token with a chance of their Jaccard similarity. A run starts a tree of paths: the root splits the sets by one sampled token, and a
 node that holds more than LIMIT sets is split again by PATHS tokens sampled for that node, until buckets are small enough to be compared by brute
-force. A node whose sets mostly agree on the sampled tokens holds near copies, which no token parts; it is compared in blocks instead.
+force. A node whose sets mostly agree on the sampled tokens holds near copies, which no token parts, however often it is split; its bucket is large, and brute force
+goes over it in blocks of two parts of PART sets, so that no task holds more of it. The same is done with what is left after DEPTH splits. No route drops a pair.
 Runs are repeated until a pair at the threshold is met with the target recall.
 
 Equal sets are one class from the start, so copies are counted, not compared. Brute force compares sketches first; what may be similar is
@@ -17,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import Scratch, tables
+from .store import Scratch, column, tables, whole
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
-T, PATHS, LIMIT, TIGHT, DEPTH = 128, 2, 400, 0.5, 8
+T, PATHS, LIMIT, PART, TIGHT, DEPTH = 128, 2, 400, 160, 0.5, 8
 #: Sketches that agree on fewer coordinates than this differ, with a chance of error of about 1e-7 at the threshold.
 SKETCH_LEAST = int(T * THRESHOLD - 5.2 * math.sqrt(T * THRESHOLD * (1 - THRESHOLD)))
 _SEEDS = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, (2, T), dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -54,8 +55,7 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         total = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(h ^ np.uint64(K.BASES[k])))])
         identity[k] = total[first[1:]] - total[first[:-1]]
         for r in np.flatnonzero(first[1:] == first[:-1]):
-            p = K.prefix(K.BYTE_VALUES[data[offsets[r] : offsets[r + 1]]], K.BASES[2 + k])
-            identity[k, r] = K.mix(p[-1:] + np.uint64(2 * k + 1))[0]
+            identity[k, r] = K.mix(K.whole_hash(data[offsets[r] : offsets[r + 1]], K.BASES[2 + k]) + np.uint64(2 * k + 1))[0]
     return h, first, identity
 
 
@@ -74,8 +74,8 @@ def sketch(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.RecordBa
             tokens = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * runs, pa.int32()), pa.array(K.mix(least[:, :runs]).astype(np.int64).ravel()))
             narrow = (K.mix(least) >> np.uint64(56)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(identity[0].astype(np.int64)), pa.array(identity[1].astype(np.int64)), pa.array(sizes), tokens, pa.array([r.tobytes() for r in narrow], pa.binary())],
-                names=["doc_id", "c1", "c2", "n", "tokens", "sketch"],
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(identity[0].astype(np.int64)), pa.array(identity[1].astype(np.int64)), pa.array(sizes), tokens, pa.array([r.tobytes() for r in narrow], pa.binary())],
+                names=["doc_id", "text_hash", "c1", "c2", "n", "tokens", "sketch"],
             )
 
 
@@ -115,7 +115,7 @@ def buckets(reps: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
 
 def in_blocks(rows: DataFrame, limit: int) -> DataFrame:
     """Rows of (leaf, members, vid, ...) dealt to (leaf, block): a bucket of at most `limit` is one block; of a larger one, every pair of its parts is a block, and side tells the parts apart."""
-    parts = F.ceil(F.col("members") / F.lit(limit))
+    parts = F.when(F.col("members") <= limit, F.lit(1).cast("long")).otherwise(F.ceil(F.col("members") / F.lit(min(limit, PART))))
     own = F.pmod(F.xxhash64("vid", "leaf"), F.col("parts"))
     dealt = rows.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     return dealt.withColumn("block", F.least("own", "other") * F.lit(1 << 24) + F.greatest("own", "other")).withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)).drop("parts", "own", "other", "members")
@@ -223,13 +223,11 @@ def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in grouped(batches):
         data, offsets = K.buffers(t["text"])
         h, first, identity = sets_of(data, offsets)
-        # Ids may repeat in the input: a row counts if its text is that of the class, once.
+        # What was found by id and hash of a text is the class's if its sets are.
         own = (identity[0].astype(np.int64) == t["c1"].to_numpy()) & (identity[1].astype(np.int64) == t["c2"].to_numpy())
-        _, once = np.unique(t["vid"].to_numpy(), return_index=True)
         vids = t["vid"].to_numpy()
-        if not own.all() or len(once) < len(vids):
+        if not own.all():
             pick = np.flatnonzero(own)
-            pick = np.sort(pick[np.unique(vids[pick], return_index=True)[1]])
             if len(pick) < 2:
                 continue
             h = np.concatenate([h[first[i] : first[i + 1]] for i in pick])
@@ -277,16 +275,20 @@ def spread(df: DataFrame) -> int:
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """doc_id, class_id, n_links for every row: links join texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, a class is what links connect, and its id is its least doc_id.
+    """doc_id, class_id, n_links, text_hash and chosen for every row: links join texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, a class is what links connect, and its id is its least doc_id.
 
     n_links counts the other rows linked, copies included. A text of 1 to 4 words is one shingle; texts without words are linked if they are equal, nulls
-    and empty texts with each other. Rows that repeat an id are rows of their own. A null id is less than others. Empty tables give no rows.
+    and empty texts with each other. Ids are of any type with an order. Rows that repeat an id are rows of their own. A null id is less than others. Empty tables give no rows.
+    chosen marks the class's one row by its id and text_hash (xxhash64 of the text), so that rows equal in both are all marked.
     """
     spark = df.sparkSession
     scratch, runs = Scratch(spark, "ngramjoin"), runs_needed()
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = scratch.write(docs.mapInArrow(lambda x: sketch(x, runs), "doc_id long, c1 long, c2 long, n long, tokens array<long>, sketch binary"), "sketches")
-    reps = sketched.groupBy("c1", "c2", "n").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"))
+    docs = df.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketched = scratch.write(docs.mapInArrow(lambda x: sketch(x, runs), f"doc_id {kind}, text_hash long, c1 long, c2 long, n long, tokens array<long>, sketch binary"), "sketches")
+    # A row is known by its id and its text's hash, so that rows without an id don't meet by that.
+    row = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
+    reps = sketched.groupBy("c1", "c2", "n").agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"))
     reps = scratch.write(reps.withColumn("vid", F.monotonically_increasing_id()), "reps")
     leaves = buckets(reps, scratch, limit)
     paths = leaves.groupBy("vid").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
@@ -294,25 +296,31 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tasks = spread(df)
     in_order = lambda d: d.repartition(tasks, "leaf", "block").sortWithinPartitions("leaf", "block")
     may = scratch.write(in_order(in_blocks(held, limit).select("leaf", "block", "side", "vid", "leaves", "n", "sketch")).mapInArrow(candidates, "leaf long, block long, side int, vid long, leaves array<long>"), "candidates")
-    wanted = reps.join(may.select("vid").distinct(), "vid", "left_semi").select("vid", "c1", "c2", "copies", "rep")
-    texts = docs.withColumn("rep", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(wanted, "rep").select("vid", "c1", "c2", "copies", "text")
+    wanted = reps.join(may.select("vid").distinct(), "vid", "left_semi").select("vid", "c1", "c2", "copies", F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h"))
+    same = docs["text_hash"].eqNullSafe(F.col("rep_h")) & docs["doc_id"].eqNullSafe(F.col("rep_id"))
+    # Rows equal in id and text are one text; they are reduced before the shuffle.
+    texts = docs.join(wanted, same).groupBy("vid").agg(*(F.first(c).alias(c) for c in ("c1", "c2", "copies", "text")))
     decided = in_order(may.join(texts, "vid").select("leaf", "block", "side", "vid", "leaves", "c1", "c2", "copies", "text"))
     decided = scratch.write(decided.mapInArrow(decide, "vid long, to long, links long"), "decided")
     roots = components(decided.select(F.col("vid").alias("u"), F.col("to").alias("v")), scratch)
     classes = reps.select("vid", "c1", "c2", "rep", "copies").join(decided.groupBy("vid").agg(F.sum("links").alias("links")), "vid", "left").join(roots, "vid", "left")
     classes = classes.withColumn("root", F.coalesce("root", "vid"))
-    firsts = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = scratch.write(classes.join(firsts, "root").select("c1", "c2", F.when(F.col("class_id") > -(1 << 63), F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    return sketched.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", "class_id", "n_links")
+    firsts = classes.groupBy("root").agg(F.min("rep").alias("first"))
+    classes = scratch.write(classes.join(firsts, "root").select("c1", "c2", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.h"))
+    return sketched.select("doc_id", "text_hash", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", F.col("first.id").alias("class_id"), "n_links", "text_hash", chosen.alias("chosen"))
 
 
 def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_classes(tables(spark, sf_dir, "documents"))
-
-
-def one_of_each_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their class's; of rows that repeat an id, one. Rows with a null id have no class to lose by and stay."""
-    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return named.withColumn("_at", F.row_number().over(first)).filter("_at = 1").drop("_at").unionByName(docs.filter(F.col("doc_id").isNull()))
+    return similar_classes(tables(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each_class(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are chosen for their classes; of rows equal in id and text, one. Rows with a null id have no class to lose by and stay."""
+    kept = classes.filter("chosen and doc_id is not null").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    rows = whole(docs).select("row", F.col("row")[id_col].alias("id"), F.xxhash64(F.col("row")[text_col]).alias("h"))
+    out = rows.join(kept.filter("n = 1"), ["id", "h"], "left_semi").select("row").unionByName(rows.filter("id is null").select("row"))
+    if kept.filter("n > 1").limit(1).count():
+        again = rows.join(kept.filter("n > 1").select("id", "h"), ["id", "h"])
+        out = out.unionByName(again.groupBy("id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
+    return out.select("row.*")
