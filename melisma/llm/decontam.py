@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import kernels as K
-from .store import Scratch, tables
+from .store import Scratch, column, tables, whole
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 8 << 20
 
@@ -191,13 +191,13 @@ FOUND = StructType([StructField("n_words", LongType()), StructField("spans", Arr
 
 @K.tidy
 def mark(batches: Iterator[pa.RecordBatch], items: Items, found: dict[int, Prefixes], text: int) -> Iterator[pa.RecordBatch]:
-    """Adds to each row its number of words, its hit spans [from, to) in words, and its items; earlier blocks' results are kept."""
+    """Of rows (row) or (row, n_words, spans, items), the latter an earlier block's results: the row with its number of words, its hit spans [from, to) in words, and its items."""
     for batch in batches:
-        data, offsets = K.buffers(batch.column(text))
-        before = "spans" in batch.schema.names
+        data, offsets = K.buffers(batch.column(0).field(text))
+        before = batch.num_columns > 1
         n_words = np.zeros(batch.num_rows, np.int64)
-        spans: list[list[list[int]]] = batch.column("spans").to_pylist() if before else [[] for _ in range(batch.num_rows)]
-        names: list[list[str]] = batch.column("items").to_pylist() if before else [[] for _ in range(batch.num_rows)]
+        spans: list[list[list[int]]] = batch.column(2).to_pylist() if before else [[] for _ in range(batch.num_rows)]
+        names: list[list[str]] = batch.column(3).to_pylist() if before else [[] for _ in range(batch.num_rows)]
         for a, b in K.blocks(offsets):
             w, start, rows, upto = occurrences(items, found, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             n_words[a:b] = np.diff(upto)
@@ -210,10 +210,7 @@ def mark(batches: Iterator[pa.RecordBatch], items: Items, found: dict[int, Prefi
                 merged = [tuple(x) for x in spans[a + r]] + list(zip(begin, (np.array(begin) + items.lengths[own]).tolist(), strict=True))
                 spans[a + r] = union(merged)
                 names[a + r] = sorted(set(names[a + r]).union(*(items.items[x] for x in np.unique(own))))
-        kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in FOUND.names]
-        yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(n_words), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(names, pa.list_(pa.string()))], names=[*(n for n in batch.schema.names if n not in FOUND.names), *FOUND.names]
-        )
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(names, pa.list_(pa.string()))], names=["row", *FOUND.names])
 
 
 def union(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -227,26 +224,27 @@ def union(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def find_contamination(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of df with three columns more: n_words, spans (disjoint word ranges inside benchmark windows) and items (sorted ids).
+    """row (a row of df, whole) and three columns: n_words, spans (disjoint word ranges inside benchmark windows) and items (sorted ids).
 
     Null and empty texts have no words. Items that are null, empty or without words have no windows; repeated items count once by
-    their id. An empty benchmark or table gives rows without hits, or no rows. df must not have columns called n_words, spans, items.
+    their id. An empty benchmark or table gives rows without hits, or no rows.
     """
     spark = df.sparkSession
-    total = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
+    items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = total // block_bytes + 1
-    texts = df.select(F.col(text_col))
-    out, scratch = df, Scratch(spark, "decontam")
-    schema = StructType([*df.schema.fields, *FOUND.fields])
+    texts, at = df.select(column(text_col)), df.columns.index(text_col)
+    out, scratch = whole(df), Scratch(spark, "decontam")
+    schema = StructType([*out.schema.fields, *FOUND.fields])
     for b in range(n_blocks):
-        block = Items.of([tuple(r) for r in items.filter(F.pmod(F.xxhash64(F.col(item_id).cast("string")), F.lit(n_blocks)) == b).select(item_id, item_text).collect()], window)
+        # Items without an id, or with the same, part by their texts.
+        block = Items.of([tuple(r) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b).select("id", "text").collect()], window)
         wanted = rarity(block, shingle)
         sent = spark.sparkContext.broadcast((block, wanted))
         counts = {k: np.zeros(len(c), np.int64) for k, c in wanted.items()}
-        for k, at, n in texts.mapInArrow(lambda x, sent=sent: count_shingles(x, *sent.value), "k int, at long, n long").groupBy("k", "at").agg(F.sum("n")).collect():
-            counts[k][at] = n
+        for k, place, n in texts.mapInArrow(lambda x, sent=sent: count_shingles(x, *sent.value), "k int, at long, n long").groupBy("k", "at").agg(F.sum("n")).collect():
+            counts[k][place] = n
         found = spark.sparkContext.broadcast(prefixes(block, wanted, counts, shingle))
-        at = df.columns.index(text_col)
         if b:
             out = scratch.write(out, f"block{b}")
         out = out.mapInArrow(lambda x, sent=sent, found=found: mark(x, sent.value[0], found.value, at), schema)
@@ -257,5 +255,5 @@ def op2_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(tables(spark, sf_dir, "documents").select("doc_id", "text"), tables(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x[1] - x[0]).cast("long"))
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
+        "row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
     )

@@ -15,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from . import kernels as K
-from .store import short_batches, tables
+from .store import short_batches, tables, whole
 
-#: Rows a language in the training sample, in expectation; languages are few, so the sample is bounded.
-SAMPLE_ROWS = 500
+#: Rows a language in the training sample, and rows in all, in expectation (a row is 16 KB); and how many languages, the most frequent ones, a model knows.
+SAMPLE_ROWS, TOTAL_ROWS, MOST_LANGUAGES = 500, 8000, 1000
 BUCKET_BITS, DIMENSIONS, ORDERS, EPOCHS, RATE, BATCH = 12, 16, (3, 4), 30, 1.0, 32
 #: Of the calibration rows that are predicted right, the part that rejection may cost; and the margin put below that score.
 REJECT_RIGHT, MARGIN = 0.001, 0.8
@@ -31,6 +32,26 @@ _LETTER[65:91] = _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
 
 
+def buckets(wide: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Buckets of the runs of k bytes at the first n places."""
+    code = np.full(n, 0x9E37 * k, np.uint32)
+    for j in range(k):
+        code = (code ^ wide[j : n + j]) * np.uint32(0x01000193)
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
+
+
+def counted(data: np.ndarray) -> np.ndarray:
+    """How often each bucket occurs in one text, a chunk at a time."""
+    text = np.full(len(data) + 2, 32, np.uint8)
+    text[1:-1] = _LETTER[data]
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    for lo in range(0, len(text), K.CHUNK):
+        wide = text[lo : lo + K.CHUNK + max(ORDERS) - 1].astype(np.uint32)
+        for k in ORDERS:
+            out += np.bincount(buckets(wide, k, min(K.CHUNK, len(wide) - k + 1)), minlength=len(out)) if len(wide) >= k else 0
+    return out
+
+
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all byte runs of a block, one row of the result an order, and where each text's begin. Each text stands between spaces; a run that would leave its text has the bucket 2**BUCKET_BITS."""
     n = len(offsets) - 1
@@ -41,10 +62,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     wide = text.astype(np.uint32)
     out = np.empty((len(ORDERS), at[-1]), np.int64)
     for i, k in enumerate(ORDERS):
-        code = np.full(at[-1], 0x9E37 * k, np.uint32)
-        for j in range(k):
-            code = (code ^ wide[j : at[-1] + j]) * np.uint32(0x01000193)
-        out[i] = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
+        out[i] = buckets(wide, k, at[-1])
         for j in range(1, k):
             out[i, (at[1:] - j)] = 1 << BUCKET_BITS
     return out, at
@@ -57,9 +75,8 @@ def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = K.buffers(batch.column(1))
         rows: list[bytes] = []
         for a, b in K.blocks(offsets, K.BLOCK):
-            g, at = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            for r in range(b - a):
-                c = np.bincount(g[:, at[r] : at[r + 1]].ravel(), minlength=(1 << BUCKET_BITS) + 1)[: 1 << BUCKET_BITS].astype(np.float32)
+            for r in range(a, b):
+                c = counted(data[offsets[r] : offsets[r + 1]]).astype(np.float32)
                 rows.append((c / max(c.sum(), 1)).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "bag"])
 
@@ -119,10 +136,11 @@ def fit(x: np.ndarray, langs: list[str], seed: int = 7) -> Model:
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model of the rows with a language and a text; None if there are none. Rows are sampled by a hash of their id, a language alike."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().collect()  # one row a language
+    counts = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()
     if not counts:
         return None
-    share = F.create_map(*(F.lit(v) for lang, n in counts for v in (lang, min(1.0, sample_rows / n))))
+    each = min(sample_rows, TOTAL_ROWS // len(counts))
+    share = F.create_map(*(F.lit(v) for lang, n in counts for v in (lang, min(1.0, each / n))))
     place = F.pmod(F.xxhash64(F.lit("langid"), id_col, F.octet_length(text_col)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     got = rows.filter(place < F.element_at(share, F.col(lang_col))).select(lang_col, text_col).mapInArrow(bags, "lang string, bag binary").collect()
     got = sorted((r for r in got if any(r.bag)), key=lambda r: (r.lang, bytes(r.bag)))
@@ -134,7 +152,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
 @K.tidy
 def score(batches: Iterator[pa.RecordBatch], model: Model | None, text: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = K.buffers(batch.column(text))
+        data, offsets = K.buffers(batch.column(0).field(text))
         lang, best, known = [], np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
         for a, b in K.blocks(offsets):
             own, at0 = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -146,27 +164,30 @@ def score(batches: Iterator[pa.RecordBatch], model: Model | None, text: int) ->
             if model is None:
                 lang += [UNKNOWN] * (b - a)
                 continue
-            g, at = grams(own, at0)
-            total = np.add.reduceat(model.table[g[0]] + model.table[g[1]], at[:-1], axis=0)
+            if len(own) > K.CHUNK:  # one long text
+                total, at = counted(own)[None] @ model.table[:-1], at0 + 2 * np.arange(len(at0))
+            else:
+                g, at = grams(own, at0)
+                total = np.add.reduceat(model.table[g[0]] + model.table[g[1]], at[:-1], axis=0)
             n = np.maximum(1, len(ORDERS) * np.diff(at) - sum(k - 1 for k in ORDERS))
             p = softmax((total / n[:, None] + model.bias) / model.temperature)
             top = p.argmax(1)
             best[a:b] = np.where(letters, p[np.arange(b - a), top], 0.0)
             lang += [model.classes[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), letters.tolist(), strict=True)]
         rejected = ~known | (best < (model.least if model else np.inf))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(best), pa.array(rejected)], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(best), pa.array(rejected)], names=["row", "lang_pred", "score", "rejected"])
 
 
 def identify(df: DataFrame, model: Model | None, text_col: str) -> DataFrame:
-    """The rows of df with lang_pred, score and rejected added (df must not have these).
+    """row (a row of df, whole), lang_pred, score and rejected.
 
     A null text or one without letters is `und`, scores 0 and is rejected; so is everything without a model. A text whose score is under the
     calibrated least is rejected but keeps its prediction. Empty tables and repeated rows need no care.
     """
     short_batches(df.sparkSession)
-    sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(lambda x: score(x, sent.value, at), f"{schema}, lang_pred string, score double, rejected boolean")
+    rows, sent, at = whole(df), df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
+    return rows.mapInArrow(lambda x: score(x, sent.value, at), StructType([*rows.schema.fields, *added]))
 
 
 def remainder(id_col: str, n: int):
@@ -177,4 +198,4 @@ def op5_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
     held = remainder("doc_id", 4) == 2
     model = train(docs.filter(~held), "doc_id", "text", "lang")
-    return identify(docs.select("doc_id", held.alias("held_out"), "text"), model, "text").drop("text")
+    return identify(docs.select("doc_id", held.alias("held_out"), "text"), model, "text").select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")

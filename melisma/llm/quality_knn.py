@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import kernels as K
 from .langid import remainder
-from .store import short_batches, tables
+from .store import short_batches, tables, whole
 
 #: Labelled rows a class, in expectation: they bound what is fitted and what is broadcast (2 * SAMPLE_ROWS vectors of DIMENSIONS floats).
 SAMPLE_ROWS = 1500
@@ -33,8 +34,17 @@ TERMS = (1 << WORD_BITS) + (1 << OUTLINE_BITS) + 2
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Term counts, a row a text."""
+    """Term counts, a row a text. Of a long text those of its parts are added, which are cut at white space where there is any near."""
     n = len(offsets) - 1
+    if n == 1 and len(data) > K.CHUNK:
+        out, lo = np.zeros((1, TERMS), np.float32), 0
+        while lo < len(data):
+            hi = min(len(data), lo + K.CHUNK // 2)
+            space = np.flatnonzero(data[hi : hi + 4096] <= 32)
+            hi += int(space[0]) if hi < len(data) and len(space) else 0
+            out += counts(data[lo:hi], np.array([0, hi - lo]))
+            lo = hi
+        return out
     s, e, rows, _ = K.words(data, offsets)
     hashes = K.word_hashes(data, s, e)
     fresh = np.ones(len(s), np.int64)
@@ -101,13 +111,14 @@ def fit(c: np.ndarray, labels: np.ndarray, seed: int = 11) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model of the documents with a text and a label of 0 or 1; None if there are none. A class gives sample_rows labels in expectation, chosen by a hash of the id, and only these meet the documents."""
-    labels = labels.filter(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("label"))
+    labels = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     n = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
-    place = F.pmod(F.xxhash64(F.lit("quality"), id_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    place = F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.when(F.col("label") == 1, min(1.0, sample_rows / n.get(1, 1))).otherwise(min(1.0, sample_rows / n.get(0, 1)))
     chosen = labels.filter(place < share)
     # About 2 * sample_rows rows of two numbers, whatever the size of the tables.
-    got = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col).select("label", text_col).mapInArrow(sampled, "label int, bag binary").collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    got = texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(sampled, "label int, bag binary").collect()
     got.sort(key=lambda r: (r.label, bytes(r.bag)))
     if not got:
         return None
@@ -115,9 +126,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
 
 def vote(cosines: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the nearest; where nothing is similar, the prior."""
+    """Similarity-weighted share of label 1 among the nearest; where nothing is similar, the prior. Of vectors that are equally near at the last place the first ones vote."""
     k = min(NEIGHBOURS, cosines.shape[1])
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    least = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, -k:].min(1, keepdims=True)
+    above, ties = cosines > least, cosines == least
+    chosen = above | (ties & (np.cumsum(ties, axis=1) <= k - above.sum(1, keepdims=True)))
+    near = np.nonzero(chosen)[1].reshape(len(cosines), k)
     w = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** SHARPNESS
     return np.clip(((w * labels[near]).sum(1) + 1e-6 * prior) / (w.sum(1) + 1e-6), 0.0, 1.0)
 
@@ -126,25 +140,24 @@ def vote(cosines: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
 def rate(batches: Iterator[pa.RecordBatch], model: Model | None, text: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.zeros(batch.num_rows)
-        data, offsets = K.buffers(batch.column(text))
+        data, offsets = K.buffers(batch.column(0).field(text))
         if model is not None:
             for a, b in K.blocks(offsets, K.BLOCK):
                 for c in range(a, b, 256):
                     d = min(b, c + 256)
                     x = weighted(counts(data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c]), model.idf)
                     out[c:d] = vote(unit(x @ model.directions) @ model.vectors.T, model.labels, model.prior)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array((out >= CUT).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array((out >= CUT).astype(np.int32))], names=["row", "score", "predicted"])
 
 
 def classify(df: DataFrame, model: Model | None, text_col: str) -> DataFrame:
-    """The rows of df with score and predicted added (df must not have these).
+    """row (a row of df, whole), score and predicted.
 
     A null or empty text is similar to nothing and scores the sample's share of label 1. Without labelled rows every score is 0.
     """
     short_batches(df.sparkSession)
-    sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(lambda x: rate(x, sent.value, at), f"{schema}, score double, predicted int")
+    rows, sent, at = whole(df), df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
+    return rows.mapInArrow(lambda x: rate(x, sent.value, at), StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def op8_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,4 +165,4 @@ def op8_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder("doc_id", 5) == 0
     labels = tables(spark, sf_dir, "labels").filter(~held).select("doc_id", "quality")
     model = train(docs, labels, "doc_id", "text", "quality")
-    return classify(docs.select("doc_id", held.alias("held_out"), "text"), model, "text").drop("text")
+    return classify(docs.select("doc_id", held.alias("held_out"), "text"), model, "text").select("row.doc_id", "row.held_out", "score", "predicted")

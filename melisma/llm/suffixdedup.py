@@ -11,7 +11,7 @@ times, so suffixes are sorted only where it can matter:
    polynomial hashes. Neighbours that share LENGTH bytes are one class; equal hashes are verified byte by byte.
 4. Coverage goes back to the documents, which compute their pieces again and drop the covered bytes.
 
-Pieces are known by 40 bits of their anchor's hash and 64 of their own. A piece in many documents is reduced to its least document in every ROUND_BYTES of
+Pieces are known by 40 bits of their anchor's hash (48 or 64 for a corpus over 2 or 500 TB, so that unrelated pieces rarely share one) and 64 of their own. A piece in many documents is reduced to its least document in every ROUND_BYTES of
 text before the shuffle, so a passage in a third of all documents arrives once for these. Blobs of many entries are moved, not rows.
 """
 
@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from . import kernels as K
-from .store import Scratch, tables
+from .store import Scratch, column, tables
 
 LENGTH = 50
-ANCHOR_BITS, INDEX_BITS = 40, 24
+INDEX_BITS = 24
 SEGMENT = 1 << 23
 #: Pieces in a bucket of step 1, bytes of text in a bucket of step 4; and the most buckets that there are.
 BUCKET_PIECES, BUCKET_BYTES, MOST_BUCKETS = 1 << 18, 1 << 25, 1 << 20
+#: Bytes of text to a task of each shuffle, and the most tasks; beyond that a task has more, and sorts on disk.
+TASK_BYTES, MOST_TASKS = 16 << 20, 50_000
 #: Bytes of text whose repeats are settled among each other before the shuffle.
 ROUND_BYTES = 1 << 23
 #: Different pieces of one anchor from which on it is hot.
@@ -65,9 +67,8 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     values = K.BYTE_VALUES[data]
     h = K.prefix(values, K.BASES[0])
-    key = K.mix((h[gram:] - h[:-gram]) * K.powers(K.BASES[0], len(data))[1][: len(data) - gram + 1])
-    key >>= np.uint64(INDEX_BITS)
-    key <<= np.uint64(INDEX_BITS)
+    grams = K.mix((h[gram:] - h[:-gram]) * K.powers(K.BASES[0], len(data))[1][: len(data) - gram + 1])
+    key = grams >> np.uint64(INDEX_BITS) << np.uint64(INDEX_BITS)
     key |= np.arange(len(key), dtype=np.uint64)
     least = K.sliding_min(key, width)  # of each string: anchor hash, then the leftmost place
     inside = np.zeros(len(data) + 1, np.int32)
@@ -86,7 +87,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     row = np.searchsorted(offsets, s, "right") - 1
     h = K.prefix(values, K.BASES[1])
     own = K.mix((h[e] - h[s]) * K.powers(K.BASES[1], len(data))[1][s] + (e - s).astype(np.uint64))
-    return row, s, e, chosen[first] >> np.uint64(INDEX_BITS), own
+    return row, s, e, grams[(chosen[first] & np.uint64((1 << INDEX_BITS) - 1)).astype(np.int64)], own
 
 
 def ids(column: pa.Array) -> np.ndarray:
@@ -98,9 +99,18 @@ def home(doc: np.ndarray, n: int) -> np.ndarray:
     return (K.mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-def halves(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 40-bit hash in the 5 bytes that it needs."""
-    return anchor.astype(np.uint32), (anchor >> np.uint64(32)).astype(np.uint8)
+def anchor_kinds(total: int) -> tuple[str, str]:
+    """The types that an anchor's hash is written in, for a corpus of so many bytes: leading bits first."""
+    return "u4", "u1" if total <= 2 << 40 else "u2" if total <= 500 << 40 else "u4"
+
+
+def shortened(anchor: np.ndarray, kinds: tuple[str, str]) -> np.ndarray:
+    return anchor >> np.uint64(64 - 8 * sum(np.dtype(k).itemsize for k in kinds))
+
+
+def halves(anchor: np.ndarray, kinds: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """A shortened hash in no more bytes than it needs."""
+    return anchor.astype(kinds[0]), (anchor >> np.uint64(32)).astype(kinds[1])
 
 
 def blobs(to: np.ndarray, kind: int, *columns: np.ndarray, steps: bool = False) -> Iterator[tuple[int, int, bytes]]:
@@ -151,7 +161,7 @@ def anchor_bucket(anchor: np.ndarray, n: int) -> np.ndarray:
 
 
 @K.tidy
-def find_pieces(batches: Iterator[pa.RecordBatch], n_buckets: int, n_homes: int, length: int) -> Iterator[pa.RecordBatch]:
+def find_pieces(batches: Iterator[pa.RecordBatch], n_buckets: int, n_homes: int, length: int, kinds: tuple[str, str] = ("u4", "u1")) -> Iterator[pa.RecordBatch]:
     """Step 1, with each round's repeats settled: entries (document, anchor, piece) by anchor, and, passed on by document, what a smaller document of the round covers."""
 
     def of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
@@ -164,7 +174,7 @@ def find_pieces(batches: Iterator[pa.RecordBatch], n_buckets: int, n_homes: int,
         got = []
         for a, b in K.blocks(offsets):
             row, _, _, anchor, own = pieces(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
-            got.append((doc[a:b][row], anchor, own))
+            got.append((doc[a:b][row], shortened(anchor, kinds), own))
         if not got:
             return
         d, anchor, own = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -181,7 +191,7 @@ def find_pieces(batches: Iterator[pa.RecordBatch], n_buckets: int, n_homes: int,
         yield from blobs(home(d[over], n_homes) % n_buckets, FULL, d[over], own[over])
         order = np.argsort(d[new], kind="stable")
         d, anchor, own = d[new][order], anchor[new][order], own[new][order]
-        yield from blobs(anchor_bucket(anchor, n_buckets), ASK, d, *halves(anchor), own, steps=True)
+        yield from blobs(anchor_bucket(anchor, n_buckets), ASK, d, *halves(anchor, kinds), own, steps=True)
 
     for batch in batches:
         yield from as_batches(of(batch))
@@ -202,7 +212,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
 
 
 @K.tidy
-def settle_pieces(batches: Iterator[pa.RecordBatch], n_homes: int) -> Iterator[pa.RecordBatch]:
+def settle_pieces(batches: Iterator[pa.RecordBatch], n_homes: int, kinds: tuple[str, str] = ("u4", "u1")) -> Iterator[pa.RecordBatch]:
     """Steps 2 and 3, first half: what equal pieces cover, and which pieces' bytes are needed; both by document."""
 
     def of(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
@@ -210,7 +220,7 @@ def settle_pieces(batches: Iterator[pa.RecordBatch], n_homes: int) -> Iterator[p
             if kind == FULL:
                 d, own = entries(blob, "i8", "u8")
                 yield from blobs(home(d, n_homes), FULL, d, own, np.zeros(len(d), np.int32), np.full(len(d), WHOLE, np.int32))
-        asked = [entries(blob, "i8", "u4", "u1", "u8") for kind, blob in held if kind == ASK]
+        asked = [entries(blob, "i8", *kinds, "u8") for kind, blob in held if kind == ASK]
         if not asked:
             return
         d = np.concatenate([np.cumsum(x[0]) for x in asked])
@@ -303,8 +313,8 @@ def fetch(batches: Iterator[pa.RecordBatch], n_buckets: int, length: int) -> Ite
         if not (mine := replies.has(doc)).any():
             continue
         keep = np.flatnonzero(mine)
-        doc, column = doc[keep], batch.column(4).take(pa.array(keep))
-        data, offsets = K.buffers(column)
+        doc, texts = doc[keep], batch.column(4).take(pa.array(keep))
+        data, offsets = K.buffers(texts)
         strings: list[tuple[np.ndarray, ...]] = []
         for a, b in K.blocks(offsets):
             block = data[offsets[a] : offsets[b]]
@@ -525,20 +535,22 @@ def free(spark: SparkSession) -> None:
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
-    """The rows of df with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes) added; df must not have these. As text, kept is a string (null for null), in which what is left of a cut character is missing.
+    """row (a row of df without its text), text, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes). As text, kept is a string (null for null), in which what is left of a cut character is missing.
 
-    Null texts are empty; texts under `length` bytes lose nothing. Only smaller ids count: rows that repeat an id don't cover each other, and a null id is less than
-    all others. An empty table gives no rows. Other columns pass through, whatever they are called.
+    Null texts are empty; texts under `length` bytes lose nothing. Ids are integers, or anything that casts to long without loss; an id that doesn't is an error. Only smaller ids count: rows that repeat an
+    id don't cover each other (they meet in one bucket), and a null id is less than all others. An empty table gives no rows. Other columns pass through, whatever they are called.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "suffixdedup")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    doc, text = column(id_col).cast("long").alias("doc"), column(text_col).alias("text")
+    total = df.agg(F.coalesce(F.sum(F.octet_length(column(text_col))), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, total // TASK_BYTES))
+    kinds = anchor_kinds(total)
     n_buckets = int(min(MOST_BUCKETS, max(64, total // 13 // BUCKET_PIECES)))
     n_homes = int(min(MOST_BUCKETS, max(64, total // BUCKET_BYTES)))
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    dealt = texts.mapInArrow(lambda x: find_pieces(x, n_buckets, n_homes, length), BLOBS).repartition(tasks, "to").sortWithinPartitions("to")
-    replies = scratch.write(dealt.mapInArrow(lambda x: settle_pieces(x, n_homes), BLOBS), "replies")
+    texts = df.select(doc, text)
+    dealt = texts.mapInArrow(lambda x: find_pieces(x, n_buckets, n_homes, length, kinds), BLOBS).repartition(tasks, "to").sortWithinPartitions("to")
+    replies = scratch.write(dealt.mapInArrow(lambda x: settle_pieces(x, n_homes, kinds), BLOBS), "replies")
     free(spark)
 
     # A document's bucket is computed in numpy, where that of its replies is.
@@ -548,20 +560,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         back = replies.filter(F.col("kind") == kind)
         for m in more:
             back = back.unionByName(m)
-        kinds = dict(zip(rows.columns, (f.dataType for f in rows.schema.fields), strict=True))
-        back = back.select("to", "kind", "blob", *(F.lit(None).cast(kinds[c]).alias(c) for c in names))
+        types = dict(zip(rows.columns, (f.dataType for f in rows.schema.fields), strict=True))
+        back = back.select("to", "kind", "blob", *(F.lit(None).cast(types[c]).alias(c) for c in names))
         own = rows.select(home_of("doc").alias("to"), F.lit(TEXT).alias("kind"), F.lit(None).cast(BinaryType()).alias("blob"), *names)
         return back.unionByName(own).repartition(tasks, "to").sortWithinPartitions("to", "kind")
 
     asked = with_replies(texts, ["doc", "text"], ASK).mapInArrow(lambda x: fetch(x, n_buckets, length), FETCHED)
     partial = scratch.write(asked.repartition(tasks, "to").sortWithinPartitions("to").mapInArrow(lambda x: sort_suffixes(x, n_homes, length), BLOBS), "partial")
     free(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row"))
+    rows = df.select(doc, text, F.struct(*(column(c) for c in df.columns if c != text_col)).alias("row"))
     out = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if as_text else BinaryType())])
     done = with_replies(rows, ["doc", "text", "row"], FULL, partial).mapInArrow(lambda x: apply(x, length, as_text), out)
-    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns), "n_bytes", "n_removed", "n_spans", "kept")
+    return done.select("row", "text", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(tables(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

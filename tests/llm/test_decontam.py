@@ -36,7 +36,7 @@ def same(spark, docs, items):
     i = spark.createDataFrame(items, "item_id long, text string")
     n_hit = F.aggregate("spans", F.lit(0), lambda a, x: a + x[1] - x[0])
     got = {}
-    for r in decontam.find_contamination(d, i).select("doc_id", "n_words", n_hit.alias("h"), "items").collect():
+    for r in decontam.find_contamination(d, i).select("row.doc_id", "n_words", n_hit.alias("h"), "items").collect():
         got.setdefault(r.doc_id, []).append((r.n_words, r.h, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.h > 0))
     want = brute([x[:2] for x in docs], items)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
@@ -66,7 +66,7 @@ def test_blocks_of_the_benchmark_agree(spark):
     docs = [(k, " ".join(f"w{(k * 7 + j) % 40}" for j in range(60)), "s") for k in range(30)]
     items = [(k, " ".join(f"w{(k * 3 + j) % 40}" for j in range(15))) for k in range(20)]
     d, i = spark.createDataFrame(docs, "doc_id long, text string, source string"), spark.createDataFrame(items, "item_id long, text string")
-    read = lambda df: sorted((r.doc_id, str(r.spans), str(r["items"])) for r in df.collect())
+    read = lambda df: sorted((r.row.doc_id, str(r.spans), str(r["items"])) for r in df.collect())
     assert read(decontam.find_contamination(d, i)) == read(decontam.find_contamination(d, i, block_bytes=300))
     same(spark, docs, items)
 

@@ -16,7 +16,7 @@ def test_edges(spark):
     df = spark.createDataFrame(texts(300), "doc_id long, text string, lang string")
     model = langid.train(df, "doc_id", "text", "lang")
     odd = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "123 %% 4", 1), (4, "日本語", 1), (5, "the house and the water " * 3000, 1), (5, "der die und nicht", 1), (5, "der die und nicht", 1)], "doc_id long, text string, g int")
-    rows = langid.identify(odd, model, "text").orderBy("doc_id", F.length("text")).collect()
+    rows = langid.identify(odd, model, "text").orderBy("row.doc_id", F.length("row.text")).collect()
     assert [r.lang_pred for r in rows[:3]] == ["und"] * 3 and all(r.score == 0 and r.rejected for r in rows[:3])
     assert rows[3].lang_pred in WORDS and [r.lang_pred for r in rows[4:]] == ["de", "de", "en"] and all(0 <= r.score <= 1 for r in rows)
     assert langid.identify(odd.limit(0), model, "text").count() == 0
@@ -27,8 +27,8 @@ def test_edges(spark):
 def test_chunks_and_batches_do_not_matter(spark, monkeypatch):
     df = spark.createDataFrame(texts(120), "doc_id long, text string, lang string")
     model = langid.train(df, "doc_id", "text", "lang")
-    one = {r.doc_id: r.score for r in langid.identify(df.coalesce(1), model, "text").collect()}
-    many = {r.doc_id: r.score for r in langid.identify(df.repartition(7), model, "text").collect()}
+    one = {r.row.doc_id: r.score for r in langid.identify(df.coalesce(1), model, "text").collect()}
+    many = {r.row.doc_id: r.score for r in langid.identify(df.repartition(7), model, "text").collect()}
     assert max(abs(one[k] - many[k]) for k in one) < 1e-5
 
 

@@ -20,7 +20,7 @@ def test_edges(spark):
     labels = spark.createDataFrame([(x[0], x[2]) for x in rows] + [(999, 1), (0, None)], "doc_id long, quality int")
     model = quality_knn.train(docs, labels, "doc_id", "text", "quality")
     odd = spark.createDataFrame([(1, None, "l"), (2, "", "l"), (3, rows[0][1] * 50, "l"), (4, rows[1][1], "l"), (4, rows[1][1], "l")], "doc_id long, text string, label string")
-    got = quality_knn.classify(odd, model, "text").orderBy("doc_id").collect()
+    got = quality_knn.classify(odd, model, "text").orderBy("row.doc_id").collect()
     assert abs(got[0].score - model.prior) < 1e-9 and got[0].score == got[1].score
     assert got[2].predicted == 0 and [r.predicted for r in got[3:]] == [1, 1] and got[3].score == got[4].score
     assert quality_knn.classify(odd.limit(0), model, "text").count() == 0
