@@ -12,7 +12,7 @@ from melisma.llm.store import Scratch, tables
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language and those whose score the calibration rejects."""
     model = langid.train(docs.filter(langid.remainder("doc_id", 4) != 2), "doc_id", "text", "lang")
-    return langid.identify(docs, model, "text").filter(~F.col("rejected")).select(docs.columns)
+    return langid.identify(docs, model, "text").filter(~F.col("rejected")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,15 +22,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes byte strings that a document with a smaller id has. Where a cut divides a character, what is left of it goes too."""
-    found = suffixdedup.remove_repeats(docs, as_text=True).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    found = suffixdedup.remove_repeats(docs, as_text=True)
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(docs.columns)
+        new["n_chars"] = F.when(cut, F.char_length("kept").cast("long")).otherwise(F.col("row")["n_chars"])
+    return found.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    return decontam.find_contamination(docs, tables(spark, sf_dir, "benchmark")).filter(F.size("spans") == 0).select(docs.columns)
+    return decontam.find_contamination(docs, tables(spark, sf_dir, "benchmark")).filter(F.size("spans") == 0).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
