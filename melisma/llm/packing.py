@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StructField, StructType
 
 from . import kernels as K
 from .store import Scratch, column, tables
 
 LIMIT, NEARLY_FULL, ROUND_ITEMS, LEAST_GAIN = 2048, 0.985, 8000, 0.1
-#: Bytes of token ids that a task holds before it packs them; and bins that are ranked in one group at the root.
-HELD_BYTES, RANKED = 1 << 26, 200_000
+#: Bytes of token ids that a task holds before it packs them.
+HELD_BYTES = 1 << 24
 #: Numbers of bins that the root makes begin here, beyond those of the rounds.
 ROOT = 16 << 58
 
@@ -75,11 +75,11 @@ class Tokenizer:
         return np.asarray(self.fast.encode_to_numpy(text), "<u4").tobytes() if text else b""
 
 
-def pieces(ids: bytes, limit: int) -> list[tuple[int, int, int]]:
-    """(start, length, crc32); only what exceeds the limit is cut, and then the first piece is the odd one."""
+def pieces(ids: bytes, limit: int) -> list[tuple[int, int]]:
+    """(start, length); only what exceeds the limit is cut, and then the first piece is the odd one."""
     n = len(ids) // 4
     cuts = [0, *range(n % limit or limit, n + 1, limit)] if n > limit else [0, n]
-    return [(a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
@@ -104,19 +104,19 @@ def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-MEMBER = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+MEMBER = ["doc_id", "piece", "start", "length", "ids"]
 
 
 def bin_schema(id_type: DataType) -> StructType:
-    kinds = [id_type, IntegerType(), LongType(), LongType(), LongType(), ArrayType(IntegerType())]
+    kinds = [id_type, IntegerType(), LongType(), LongType(), BinaryType()]
     return StructType([StructField("bin", LongType()), StructField("size", IntegerType()), StructField("members", ArrayType(StructType([StructField(n, t) for n, t in zip(MEMBER, kinds, strict=True)])))])
 
 
 def packed(sizes: np.ndarray, first: np.ndarray, members: pa.StructArray, limit: int, number: int) -> Iterator[pa.RecordBatch]:
     """Bins of items, of which item i has the members first[i] to first[i + 1], in batches."""
     got = best_fit(sizes.tolist(), limit)
-    for a in range(0, len(got), 1000):
-        part = got[a : a + 1000]
+    for a in range(0, len(got), 250):
+        part = got[a : a + 250]
         order = np.array([i for b in part for i in b], np.int64)
         n = first[order + 1] - first[order]
         which = np.repeat(first[order], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -130,28 +130,24 @@ def packed(sizes: np.ndarray, first: np.ndarray, members: pa.StructArray, limit:
 def tokenise_and_pack(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     tokenizer, number = Tokenizer(path), TaskContext.get().partitionId() << 40
     rows: list[tuple] = []
-    held: list[bytes] = []
     size, kind = 0, pa.int64()
 
     def bins() -> Iterator[pa.RecordBatch]:
         if rows:
             lengths = np.array([r[3] for r in rows], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(np.frombuffer(b"".join(held), "<i4")))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            yield from packed(lengths, np.arange(len(rows) + 1), pa.StructArray.from_arrays([*columns, ids], names=MEMBER), limit, number)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            yield from packed(lengths, np.arange(len(rows) + 1), pa.StructArray.from_arrays(columns, names=MEMBER), limit, number)
 
     for batch in batches:
         kind = batch.column(0).type
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids = tokenizer(text.as_py() or "") + b"\0\0\0\0"
-            for k, (start, length, crc) in enumerate(pieces(ids, limit)):
-                rows.append((doc, k, start, length, crc))
-            held.append(ids)
+            rows += [(doc, k, start, length, ids[4 * start : 4 * (start + length)]) for k, (start, length) in enumerate(pieces(ids, limit))]
             size += len(ids)
             if len(rows) >= 4 * ROUND_ITEMS or size > HELD_BYTES:
                 yield from bins()
                 number += len(rows)
-                rows, held, size = [], [], 0
+                rows, size = [], 0
     yield from bins()
 
 
@@ -201,11 +197,11 @@ def root_plan(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, i
 
 
 def packed_at_the_root(bins: DataFrame, limit: int) -> DataFrame:
-    """(bin, members, base): all bins that are left, packed as one. Ranks among bins of a size come from counts by size and segment."""
+    """(bin, members, base): all bins that are left, packed as one. Ranks among bins of a size come from counts by size and segment, of which there are as many as bins in one."""
     spark = bins.sparkSession
     sizes = {r[0]: r[1] for r in bins.groupBy("size").count().collect()}  # at most `limit` numbers
     plan = spark.createDataFrame(root_plan(sizes, limit) or [(0, 0, 0, 1, 0, 0)], "size int, lo long, hi long, each int, at long, before long")
-    segments = sum(sizes.values()) // RANKED + 1
+    segments = math.isqrt(sum(sizes.values())) + 1
     light = bins.select("bin", "size", F.pmod(F.xxhash64("bin"), F.lit(segments)).alias("segment"))
     starts = light.groupBy("size", "segment").agg(F.count(F.lit(1)).alias("there"))
     starts = starts.select("size", "segment", (F.sum("there").over(Window.partitionBy("size").orderBy("segment")) - F.col("there")).alias("start"))
@@ -218,7 +214,7 @@ def packed_at_the_root(bins: DataFrame, limit: int) -> DataFrame:
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids. A sequence is its pieces' ids by offset.
+    """One row a piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset. A sequence is its pieces' ids by offset.
 
     A null or empty text is the single id 0. Repeated rows are packed each. Ids of documents are of any type. An empty table gives no rows. Other columns play no part.
     After the root has packed, no two of the bins that were not nearly full would fit into one sequence, so these are more than half full on average.
@@ -246,8 +242,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     for x in out[1:]:
         every = every.unionByName(x)
     before = F.aggregate(F.transform(F.slice("members", 1, F.col("at")), lambda m: m["length"]), F.col("base"), lambda a, n: a + n)
-    return every.select("bin", "members", "base", F.posexplode("members").alias("at", "m")).select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", F.col("bin").alias("sequence_id"), before.alias("offset"), "m.ids")
+    return every.select("bin", "members", "base", F.posexplode("members").alias("at", "m")).select("m.doc_id", "m.piece", "m.start", "m.length", F.col("bin").alias("sequence_id"), before.alias("offset"), "m.ids")
 
 
 def op7_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(tables(spark, sf_dir, "documents")).drop("ids")
+    return pack(tables(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
