@@ -60,8 +60,8 @@ class Tokenizer:
         vocabulary = content["model"]["vocab"]
         ranks = {bytes(spelt[c] for c in token): i for token, i in vocabulary.items() if all(c in spelt for c in token) and not re.fullmatch(r"<\|.*\|>", token)}
         self.fast = tiktoken.Encoding("packing", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        added = "".join(f"|{re.escape(t['content'])}" for t in content.get("added_tokens", ()))
-        self.other = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]|[\x1c-\x1f\x85]" + added)
+        self.special = [t["content"] for t in content.get("added_tokens", ())]
+        self.other = re.compile("[^\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u20ac]")
 
     @functools.cached_property
     def library(self):
@@ -70,9 +70,9 @@ class Tokenizer:
         return Library.from_file(self.path)
 
     def __call__(self, text: str) -> bytes:
-        if self.other.search(text):
+        if self.other.search(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.asarray(self.fast.encode_to_numpy(text), "<u4").tobytes() if text else b""
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 def pieces(ids: bytes, limit: int) -> list[tuple[int, int]]:
