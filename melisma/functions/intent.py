@@ -1,111 +1,223 @@
-"""Prompts to structured requests by rules: counts, durations, references, exclusions, journeys."""
+"""Prompts to structured requests by rules, as column expressions: counts, durations, periods, references, inclusions, exclusions, alternatives, journeys and energy.
 
-from __future__ import annotations
+Quoted text is masked first, so that words in a title never act as syntax. Numbers are read by one pass over a prompt's words that carries the number
+met last and how many words ago it was; phrases are found by patterns over the masked prompt and cut into names.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words of numbers, and what is counted.
-NUMBERS = {
-    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16,
-    "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100,
-    "a dozen": 12, "half a dozen": 6, "a handful": 8, "a few": 5, "one hundred": 100, "a hundred": 100,
-}
-_WORDS = "|".join(sorted(NUMBERS, key=len, reverse=True))
-_COUNT = re.compile(rf"(?i)\b(\d{{1,9}}|(?:{_WORDS})(?:[ -](?:{_WORDS}))?)[\s-]+(?:[^\W\d_]+\s+){{0,4}}?(?:songs?|tracks?|tunes?|pieces?)\b")
-_TIME = re.compile(rf"(?i)\b(\d{{1,4}}|(?:{_WORDS}))[\s-]*(hours?|hrs?|minutes?|mins?|seconds?|secs?)\b")
-_LIKE = re.compile(r"(?i)\b(?:like|similar to|in the style of)\s+(\"[^\"]+\"|[A-Z][\w&'.-]*(?:\s+[A-Z][\w&'.-]*)*)")
-_NOT = re.compile(r"(?i)\b(?:no|without|avoid|not|except)\s+([\w-]+)")
-_PATH = re.compile(r"(?i)\bfrom\s+([\w -]+?)\s+to\s+([\w -]+?)(?:[,.;!?]|$)")
+# Words of numbers, what is counted, and what is measured but is no count of tracks.
+UNITS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19}
+TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
+GROUPS = {"dozen": 12, "handful": 8, "few": 5, "hundred": 100}
+NOUNS = ["song", "songs", "track", "tracks", "tune", "tunes", "piece", "pieces", "long"]
+MEASURES = ["year", "years", "bpm", "decade", "decades", "artist", "artists", "album", "albums", "genre", "genres", "playlist", "playlists"]
+TIMES = {"hour": 3600, "hours": 3600, "hr": 3600, "hrs": 3600, "minute": 60, "minutes": 60, "min": 60, "mins": 60, "second": 1, "seconds": 1, "sec": 1, "secs": 1}
 LEAST, MOST, PLAIN = 1, 100, 20
-SCHEMA = "mode string, track_count int, explicit_count boolean, duration_seconds int, references array<string>, exclusions array<string>, stages array<string>"
-
-
-def number(phrase: str) -> int:
-    p = phrase.lower()
-    if p.isdigit():
-        return int(p)
-    return NUMBERS[p] if p in NUMBERS else sum(NUMBERS.get(w, 0) for w in re.split(r"[ -]+", p))
-
-
-def track_count(prompt: str) -> int | None:
-    """The last number that counts songs, tracks, tunes or pieces."""
-    found = _COUNT.findall(prompt)
-    return number(found[-1]) if found else None
-
-
-def duration_seconds(prompt: str) -> int | None:
-    found = [(number(n), u[0].lower()) for n, u in _TIME.findall(prompt)]
-    return sum(n * {"h": 3600, "m": 60, "s": 1}[u] for n, u in found) or None
-
-
-def parse(prompt: str | None) -> dict:
-    p = prompt or ""
-    n, stages = track_count(p), [s.strip() for m in _PATH.finditer(p) for s in m.groups()]
-    unique = lambda xs: list(dict.fromkeys(x.strip('" ').lower() for x in xs))
-    return {
-        "mode": "journey" if stages else "similar", "track_count": min(max(n if n is not None else PLAIN, LEAST), MOST), "explicit_count": n is not None, "duration_seconds": duration_seconds(p),
-        "references": unique(_LIKE.findall(p)), "exclusions": unique(_NOT.findall(p)), "stages": stages,
-    }
+#: Words between a number and what it counts, and words of a name.
+BETWEEN, NAME_WORDS = 4, 6
+
+# Characters for private use: what stands for each character of quoted text, and what stands around the number of a quoted name.
+_HIDE, _OPEN, _SHUT = "\ue000", "\ue001", "\ue002"
+_END = r"(?=\s*(?:[,:;.!?\n()]|$)|\s+(?:but|with|without|for|over|via|through|then|that|and then|by the end|at the end|instead|rather|starting|ending|featuring|include|including|no|not|except|avoid)\b)"
+_LIKE = r"\b(?:similar to|inspired by|in the style of|along the lines of|music by|songs by|tracks by|the artist|like)\s+"
+_NOT = r"\b(?:do not include|don['’]t include|don['’]t play|do not play|don['’]t want|do not want|nothing by|nothing from|nothing too|excluding|exclude|without|except|avoid|skip|no|not|less)\s+(?!only\b|more than\b)"
+_WITH = r"\b(?<!not )(?<!n['’]t )(?:must include|must have|including|include|add|featuring)\s+"
+
+
+def _map(values: dict[str, int], key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
+
+
+def masked(prompt: Column) -> Column:
+    """The prompt with every character between quotation marks hidden; lengths stay."""
+    pieces = F.regexp_extract_all(prompt, F.lit(r"(\"[^\"]*\"|“[^”]*”|[^\"“]+|[\"“])"), F.lit(1))
+    hidden = F.transform(pieces, lambda x: F.when(x.rlike(r"^[\"“].+[\"”]$"), F.concat(F.substring(x, 1, 1), F.repeat(F.lit(_HIDE), F.char_length(x) - 2), F.substring(x, -1, 1))).otherwise(x))
+    return F.array_join(hidden, "")
+
+
+def words(text: Column) -> Column:
+    """Lower-cased words; a hyphen after a number, or between words of a number, parts them."""
+    low = F.regexp_replace(F.lower(text), r"(?<![\p{L}\p{N}-])(\d{1,9})\p{Pd}(?=(?:song|track|tune|piece|hour|hr|min|sec)[a-z]*\b)", "$1 ")
+    low = F.regexp_replace(low, rf"\b({'|'.join(TENS)})\p{{Pd}}(?=(?:{'|'.join(UNITS)})\b)", "$1 ")
+    low = F.regexp_replace(low, rf"\b({'|'.join([*UNITS, *TENS])})\p{{Pd}}(?=(?:song|track|tune|piece|hour|minute|second)s?\b)", "$1 ")
+    return F.regexp_extract_all(low, F.lit(r"(\d{1,9}(?=\s?\p{Pd}\s?\d)|[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}'’&.-]*[\p{L}\p{N}])?)"), F.lit(1))
+
+
+def measured(text: Column) -> Column:
+    """struct(count, seconds, least_seconds) of a masked prompt: the number that counts tracks last, the time asked for, and the lower end of a range of times; each null if it isn't said.
+
+    One pass: `n` is the number met last, `age` the words since, `low` a number that it may be the upper end to, `part` whether a word of tens may still be added to.
+    """
+    start = F.struct(*(F.lit(None).cast("int").alias(c) for c in ("n", "low", "count", "seconds", "least")), F.lit(0).alias("age"), F.lit(False).alias("part"), F.lit("").alias("last"), F.lit("").alias("before"))
+
+    def step(s: Column, w: Column) -> Column:
+        unit, ten, group, time = _map(UNITS, w), _map(TENS, w), _map(GROUPS, w), _map(TIMES, w)
+        digits = F.when(w.rlike(r"^\d{1,9}$"), w.cast("int"))
+        refused = s["last"].isin("no", "not", "without")
+        half = (s["last"] == "half") | ((s["last"].isin("a", "an")) & (s["before"] == "half"))
+        grouped = F.when(group.isNotNull() & s["last"].isin("a", "one"), F.when(half, F.floor(group / 2).cast("int")).otherwise(group))
+        number = F.when(unit.isNotNull() & s["part"] & (s["age"] == 0) & (unit < 10), s["n"] + unit).otherwise(F.coalesce(digits, unit, ten, grouped))
+        number = F.when(~refused | s["part"], number)
+        article = F.when(s["last"].isin("a", "an"), F.lit(1))
+        amount = F.when(s["age"] == 0, s["n"])
+        seconds = F.when(time.isNotNull(), F.when(half, F.floor(time / 2).cast("int")).otherwise(F.coalesce(amount, article) * time))
+        half_more = (w == "half") & (s["last"] == "a") & (s["before"] == "and")
+        counts = s["n"].isNotNull() & (s["age"] <= BETWEEN) & (w.isin(NOUNS) | ((w == "them") & (s["last"] == "of")))
+        ends = time.isNotNull() | w.isin(MEASURES) | counts
+        upper = number.isNotNull() & s["n"].isNotNull() & (s["age"] == 1) & s["last"].isin("to", "or", "and")
+        upper = upper | (number.isNotNull() & s["n"].isNotNull() & (s["age"] == 0) & ~s["part"] & digits.isNotNull())
+        spent = F.lit(None).cast("int")
+        return F.struct(
+            F.when(ends, spent).when(number.isNotNull(), number).when(s["age"] >= BETWEEN, spent).otherwise(s["n"]).alias("n"),
+            F.when(upper, s["n"]).when(number.isNotNull() | ends, spent).otherwise(s["low"]).alias("low"),
+            F.when(counts, s["n"]).otherwise(s["count"]).alias("count"),
+            F.when(seconds.isNotNull(), F.coalesce(s["seconds"], F.lit(0)) + seconds).when(half_more & (s["seconds"] % 3600 == 0), s["seconds"] + 1800).otherwise(s["seconds"]).alias("seconds"),
+            F.when(seconds.isNotNull() & s["low"].isNotNull() & (s["age"] == 0), s["low"] * time).otherwise(s["least"]).alias("least"),
+            F.when(number.isNotNull() | ends, F.lit(0)).otherwise(s["age"] + 1).alias("age"),
+            (ten.isNotNull() & number.isNotNull()).alias("part"),
+            w.alias("last"),
+            s["last"].alias("before"),
+        )
+
+    return F.aggregate(words(text), start, step, lambda s: F.struct(s["count"].alias("count"), s["seconds"].alias("seconds"), s["least"].alias("least_seconds")))
+
+
+def _cut(phrases: Column, by: str) -> Column:
+    """Phrases cut into trimmed items of at most NAME_WORDS words."""
+    items = F.flatten(F.transform(phrases, lambda x: F.split(x, by)))
+    items = F.transform(items, lambda x: F.trim(F.regexp_replace(x, r"(?i)^\s*(?:(?:any|more|too|very|much|some|the artist|either|themselves|early|late)\s+)+|\s+themselves\s*$", "")))
+    return F.filter(items, lambda x: (x != "") & (F.size(F.split(x, r"\s+")) <= NAME_WORDS))
 
 
 def parsed(prompt: Column) -> Column:
-    return F.pandas_udf(lambda s: pd.DataFrame([parse(x) for x in s], columns=["mode", "track_count", "explicit_count", "duration_seconds", "references", "exclusions", "stages"]).astype({"duration_seconds": "Int32"}), SCHEMA)(prompt)
+    """A request: mode, track_count, explicit_count, duration_seconds, least_seconds, references, inclusions, exclusions, alternatives, stages, periods and energy. A null prompt asks for nothing.
+
+    Quoted names come back as they are written; other names in lower case, each once, in the order of the prompt.
+    """
+    p = F.coalesce(prompt, F.lit(""))
+    mask = masked(p)
+    hidden = rf"[\"“]{_HIDE}+[\"”]"
+    quotes = F.regexp_extract_all(p, F.lit(r"(\"[^\"]+\"|“[^”]+”)"), F.lit(1))
+    # Each quoted name is its number while patterns look for phrases.
+    numbered = F.array_join(F.transform(F.split(mask, hidden), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(_OPEN), (i - 1).cast("string"), F.lit(_SHUT), x))), "")
+    show = lambda x: F.when(x.rlike(_OPEN), F.regexp_replace(F.get(quotes, F.regexp_extract(x, rf"{_OPEN}(\d+)", 1).cast("int")), r"^[\"“]|[\"”]$", "")).otherwise(F.lower(x))
+    find = lambda pattern, group=1: F.regexp_extract_all(numbered, F.lit(pattern), F.lit(group))
+    distinct = lambda x: F.array_distinct(F.transform(x, show))
+    m = measured(mask)
+    names = r"\s*(?:,|&|\b(?:and|or|nor)\b)\s*"
+
+    # Names are quoted, capitalised, or short and not a description that begins like a clause.
+    like = F.filter(_cut(find(rf"(?i){_LIKE}(.+?){_END}"), names), lambda x: x.rlike(rf"^(?:{_OPEN}|\p{{Lu}})") | ((F.size(F.split(x, " ")) <= 2) & ~x.rlike(r"(?i)^(?:a|an|the|it|this|that|these|those|something|anything|i|i'd|to|my|some|what|when|\d+)\b")))
+    gone = _cut(find(rf"(?i){_NOT}(.+?)(?=\s*(?:[;.!?\n]|$)|\s+(?:but|instead|rather than|like|similar to|include|including|ending|transitioning)\b|,\s*(?:but|and)?\s*(?:then|start|end|with|like|no|not|without)\b)"), names)
+    gone = F.filter(F.transform(gone, lambda x: F.regexp_replace(x, rf"(?i)^(?:{_NOT})+", "")), lambda x: ~x.rlike(r"(?i)back[ -]to[ -]back|^repeat"))
+    have = _cut(find(rf"(?i){_WITH}(.+?){_END}"), names)
+    either = F.filter(find(r"(?i)((?:\b(?:no|not|without|avoid|except|nor)\s+(?:[\w-]+\s+){0,2})?(?:\beither\s+)?\b[\p{L}][\p{L}-]*\s+or\s+[\p{L}][\p{L}-]*)"), lambda x: ~x.rlike(r"(?i)^(?:no|not|without|avoid|except|nor)\b"))
+    alternatives = F.transform(either, lambda x: F.split(F.lower(F.regexp_replace(x, r"(?i)^either\s+", "")), r"\s+or\s+"))
+
+    path = rf"(?i)\bfrom\s+(?!\d{{4}}\b)(.+?)\s+to\s+(.+?)(?:\s+(?:via|through)\s+(.+?))?{_END}"
+    begins, ends, middle = find(path, 1), find(path, 2), find(r"(?i)\b(?:via|through)\s+(.+?)" + _END)
+    starts = find(rf"(?i)\b(?:start|begin)(?:s|ing|ning)?\s+with\s+(.+?)(?=\s+(?:and|then)\s+(?:end|finish)|\s*[,:;.!?\n]|\s*$|\s+(?:but|for|over|via|through|then)\b)")
+    closes = find(r"(?i)\b(?:end|finish)(?:s|es|ing)?\s+(?:with|at)\s+(.+?)(?=\s*[,:;.!?\n]|\s*$|\s+(?:but|for|over|via|through|then)\b)")
+    stages = F.transform(F.concat(begins, starts, middle, ends, closes), lambda x: F.trim(show(x)))
+    stages = F.array_distinct(F.filter(stages, lambda x: x != ""))
+
+    year = lambda x, g: F.regexp_extract(x, r"(\d{4})\D+(\d{4})", g).cast("int")
+    negated = lambda x: x.rlike(r"(?i)^(?:no|not|without|avoid|except|excluding)\b")
+    before = r"((?:\b(?:no|not|without|avoid|except|excluding)\s+(?:music\s+|songs\s+|tracks\s+|anything\s+)?(?:from\s+)?(?:the\s+)?)?"
+    decades = F.transform(find(rf"(?i){before}\b(?:18|19|20)\d0['’]?s\b)"), lambda x: F.struct(F.regexp_extract(x, r"(\d{4})", 1).cast("int").alias("first"), (F.regexp_extract(x, r"(\d{4})", 1).cast("int") + 9).alias("last"), negated(x).alias("negative")))
+    century = lambda x: F.regexp_extract(x, r"(\d{1,2})(?:st|nd|rd|th)", 1).cast("int")
+    centuries = F.transform(find(rf"(?i){before}\b\d{{1,2}}(?:st|nd|rd|th)[\s\p{{Pd}}]+century\b)"), lambda x: F.struct(((century(x) - 1) * 100 + 1).alias("first"), (century(x) * 100).alias("last"), negated(x).alias("negative")))
+    ranges = F.transform(find(rf"(?i){before}\b(?:between\s+|from\s+)?[12]\d{{3}}\s*(?:to|and|through|until|\p{{Pd}})\s*[12]\d{{3}}\b)"), lambda x: F.struct(year(x, 1).alias("first"), year(x, 2).alias("last"), negated(x).alias("negative")))
+    single = F.transform(find(r"(?i)\b((?:released|recorded|composed|written|made)\s+in\s+[12]\d{3})\b"), lambda x: F.struct(F.regexp_extract(x, r"(\d{4})", 1).cast("int").alias("first"), F.regexp_extract(x, r"(\d{4})", 1).cast("int").alias("last"), F.lit(False).alias("negative")))
+    periods = F.array_distinct(F.filter(F.concat(decades, centuries, ranges, single), lambda x: x["first"] <= x["last"]))
+
+    energy = F.concat(
+        *(
+            F.when(mask.rlike(rf"(?i)\b(?:{phrase})\b"), F.array(F.struct(F.lit(scope).alias("scope"), F.lit(value).alias("value")))).otherwise(F.array().cast("array<struct<scope:string,value:double>>"))
+            for phrase, scope, value in (("starts? easy|starts? calm|begins? calmly", "journey_start", 0.2), ("picks? up the pace|builds? energy", "journey_via", 0.8), ("cools? down|winds? down", "journey_end", 0.2), ("(?<!no )(?<!not )more energy", "playlist", 0.8), ("(?<!no )(?<!not )less energy", "playlist", 0.2))
+        )
+    )
+    return F.struct(
+        F.when(F.size(stages) > 0, "journey").otherwise("similar").alias("mode"),
+        F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce(m["count"], F.lit(PLAIN)))).alias("track_count"),
+        m["count"].isNotNull().alias("explicit_count"),
+        F.when(m["seconds"] > 0, m["seconds"]).alias("duration_seconds"),
+        m["least_seconds"].alias("least_seconds"),
+        distinct(like).alias("references"),
+        distinct(have).alias("inclusions"),
+        distinct(gone).alias("exclusions"),
+        F.array_distinct(alternatives).alias("alternatives"),
+        stages.alias("stages"),
+        periods.alias("periods"),
+        energy.alias("energy"),
+    )
 
 
 def clauses(intents: DataFrame, key: list[str]) -> DataFrame:
-    """One row a requirement: kind, text, scope, negative; each once."""
+    """One row a requirement: kind, text, scope, negative, strength; each once."""
+
+    def clause(kind: str, text: Column, scope: Column | str = "playlist", negative: Column | bool = False, strength: str = "required") -> Column:
+        as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), as_column(scope).alias("scope"), as_column(negative).alias("negative"), F.lit(strength).alias("strength"))
+
     rows = F.concat(
-        F.transform("intent.references", lambda x: F.struct(F.lit("reference").alias("kind"), x.alias("text"), F.lit("playlist").alias("scope"), F.lit(False).alias("negative"))),
-        F.transform("intent.exclusions", lambda x: F.struct(F.lit("exclusion").alias("kind"), x.alias("text"), F.lit("playlist").alias("scope"), F.lit(True).alias("negative"))),
-        F.transform("intent.stages", lambda x, i: F.struct(F.lit("stage").alias("kind"), x.alias("text"), F.concat(F.lit("stage"), i.cast("string")).alias("scope"), F.lit(False).alias("negative"))),
+        F.transform("intent.references", lambda x: clause("reference", x, strength="preferred")),
+        F.transform("intent.inclusions", lambda x: clause("inclusion", x)),
+        F.transform("intent.exclusions", lambda x: clause("exclusion", x, negative=True)),
+        F.transform("intent.alternatives", lambda x: clause("alternative", F.array_join(x, "|"))),
+        F.transform("intent.stages", lambda x, i: clause("stage", x, F.concat(F.lit("stage"), i.cast("string")))),
+        F.transform("intent.periods", lambda x: clause("period", F.concat_ws("-", x["first"].cast("string"), x["last"].cast("string")), negative=x["negative"])),
+        F.transform("intent.energy", lambda x: clause("energy", x["value"].cast("string"), x["scope"], strength="preferred")),
     )
     return intents.select(*key, F.explode(F.array_distinct(rows)).alias("c")).select(*key, "c.*")
 
 
-def atoms(prompt: str | None) -> list[tuple[str, str, int, int]]:
-    """What the rules find, with its place: (kind, text, start, end), in order of place."""
-    p = prompt or ""
-    out = [(kind, m[g].strip('" ').lower(), m.start(g), m.end(g)) for kind, rx, groups in (("reference", _LIKE, (1,)), ("exclusion", _NOT, (1,)), ("stage", _PATH, (1, 2)), ("count", _COUNT, (1,)), ("duration", _TIME, (0,))) for m in rx.finditer(p) for g in groups]
-    return sorted(out, key=lambda a: (a[2], a[3], a[0]))
-
-
-def reconcile(intent: dict, found: list[tuple[str, str, int, int]]) -> dict:
-    """A model's intent corrected by what the prompt says outright: counts are the prompt's, references and exclusions that it names are there, and what it excludes is not asked for."""
-    said = lambda kind: [t for k, t, _, _ in found if k == kind]
-    out = dict(intent)
-    if said("count"):
-        out |= {"track_count": min(max(number(said("count")[-1]), LEAST), MOST), "explicit_count": True}
-    excluded = list(dict.fromkeys([*out.get("exclusions", []), *said("exclusion")]))
-    out["exclusions"] = excluded
-    out["references"] = [r for r in dict.fromkeys([*out.get("references", []), *said("reference")]) if r not in excluded]
-    if said("stage"):
-        out |= {"stages": said("stage"), "mode": "journey"}
-    return out
-
-
-def problems(intent: dict) -> list[str]:
-    """What is wrong with an intent; nothing for a good one."""
-    out = []
-    if not LEAST <= intent.get("track_count", PLAIN) <= MOST:
-        out.append("track_count is out of range")
-    if intent.get("mode") not in ("similar", "journey"):
-        out.append("mode is unknown")
-    if intent.get("mode") == "journey" and len(intent.get("stages", [])) < 2:
-        out.append("a journey needs two stages")
-    if (intent.get("duration_seconds") or 1) <= 0:
-        out.append("duration isn't positive")
-    if set(intent.get("references", [])) & set(intent.get("exclusions", [])):
-        out.append("a reference is excluded")
-    return out
-
-
-def migrate(old: dict) -> dict:
-    """An intent of an older form (count, seeds, avoid) as a current one; a current one stays."""
-    if "count" not in old and "seeds" not in old and "avoid" not in old:
-        return old
-    n = old.get("count")
-    return {"mode": "journey" if old.get("mode") == "journey" else "similar", "track_count": min(max(n or PLAIN, LEAST), MOST), "explicit_count": n is not None, "duration_seconds": old.get("duration"), "references": list(old.get("seeds", [])), "exclusions": list(old.get("avoid", [])), "stages": list(old.get("stages", []))}
+def reconciled(model: Column, said: Column) -> Column:
+    """A model's intent (as parsed() gives it) corrected by what the prompt says outright: counts and times are the prompt's, what it names is there, and what it excludes is not asked for."""
+    union = lambda name: F.array_distinct(F.concat(F.coalesce(model[name], F.array().cast("array<string>")), said[name]))
+    gone = union("exclusions")
+    journey = F.size(said["stages"]) > 0
+    return F.struct(
+        F.when(journey, "journey").otherwise(F.coalesce(model["mode"], said["mode"])).alias("mode"),
+        F.when(said["explicit_count"], said["track_count"]).otherwise(F.coalesce(model["track_count"], F.lit(PLAIN))).alias("track_count"),
+        (said["explicit_count"] | F.coalesce(model["explicit_count"], F.lit(False))).alias("explicit_count"),
+        F.coalesce(said["duration_seconds"], model["duration_seconds"]).alias("duration_seconds"),
+        F.array_except(union("references"), gone).alias("references"),
+        F.array_except(union("inclusions"), gone).alias("inclusions"),
+        gone.alias("exclusions"),
+        F.when(journey, said["stages"]).otherwise(F.coalesce(model["stages"], said["stages"])).alias("stages"),
+        said["periods"].alias("periods"),
+    )
+
+
+def problems(intent: Column) -> Column:
+    """What is wrong with an intent; an empty array for a good one."""
+    checks = [
+        (~intent["track_count"].between(LEAST, MOST), "track_count is out of range"),
+        (~intent["mode"].isin("similar", "journey"), "mode is unknown"),
+        ((intent["mode"] == "journey") & (F.size(intent["stages"]) < 2), "a journey needs two stages"),
+        (intent["duration_seconds"] <= 0, "duration isn't positive"),
+        (F.arrays_overlap(intent["references"], intent["exclusions"]), "a reference is excluded"),
+    ]
+    return F.filter(F.array(*(F.when(F.coalesce(wrong, F.lit(False)), what) for wrong, what in checks)), lambda x: x.isNotNull())
+
+
+def migrated(old: DataFrame) -> DataFrame:
+    """Intents of an older form (count, seeds, avoid, duration) with the current columns added; the old ones go. Columns of the current form are kept where they are not null."""
+    has = lambda name, kind: F.col(name) if name in old.columns else F.lit(None).cast(kind)
+    count = F.coalesce(has("track_count", "int"), has("count", "int"))
+    current = {
+        "mode": F.when(has("mode", "string") == "journey", "journey").otherwise("similar"),
+        "track_count": F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce(count, F.lit(PLAIN)))),
+        "explicit_count": F.coalesce(has("explicit_count", "boolean"), has("count", "int").isNotNull()),
+        "duration_seconds": F.coalesce(has("duration_seconds", "int"), has("duration", "int")),
+        "references": F.coalesce(has("references", "array<string>"), has("seeds", "array<string>"), F.array().cast("array<string>")),
+        "exclusions": F.coalesce(has("exclusions", "array<string>"), has("avoid", "array<string>"), F.array().cast("array<string>")),
+        "stages": F.coalesce(has("stages", "array<string>"), F.array().cast("array<string>")),
+    }
+    rest = [c for c in old.columns if c not in current and c not in ("count", "seeds", "avoid", "duration")]
+    return old.select(*rest, *(v.alias(k) for k, v in current.items()))
