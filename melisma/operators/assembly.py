@@ -168,6 +168,21 @@ def cover(groups: list[set], wanted: set, limit: int) -> list[int]:
     return out
 
 
+def reserve(totals: list[float], states: list[list[bool]], least: float, window: float, fixed: list[list[bool]] = ()) -> list[int | None]:
+    """For each stage the first of the ranked candidates that is eligible for it, not yet reserved, and relevant: at least `least`, and within `window` of the best. None for a stage that a fixed track already serves (each serves one), or without such a candidate."""
+    floor = max(least, (totals[0] if totals else 0.0) - window)
+    stages = len(states[0]) if states else len(fixed[0]) if fixed else 0
+    serving: set[int] = set()
+    out: list[int | None] = []
+    for s in range(stages):
+        if (f := next((i for i, row in enumerate(fixed) if i not in serving and row[s]), None)) is not None:
+            serving.add(f)
+            out.append(None)
+            continue
+        out.append(next((i for i, row in enumerate(states) if row[s] and i not in out and totals[i] >= floor), None))
+    return out
+
+
 def stage_violations(states: list[list[bool]], stages: int) -> int:
     """The fewest tracks out of order for a journey through stages: each track is put into a stage, stages never go back, and a track that doesn't match its stage counts."""
     best = [0] * stages

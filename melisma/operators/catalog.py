@@ -32,6 +32,24 @@ def match_tier(wanted: Column, name: Column, exact: float, prefix: float, tokens
     return F.when(wanted == "", None).when(name == wanted, exact).when(name.startswith(wanted), prefix).when(all_in, tokens)
 
 
+def terms_inside(vocabulary: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """(term, column): which of the vocabulary's terms hold which wanted ones. They meet on a wanted one's first three letters (or all, if fewer), of which every term has few."""
+    grams = lambda t, n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+    terms = vocabulary.select("term").distinct()
+    parts = terms.select("term", F.explode(F.array_distinct(F.concat(*(grams(F.col("term"), n) for n in (1, 2, 3))))).alias("gram"))
+    sought = wanted.select(column).filter(F.col(column) != "").distinct().withColumn("gram", F.substring(column, 1, 3))
+    return parts.join(sought, "gram").filter(F.col("term").contains(F.col(column))).select("term", column)
+
+
+def metadata_score(query: Column, terms: Column, title: Column, artist: Column, display: Column) -> Column:
+    """In millionths: the share of the display text's words that the terms are, and 4 for the title, 3 for artist and title, 2 inside the title, 1 inside the artist; null if a term is missing. Texts are normalised."""
+    n = F.greatest(F.size(F.split(display, " ")), F.lit(1)).cast("long")
+    twice = F.size(terms).cast("long") * 2_000_000 + n
+    coverage = ((twice - twice % (2 * n)) / (2 * n)).cast("long")
+    boost = F.when(title == query, 4).when(F.concat_ws(" ", artist, title) == query, 3).when(title.contains(query), 2).when(artist.contains(query), 1).otherwise(0)
+    return F.when(F.forall(terms, lambda t: display.contains(t)), coverage + boost.cast("long") * 1_000_000)
+
+
 def resolution(scored: DataFrame, query: str, key: str, keep: int = 5, gap: float = 0.02) -> DataFrame:
     """Best candidates of each query with their rank, and whether the first two are too near to tell."""
     w = Window.partitionBy(query).orderBy(F.desc("score"), key)

@@ -65,3 +65,13 @@ def bootstrap(rows: pd.DataFrame, samples: int = 2000, seed: int = 1) -> pd.Data
 
 def gate(good: Column, total: Column, target: float, least: int = 20) -> Column:
     return F.when(total < least, "insufficient").when(good / total >= target, "pass").otherwise("fail")
+
+
+def intent_scores(runs: DataFrame) -> DataFrame:
+    """Of runs (phase, case, latency, valid, checks: array of (field, ok)): for each phase its runs, the share with a valid schema, the share of labelled fields that are right (none of a run that failed), and the latencies at the middle and at 95 %, by nearest rank."""
+    right = F.size(F.filter("checks", lambda c: c["ok"])).cast("long")
+    per = runs.select("phase", "valid", "latency", F.size("checks").cast("long").alias("fields"), F.when(F.col("valid"), right).otherwise(0).alias("right"))
+    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency)")
+    return per.groupBy("phase").agg(
+        F.count(F.lit(1)).alias("runs"), (F.sum(F.col("valid").cast("long")) / F.count(F.lit(1))).alias("schema_rate"), F.when(F.sum("fields") > 0, F.sum("right") / F.sum("fields")).alias("field_accuracy"), at(0.5).alias("p50"), at(0.95).alias("p95"),
+    )

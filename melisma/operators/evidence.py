@@ -96,6 +96,17 @@ def segment_score(scores: Column, negative: Column) -> Column:
     return F.when(F.size(scores) > 0, F.when(negative, F.array_max(scores)).otherwise(mean))
 
 
+def segment_millionths(segments: Column, negative: Column, by_seconds: bool = False) -> Column:
+    """segment_score of segments (score, seconds), both whole numbers, in millionths: exact, and rounded half up, so that it is the same in any order. By seconds the mean is weighted by them; none, or no seconds, is null."""
+    weight = lambda s: s["seconds"] if by_seconds else F.lit(1).cast("long")
+    total = F.aggregate(segments, F.lit(0).cast("long"), lambda a, s: a + s["score"] * weight(s))
+    n = F.aggregate(segments, F.lit(0).cast("long"), lambda a, s: a + weight(s))
+    twice = total * 2_000_000 + n
+    mean = F.when(n > 0, ((twice - F.pmod(twice, 2 * n)) / (2 * n)).cast("long"))
+    most = F.array_max(F.transform(segments, lambda s: s["score"])) * 1_000_000
+    return F.when(F.size(segments) > 0, F.when(negative, most).otherwise(mean))
+
+
 def instrumental(segments: Column, least: float = 0.05) -> Column:
     """Whether every segment (instrumental, vocal, other: similarities to each group of prompts) prefers the instrumental group by a margin. Null without segments."""
     clear = F.forall(segments, lambda s: s["instrumental"] - F.greatest(s["vocal"], s["other"]) >= least)

@@ -99,15 +99,29 @@ def _sums(batches, c: np.ndarray):
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].tolist(), pa.list_(pa.float64())), pa.array(n[some]), pa.array(np.full(len(some), drop / max(len(some), 1)))], names=["cluster", "total", "n", "loss"])
 
 
+def farthest(vectors: DataFrame, c: np.ndarray, n: int) -> list[np.ndarray]:
+    """The n rows, as unit vectors, that fit their nearest centroid least; the first by id of equals. None if every row is on its centroid."""
+    if not n:
+        return []
+    a = assign(vectors, c).select("id", F.round("score", 9).alias("score")).filter("score < 1").orderBy("score", "id").limit(n)
+    rows = sorted(a.join(vectors.select("id", "vector"), "id").collect(), key=lambda r: (r.score, r.id))
+    return [np.array(r.vector, float) / max(np.linalg.norm(r.vector), 1e-12) for r in rows]
+
+
 def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 20, seed: int = 1, state: str | None = None) -> np.ndarray:
-    """k unit centroids by Lloyd's rounds: each task adds up its rows by cluster, and k rows a task come together. The start is a farthest-first choice within a keyed sample; an empty cluster keeps its centroid. With `state` each round's centroids are written there, and a run that finds some goes on from them."""
+    """k unit centroids by Lloyd's rounds: each task adds up its rows by cluster, and k rows a task come together. The start is a k-means++ choice within a keyed sample, by numbers of the seed; a cluster that comes out empty begins again at the row that its own centroid fits least. With `state` each round's centroids are written there, and a run that finds some goes on from them."""
     spark = vectors.sparkSession
     sample = vectors.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}\0"), F.col("id").cast("string")), 256)).orderBy("h").limit(max(8 * k, 64)).collect()
     x = np.array([r.vector for r in sample], float)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    chosen = [0]
+    chosen, rng = [0], np.random.Generator(np.random.PCG64(seed))
     while len(chosen) < min(k, len(x)):
-        chosen.append(int(np.argmax(np.round((1 - x @ x[chosen].T).min(1), 9))))
+        far = np.round(np.maximum((1 - x @ x[chosen].T).min(1), 0), 9)
+        far[chosen] = 0
+        if far.sum() <= 0:  # only copies are left
+            chosen.append(next(i for i in range(len(x)) if i not in chosen))
+        else:
+            chosen.append(int(np.searchsorted(np.cumsum(far), rng.random() * far.sum(), "right").clip(0, len(x) - 1)))
     c, first = x[chosen], 0
     if state:
         try:
@@ -127,6 +141,9 @@ def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 20, seed: int = 1
             total[g.cluster, g.i] = g.t
         norm = np.linalg.norm(total, axis=1)
         nxt[norm > 1e-12] = np.round(total[norm > 1e-12] / norm[norm > 1e-12, None], 12)
+        empty = np.flatnonzero(norm <= 1e-12)
+        for i, row in zip(empty.tolist(), farthest(vectors, c, len(empty)), strict=False):
+            nxt[i] = row
         moved, c = float(np.abs(nxt - c).max()), nxt
         if state:
             spark.createDataFrame([(r, i, [float(a) for a in row]) for i, row in enumerate(c)], "round int, cluster int, centroid array<double>").coalesce(1).write.mode("append").parquet(state)

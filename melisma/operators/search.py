@@ -57,6 +57,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Tr
     return ranked(out, ["query"], k, F.desc(F.round("score", 9)), F.col("id"))
 
 
+def query_weights(representatives: DataFrame, group: str, key: str) -> DataFrame:
+    """Representatives (group, key, weight) as query rows: weights of a group add up to 1, those without a positive weight are left out, and the heaviest (the first by key of equals) is primary."""
+    w = Window.partitionBy(group)
+    return representatives.filter("weight > 0").withColumn("is_primary", F.row_number().over(w.orderBy(F.desc("weight"), key)) == 1).withColumn("weight", F.col("weight") / F.sum("weight").over(w))
+
+
 def fused(evidence: DataFrame, constant: float = 60.0) -> DataFrame:
     """Reciprocal-rank fusion: of evidence (request, id, channel, query, rank, weight) the best a (channel, query) counts, and these add up; then divided by the request's greatest."""
     w = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)

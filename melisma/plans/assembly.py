@@ -94,13 +94,27 @@ def stage_order_violations(spark: SparkSession, d: str) -> DataFrame:
     return A.capped(pool(spark, d)).groupBy("request").applyInPandas(run, "request long, violations long")
 
 
-@query("pool_outcome", """WITH s AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 7), x AS (SELECT query, vec_id AS id, list_cosine_similarity(q, embedding::DOUBLE[]) AS sc FROM s, embeddings WHERE vec_id <> query), t AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sc, 9) DESC, id) <= 64)
+@query("pool_outcome", """WITH s AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT query, vec_id AS id, list_cosine_similarity(q, embedding::DOUBLE[]) AS sc FROM s, embeddings WHERE vec_id <> query), t AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sc, 9) DESC, id) <= 64)
 SELECT query AS request, count(*) AS candidates, CASE WHEN count(*) FILTER (sc >= 0.2) >= 20 THEN 'fulfilled' WHEN count(*) FILTER (sc >= 0.2) > 0 THEN 'partial' ELSE 'unsupported' END AS outcome FROM t GROUP BY query""")
 def pool_outcome(spark: SparkSession, d: str) -> DataFrame:
     good = F.count(F.when(F.col("total") >= 0.2, 1))
     return pool(spark, d).groupBy("request").agg(F.count(F.lit(1)).alias("candidates"), F.when(good >= 20, "fulfilled").when(good > 0, "partial").otherwise("unsupported").alias("outcome"))
 
 
+@query("stage_reservation", """WITH s AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT query, vec_id AS id, list_cosine_similarity(q, embedding::DOUBLE[]) AS sc FROM s, embeddings WHERE vec_id <> query), t AS (SELECT query, id, round(sc, 9) AS sc FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sc, 9) DESC, id) <= 64),
+f AS (SELECT *, greatest(0.1, max(sc) OVER (PARTITION BY query) - 0.15) AS floor FROM t)
+SELECT query AS request, (id % 3)::INTEGER AS stage, id FROM f WHERE sc >= floor QUALIFY row_number() OVER (PARTITION BY query, id % 3 ORDER BY sc DESC, id) = 1""")
+def stage_reservation(spark: SparkSession, d: str) -> DataFrame:
+    """One sufficiently relevant candidate for each stage of a journey, before diversity chooses the rest. The pool is bounded, so a request is one group."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["total", "id"], ascending=[False, True]).reset_index(drop=True)
+        got = A.reserve(rows["total"].tolist(), [[int(i) % 3 == s for s in range(3)] for i in rows["id"]], 0.1, 0.15)
+        return pd.DataFrame([(rows["request"].iloc[0], s, rows["id"].iloc[i]) for s, i in enumerate(got) if i is not None], columns=["request", "stage", "id"])
+
+    return A.capped(pool(spark, d)).groupBy("request").applyInPandas(run, "request long, stage int, id long")
+
+
 @query("intent_parse")
 def intent_parse(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").filter("role = 'user'")

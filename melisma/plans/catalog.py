@@ -50,7 +50,7 @@ def keyset_page(spark: SparkSession, d: str) -> DataFrame:
     return tracks(spark, d).filter("id > 37").orderBy("id").limit(25).select("id", "title")
 
 
-_RES = f"""WITH q AS (SELECT p_partkey AS qid, {_NORM.format('p_name')} AS want FROM part WHERE p_partkey % 100 = 3), t AS (SELECT p_partkey AS id, {_NORM.format('p_name')} AS name FROM part),
+_RES = f"""WITH q AS (SELECT p_partkey AS qid, {_NORM.format('p_name')} AS want FROM part WHERE p_partkey % 50 = 0), t AS (SELECT p_partkey AS id, {_NORM.format('p_name')} AS name FROM part),
 s AS (SELECT qid, id, CASE WHEN name = want THEN 1.0 WHEN starts_with(name, want) THEN 0.86 WHEN len(list_filter(string_split(want, ' '), lambda t: NOT contains(name, t))) = 0 THEN 0.74 END AS score FROM q, t),
 r AS (SELECT qid, id, score::DOUBLE AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, lead(score) OVER (PARTITION BY qid ORDER BY score DESC, id) AS nx FROM s WHERE score IS NOT NULL)"""
 
@@ -68,15 +68,34 @@ def ambiguous_resolution(spark: SparkSession, d: str) -> DataFrame:
 def resolved(spark: SparkSession, d: str, keep: int = 5) -> DataFrame:
     """Every tier holds at least the wanted name's first token, so names are met through postings, not all with all."""
     t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.latin_search(F.col("p_name")).alias("name"))
-    q = t.filter("id % 100 = 3").select(F.col("id").alias("qid"), F.col("name").alias("want"), F.get(T.tokens(F.col("name")), F.lit(0)).alias("t0"))
+    q = t.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("name").alias("want"), F.get(T.tokens(F.col("name")), F.lit(0)).alias("t0"))
     by_token = t.select("id", "name", F.explode(F.array_distinct(T.tokens(F.col("name")))).alias("term"))
-    # A token may stand inside a longer one: the vocabulary, not the rows, is searched for it.
-    inside = by_token.select("term").distinct().join(q.select("t0").distinct(), F.col("term").contains(F.col("t0")))
+    inside = C.terms_inside(by_token.select("term"), q.select("t0"), "t0")
     pairs = by_token.join(inside, "term").join(q, "t0").select("qid", "want", "id", "name").distinct()
     scored = pairs.withColumn("score", C.match_tier(F.col("want"), F.col("name"), 1.0, 0.86, 0.74)).filter("score is not null").select("qid", "id", "score")
     return C.resolution(scored, "qid", "id", keep)
 
 
+_DISPLAY = f"{_NORM.format('p_brand')} AS artist, {_NORM.format('p_name')} AS title, {_NORM.format("p_brand || ' ' || p_name || ' ' || p_type")} AS display"
+
+
+@query("metadata_text_score", f"""WITH t AS (SELECT p_partkey AS id, {_DISPLAY} FROM part), q AS (SELECT id AS qid, title AS want, string_split(title, ' ')[1:2] AS terms FROM t WHERE id % 50 = 0),
+s AS (SELECT qid, id, (2000000 * len(terms) + len(string_split(display, ' '))) // (2 * len(string_split(display, ' '))) + 1000000 * CASE WHEN title = want THEN 4 WHEN artist || ' ' || title = want THEN 3 WHEN contains(title, want) THEN 2 WHEN contains(artist, want) THEN 1 ELSE 0 END AS score
+FROM q, t WHERE len(list_filter(terms, lambda x: NOT contains(display, x))) = 0)
+SELECT qid, id, score::BIGINT AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 20""")
+def metadata_text_score(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that hold all terms of a query in their display text, by coverage and a boost for title and artist, in millionths; the first two words of every fiftieth title are the queries."""
+    p = table(spark, d, "part")
+    t = p.select(F.col("p_partkey").alias("id"), T.latin_search(F.col("p_brand")).alias("artist"), T.latin_search(F.col("p_name")).alias("title"), T.latin_search(F.concat_ws(" ", "p_brand", "p_name", "p_type")).alias("display"))
+    q = t.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("title").alias("want"), F.slice(F.split("title", " "), 1, 2).alias("terms")).withColumn("t0", F.get("terms", F.lit(0)))
+    by_token = t.select("id", F.explode(F.array_distinct(F.split("display", " "))).alias("term"))
+    pairs = by_token.join(C.terms_inside(by_token.select("term"), q.select("t0"), "t0"), "term").select("id", "t0").distinct().join(q, "t0").join(t, "id")
+    scored = pairs.withColumn("score", C.metadata_score(F.col("want"), F.col("terms"), F.col("title"), F.col("artist"), F.col("display"))).filter("score is not null")
+    from ..operators.search import ranked
+
+    return ranked(scored.select("qid", "id", "score"), ["qid"], 20, F.desc("score"), F.col("id"))
+
+
 @query("typo_resolution", """
 WITH n AS (SELECT n_nationkey AS id, lower(n_name) AS name FROM nation), q AS (SELECT id AS qid, CASE WHEN id % 2 = 0 THEN substr(name, 1, 2) || substr(name, 4) ELSE name END AS want FROM n)
 SELECT qid, id, levenshtein(want, name)::BIGINT AS edits FROM q JOIN n ON substr(want, 1, 1) = substr(name, 1, 1) AND levenshtein(want, name) <= 1""")
@@ -145,10 +164,10 @@ def find_recordings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("recording_details", """
-SELECT o_orderkey, c_name, list(l_partkey ORDER BY l_linenumber, l_partkey) AS credits, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey <= 400 GROUP BY ALL""")
+SELECT o_orderkey, c_name, list(l_partkey ORDER BY l_linenumber, l_partkey) AS credits, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def recording_details(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").filter("l_orderkey <= 400").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("credits"), F.count(F.lit(1)).alias("n"))
-    o = table(spark, d, "orders").filter("o_orderkey <= 400").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("credits"), F.count(F.lit(1)).alias("n"))
+    o = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return o.join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_name", "credits", "n")
 
 

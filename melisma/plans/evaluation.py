@@ -178,3 +178,15 @@ def corpus_builder(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id").withColumn("label", label).filter("label is not null").withColumn("h", F.sha2(F.concat(F.lit("c\0"), F.col("doc_id").cast("string")), 256))
     one = o.withColumn("k", F.row_number().over(Window.partitionBy("source", "label").orderBy("h"))).filter("k <= 5")
     return one.select("doc_id", "label", (F.row_number().over(Window.partitionBy("label").orderBy("h")) <= 30).alias("development"))
+
+
+_RUNS = """r AS (SELECT event_type AS phase, event_id, value AS latency, event_id % 11 <> 0 AS valid, user_id % 3 + 1 AS fields, (event_id % 2 = 0)::BIGINT + (user_id % 3 >= 1 AND event_id % 3 = 0)::BIGINT + (user_id % 3 >= 2 AND event_id % 5 = 0)::BIGINT AS good FROM events)"""
+
+
+@query("intent_model_scores", f"""WITH {_RUNS} SELECT phase, count(*) AS runs, round(count(*) FILTER (valid) / count(*), 6) AS schema_rate, round(sum(CASE WHEN valid THEN good ELSE 0 END)::BIGINT / sum(fields)::BIGINT, 6) AS field_accuracy, quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.95) AS p95 FROM r GROUP BY phase""")
+def intent_model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """An event is a run of the parser, its type the phase, its value the latency; a run has one to three labelled fields."""
+    i, u = F.col("event_id"), F.col("user_id") % 3
+    checks = F.slice(F.array(*(F.struct(F.lit(f).alias("field"), (i % n == 0).alias("ok")) for f, n in (("mode", 2), ("count", 3), ("references", 5)))), F.lit(1), (u + 1).cast("int"))
+    runs = table(spark, d, "events").select(F.col("event_type").alias("phase"), i.alias("case"), F.col("value").alias("latency"), (i % 11 != 0).alias("valid"), checks.alias("checks"))
+    return E.intent_scores(runs).select("phase", "runs", F.round("schema_rate", 6).alias("schema_rate"), F.round("field_accuracy", 6).alias("field_accuracy"), "p50", "p95")

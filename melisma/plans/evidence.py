@@ -123,12 +123,14 @@ _CENTS = "cast(round(l_discount * 100) as bigint)"
 _CENTS_SQL = "round(l_discount * 100)::BIGINT"
 
 
-@query("segment_scores", f"SELECT l_orderkey, round(sum({_CENTS_SQL})::BIGINT / count(*) / 100, 6) AS wanted, round(max({_CENTS_SQL}) / 100, 6) AS unwanted, round(sum({_CENTS_SQL} * l_quantity::BIGINT)::BIGINT / sum(l_quantity::BIGINT)::BIGINT / 100, 6) AS by_seconds FROM lineitem GROUP BY l_orderkey")
+@query("segment_scores", f"""SELECT l_orderkey, (2000000 * sum({_CENTS_SQL})::BIGINT + count(*)) // (2 * count(*)) AS wanted, max({_CENTS_SQL}) * 1000000 AS unwanted,
+(2000000 * sum({_CENTS_SQL} * l_quantity::BIGINT)::BIGINT + sum(l_quantity::BIGINT)::BIGINT) // (2 * sum(l_quantity::BIGINT)::BIGINT) AS by_seconds FROM lineitem GROUP BY l_orderkey""")
 def segment_scores(spark: SparkSession, d: str) -> DataFrame:
-    """An order's lines are the segments, quantities the seconds; a recording's segments are few, so they fit an array."""
+    """An order's lines are the segments, quantities the seconds; a recording's segments are few, so they fit an array. In millionths of a hundredth, rounded as whole numbers."""
     q = F.col("l_quantity").cast("long")
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.expr(_CENTS).cast("double")).alias("s"), (F.sum(F.expr(_CENTS) * q) / F.sum(q)).alias("w"))
-    return g.select("l_orderkey", F.round(E.segment_score(F.col("s"), F.lit(False)) / 100, 6).alias("wanted"), F.round(E.segment_score(F.col("s"), F.lit(True)) / 100, 6).alias("unwanted"), F.round(F.col("w") / 100, 6).alias("by_seconds"))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.expr(_CENTS).alias("score"), q.alias("seconds"))).alias("s"))
+    score = lambda negative, by: E.segment_millionths(F.col("s"), F.lit(negative), by)
+    return g.select("l_orderkey", score(False, False).alias("wanted"), score(True, False).alias("unwanted"), score(False, True).alias("by_seconds"))
 
 
 @query("facet_balanced_score", f"WITH f AS (SELECT l_orderkey, l_returnflag, round(sum({_CENTS_SQL})::BIGINT / count(*) * 1000000)::BIGINT AS s FROM lineitem GROUP BY ALL) SELECT l_orderkey, sum(s)::BIGINT / count(*) AS score, max(s) AS best_stage FROM f GROUP BY l_orderkey")
@@ -169,10 +171,10 @@ def evidence_cascade(spark: SparkSession, d: str) -> DataFrame:
     return tracks(spark, d).select("id", F.coalesce(F.when(i % 7 == 0, "match"), F.when(i % 5 == 0, "mismatch"), F.when(F.col("genre") == "PROMO", "match"), F.lit("unknown")).alias("state"))
 
 
-@query("conflicting_annotations", f"""WITH {TRACKS_SQL}, a AS (SELECT artist, CASE WHEN id % 6 = 0 THEN 'minor' ELSE 'major' END AS v, id FROM tracks) SELECT artist, CASE WHEN count(DISTINCT v) > 1 THEN 'unknown' WHEN bool_and(v = 'major') THEN 'match' ELSE 'mismatch' END AS state FROM a WHERE id % 31 < 3 GROUP BY artist""")
+@query("conflicting_annotations", f"""WITH {TRACKS_SQL}, a AS (SELECT artist, CASE WHEN id * 37 % 101 < 2 THEN 'minor' ELSE 'major' END AS v FROM tracks) SELECT artist, CASE WHEN count(DISTINCT v) > 1 THEN 'unknown' WHEN bool_and(v = 'major') THEN 'match' ELSE 'mismatch' END AS state FROM a GROUP BY artist""")
 def conflicting_annotations(spark: SparkSession, d: str) -> DataFrame:
-    v = F.when(F.col("id") % 6 == 0, "minor").otherwise("major")
-    return tracks(spark, d).filter("id % 31 < 3").groupBy("artist").agg(F.when(F.count_distinct(v) > 1, "unknown").when(F.bool_and(v == "major"), "match").otherwise("mismatch").alias("state"))
+    v = F.when(F.col("id") * 37 % 101 < 2, "minor").otherwise("major")
+    return tracks(spark, d).groupBy("artist").agg(F.when(F.count_distinct(v) > 1, "unknown").when(F.bool_and(v == "major"), "match").otherwise("mismatch").alias("state"))
 
 
 @query("compound_genres", f"""WITH {TRACKS_SQL}, pair(compound, a, b) AS (VALUES ('promo small', 'PROMO', 'SMALL'), ('large medium', 'LARGE', 'MEDIUM')), g AS (SELECT DISTINCT artist, title, genre FROM tracks)

@@ -65,13 +65,13 @@ def taste_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("listener_affinity", f"""WITH {_EFF}, l AS (SELECT w.listener, w.track, w.w, e.embedding::DOUBLE[] AS v FROM w JOIN embeddings e ON vec_id = track WHERE w.w > 0.5), r AS (SELECT *, row_number() OVER (PARTITION BY listener ORDER BY round(w, 9) DESC, track) AS k FROM l)
-SELECT r.listener, vec_id AS id, round(max(list_cosine_similarity(v, embedding::DOUBLE[])), 6) AS affinity FROM r, embeddings WHERE k <= 2 AND vec_id % 25 = 1 GROUP BY ALL""")
+SELECT r.listener, vec_id AS id, round(max(list_cosine_similarity(v, embedding::DOUBLE[])), 6) AS affinity FROM r, embeddings WHERE k <= 2 GROUP BY ALL""")
 def listener_affinity(spark: SparkSession, d: str) -> DataFrame:
-    """The greatest similarity of a candidate to a listener's two strongest tracks. Candidates are all of one request's pool, which the SQL names."""
+    """The greatest similarity of a candidate to a listener's two strongest tracks. Every row is a candidate."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     w = P.decayed(P.effective(feedback(spark, d))).filter("w > 0.5").join(e.select(F.col("id").alias("track"), F.col("vector").alias("v")), "track")
     top = w.withColumn("k", F.row_number().over(Window.partitionBy("listener").orderBy(F.desc(F.round("w", 9)), "track"))).filter("k <= 2")
-    return P.affinity(top.select("listener", F.col("v").alias("vector")), e.filter("id % 25 = 1")).select("listener", "id", F.round("affinity", 6).alias("affinity"))
+    return P.affinity(top.select("listener", F.col("v").alias("vector")), e).select("listener", "id", F.round("affinity", 6).alias("affinity"))
 
 
 @query("asof_profile_events", f"""WITH {FEEDBACK_SQL}, q AS (SELECT listener, sequence AS query, said FROM feedback WHERE kind = 'accept'), c AS (SELECT quantile_disc(said, 0.8) AS cut FROM feedback)

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators.search import fused, interleaved, nearest, ranked
+from ..operators.search import query_weights, fused, interleaved, nearest, ranked
 from ..sources.tables import table, vectors
 from .registry import query
 
 _V = "v AS (SELECT vec_id AS id, label AS artist, embedding::DOUBLE[] AS audio, list_reverse(embedding::DOUBLE[]) AS track FROM embeddings)"
-_SEEDS = "s AS (SELECT * FROM v WHERE id % 50 = 7)"
+_SEEDS = "s AS (SELECT * FROM v WHERE id % 50 = 0)"
 _TOP = f"""{_V}, {_SEEDS}, x AS (SELECT s.id AS query, v.id AS id, list_cosine_similarity(s.audio, v.audio) AS score FROM s JOIN v ON s.id <> v.id),
 top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM x QUALIFY rank <= 20)"""
 
 
 def seeds(v: DataFrame) -> DataFrame:
-    return v.filter(F.col("id") % 50 == 7)
+    return v.filter(F.col("id") % 50 == 0)
 
 
 def hits(spark: SparkSession, d: str, k: int = 20, space: str = "audio") -> DataFrame:
@@ -41,12 +41,12 @@ def blended_topk(spark: SparkSession, d: str) -> DataFrame:
     return v.join(q, v["id"] != q["q"]).select("id", score.alias("s")).orderBy(F.desc(F.round("s", 9)), "id").limit(64).select("id", F.round("s", 6).alias("score"))
 
 
-@query("expanding_match", f"WITH {_V}, q AS (SELECT * FROM v WHERE id = 7) SELECT v.id, round(list_cosine_similarity(q.audio, v.audio), 6) AS score FROM q JOIN v ON q.artist <> v.artist WHERE v.id % 3 = 0 ORDER BY round(list_cosine_similarity(q.audio, v.audio), 9) DESC, v.id LIMIT 1")
+@query("expanding_match", f"WITH {_V}, q AS (SELECT * FROM v WHERE id = 7) SELECT v.id, round(list_cosine_similarity(q.audio, v.audio), 6) AS score FROM q JOIN v ON q.artist <> v.artist ORDER BY round(list_cosine_similarity(q.audio, v.audio), 9) DESC, v.id LIMIT 1")
 def expanding_match(spark: SparkSession, d: str) -> DataFrame:
     """The best acceptable match: filters go first, so no list has to grow until one is found."""
     v = vectors(spark, d)
     q = F.broadcast(v.filter("id = 7").select(F.col("artist").alias("q_artist"), F.col("audio").alias("qa")))
-    return v.filter("id % 3 = 0").join(q, v["artist"] != q["q_artist"]).select("id", V.cosine(F.col("qa"), F.col("audio")).alias("s")).orderBy(F.desc(F.round("s", 9)), "id").limit(1).select("id", F.round("s", 6).alias("score"))
+    return v.join(q, v["artist"] != q["q_artist"]).select("id", V.cosine(F.col("qa"), F.col("audio")).alias("s")).orderBy(F.desc(F.round("s", 9)), "id").limit(1).select("id", F.round("s", 6).alias("score"))
 
 
 @query("vector_checks", f"""WITH {_V} SELECT id, round(sqrt(list_inner_product(audio, audio)), 6) AS norm, len(audio) = 64 AND list_bool_or(list_transform(audio, lambda x: x <> 0)) AS valid,
@@ -58,15 +58,15 @@ def vector_checks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rrf_fusion", f"""WITH {_TOP}, t2 AS (SELECT s.id AS query, v.id AS id, list_cosine_similarity(s.track[1:32], v.track[1:32]) AS score FROM s JOIN v ON s.id <> v.id),
 top2 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM t2 QUALIFY rank <= 20),
-e AS (SELECT query % 2 AS request, id, 'audio' AS channel, query, rank, 1.0 AS w FROM top UNION ALL SELECT query % 2, id, 'track', query, rank, 0.5 FROM top2),
+e AS (SELECT query // 50 % 2 AS request, id, 'audio' AS channel, query, rank, 1.0 AS w FROM top UNION ALL SELECT query // 50 % 2, id, 'track', query, rank, 0.5 FROM top2),
 b AS (SELECT request, id, channel, query, max(w / (60 + rank)) AS x FROM e GROUP BY ALL), f AS (SELECT request, id, sum(x) AS fusion FROM b GROUP BY ALL),
 n AS (SELECT request, id, fusion / max(fusion) OVER (PARTITION BY request) AS fusion FROM f)
 SELECT request, id, round(fusion, 6) AS fusion, row_number() OVER (PARTITION BY request ORDER BY round(fusion, 9) DESC, id) AS rank FROM n QUALIFY rank <= 20""")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     half = v.withColumn("vector", F.slice("track", 1, 32))
-    a = hits(spark, d).select((F.col("query") % 2).alias("request"), "id", F.lit("audio").alias("channel"), "query", "rank", F.lit(1.0).alias("weight"))
-    t = nearest(half, seeds(half).select("id", "vector"), 20).select((F.col("query") % 2).alias("request"), "id", F.lit("track").alias("channel"), "query", "rank", F.lit(0.5).alias("weight"))
+    a = hits(spark, d).select((F.floor(F.col("query") / 50) % 2).alias("request"), "id", F.lit("audio").alias("channel"), "query", "rank", F.lit(1.0).alias("weight"))
+    t = nearest(half, seeds(half).select("id", "vector"), 20).select((F.floor(F.col("query") / 50) % 2).alias("request"), "id", F.lit("track").alias("channel"), "query", "rank", F.lit(0.5).alias("weight"))
     f = fused(a.unionByName(t))
     return ranked(f, ["request"], 20, F.desc(F.round("fusion", 9)), F.col("id")).select("request", "id", F.round("fusion", 6).alias("fusion"), "rank")
 
@@ -143,3 +143,11 @@ def query_composition(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("term")).withColumn("vec_id", (F.length("term") * 7).cast("long"))
     e = t.join(table(spark, d, "embeddings"), "vec_id", "left")
     return e.groupBy("item_id").agg(F.count(F.lit(1)).alias("terms"), F.count("embedding").alias("known"), F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("first"))
+
+
+@query("reference_query_weights", """WITH w AS (SELECT l_orderkey AS grp, l_partkey AS track, max(l_quantity)::BIGINT AS weight FROM lineitem GROUP BY ALL), n AS (SELECT *, sum(weight) OVER (PARTITION BY grp) AS total, row_number() OVER (PARTITION BY grp ORDER BY weight DESC, track) AS k FROM w)
+SELECT grp, track, round(weight / total::BIGINT, 6) AS weight, k = 1 AS is_primary FROM n""")
+def reference_query_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The query plan of reference groups: an order is a group, its parts the representatives, quantities their weights."""
+    w = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("grp"), F.col("l_partkey").alias("track")).agg(F.max("l_quantity").cast("long").alias("weight"))
+    return query_weights(w, "grp", "track").select("grp", "track", F.round("weight", 6).alias("weight"), "is_primary")

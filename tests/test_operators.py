@@ -10,7 +10,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from melisma.functions import intent as N
 from melisma.functions import text as T
 from melisma.functions import vectors as V
 from melisma.operators import assembly as A
@@ -139,7 +138,7 @@ def test_affinity_scores_every_candidate(spark, tmp_path, monkeypatch):
     e = spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
     e.write.parquet(f"{tmp_path}/events.parquet")
     got = registry.QUERIES["listener_affinity"](spark, str(tmp_path))
-    assert got.count() == 2 * 800 and got.select("id").distinct().count() == 800
+    assert got.count() == 2 * 20_000 and got.select("id").distinct().count() == 20_000
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:50])] + [(50, [0.0] * 4), (51, [1.0])], "id long, vector array<double>")
     liked = spark.createDataFrame([(n, x[t].tolist()) for n, t in [(1, 5), (1, 9), (2, 7), (3, 8)]] + [(3, [2.0])], "listener long, vector array<double>")
@@ -300,11 +299,30 @@ def test_text_edges(spark):
     assert r.l == "stra e uber" and r.u == "straße uber 東京"
 
 
-def test_prompts():
-    p = N.parse("Twenty five songs like Daft Punk, no vocals, from calm to loud")
-    assert (p["track_count"], p["references"], p["exclusions"], p["stages"], p["mode"]) == (25, ["daft punk"], ["vocals"], ["calm", "loud"], "journey")
-    assert N.track_count("half a dozen tracks") == 6 and N.track_count("music from 1999") is None and N.duration_seconds("an hour? two hours and 5 minutes") == 7500
-    assert N.parse(None)["track_count"] == 20 and N.parse("999 songs")["track_count"] == 100
+def test_stages_are_reserved():
+    states = [[True, False], [True, True], [False, True], [True, True]]
+    assert A.reserve([0.9, 0.8, 0.79, 0.7], states, 0.1, 0.15) == [0, 1]
+    assert A.reserve([0.9, 0.6, 0.5], [[True, False], [False, False], [False, True]], 0.1, 0.15) == [0, None]
+    assert A.reserve([0.9, 0.8], [[True, True], [True, True]], 0.1, 0.15, fixed=[[True, False]]) == [None, 0]
+    assert A.reserve([], [], 0.1, 0.15) == []
+
+
+def test_terms_inside_longer_ones(spark):
+    terms = ["blue", "bluebird", "a", "jay", "bird's", "ü", ""]
+    want = ["bird", "blue", "a", "zzz", "ü", ""]
+    from melisma.operators import catalog as C
+
+    got = C.terms_inside(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(t,) for t in want], "w string"), "w").collect()
+    assert {tuple(r) for r in got} == {(t, w) for t in terms for w in want if w and w in t} and len(got) == len(set(got))
+
+
+def test_exact_segment_scores(spark):
+    from melisma.operators import evidence as E
+
+    rows = [([(1, 3), (2, 4)],), ([(-1, 1), (-2, 2)],), ([],), ([(5, 0)],)]
+    df = spark.createDataFrame(rows, "s array<struct<score:bigint,seconds:bigint>>")
+    got = [tuple(r) for r in df.select(E.segment_millionths(F.col("s"), F.lit(False)), E.segment_millionths(F.col("s"), F.lit(True)), E.segment_millionths(F.col("s"), F.lit(False), True)).collect()]
+    assert got == [(1_500_000, 2_000_000, 1_571_429), (-1_500_000, -1_000_000, -1_666_667), (None, None, None), (5_000_000, 5_000_000, None)]
 
 
 def test_upsert_is_idempotent(spark, tmp_path):
@@ -347,16 +365,6 @@ def test_reasons_follow_the_order():
     assert r["id"].tolist() == order and pd.isna(r["transition"][0]) and r["transition"].notna()[1:].all()
 
 
-def test_prompts_are_reconciled_and_checked():
-    p = "ten songs like Daft Punk, no vocals"
-    a = N.atoms(p)
-    assert [(k, t) for k, t, _, _ in a] == [("count", "ten"), ("reference", "daft punk"), ("exclusion", "vocals")] and all(p[s:e].lower().strip() == t for _, t, s, e in a)
-    fixed = N.reconcile({"mode": "similar", "track_count": 50, "references": ["vocals"], "exclusions": [], "stages": []}, a)
-    assert (fixed["track_count"], fixed["references"], fixed["exclusions"]) == (10, ["daft punk"], ["vocals"]) and N.problems(fixed) == []
-    assert N.problems({"mode": "journey", "track_count": 500, "stages": []}) == ["track_count is out of range", "a journey needs two stages"]
-    assert N.migrate({"count": 7, "seeds": ["x"]})["references"] == ["x"] and N.migrate(fixed) is fixed
-
-
 def test_sound_of_a_sine(spark):
     from melisma.functions import dsp
 
