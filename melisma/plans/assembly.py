@@ -85,7 +85,10 @@ def baseline_walk(spark: SparkSession, d: str) -> DataFrame:
     return A.per_request(pool(spark, d), choose)
 
 
-@query("stage_order_violations")
+@query("stage_order_violations", """WITH s AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT query, vec_id AS id, list_cosine_similarity(q, embedding::DOUBLE[]) AS sc FROM s, embeddings WHERE vec_id <> query),
+k AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(sc, 9) DESC, id) AS r FROM x QUALIFY r <= 30),
+c AS (SELECT query, i, j, sum((id % 3 <> CASE WHEN r <= i THEN 0 WHEN r <= j THEN 1 ELSE 2 END)::INT) AS bad FROM k, range(0, 31) a(i), range(0, 31) b(j) WHERE i <= j GROUP BY ALL)
+SELECT query AS request, min(bad)::BIGINT AS violations FROM c GROUP BY query""")
 def stage_order_violations(spark: SparkSession, d: str) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids = rows.sort_values(["total", "id"], ascending=[False, True])["id"].head(30)

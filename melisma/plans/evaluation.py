@@ -89,7 +89,11 @@ def ratio_gates(spark: SparkSession, d: str) -> DataFrame:
     return g.select("source", E.gate(F.col("good"), F.col("total"), 0.85).alias("gate"))
 
 
-@query("failure_bounds")
+@query("failure_bounds", """WITH RECURSIVE g AS (SELECT lang, sum(1 - quality)::BIGINT AS failures, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang),
+b AS (SELECT lang, failures, n, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS it FROM g UNION ALL
+  SELECT lang, failures, n, CASE WHEN below > 0.05 THEN mid ELSE lo END, CASE WHEN below > 0.05 THEN hi ELSE mid END, it + 1
+  FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(0, failures + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln((lo + hi) / 2) + (n - k) * ln(1 - (lo + hi) / 2)))) AS below FROM b WHERE it < 45))
+SELECT lang, failures, n, CASE WHEN failures = n THEN 1.0 ELSE round((lo + hi) / 2, 6) END::DOUBLE AS upper95 FROM b WHERE it = 45""")
 def failure_bounds(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("quality")).alias("failures"))
     return g.select("lang", "failures", "n", F.round(E.binomial_upper_column(F.col("failures"), F.col("n")), 6).alias("upper95"))
