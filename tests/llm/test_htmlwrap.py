@@ -158,3 +158,13 @@ def test_query_equals_a_plain_reading(spark):
         inner = re.sub("</?b>", "", re.search("<article>(.*?)</article>|<article>(.*)", r.html, re.S)[0]).replace("<br>", " ")
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_pages_without_their_marks(spark):
+    """article, nav and footer become div and the advert loses its class: the wrapper finds the same text on every page, which pages by themselves don't."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", r"<(/?)(?:article|nav|footer)\b", "<$1div"), ' class="ad"', ""))
+    want = {r.page_id: r.text for r in H.main_text(pages, "page_id", "url", "html").collect()}
+    got = {r.page_id: r.text for r in H.main_text(plain, "page_id", "url", "html").collect()}
+    assert got == want
+    assert sum(H.text_of(r.html) != want[r.page_id] for r in plain.limit(1000).collect()) > 10
