@@ -183,6 +183,15 @@ def reserve(totals: list[float], states: list[list[bool]], least: float, window:
     return out
 
 
+def automatic(rows: pd.DataFrame, states: list[list[bool]], count: int, diversity: float = 0.5, smoothness: float = 0.5, window: float = 0.15) -> list[int]:
+    """A playlist from ranked candidates: one reserved for each stage that has a relevant one, the others selected, and all sequenced. Columns as for select."""
+    ranked = sorted(range(len(rows)), key=lambda i: (-round(rows["total"].iloc[i], 12), rows["id"].iloc[i]))
+    held = reserve([rows["total"].iloc[i] for i in ranked], [states[i] for i in ranked], FLOOR, window) if ranked else []
+    held = [ranked[i] for i in held if i is not None][:count]
+    kept = held + [i for i in select(rows, count, diversity) if i not in held][: count - len(held)]
+    return [kept[i] for i in sequence(rows.iloc[kept].reset_index(drop=True), smoothness, diversity)] if kept else []
+
+
 def stage_violations(states: list[list[bool]], stages: int) -> int:
     """The fewest tracks out of order for a journey through stages: each track is put into a stage, stages never go back, and a track that doesn't match its stage counts."""
     best = [0] * stages

@@ -380,3 +380,35 @@ def test_packs_combine(spark):
     df = spark.createDataFrame(rows, "id long, pack int, title string, artist string, duration_ms long, mbid string, isrc string, fingerprint string")
     got = sorted((r.root, r.title, r.mbid, r.n, r.assigned) for r in I.combined(df, "pack", ["title", "artist", "mbid", "isrc"]).collect())
     assert got == [(1, "Song", "m1", 2, "song band"), (3, "Song", None, 1, "song band-2")]
+
+
+def test_automatic_playlists_hold_every_stage():
+    for seed in range(6):
+        rows = some_pool(seed)
+        states = [[k % 3 == s for s in range(3)] for k in range(len(rows))]
+        got = A.automatic(rows, states, 9)
+        ranked = sorted(range(len(rows)), key=lambda i: (-rows.total[i], i))
+        wanted = {i for i in A.reserve([rows.total[i] for i in ranked], [states[i] for i in ranked], 0.05, 0.15) if i is not None}
+        assert len(got) == len(set(got)) == 9 and {ranked[i] for i in wanted} <= set(got)
+    assert A.automatic(rows.iloc[:0], [], 9) == []
+
+
+def test_requests_without_clauses_and_with_nulls(spark):
+    from melisma.operators import requests as R
+
+    requests = spark.createDataFrame([(1, "hybrid", "strict", 0, False, None), (2, "hybrid", "best_available", 0, True, ""), (3, "enhanced", "best_available", 60, True, "jazz"), (4, "hybrid", "strict", 0, False, None)], "request long, mode string, policy string, seconds long, temporal boolean, single_genre string")
+    clauses = spark.createDataFrame([(4, "essential", "genre", None, None, None), (4, "preference", "genre", "dub", "positive", False), (4, "hard", "no_back_to_back_artist", "", None, False)], "request long, role string, kind string, value string, influence string, strict boolean")
+    assert {tuple(r) for r in R.artist_diversity(requests, clauses).collect()} == {(1, False), (2, True), (3, False), (4, True)}
+    got = {r.request: (r.supported, r.reasons) for r in R.walk_guard(requests, clauses).collect()}
+    assert got == {1: (True, []), 2: (False, ["structure"]), 3: (False, ["duration"]), 4: (False, ["verification"])}
+    assert R.artist_diversity(requests, clauses.limit(0)).count() == 4 and R.walk_guard(requests.limit(0), clauses).count() == 0
+
+
+def test_proposals_are_checked(spark):
+    from melisma.operators import requests as R
+
+    code = "0a0b0c0d-0000-1111-2222-333344445555"
+    q = spark.createDataFrame([(k, " A ", "T", "x" * (300 if k == 5 else 3)) for k in range(1, 7)] + [(7, None, "T", None)], "id long, artist string, title string, release string")
+    r = spark.createDataFrame([(1, "A", "T", code.upper(), [code], "A", "T"), (2, "A", "T", "", None, None, None), (3, "A", "T", code, [], "A", "T"), (4, "B", "T", code, [code], "A", "T"), (6, "A", "T", code, [None], "A", "T")], "id long, artist_arg string, title_arg string, mbid string, artist_mbids array<string>, artist_name string, recording string")
+    got = {x.id: (x.state, x.mbid) for x in R.mapping_proposals(q, r).collect()}
+    assert got == {1: ("proposed", code), 2: ("none", None), 3: ("invalid_proposal", None), 4: ("mismatched", None), 5: ("invalid_query", None), 6: ("invalid_proposal", None), 7: ("invalid_query", None)}
