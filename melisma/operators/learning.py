@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The Gram matrix of the vocabulary is held by the driver: at most so many terms.
+from ..sources.scratch import keeper
+
+#: The Gram matrix of the vocabulary is held by the driver: at most so many terms. A larger vocabulary is factored by subspace_svd.
 MOST_TERMS = 4096
 
 
@@ -46,10 +48,77 @@ def gram_svd(x: DataFrame, k: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     return terms, np.sqrt(np.maximum(w[order], 0)), v
 
 
-def project(x: DataFrame, terms: list[str], v: np.ndarray) -> DataFrame:
-    """(artist, vector): sparse rows in the space of v."""
-    table = x.sparkSession.createDataFrame([(t, [float(a) for a in row]) for t, row in zip(terms, v, strict=True)], "term string, row array<double>")
-    e = x.join(F.broadcast(table), "term").select("artist", F.posexplode(F.transform("row", lambda a: a * F.col("x"))).alias("i", "y"))
+def _times(x: DataFrame, table: DataFrame, on: str, to: str) -> DataFrame:
+    """The sparse rows (artist, term, x) times a table of rows (`on`, row): rows (`to`, row). Sums by coordinate are combined before the shuffle."""
+    e = x.join(table, on).select(to, F.posexplode("row").alias("i", "y"), "x").groupBy(to, "i").agg(F.sum(F.col("x") * F.col("y")).alias("y"))
+    return e.groupBy(to).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("row"))
+
+
+def _gram(table: DataFrame, width: int) -> np.ndarray:
+    """The products of a table's columns: each task adds up its rows, and width x width numbers a task come together."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        g = np.zeros((width, width))
+        for batch in batches:
+            y = np.asarray(batch.column(0).flatten(), float).reshape(-1, width)
+            g += y.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(g.ravel())], names=["i", "g"])
+
+    out = np.zeros(width * width)
+    for r in table.select("row").mapInArrow(run, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect():
+        out[r.i] = r.g
+    return out.reshape(width, width)
+
+
+def _turned(table: DataFrame, key: str, m: np.ndarray) -> DataFrame:
+    """Each row times a small matrix."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            y = np.asarray(batch.column(1).flatten(), float).reshape(-1, len(m)) @ m
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(y), pa.list_(pa.float64()))], names=[key, "row"])
+
+    return table.select(key, "row").mapInArrow(run, f"{key} string, row array<double>")
+
+
+def subspace_svd(x: DataFrame, k: int, rounds: int = 8, extra: int = 8) -> tuple[DataFrame, np.ndarray]:
+    """(term, row): right singular vectors as a table, and the k greatest singular values, for a vocabulary of any size. Keyed random vectors are multiplied with the rows and back again; after each round their columns are made orthonormal by the small matrix of their products, which is all that the driver sees."""
+    kept, width = keeper(x.sparkSession, "svd"), k + extra
+    x = kept(x.select(F.col("artist").cast("string").alias("artist"), F.col("term").cast("string").alias("term"), "x"), "x")
+    unit = lambda i: F.pmod(F.xxhash64("term", i), F.lit(1 << 20)) / float(1 << 20) - 0.5
+    q = x.select("term").distinct().select("term", F.transform(F.sequence(F.lit(1), F.lit(width)), unit).alias("row"))
+    for r in range(rounds + 1):
+        w, u = np.linalg.eigh(_gram(q, width))
+        good = w > 1e-12 * max(w.max(initial=0.0), 1e-300)
+        q = _turned(q, "term", u * np.where(good, 1 / np.sqrt(np.where(good, w, 1)), 0))
+        if r < rounds:
+            q = kept(_times(x, kept(_times(x, q, "term", "artist"), f"y{r}"), "artist", "term"), f"q{r}")
+    q = kept(q, "basis")
+    w, u = np.linalg.eigh(_gram(_times(x, q, "term", "artist"), width))
+    order = np.argsort(-w)[:k]
+    v = kept(_turned(q, "term", u[:, order]), "v")
+    at = v.select("term", F.posexplode("row").alias("i", "y")).groupBy("i").agg(F.max_by("y", F.struct(F.abs("y"), "term")).alias("y")).collect()  # k rows
+    signs = np.ones(len(order))
+    for r in at:
+        signs[r.i] = -1.0 if r.y < 0 else 1.0  # signs are free: the largest entry is positive
+    return kept(_turned(v, "term", np.diag(signs)), "signed"), np.sqrt(np.maximum(w[order], 0))
+
+
+def truncated_svd(x: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(term, row) and singular values, exactly for a vocabulary that one machine can hold the products of, by subspaces beyond."""
+    if x.select("term").distinct().limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        return subspace_svd(x, k)
+    terms, s, v = gram_svd(x, k)
+    return x.sparkSession.createDataFrame([(t, [float(a) for a in row]) for t, row in zip(terms, v, strict=True)], "term string, row array<double>"), s
+
+
+def project(x: DataFrame, table: DataFrame) -> DataFrame:
+    """(artist, vector): sparse rows in the space of a table (term, row)."""
+    e = x.join(table, "term").select("artist", F.posexplode(F.transform("row", lambda a: a * F.col("x"))).alias("i", "y"))
     return e.groupBy("artist", "i").agg(F.sum("y").alias("y")).groupBy("artist").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("vector"))
 
 

@@ -47,9 +47,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Tr
     blocks = max(1, -(-n * (d or 1) // QUERY_NUMBERS))
     out = None
     for b in range(blocks):
-        got = [r for r in queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect() if r.vector and any(r.vector)]
-        q = np.array([r.vector for r in got], np.float64).reshape(len(got), -1 if got else 1)
-        sent = spark.sparkContext.broadcast(([r.id for r in got], q / np.linalg.norm(q, axis=1, keepdims=True)))
+        some = F.exists("vector", lambda x: x != 0)
+        got = queries.filter(some & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).select("id", F.col("vector").cast("array<double>").alias("vector")).orderBy("id").toArrow()
+        q = np.asarray(got["vector"].combine_chunks().flatten(), np.float64).reshape(len(got), -1 if len(got) else 1)
+        sent = spark.sparkContext.broadcast((got["id"].to_pylist(), q / np.linalg.norm(q, axis=1, keepdims=True)))
         found = rows.select("id", "vector").mapInArrow(lambda x, sent=sent: _best(x, *sent.value, k + 1), "query long, id long, score double") if len(got) else spark.createDataFrame([], "query long, id long, score double")
         out = found if out is None else out.unionByName(found)
     if exclude_self:

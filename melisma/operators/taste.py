@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.scratch import keeper
 from . import search
 
 #: Similarities that a task holds at once: at most so many numbers.
@@ -59,21 +58,6 @@ def centroids(weights: DataFrame, vectors: DataFrame, least: int = 2) -> DataFra
     return c.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("listener", "positive"))))
 
 
-def _kept(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
-    """Writes a round's table to the checkpoint folder and reads it back, so that rounds don't compute those before again."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="melisma-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, part: str) -> DataFrame:
-        df.write.parquet(f"{root}/{part}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{part}")
-
-    return kept
-
-
 def _central(p: DataFrame, *by: str) -> DataFrame:
     """Of each group of (track, w, x): its track of least weighted distance to all and that track's vector, its size and weight. Distances to all add up to the group's weight less the product with the group's weighted sum, so no pairs are made."""
     sums = p.select(*by, "w", F.posexplode("x").alias("i", "v")).groupBy(*by, "i").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
@@ -89,7 +73,7 @@ def clusters(weights: DataFrame, vectors: DataFrame, most: int = 4, apart: float
     The first medoid has the least weighted distance to all, each next one is the farthest from those before while that is `apart` or more; tracks join
     the nearest, and medoids are found once more. Every step is an aggregate of (track, distance to the nearest medoid), so a listener may have any number of tracks.
     """
-    kept = _kept(weights.sparkSession, "clusters")
+    kept = keeper(weights.sparkSession, "clusters")
     liked = weights.filter("w > 0").join(vectors.select(F.col("id").alias("track"), V.unit(F.col("vector")).alias("x")), "track")
     p = kept(liked.select("listener", "track", "w", "x"), "tracks")
     first = _central(p, "listener").select("listener", F.col("weight").alias("total"), "m")

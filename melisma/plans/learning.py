@@ -38,8 +38,7 @@ def sparse_cosine(spark: SparkSession, d: str) -> DataFrame:
 @query("truncated_svd")
 def truncated_svd(spark: SparkSession, d: str) -> DataFrame:
     x = L.tf_idf(_tf(spark, d))
-    terms, _, v = L.gram_svd(x, 8)
-    return L.project(x, terms, v).select("artist", F.transform("vector", lambda a: F.round(a, 6)).alias("vector"))
+    return L.project(x, L.truncated_svd(x, 8)[0]).select("artist", F.transform("vector", lambda a: F.round(a, 6)).alias("vector"))
 
 
 @query("spherical_kmeans")

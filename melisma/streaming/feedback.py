@@ -43,18 +43,35 @@ def activity(events: DataFrame, window: str = "1 day", late: str = "1 hour") ->
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
-def upsert(batch: DataFrame, path: str, key: list[str], order: str) -> None:
-    """For foreachBatch: merges a batch into a Parquet table, the last row of each key winning. The table is written anew beside the old one, which makes a repeated batch harmless."""
+#: Parts of an upserted table. A batch rewrites only those that its keys fall into.
+PARTS = 256
+
+
+def upsert(batch: DataFrame, path: str, key: list[str], order: str, parts: int = PARTS) -> None:
+    """For foreachBatch: merges a batch into a Parquet table, the last row of each key winning.
+
+    Rows lie in parts by their key's hash. The parts that a batch touches are written anew beside the old ones, then a list of which version of each part holds, so that
+    readers see a batch whole or not at all, and a repeated batch changes nothing. A table keeps the number of parts it began with.
+    """
     from ..operators.catalog import latest
 
     spark = batch.sparkSession
     try:
-        old = spark.read.parquet(f"{path}/{_version(spark, path)}")
-        rows = old.unionByName(batch)
-        version = _version(spark, path) + 1
+        number = _version(spark, f"{path}/lists")
+        held = {r.part: (r.version, r.parts) for r in spark.read.parquet(f"{path}/lists/{number}").collect()}  # at most one row a part
     except FileNotFoundError:
-        rows, version = batch, 0
-    latest(rows, key, F.desc(order)).write.mode("overwrite").parquet(f"{path}/{version}")
+        number, held = -1, {}
+    parts = next((n for _, n in held.values()), parts)
+    rows = batch.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
+    touched = [r[0] for r in rows.select("_part").distinct().collect()]
+    if not touched:
+        return
+    old = [f"{path}/rows/{held[p][0]}/_part={p}" for p in touched if p in held]
+    if old:
+        rows = spark.read.option("basePath", path).schema(batch.schema).parquet(*old).select(*batch.columns).withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")).unionByName(rows)
+    latest(rows, ["_part", *key], F.desc(order)).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/rows/{number + 1}")
+    held |= {p: (number + 1, parts) for p in touched}
+    spark.createDataFrame([(p, v, n) for p, (v, n) in sorted(held.items())], "part int, version int, parts int").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists/{number + 1}")
 
 
 def _version(spark, path: str) -> int:
@@ -68,4 +85,6 @@ def _version(spark, path: str) -> int:
 
 
 def current(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{_version(spark, path)}")
+    """The table as of its last whole batch."""
+    held = spark.read.parquet(f"{path}/lists/{_version(spark, f'{path}/lists')}").collect()
+    return spark.read.parquet(*(f"{path}/rows/{r.version}/_part={r.part}" for r in held))

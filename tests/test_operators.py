@@ -241,10 +241,32 @@ def test_svd_equals_numpy(spark):
     x = spark.createDataFrame([(f"a{i}", f"t{j}", float(m[i, j])) for i in range(12) for j in range(6) if m[i, j]], "artist string, term string, x double")
     terms, s, v = L.gram_svd(x, 3)
     assert terms == [f"t{j}" for j in range(6)] and np.allclose(s, np.linalg.svd(m)[1][:3])
-    got = {r.artist: r.vector for r in L.project(x, terms, v).collect()}
+    got = {r.artist: r.vector for r in L.project(x, L.truncated_svd(x, 3)[0]).collect()}
     assert all(np.allclose(got[f"a{i}"], m[i] @ v) for i in range(12))
 
 
+def test_subspaces_find_the_same_svd(spark):
+    rng = np.random.default_rng(5)
+    m = rng.uniform(0, 1, (40, 14)) * (rng.uniform(0, 1, (40, 14)) > 0.5)
+    x = spark.createDataFrame([(f"a{i}", f"t{j:02}", float(m[i, j])) for i in range(40) for j in range(14) if m[i, j]], "artist string, term string, x double")
+    _, s, v = L.gram_svd(x, 3)
+    table, values = L.subspace_svd(x, 3)
+    got = {r.term: r.row for r in table.collect()}
+    assert np.allclose(values, s, rtol=1e-6) and np.allclose(np.array([got[t] for t in sorted(got)]), v, atol=1e-4)
+
+
+def test_near_durations_are_on_neighbouring_steps(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(3000):
+        a = rng.choice([rng.uniform(0, 2e5), rng.uniform(1e5, 1e7), 150_000.0])
+        b = max(0.0, a + rng.uniform(-1.05, 1.05) * max(3000.0, 0.02 * a))
+        rows.append((a, b))
+    near = F.abs(F.col("a") - F.col("b")) <= F.greatest(F.lit(3000.0), 0.02 * F.greatest("a", "b"))
+    df = spark.createDataFrame(rows, "a double, b double").filter(near)
+    assert df.count() > 2000 and df.filter(F.abs(I.duration_step(F.col("a")) - I.duration_step(F.col("b"))) > 1).count() == 0
+
+
 def test_packed_vectors_round_trip(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = rng.normal(size=(50, 2, 100))
@@ -334,6 +356,10 @@ def test_upsert_is_idempotent(spark, tmp_path):
     S2.upsert(b, f"{tmp_path}/t", ["id"], "seq")
     S2.upsert(b, f"{tmp_path}/t", ["id"], "seq")
     assert sorted((r.id, r.v) for r in S2.current(spark, f"{tmp_path}/t").collect()) == [(1, "z"), (2, "y")]
+    part = lambda v: {p.name for p in (tmp_path / "t" / "rows" / str(v)).glob("_part=*")}
+    assert len(part(0)) == 2 and len(part(1)) == len(part(2)) == 1  # only the part of key 1 is written again
+    S2.upsert(b.limit(0), f"{tmp_path}/t", ["id"], "seq")
+    assert S2.current(spark, f"{tmp_path}/t").columns == ["id", "v", "seq"] and S2.current(spark, f"{tmp_path}/t").count() == 2
 
 
 def test_stream_ignores_what_was_said_earlier(spark, tmp_path):
