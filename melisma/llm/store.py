@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; without one (tests, one machine), a temporary folder, which is then set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="melisma-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+from ..sources.scratch import folder
 
 
 def short_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -41,7 +32,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         short_batches(spark)
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path, schema = f"{self.root}/{name}", df.schema

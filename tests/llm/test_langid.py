@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -37,3 +39,37 @@ def test_held_out_accuracy(spark):
     got = langid.op5_subword_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").filter("held_out")
     n, right, rejected = got.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.sum(F.col("rejected").cast("int"))).first()
     assert n > 150 and right >= 0.98 * n and rejected <= 0.02 * n
+
+
+def plainly(model, text):
+    """(language, score) of a text, a run of bytes at a time."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    total, n = model.bias * 0.0, 0
+    padded = b" " + raw + b" "
+    for k in langid.ORDERS:
+        for i in range(len(padded) - k + 1):
+            code = 0x9E37 * k
+            for b in padded[i : i + k]:
+                code = ((code ^ b) * 0x01000193) & 0xFFFFFFFF
+            total = total + model.table[((code * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - langid.BUCKET_BITS)].astype(float)
+            n += 1
+    z = [v / model.temperature for v in (total / max(n, 1) + model.bias)]
+    e = [math.exp(v - max(z)) for v in z]
+    top = max(range(len(e)), key=lambda i: e[i])
+    return model.classes[top], e[top] / sum(e)
+
+
+def test_query_equals_a_plain_reading(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs.filter(langid.remainder("doc_id", 4) != 2), "doc_id", "text", "lang")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = langid.op5_subword_language(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not any(map(str.isalpha, texts[r.doc_id] or "")):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        lang, score = plainly(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4

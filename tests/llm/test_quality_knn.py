@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -42,3 +43,27 @@ def test_held_out_accuracy(spark):
     got = quality_knn.op8_neighbour_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
     n, right = got.agg(F.count("*"), F.sum((F.col("quality") == F.col("predicted")).cast("int"))).first()
     assert n > 50 and right >= 0.93 * n
+
+
+def test_query_equals_brute_force(spark):
+    """Each text by itself: its terms counted one by one, its cosine with every labelled vector, and a sorted list of neighbours."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(quality_knn.remainder("doc_id", 5) != 0)
+    model = quality_knn.train(spark.read.parquet(f"{sf}/documents.parquet"), labels, "doc_id", "text", "quality")
+    known = {r.doc_id for r in labels.filter("quality in (0, 1)").collect() if r.doc_id in docs}
+    assert len(model.labels) == len(known)  # the sample's bound is not reached here
+    kinds = [slice(0, 1 << quality_knn.WORD_BITS), slice(1 << quality_knn.WORD_BITS, -2), slice(-2, None)]
+    got = quality_knn.op8_neighbour_quality(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        raw = np.frombuffer(docs[r.doc_id].encode(), np.uint8)
+        x = np.log1p(quality_knn.counts(raw, np.array([0, len(raw)]))[0].astype(float)) * model.idf
+        for k in kinds:
+            x[k] /= max(np.linalg.norm(x[k]), 1e-9)
+        y = x @ model.directions.astype(float)
+        cos = model.vectors.astype(float) @ (y / max(np.linalg.norm(y), 1e-9))
+        near = sorted(range(len(cos)), key=lambda i: -cos[i])[: quality_knn.NEIGHBOURS]
+        w = [max(cos[i], 0.0) ** quality_knn.SHARPNESS for i in near]
+        want = (sum(a * model.labels[i] for a, i in zip(w, near)) + 1e-6 * model.prior) / (sum(w) + 1e-6)
+        assert abs(r.score - want) < 2e-3 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
