@@ -26,6 +26,8 @@ from .store import Scratch, column, tables, whole
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
 T, PATHS, LIMIT, PART, TIGHT, DEPTH = 128, 2, 400, 160, 0.5, 8
+#: Rows of one key from which on a join deals it to several tasks, and the most such keys.
+HUB, MOST_HUBS = 500, 1_000_000
 #: Sketches that agree on fewer coordinates than this differ, with a chance of error of about 1e-7 at the threshold.
 SKETCH_LEAST = int(T * THRESHOLD - 5.2 * math.sqrt(T * THRESHOLD * (1 - THRESHOLD)))
 _SEEDS = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, (2, T), dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -252,18 +254,31 @@ def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(vids[some]), pa.array(label[some]), pa.array(links[some])], names=["vid", "to", "links"])
 
 
+def with_group(rows: DataFrame, groups: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """rows joined to groups on key, where groups has a row a key and counts its rows in n. A key with many rows is dealt to several tasks by a hash of column `by`.
+
+    Keys are dealt from HUB rows on, or from 2 * total / MOST_HUBS if that is more; so of rows that are at most 2 * total there are never more than MOST_HUBS such keys, and these are broadcast.
+    """
+    least = max(HUB, 2 * total // MOST_HUBS)
+    parts = F.ceil(F.col("n") / F.lit(least))
+    hubs = F.broadcast(groups.filter(F.col("n") > least).select(key, parts.alias("parts")))
+    dealt = rows.join(hubs, key, "left").withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    copies = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
+    return dealt.join(copies, [key, "part"]).drop("part")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(vid, root) for every vertex of an edge: the least vertex of its component, by alternating large and small stars."""
+    """(vid, root) for every vertex of an edge: the least vertex of its component, by alternating large and small stars. A star's centre is dealt to several tasks."""
     edges = scratch.write(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars0")
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
     now, k = state(edges), 0
     while True:
         k += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v")
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), f"least{k}")
+        large = scratch.write(with_group(both.filter("v > u"), least, "u", "v", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), f"large{k}")
+        down = scratch.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"down{k}")
+        small = with_group(large, down, "u", "v", now[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v")
         edges = scratch.write(small.distinct(), f"stars{k}")
         before, now = now, state(edges)
         if now == before:
@@ -304,9 +319,9 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     decided = scratch.write(decided.mapInArrow(decide, "vid long, to long, links long"), "decided")
     roots = components(decided.select(F.col("vid").alias("u"), F.col("to").alias("v")), scratch)
     classes = reps.select("vid", "c1", "c2", "rep", "copies").join(decided.groupBy("vid").agg(F.sum("links").alias("links")), "vid", "left").join(roots, "vid", "left")
-    classes = classes.withColumn("root", F.coalesce("root", "vid"))
-    firsts = classes.groupBy("root").agg(F.min("rep").alias("first"))
-    classes = scratch.write(classes.join(firsts, "root").select("c1", "c2", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    classes = scratch.write(classes.withColumn("root", F.coalesce("root", "vid")), "rooted")
+    firsts = scratch.write(classes.groupBy("root").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    classes = scratch.write(with_group(classes, firsts, "root", "vid", reps.count()).select("c1", "c2", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     chosen = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.h"))
     return sketched.select("doc_id", "text_hash", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", F.col("first.id").alias("class_id"), "n_links", "text_hash", chosen.alias("chosen"))
 
