@@ -1,11 +1,9 @@
-import random
 import re
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from melisma.llm import ngramjoin
-from melisma.llm.store import Scratch
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -82,21 +80,3 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert got(ngramjoin.op6_chosen_path_join(spark, sf)) == brute(docs)
-
-
-def test_hubs_are_dealt_and_lose_nothing(spark, monkeypatch):
-    """Stars, a chain and random edges, with keys dealt from the third row on and with none dealt."""
-    rng = random.Random(2)
-    pairs = [(0, k) for k in range(1, 40)] + [(900, k) for k in range(500, 540)] + [(k, k + 1) for k in range(100, 130)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
-    label = {v: v for p in pairs for v in p}
-    for _ in range(len(label)):
-        before = dict(label)
-        for a, b in pairs:
-            label[a] = label[b] = min(label[a], label[b])
-        if label == before:
-            break
-    edges = spark.createDataFrame(pairs, "u long, v long")
-    for least in (3, 500):
-        monkeypatch.setattr(ngramjoin, "HUB", least)
-        found = {r.vid: r.root for r in ngramjoin.components(edges, Scratch(spark, "hubs")).collect()}
-        assert {v: found.get(v, v) for v in label} == label
