@@ -26,6 +26,8 @@ from .store import Scratch, column, tables, whole
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
 T, PATHS, LIMIT, PART, TIGHT, DEPTH = 128, 2, 400, 160, 0.5, 8
+#: Keys that hold more than one in so many of the rows are joined by broadcast; there are fewer than this.
+HEAVY = 1000
 #: Sketches that agree on fewer coordinates than this differ, with a chance of error of about 1e-7 at the threshold.
 SKETCH_LEAST = int(T * THRESHOLD - 5.2 * math.sqrt(T * THRESHOLD * (1 - THRESHOLD)))
 _SEEDS = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, (2, T), dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -252,6 +254,15 @@ def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(vids[some]), pa.array(label[some]), pa.array(links[some])], names=["vid", "to", "links"])
 
 
+def joined(rows: DataFrame, values: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Rows with the values of their keys. `values` has one row for each key and, as there, how many rows have it at most, `total` being the sum; keys with over a HEAVY-th of it are
+    fewer than HEAVY and go out by broadcast, so that their rows stay where they are and no task gets them all."""
+    often = F.col("there") > F.lit(max(total // HEAVY, 1))
+    heavy = F.broadcast(values.filter(often).drop("there"))
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(values.filter(~often).drop("there"), keys)
+    return rest.unionByName(rows.join(heavy, keys))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(vid, root) for every vertex of an edge: the least vertex of its component, by alternating large and small stars."""
     edges = scratch.write(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars0")
@@ -260,8 +271,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         k += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("there")).select("u", F.least("u", "m").alias("m"), "there"), f"least{k}")
+        large = joined(both.filter("v > u"), least, ["u"], 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u != v")
         edges = scratch.write(small.distinct(), f"stars{k}")
@@ -304,11 +315,13 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     decided = scratch.write(decided.mapInArrow(decide, "vid long, to long, links long"), "decided")
     roots = components(decided.select(F.col("vid").alias("u"), F.col("to").alias("v")), scratch)
     classes = reps.select("vid", "c1", "c2", "rep", "copies").join(decided.groupBy("vid").agg(F.sum("links").alias("links")), "vid", "left").join(roots, "vid", "left")
-    classes = classes.withColumn("root", F.coalesce("root", "vid"))
-    firsts = classes.groupBy("root").agg(F.min("rep").alias("first"))
-    classes = scratch.write(classes.join(firsts, "root").select("c1", "c2", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    classes = scratch.write(classes.withColumn("root", F.coalesce("root", "vid")), "roots")
+    firsts = scratch.write(classes.groupBy("root").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("there")), "firsts")
+    n_sets, n_rows = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    classes = joined(classes, firsts, ["root"], n_sets).select("c1", "c2", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("there"))
+    classes = scratch.write(classes, "classes")
     chosen = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.h"))
-    return sketched.select("doc_id", "text_hash", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", F.col("first.id").alias("class_id"), "n_links", "text_hash", chosen.alias("chosen"))
+    return joined(sketched.select("doc_id", "text_hash", "c1", "c2"), classes, ["c1", "c2"], n_rows).select("doc_id", F.col("first.id").alias("class_id"), "n_links", "text_hash", chosen.alias("chosen"))
 
 
 def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,14 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert got(ngramjoin.op6_chosen_path_join(spark, sf)) == brute(docs)
+
+
+def test_heavy_keys_are_joined_by_broadcast(spark):
+    """Keys with many rows, few, none and a null, in one table or in none: the rows of a plain join."""
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, 0).when(F.col("id") < 2999, F.col("id")).alias("k"), "id")
+    values = rows.filter("k % 3 = 0").groupBy("k").agg(F.max("id").alias("most"), F.count(F.lit(1)).alias("there"))
+    for some in (rows, rows.limit(0)):
+        df = ngramjoin.joined(some, values, ["k"], some.count())
+        want = some.join(values.drop("there"), ["k"])
+        assert df.columns == want.columns and sorted(df.collect()) == sorted(want.collect())
+    assert values.filter(F.col("there") > 3000 // ngramjoin.HEAVY).count() == 1
