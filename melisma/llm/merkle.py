@@ -28,21 +28,33 @@ def record(url: Column, record_id: Column, body: Column) -> Column:
     return F.concat(head, body, F.lit(end + end)).cast("binary")
 
 
-def archive(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """The archive's index: record_id, offset, length, digest, for every row; the order is that of md5(id), then id and digest.
+def ranged(rows: DataFrame, order: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """The rows, written in ranges of their order: part is a range's number and tie the place of a row before, which tells equal rows apart, so that no task gets what shares an id whole."""
+    kept = scratch.write(rows, name)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // SEGMENT_ROWS))
+    return scratch.write(kept.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order, "tie").withColumn("part", F.spark_partition_id()), f"{name}-ranged")
 
-    The leading hex digits of the md5 cut the order into segments of near equal size, so that offsets need no sort in one place.
-    """
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """k (from 1): a row's number among those of its group. A range numbers its own rows; to those of a group that began in earlier ranges, of which a range has one at most, the rows there are added."""
+    dealt = ranged(rows, [*group, *order], scratch, name)
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("part", *group).agg(F.count(F.lit(1)).alias("there_are")).select(F.col("part").alias("at"), F.struct(*group).alias("of"), F.sum("there_are").over(earlier).alias("before")).filter("before is not null")
+    k = F.row_number().over(Window.partitionBy("part", *group).orderBy(*order, "tie"))
+    out = dealt.withColumn("k", k).join(F.broadcast(before), (F.col("part") == F.col("at")) & F.struct(*group).eqNullSafe(F.col("of")), "left")
+    return out.select(*rows.columns, (F.col("k") + F.coalesce("before", F.lit(0))).alias("k"))
+
+
+def archive(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """The archive's index: record_id, offset, length, digest, for every row; the order is that of md5(id), then id and digest. Offsets are sums of lengths over ranges of this order."""
     rows = pages.select(F.col(id_col).alias("record_id"), record(F.col(url_col), F.col(id_col), F.col(html_col)).alias("bytes"))
     rows = rows.select("record_id", F.octet_length("bytes").cast("long").alias("length"), F.sha2("bytes", 256).alias("digest"), F.md5(F.coalesce(F.col("record_id").cast("string"), F.lit("")).cast("binary")).alias("h"))
-    n, digits = pages.count(), 1
-    while 16**digits * SEGMENT_ROWS < n or digits < 2:
-        digits += 1
-    rows = rows.withColumn("segment", F.substring("h", 1, digits))
-    inside = Window.partitionBy("segment").orderBy("h", F.col("record_id").asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, 0)
-    starts = rows.groupBy("segment").agg(F.sum("length").alias("there"))  # 16 ** digits rows at most
-    starts = starts.select("segment", (F.sum("there").over(Window.orderBy("segment")) - F.col("there")).alias("before"))
-    return rows.withColumn("upto", F.sum("length").over(inside)).join(starts, "segment").select("record_id", (F.col("before") + F.col("upto") - F.col("length")).alias("offset"), "length", "digest")
+    order = ["h", "record_id", "digest"]
+    dealt = ranged(rows, order, Scratch(pages.sparkSession, "archive"), "hashed")
+    inside = Window.partitionBy("part").orderBy(*order, "tie").rowsBetween(Window.unboundedPreceding, 0)
+    starts = dealt.groupBy("part").agg(F.sum("length").alias("there"))  # one row a range
+    starts = starts.select("part", (F.sum("there").over(Window.orderBy("part")) - F.col("there")).alias("before"))
+    return dealt.withColumn("upto", F.sum("length").over(inside)).join(starts, "part").select("record_id", (F.col("before") + F.col("upto") - F.col("length")).alias("offset"), "length", "digest")
 
 
 def nodes(below: DataFrame, key: Column, *names: str) -> DataFrame:
@@ -97,15 +109,15 @@ def placed(index: DataFrame, manifest: DataFrame) -> DataFrame:
 
     Of several records of one id those with equal digests are matched first, the others in the order of digests. What the manifest doesn't have lies behind its end.
     """
+    scratch = Scratch(index.sparkSession, "placed")
     end = manifest.agg(F.coalesce(F.max(F.col("offset") + F.col("length")), F.lit(0))).first()[0]
-    both = index.select("*", F.lit(None).cast("long").alias("there")).unionByName(manifest.select("*", F.col("offset").alias("there")))
-    both = both.withColumn("own", F.col("there").isNull()).repartition("record_id")  # one shuffle for all windows
-    in_order = lambda *by: F.row_number().over(Window.partitionBy("record_id", *by).orderBy("digest", "offset"))
-    both = both.withColumn("k", in_order("digest", "own"))
-    both = both.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("record_id", "digest", "k")) == 2)
-    both = both.withColumn("k", F.when(F.col("same"), F.col("k")).otherwise(in_order("own", "same"))).withColumn("as", F.when(F.col("same"), F.col("digest")))
-    met = F.max("there").over(Window.partitionBy("record_id", "same", "as", "k"))
-    return both.withColumn("met", met).filter("own").select("record_id", F.coalesce("met", F.col("offset") + F.lit(end)).alias("offset"), "length", "digest")
+    both = index.select("*", F.lit(None).cast("long").alias("there")).unionByName(manifest.select("*", F.col("offset").alias("there"))).withColumn("own", F.col("there").isNull())
+    alike = Window.partitionBy("record_id", "digest", "k")  # one row of each copy
+    both = numbered(both, ["record_id", "digest", "own"], ["offset"], scratch, "equal").withColumn("same", F.count(F.lit(1)).over(alike) == 2).withColumn("met", F.max("there").over(alike))
+    both = scratch.write(both.drop("k"), "met")
+    rest = numbered(both.filter("not same").drop("met"), ["record_id", "own"], ["digest", "offset"], scratch, "rest").withColumn("met", F.max("there").over(Window.partitionBy("record_id", "k")))
+    found = both.filter("own and same").select("record_id", "met", "offset", "length", "digest").unionByName(rest.filter("own").select("record_id", "met", "offset", "length", "digest"))
+    return found.select("record_id", F.coalesce("met", F.col("offset") + F.lit(end)).alias("offset"), "length", "digest")
 
 
 def damaged(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:

@@ -58,6 +58,28 @@ def test_a_lost_or_resized_record_shifts_no_other(spark):
     assert merkle.root(a) == merkle.root(same)
 
 
+def test_ids_of_a_third_of_all_rows(spark, monkeypatch):
+    """Rows without an id, of one id and equal rows lie in several ranges; offsets have no gap, and only what differs is reported."""
+    monkeypatch.setattr(merkle, "SEGMENT_ROWS", 10)
+    rows = [(None, "n", f"body {i}") for i in range(90)] + [(5, "u", "same")] * 90 + [(100 + i, "u", str(i)) for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    copy = spark.createDataFrame(rows[1:88] + [(None, "n", "other")] * 2 + rows[92:], pages.schema)
+    scratch = Scratch(spark, "hot")
+    dealt = merkle.ranged(pages, ["page_id", "html"], scratch, "dealt")
+    assert dealt.groupBy("part").count().agg(F.max("count")).first()[0] < 60 and dealt.filter("page_id = 5").select("part").distinct().count() > 3
+    numbers = merkle.numbered(pages, ["page_id"], ["html"], scratch, "numbers").groupBy("page_id").agg(F.sort_array(F.collect_list("k")).alias("k")).collect()
+    assert all(r.k == list(range(1, len(r.k) + 1)) for r in numbers)
+    index = scratch.write(merkle.archive(pages, "page_id", "url", "html"), "index")
+    at = 0
+    for r in sorted(index.collect(), key=lambda r: r.offset):
+        assert r.offset == at
+        at += r.length
+    placed = scratch.write(merkle.placed(merkle.archive(copy, "page_id", "url", "html"), index), "placed")
+    levels = merkle.height(index, placed)
+    found = merkle.audit(merkle.tree(index, scratch, "a", levels), merkle.tree(placed, scratch, "b", levels), scratch).collect()
+    assert sorted((str(r.record_id), r.status) for r in found) == [("5", "missing")] * 2 + [("None", "corrupt")] * 2 + [("None", "missing")]
+
+
 def test_trees_as_high_as_the_archive(spark):
     scratch = Scratch(spark, "high")
     index = spark.createDataFrame([(k, k * (1 << 34), 10, f"{k:064d}") for k in range(40)], "record_id long, offset long, length long, digest string")
