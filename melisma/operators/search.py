@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that are sent to every task: at most so many numbers. More queries than that are searched in blocks.
 QUERY_NUMBERS = 8_000_000
+#: Turns of interleaved sources that are put in order in one task.
+TURNS = 1024
 
 
 def ranked(scored: DataFrame, by: list[str], k: int, *order) -> DataFrame:
@@ -76,5 +78,9 @@ def interleaved(df: DataFrame, source: str, order: str, key: str) -> DataFrame:
     """Sources take turns, each in its own order; of rows with one key the first stays. Adds position (from 1)."""
     turn = F.row_number().over(Window.partitionBy(source).orderBy(order, key))
     dealt = df.withColumn("turn", turn).withColumn("first", F.row_number().over(Window.partitionBy(key).orderBy("turn", source)))
-    # Positions need one order over all; what is interleaved is a bounded pool of candidates.
-    return dealt.filter("first = 1").withColumn("position", F.row_number().over(Window.orderBy("turn", source)).cast("long")).drop("turn", "first")
+    # A position is the rows in earlier blocks of turns and the place in its own block, which has TURNS rows a source at most.
+    kept = dealt.filter("first = 1").withColumn("block", F.floor((F.col("turn") - 1) / TURNS))
+    sizes = kept.groupBy("block").agg(F.count(F.lit(1)).alias("there"))
+    before = sizes.select("block", (F.sum("there").over(Window.orderBy("block")) - F.col("there")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("turn", source))
+    return kept.withColumn("place", place).join(before, "block").withColumn("position", F.col("before") + F.col("place")).drop("turn", "first", "block", "place", "before")

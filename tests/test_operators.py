@@ -55,6 +55,22 @@ def test_fusion_takes_the_best_of_a_channel(spark):
     assert got[1] == 1 and abs(got[2] - (1 / 62) / (1 / 61 + 1 / 63)) < 1e-12
 
 
+def test_turns_over_many_blocks(spark, monkeypatch):
+    """Sources of unequal length with shared keys take turns, whatever the size of a block."""
+    rng = random.Random(5)
+    rows = [(s, k, rng.randrange(60)) for s, n in (("a", 50), ("b", 7), ("c", 23)) for k in range(n)]
+    seen, turns = {}, {}
+    for s, k, x in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        turns[s] = turns.get(s, 0) + 1
+        seen.setdefault(x, []).append((turns[s], s))
+    want = [(x, i + 1) for i, (_, x) in enumerate(sorted((min(v), x) for x, v in seen.items()))]
+    monkeypatch.setattr(S, "TURNS", 4)
+    df = spark.createDataFrame(rows, "source string, k long, id long")
+    got = S.interleaved(df, "source", "k", "id")
+    assert got.columns == ["source", "k", "id", "position"] and sorted((r.position, r.id) for r in got.collect()) == sorted((p, x) for x, p in want)
+    assert S.interleaved(df.limit(0), "source", "k", "id").count() == 0
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_components_equal_search(spark, seed):
     rng = random.Random(seed)
