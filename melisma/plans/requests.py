@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import assembly as A
 from ..operators import requests as R
 from ..sources.tables import FEEDBACK_SQL, TRACKS_SQL, feedback, table, tracks
-from .assembly import pool
+from . import assembly
 from .registry import query
 
 _KINDS = ("genre", "style", "composer", "mood", "require_artist", "require_style", "exclude_artist", "require_period")
@@ -80,7 +80,7 @@ def fitted(spark: SparkSession, d: str) -> DataFrame:
     most = said.agg(F.max("n").alias("most"))  # one row
     said = said.join(F.broadcast(most)).select("id", (F.col("bad") > F.col("good")).alias("conflicting"), (F.col("n") / F.col("most")).alias("familiarity"), (F.col("bad") / F.col("n")).alias("negative"))
     by = Window.partitionBy("request")
-    p = pool(spark, d).withColumn("rank", F.row_number().over(by.orderBy(F.desc("total"), "id"))).withColumn("fusion", (60 + F.min("rank").over(by)) / (60.0 + F.col("rank")))
+    p = assembly.pool(spark, d).withColumn("rank", F.row_number().over(by.orderBy(F.desc("total"), "id"))).withColumn("fusion", (60 + F.min("rank").over(by)) / (60.0 + F.col("rank")))
     p = p.join(said, "id", "left").fillna(False, ["conflicting"])
     return p.withColumn("fit", R.automatic_fit(F.col("total"), F.col("conflicting"), F.col("fusion"), F.col("familiarity"), F.col("negative")))
 
