@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -454,3 +455,13 @@ def test_proposals_are_checked(spark):
     r = spark.createDataFrame([(1, "A", "T", code.upper(), [code], "A", "T"), (2, "A", "T", "", None, None, None), (3, "A", "T", code, [], "A", "T"), (4, "B", "T", code, [code], "A", "T"), (6, "A", "T", code, [None], "A", "T")], "id long, artist_arg string, title_arg string, mbid string, artist_mbids array<string>, artist_name string, recording string")
     got = {x.id: (x.state, x.mbid) for x in R.mapping_proposals(q, r).collect()}
     assert got == {1: ("proposed", code), 2: ("none", None), 3: ("invalid_proposal", None), 4: ("mismatched", None), 5: ("invalid_query", None), 6: ("invalid_proposal", None), 7: ("invalid_query", None)}
+
+
+def test_any_module_of_queries_can_be_the_first():
+    """Python workers import the module of a function that they get before any other."""
+    import subprocess
+    import sys
+
+    for m in ("vectors", "assembly", "requests", "registry"):
+        code = f"import melisma.plans.{m}; from melisma.plans import registry; assert 'mmr_select' in registry.QUERIES"
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
