@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmlwrap, langid, line_rules, merkle, ngramjoin, packing, quality_knn, sharding, suffixdedup
+from . import decontam, htmlwrap, impactsearch, langid, line_rules, merkle, ngramjoin, packing, quality_knn, sharding, suffixdedup
 
 QUERIES = {
     "op1_merkle_fixity": merkle.op1_merkle_fixity,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_neighbour_quality": quality_knn.op8_neighbour_quality,
     "op9_wrapper_induction": htmlwrap.op9_wrapper_induction,
     "op10_line_first_rules": line_rules.op10_line_first_rules,
+    "op11_impact_search": impactsearch.op11_impact_search,
 }
-ORACLE: dict[str, str] = {"op1_merkle_fixity": merkle.ORACLE, "op10_line_first_rules": line_rules.ORACLE}
+ORACLE: dict[str, str] = {"op1_merkle_fixity": merkle.ORACLE, "op10_line_first_rules": line_rules.ORACLE, "op11_impact_search": impactsearch.ORACLE}
