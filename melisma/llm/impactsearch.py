@@ -3,7 +3,7 @@
 One pass over the documents keeps, for each, its number of terms and the frequencies of those terms that the items ask for. Once the
 corpus counts are known, every task makes segments of what it has: postings sorted by term and, within a term, by descending exact
 impact. An item takes its terms' postings in levels: all groups of equal impact whose contribution (weight times impact) reaches the
-level, which falls by half each time. It stops only when no document that is met first from here on can reach the k-th best score: the sum of what each
+level, which falls by a quarter each time. It stops only when no document that is met first from here on can reach the k-th best score: the sum of what each
 term's next posting contributes is below it. Documents that could still be among the best then get their scores completed from all their postings.
 A task carries each item's best from segment to segment, so that later ones stop early; at most k rows an item leave a task.
 """
@@ -99,7 +99,7 @@ class Segment:
             bound = int(heads.sum())
             if bound < floor:
                 break
-            level = max(int(heads.max()) // 2, 1)
+            level = max(int(heads.max()) * 3 // 4, 1)
             upto = np.clip(np.searchsorted(self.key, (terms << BITS) + TOP - np.minimum(-(-level // weights), TOP), "right"), at, end)
             which = ranges(at, upto - at)
             np.add.at(score, self.doc[which], np.repeat(weights, upto - at) * (TOP - (self.key[which] & TOP)))

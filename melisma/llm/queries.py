@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmlwrap, impactsearch, langid, line_rules, merkle, ngramjoin, packing, quality_knn, sharding, suffixdedup
+from . import bpeprefix, decontam, htmlwrap, impactsearch, langid, line_rules, merkle, ngramjoin, packing, quality_knn, sharding, suffixdedup
 
 QUERIES = {
     "op1_merkle_fixity": merkle.op1_merkle_fixity,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_wrapper_induction": htmlwrap.op9_wrapper_induction,
     "op10_line_first_rules": line_rules.op10_line_first_rules,
     "op11_impact_search": impactsearch.op11_impact_search,
+    "op12_prefix_bpe": bpeprefix.op12_prefix_bpe,
 }
 ORACLE: dict[str, str] = {"op1_merkle_fixity": merkle.ORACLE, "op10_line_first_rules": line_rules.ORACLE, "op11_impact_search": impactsearch.ORACLE}
