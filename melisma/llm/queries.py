@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpeprefix, decontam, htmlwrap, impactsearch, langid, line_rules, merkle, ngramjoin, packing, quality_knn, sharding, suffixdedup
+from . import bpeprefix, decontam, divergence, htmlwrap, impactsearch, langid, line_rules, merkle, ngramjoin, packing, quality_knn, sharding, suffixdedup
 
 QUERIES = {
     "op1_merkle_fixity": merkle.op1_merkle_fixity,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_line_first_rules": line_rules.op10_line_first_rules,
     "op11_impact_search": impactsearch.op11_impact_search,
     "op12_prefix_bpe": bpeprefix.op12_prefix_bpe,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
-ORACLE: dict[str, str] = {"op1_merkle_fixity": merkle.ORACLE, "op10_line_first_rules": line_rules.ORACLE, "op11_impact_search": impactsearch.ORACLE}
+ORACLE: dict[str, str] = {"op1_merkle_fixity": merkle.ORACLE, "op10_line_first_rules": line_rules.ORACLE, "op11_impact_search": impactsearch.ORACLE, "op13_source_divergence": divergence.ORACLE}

@@ -2,10 +2,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from melisma.llm import impactsearch as S
-from melisma.llm.queries import ORACLE, QUERIES  # noqa: F401
 
 TERM = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -47,15 +48,32 @@ def corpus(seed, n):
     return [(k, " ".join(rng.choices(words, weights, k=rng.randint(0, 80)))) for k in range(n)], words, rng
 
 
-@pytest.mark.parametrize("size", [1, 64, 1 << 21])
-def test_equals_scoring_everything(spark, monkeypatch, size):
+def test_equals_scoring_everything(spark):
     docs, words, rng = corpus(5, 300)
     docs += [(7, docs[7][1]), (900, docs[7][1]), (None, docs[7][1]), (901, None), (902, ""), (903, "... !?"), (904, "w1 " * 5000)]
     items = [(f"i{k}", " ".join(rng.choices(words, k=rng.randint(1, 12)))) for k in range(25)] + [("none", None), ("empty", ""), ("unknown", "qqq zzz"), ("i0", "w1 w1 the THE")]
-    monkeypatch.setattr(S, "SEGMENT_POSTINGS", size)
     assert searched(spark, docs, items) == plain(docs, items)
 
 
+@pytest.mark.parametrize("size", [1, 64, 1000])
+def test_segments_of_any_size_give_the_same(monkeypatch, size):
+    """The functions of a task, in this process."""
+    docs, words, rng = corpus(8, 200)
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(1, 12)))) for k in range(20)]
+    monkeypatch.setattr(S, "SEGMENT_POSTINGS", size)
+    vocabulary = {t.encode(): i for i, t in enumerate({t for _, x in items for t in terms(x)})}
+    batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1].encode() for d in docs], pa.binary())], names=["doc_id", "text"])
+    table = list(S.forward(iter([batch.slice(0, 90), batch.slice(90)]), vocabulary))
+    n, total = sum(b.num_rows for b in table), sum(sum(b.column(1).to_pylist()) for b in table)
+    df = Counter(t for b in table for row in b.column(2).to_pylist() for t in row)
+    asked = []
+    for q, text in items:
+        mine = sorted((vocabulary[t.encode()], k * S.term_weight(n, df[vocabulary[t.encode()]])) for t, k in Counter(terms(text)).items() if vocabulary[t.encode()] in df)
+        asked.append((q, *(np.array(x, np.int64) for x in zip(*mine, strict=True))))
+    found = [row for b in S.best_of_task(iter(table), asked, len(vocabulary), 10, n, total) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted((q, -s, d) for q, s, d in found) == sorted((q, -s, d) for q, _, d, s in plain(docs, items))
+
+
 def test_blocks_of_items_give_the_same(spark):
     docs, words, rng = corpus(6, 80)
     items = [(f"i{k}", " ".join(rng.choices(words, k=8))) for k in range(12)]
@@ -68,9 +86,6 @@ def test_many_copies_tie_by_id(spark):
 
 
 def test_stops_before_the_last_posting():
-    import numpy as np
-    import pyarrow as pa
-
     n = 4000
     tf = np.where(np.arange(n) < 20, 50, 1)
     s = S.Segment(pa.array(range(n)), np.full(n, 100), np.full(n, 1), np.zeros(n, np.int32), tf, n, 100 * n)
@@ -89,7 +104,5 @@ def test_empty_tables_and_ids_of_text(spark):
 
 
 def test_very_long_lengths_are_exact():
-    import numpy as np
-
     n = np.array([3 * 10**9, 7], np.int64)
     assert S.length_factor(n, 10**11, 10**13).tolist() == [25 + 75 * int(x) * 10**11 // 10**13 for x in n]
