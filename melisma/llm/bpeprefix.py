@@ -27,7 +27,7 @@ from . import kernels as K
 from .store import column, tables, whole
 
 #: Encoded pieces and pairs of tokens that a worker remembers at once; when there are more it begins anew.
-KEPT_PIECES, KEPT_PAIRS = 300_000, 500_000
+KEPT_PIECES, KEPT_PAIRS = 200_000, 400_000
 #: Pieces of longer texts are taken one by one, and never stand in a list.
 LONG = 1 << 20
 #: Bytes of ids that a batch of results holds, about.
@@ -42,12 +42,22 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@functools.lru_cache(2)
+def tokens_of(content: bytes) -> dict[int, bytes]:
+    """Tokens by id, of a file of ranks; all that decoding needs."""
+    return {int(b): base64.b64decode(a) for a, b in map(bytes.split, content.splitlines())}
+
+
+def decode_ids(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 class Vocabulary:
     """Tokens by rank, as a file of ranks has them; an automaton that tells which tokens end at each byte; and what tells which two tokens stay apart."""
 
     def __init__(self, content: bytes) -> None:
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
-        self.tokens = {r: t for t, r in self.ranks.items()}
+        self.tokens = tokens_of(content)
+        self.ranks = {t: r for r, t in self.tokens.items()}
         self.longest = max(map(len, self.ranks), default=1)
         self.halves: dict[int, tuple[int, int]] = {}  # the two tokens that a token's last merge joins
         self.steps: dict[int, int] = {}  # a trie of the tokens: node << 8 | byte -> next node
@@ -254,9 +264,6 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.piece, self.pieces(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 class Edited:
     """A text with the encoding of each of its pieces, for appends and edits: only pieces near a change are found and encoded again."""
@@ -322,9 +329,9 @@ def encoded(batches: Iterator[pa.RecordBatch], sent, pattern: str) -> Iterator[p
 
 @K.tidy
 def decoded(batches: Iterator[pa.RecordBatch], sent, pattern: str) -> Iterator[pa.RecordBatch]:
-    encoder = encoder_of(sent.value, pattern)
+    tokens = tokens_of(sent.value)
     for batch in batches:
-        yield from batches_of(pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]), (encoder.decode(x.as_py() or b"") for x in batch.column(1)), "decoded")
+        yield from batches_of(pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]), (decode_ids(x.as_py() or b"", tokens) for x in batch.column(1)), "decoded")
 
 
 def _mapped(df: DataFrame, value: F.Column, f, name: str, vocabulary: str | None, pattern: str | None) -> DataFrame:
