@@ -13,6 +13,7 @@ on nothing but the count; so the sum for a pair of sources over all terms is one
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,11 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from . import kernels as K
 from .store import Scratch, column, tables
-from .terms import LETTERS, count
+from .terms import LETTERS, occurrences
 
 LEAST_DOCUMENTS, BEST_TERMS, SCALE = 3, 200, 1_000_000_000
 #: Leaf counters of a task's tries before they are written out, leaves of a page, written leaves of a range.
-HELD, PAGE, RANGE = 400_000, 1024, 16_384
+HELD, PAGE, RANGE = 400_000, 1024, 65_536
 #: Ranges of a language at most. They need not grow with the input: a merge keeps one leaf a term, however many pages have it.
 MOST_RANGES = 20_000
 #: Pairs of sources in a term that are worked on at once, and sums that a task holds.
@@ -45,85 +46,96 @@ def key(term: bytes) -> int:
 
 
 class Trie:
-    """A radix trie of byte strings. A node is [label, children by first byte, leaf]; a leaf is [documents, {source: count}]."""
+    """A radix trie of byte strings in steps of two bytes, three bytes and what is left. Leaves are numbered as they come; their counters stand in arrays beside it."""
 
     def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
-        self.counters = 0
-
-    def leaf(self, term: bytes) -> list:
-        """The leaf of a term, made if there is none."""
-        node, at = self.root, 0
-        while at < len(term):
-            child = node[1].get(term[at])
-            if child is None:
-                child = node[1][term[at]] = [term[at:], {}, None]
-                node = child
-                break
-            label = child[0]
-            if term.startswith(label, at):
-                node, at = child, at + len(label)
-                continue
-            same = next(i for i, (a, b) in enumerate(zip(label, term[at:] + b"\0" * len(label), strict=False)) if a != b or at + i >= len(term))
-            # The edge divides where the labels part.
-            upper = node[1][term[at]] = [label[:same], {label[same]: child}, None]
-            child[0] = label[same:]
-            node, at = upper, at + same
-        if node[2] is None:
-            node[2] = [0, {}]
-        return node[2]
-
-    def add(self, term: bytes, documents: int, counts: Iterator[tuple[int, int]]) -> None:
-        leaf = self.leaf(term)
-        leaf[0] += documents
-        mine, before = leaf[1], len(leaf[1])
-        for source, n in counts:
-            mine[source] = mine.get(source, 0) + n
-        self.counters += len(mine) - before
-
-    def walk(self) -> Iterator[tuple[bytes, list]]:
-        """Terms and leaves, in UTF-8 order."""
-        stack = [(b"", self.root)]
-        while stack:
-            path, node = stack.pop()
-            path += node[0]
-            if node[2] is not None:
-                yield path, node[2]
-            stack += [(path, node[1][b]) for b in sorted(node[1], reverse=True)]
-
-
-class Names:
-    """Numbers of sources in the order of their coming."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-
-    def __call__(self, name: str) -> int:
-        return self.number.setdefault(name, len(self.number))
-
+        self.root: dict[bytes, dict[bytes, dict[bytes, int]]] = {}
+        self.size = 0
+
+    def leaves(self, terms: list[bytes]) -> list[int]:
+        """The numbers of the terms' leaves, which are made where there are none."""
+        out, root, n = [], self.root, self.size
+        for term in terms:
+            a, b, c = term[:2], term[2:5], term[5:]
+            node = root.get(a)
+            if node is None:
+                node = root[a] = {}
+            end = node.get(b)
+            if end is None:
+                end = node[b] = {}
+            leaf = end.setdefault(c, n)
+            if leaf == n:
+                n += 1
+            out.append(leaf)
+        self.size = n
+        return out
+
+    def walk(self) -> tuple[list[bytes], list[int]]:
+        """Terms and their leaves, in UTF-8 order: a step is shorter than the others' only where the term ends, and then comes first."""
+        terms, leaves = [], []
+        for a in sorted(self.root):
+            node = self.root[a]
+            for b in sorted(node):
+                end, path = node[b], a + b
+                if len(end) == 1:
+                    for c, leaf in end.items():
+                        terms.append(path + c)
+                        leaves.append(leaf)
+                else:
+                    for c in sorted(end):
+                        terms.append(path + c)
+                        leaves.append(end[c])
+        return terms, leaves
 
-def paged(rows: Iterator[tuple[str, int, bytes, list]], names: list[str], size: int = PAGE) -> Iterator[pa.RecordBatch]:
-    """Pages of leaves (lang, range, term, leaf) in order. A page has one language and range, and names only its own sources."""
-    held: list[tuple[bytes, list]] = []
-    of: tuple[str, int] | None = None
 
-    def page() -> pa.RecordBatch:
-        sources = np.array([s for _, leaf in held for s in leaf[1]], np.int64)
-        own, local = np.unique(sources, return_inverse=True)
-        values = (
-            [of[0]], [of[1] if of[1] >= 0 else key(held[0][0])], [key(held[-1][0])], [[t for t, _ in held]], [[leaf[0] for _, leaf in held]], [[len(leaf[1]) for _, leaf in held]],
-            [local.tolist()], [[n for _, leaf in held for n in leaf[1].values()]], [[names[s] for s in own]],
-        )
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, ARROW, strict=True)], schema=ARROW)
+class Counters:
+    """A trie of one language, the numbers of documents of its leaves, and their counters a source."""
 
-    for lang, place, term, leaf in rows:
-        if held and (of != (lang, place) or len(held) >= size):
-            yield page()
-            held = []
-        of = lang, place
-        held.append((term, leaf))
-    if held:
-        yield page()
+    def __init__(self) -> None:
+        self.trie, self.number = Trie(), {}
+        self.documents: list[tuple[np.ndarray, np.ndarray]] = []  # leaves, documents
+        self.uses: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # leaves, sources, counts
+
+    def settle(self) -> None:
+        """Adds up what is held: one entry a leaf, and one a leaf and source."""
+        leaf, d = (np.concatenate(x) for x in zip(*self.documents, strict=True))
+        total = np.zeros(self.trie.size, np.int64)
+        np.add.at(total, leaf, d)
+        self.documents = [(np.arange(self.trie.size), total)]
+        leaf, source, n = (np.concatenate(x) for x in zip(*self.uses, strict=True))
+        cell, at = np.unique(leaf * len(self.number) + source, return_inverse=True)
+        total = np.zeros(len(cell), np.int64)
+        np.add.at(total, at, n)
+        self.uses = [(cell // len(self.number), cell % len(self.number), total)]
+
+    def pages(self, lang: str, place: int | None, least: int = 1, size: int = PAGE) -> Iterator[pa.RecordBatch]:
+        """Pages of the leaves of enough documents, in UTF-8 order; each names only its own sources."""
+        terms, order = self.trie.walk()
+        if not terms:
+            return
+        n = len(terms)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        documents = np.zeros(n, np.int64)
+        for leaf, d in self.documents:
+            np.add.at(documents, rank[leaf], d)
+        leaf, source, uses = (np.concatenate(x) for x in zip(*self.uses, strict=True))
+        names = list(self.number)
+        cell, at = np.unique(rank[leaf] * len(names) + source, return_inverse=True)
+        counts = np.zeros(len(cell), np.int64)
+        np.add.at(counts, at, uses)
+        enough = documents >= least
+        counts, cell = counts[enough[cell // len(names)]], cell[enough[cell // len(names)]]
+        width = np.bincount(cell // len(names), minlength=n)[enough]
+        source, documents = cell % len(names), documents[enough]
+        terms = terms if enough.all() else [t for t, x in zip(terms, enough.tolist(), strict=True) if x]
+        first = np.append(0, np.cumsum(width))
+        for a in range(0, len(terms), size):
+            b = min(a + size, len(terms))
+            own, local = np.unique(source[first[a] : first[b]], return_inverse=True)
+            values = [pa.array([lang]), pa.array([key(terms[a]) if place is None else place], pa.int64()), pa.array([key(terms[b - 1])], pa.int64())]
+            lists = pa.array(terms[a:b], pa.binary()), pa.array(documents[a:b]), pa.array(width[a:b].astype(np.int32)), pa.array(local.astype(np.int32)), pa.array(counts[first[a] : first[b]]), pa.array([names[s] for s in own], pa.string())
+            yield pa.RecordBatch.from_arrays([*values, *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)], schema=ARROW)
 
 
 ARROW = pa.schema([
@@ -132,82 +144,89 @@ ARROW = pa.schema([
 ])
 
 
-def leaves(page: dict, number: Names) -> Iterator[tuple[bytes, int, list[tuple[int, int]]]]:
-    """(term, documents, [(source, count)]) of a page."""
-    sources, n, at = [number(page["names"][s]) for s in page["source"]], page["n"], 0
-    for term, documents, width in zip(page["terms"], page["documents"], page["width"], strict=True):
-        yield term, documents, list(zip(sources[at : at + width], n[at : at + width], strict=True))
-        at += width
-
-
 @K.tidy
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of the tries of this task, one trie a language. Leaves are also known by their terms, so that only new terms go down the trie."""
-    tries: dict[str, Trie] = {}
-    known: dict[str, dict[bytes, list]] = {}
-    number, held = Names(), 0
+    """Pages of the tries of this task, one trie a language: counters of terms a source, and of documents a language, become leaves when there are many or at the end."""
+    uses: dict[str, dict[str, Counter]] = {}
+    documents: dict[str, Counter] = {}
+    seen = 0
 
     def written() -> Iterator[pa.RecordBatch]:
-        yield from paged(((lang, NOWHERE, term, leaf) for lang, trie in tries.items() for term, leaf in trie.walk()), list(number.number))
+        for lang, of_lang in uses.items():
+            c, d = Counters(), documents[lang]
+            leaf = dict(zip(d, c.trie.leaves(list(d)), strict=True))
+            numbers = lambda x: np.fromiter(x, np.int64, len(x))
+            c.documents.append((numbers(leaf.values()), numbers(d.values())))
+            for source, n in of_lang.items():
+                number = c.number.setdefault(source, len(c.number))
+                c.uses.append((np.fromiter(map(leaf.__getitem__, n), np.int64, len(n)), np.full(len(n), number, np.int64), numbers(n.values())))
+            yield from c.pages(lang, None)
 
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            trie, mine, s = tries.setdefault(lang, Trie()), known.setdefault(lang, {}), number(source)
-            for term, n in count(text.as_py(), LETTERS).items():
-                if (leaf := mine.get(term)) is None:
-                    leaf = mine[term] = trie.leaf(term)
-                leaf[0] += 1
-                if s in leaf[1]:
-                    leaf[1][s] += n
-                else:
-                    leaf[1][s] = n
-                    held += 1
-            if held >= HELD:
+            mine, all_documents = uses.setdefault(lang, {}).setdefault(source, Counter()), documents.setdefault(lang, Counter())
+            before, found = len(mine), occurrences(text.as_py(), LETTERS)
+            mine.update(found)
+            all_documents.update(set(found))
+            seen += len(mine) - before
+            if seen >= HELD:
                 yield from written()
-                tries, known, number, held = {}, {}, Names(), 0
+                uses, documents, seen = {}, {}, 0
     yield from written()
 
 
-#: Pages that are in no range yet.
-NOWHERE = -1
+def keys_of(terms: pa.BinaryArray) -> np.ndarray:
+    """key() of many terms."""
+    _, offsets, data = terms.buffers()
+    at = np.frombuffer(offsets, np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    raw = np.append(np.frombuffer(data, np.uint8), np.zeros(7, np.uint8))
+    out = np.zeros(len(terms), np.int64)
+    for k in range(7):
+        out = out << 8 | np.where(at[:-1] + k < at[1:], raw[at[:-1] + k], 0)
+    return out
 
 
 @K.tidy
 def cut(batches: Iterator[pa.RecordBatch], borders: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Pages cut at the borders of ranges; `at` becomes the range."""
     for batch in batches:
-        lo = [int(np.searchsorted(borders[lang], a, "right")) for lang, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        hi = [int(np.searchsorted(borders[lang], a, "right")) for lang, a in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        within = np.array(lo) == np.array(hi)
-        if within.any():
-            some = batch.filter(pa.array(within))
-            yield some.set_column(1, "at", pa.array(np.array(lo, np.int64)[within]))
-        for row in np.flatnonzero(~within):
-            page = batch.slice(row, 1).to_pylist()[0]
-            number, own = Names(), borders[page["lang"]]
-            rows = [(page["lang"], int(np.searchsorted(own, key(term), "right")), term, [documents, dict(counts)]) for term, documents, counts in leaves(page, number)]
-            yield from paged(rows, list(number.number))
+        langs = batch.column(0).to_pylist()
+        lo, hi = (np.array([np.searchsorted(borders[lang], a, "right") for lang, a in zip(langs, batch.column(c).to_pylist(), strict=True)], np.int64) for c in (1, 2))
+        if (lo == hi).any():
+            yield batch.filter(pa.array(lo == hi)).set_column(1, "at", pa.array(lo[lo == hi]))
+        for row in np.flatnonzero(lo != hi):
+            page = {name: batch.column(name)[row] for name in batch.schema.names}
+            terms, documents, width, source, n = (page[c].values for c in ("terms", "documents", "width", "source", "n"))
+            ranges = np.searchsorted(borders[langs[row]], keys_of(terms), "right")
+            first = np.append(0, np.cumsum(width.to_numpy()))
+            ends = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+            for a, b in zip(ends, ends[1:], strict=False):
+                x, y = int(first[a]), int(first[b])
+                values = [pa.array([langs[row]]), pa.array([int(ranges[a])], pa.int64()), pa.array([page["last"].as_py()], pa.int64())]
+                values += [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (terms.slice(a, b - a), documents.slice(a, b - a), width.slice(a, b - a), source.slice(x, y - x), n.slice(x, y - x), page["names"].values)]
+                yield pa.RecordBatch.from_arrays(values, schema=ARROW)
 
 
 @K.tidy
 def merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Pages come ordered by language and range: each range's become one trie, of which leaves of enough documents stay."""
-    of, trie, number = None, Trie(), Names()
-
-    def written() -> Iterator[pa.RecordBatch]:
-        yield from paged(((of[0], of[1], term, leaf) for term, leaf in trie.walk() if leaf[0] >= least), list(number.number))
+    of, held = None, Counters()
 
     for batch in batches:
         for row in range(batch.num_rows):
-            page = batch.slice(row, 1).to_pylist()[0]
-            if of != (page["lang"], page["at"]):
+            lang, at, terms, documents, width, source, n, names = (batch.column(c)[row] for c in ("lang", "at", "terms", "documents", "width", "source", "n", "names"))
+            if of != (lang.as_py(), at.as_py()):
                 if of:
-                    yield from written()
-                of, trie, number = (page["lang"], page["at"]), Trie(), Names()
-            for term, documents, counts in leaves(page, number):
-                trie.add(term, documents, counts)
+                    yield from held.pages(*of, least)
+                of, held = (lang.as_py(), at.as_py()), Counters()
+            leaves = np.array(held.trie.leaves(terms.as_py()), np.int64)
+            local = np.array([held.number.setdefault(s, len(held.number)) for s in names.as_py()], np.int64)
+            held.documents.append((leaves, documents.values.to_numpy()))
+            held.uses.append((np.repeat(leaves, width.values.to_numpy()), local[source.values.to_numpy()], n.values.to_numpy()))
+            if len(held.uses) >= 1000:
+                held.settle()
     if of:
-        yield from written()
+        yield from held.pages(*of, least)
 
 
 def share(n: np.ndarray, total: np.ndarray) -> np.ndarray:

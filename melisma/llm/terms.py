@@ -12,9 +12,14 @@ LETTERS, LETTERS_AND_DIGITS = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"
 LONG = 1 << 22
 
 
-def count(text: bytes | None, term: re.Pattern[bytes]) -> Counter:
-    """Occurrences of each term of a text in UTF-8; a null text has none."""
+def occurrences(text: bytes | None, term: re.Pattern[bytes]) -> list[bytes] | Counter:
+    """The terms of a text in UTF-8, of a long one their numbers; a null text has none."""
     if not text:
-        return Counter()
+        return []
     text = text.translate(LOWER)
-    return Counter(term.findall(text) if len(text) < LONG else (m[0] for m in term.finditer(text)))
+    return term.findall(text) if len(text) < LONG else Counter(m[0] for m in term.finditer(text))
+
+
+def count(text: bytes | None, term: re.Pattern[bytes]) -> Counter:
+    """Occurrences of each term of a text."""
+    return Counter(occurrences(text, term))

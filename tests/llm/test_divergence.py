@@ -77,7 +77,7 @@ def test_pages_and_ranges_of_any_size_give_the_same(monkeypatch, page, held, pai
     """The functions of the tasks, in this process: flushed tries, pages cut at borders, merged ranges, streamed leaves."""
     for name, value in (("HELD", held), ("PAIRS", pairs), ("SUMS", 4 if page == 1 else 1 << 20)):
         monkeypatch.setattr(D, name, value)
-    monkeypatch.setattr(D, "paged", lambda rows, names, f=D.paged: f(rows, names, page))
+    monkeypatch.setattr(D.Counters, "pages", lambda self, lang, place, least=1, f=D.Counters.pages: f(self, lang, place, least, page))
     docs = corpus(2, 120, sources=4)
     batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((a, b, c.encode()) for a, b, c in docs), strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], names=["lang", "source", "text"])
     pages = [*D.counted(iter([batch.slice(0, 50)])), *D.counted(iter([batch.slice(50, 30), batch.slice(80)]))]
@@ -92,10 +92,11 @@ def test_pages_and_ranges_of_any_size_give_the_same(monkeypatch, page, held, pai
     for b in D.merged(iter([pa.RecordBatch.from_pylist(ranged, schema=D.ARROW)]), 3):
         for r in b.to_pylist():
             assert r["terms"] == sorted(r["terms"])
-            for term, documents, counts in D.leaves(r, number := D.Names()):
-                names = list(number.number)
+            at = 0
+            for term, documents, width in zip(r["terms"], r["documents"], r["width"], strict=True):
                 assert (r["lang"], term) not in leaves
-                leaves[r["lang"], term] = documents, {names[s]: n for s, n in counts}
+                leaves[r["lang"], term] = documents, {r["names"][s]: n for s, n in zip(r["source"][at : at + width], r["n"][at : at + width], strict=True)}
+                at += width
     df, counts = Counter(), defaultdict(Counter)
     for lang, source, text in docs:
         found = TERM.findall(text.translate(LOWER))
@@ -107,12 +108,24 @@ def test_pages_and_ranges_of_any_size_give_the_same(monkeypatch, page, held, pai
 
 def test_trie_keeps_any_set_of_strings_in_order():
     rng = random.Random(9)
-    terms = [bytes(rng.choices(b"ab\xc3\xff", k=rng.randint(1, 7))) for _ in range(600)]
+    terms = [bytes(rng.choices(b"ab\xc3\xff", k=rng.randint(1, 9))) for _ in range(600)]
     trie = D.Trie()
-    for t in terms:
-        trie.add(t, 1, [(len(t) % 3, 2)])
-    want = Counter(terms)
-    assert [(t, leaf) for t, leaf in trie.walk()] == [(t, [want[t], {len(t) % 3: 2 * want[t]}]) for t in sorted(want)]
+    numbers = trie.leaves(terms)
+    assert trie.leaves(terms) == numbers and trie.size == len(set(terms))
+    assert list(zip(*trie.walk(), strict=True)) == sorted(dict(zip(terms, numbers, strict=True)).items())
+    assert D.keys_of(pa.array(terms, pa.binary()).slice(3)).tolist() == [D.key(t) for t in terms[3:]]
+
+
+def test_adding_up_changes_nothing():
+    c = D.Counters()
+    for terms in ([b"b", b"a"], [b"a"], [b"c", b"b"]):
+        leaves = np.array(c.trie.leaves(terms))
+        c.number.setdefault("s", 0), c.number.setdefault("t", 1)
+        c.documents.append((leaves, np.ones(len(leaves), np.int64)))
+        c.uses.append((leaves, leaves % 2, leaves + 5))
+    before = [b.to_pydict() for b in c.pages("x", 0)]
+    c.settle()
+    assert [b.to_pydict() for b in c.pages("x", 0)] == before and before[0]["terms"] == [[b"a", b"b", b"c"]] and before[0]["documents"] == [[2, 2, 1]]
 
 
 def test_shares_are_exact():
