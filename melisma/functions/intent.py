@@ -1,7 +1,7 @@
-"""Prompts to structured requests by rules, as column expressions: counts, durations, periods, references, inclusions, exclusions, alternatives, journeys and energy.
+"""What prompts count and how long they want it, as column expressions, and checks of what was read from them.
 
 Quoted text is masked first, so that words in a title never act as syntax. Numbers are read by one pass over a prompt's words that carries the number
-met last and how many words ago it was; phrases are found by patterns over the masked prompt and cut into names.
+met last and how many words ago it was.
 """
 
 from __future__ import annotations
@@ -17,15 +17,11 @@ NOUNS = ["song", "songs", "track", "tracks", "tune", "tunes", "piece", "pieces",
 MEASURES = ["year", "years", "bpm", "decade", "decades", "artist", "artists", "album", "albums", "genre", "genres", "playlist", "playlists"]
 TIMES = {"hour": 3600, "hours": 3600, "hr": 3600, "hrs": 3600, "minute": 60, "minutes": 60, "min": 60, "mins": 60, "second": 1, "seconds": 1, "sec": 1, "secs": 1}
 LEAST, MOST, PLAIN = 1, 100, 20
-#: Words between a number and what it counts, and words of a name.
-BETWEEN, NAME_WORDS = 4, 6
+#: Words between a number and what it counts.
+BETWEEN = 4
 
-# Characters for private use: what stands for each character of quoted text, and what stands around the number of a quoted name.
-_HIDE, _OPEN, _SHUT = "\ue000", "\ue001", "\ue002"
-_END = r"(?=\s*(?:[,:;.!?\n()]|$)|\s+(?:but|with|without|for|over|via|through|then|that|and then|by the end|at the end|instead|rather|starting|ending|featuring|include|including|no|not|except|avoid)\b)"
-_LIKE = r"\b(?:similar to|inspired by|in the style of|along the lines of|music by|songs by|tracks by|the artist|like)\s+"
-_NOT = r"\b(?:do not include|don['’]t include|don['’]t play|do not play|don['’]t want|do not want|nothing by|nothing from|nothing too|excluding|exclude|without|except|avoid|skip|no|not|less)\s+(?!only\b|more than\b)"
-_WITH = r"\b(?<!not )(?<!n['’]t )(?:must include|must have|including|include|add|featuring)\s+"
+# A character for private use: it stands for each character of quoted text.
+HIDDEN = "\ue000"
 
 
 def _map(values: dict[str, int], key: Column) -> Column:
@@ -35,7 +31,7 @@ def _map(values: dict[str, int], key: Column) -> Column:
 def masked(prompt: Column) -> Column:
     """The prompt with every character between quotation marks hidden; lengths stay."""
     pieces = F.regexp_extract_all(prompt, F.lit(r"(\"[^\"]*\"|“[^”]*”|[^\"“]+|[\"“])"), F.lit(1))
-    hidden = F.transform(pieces, lambda x: F.when(x.rlike(r"^[\"“].+[\"”]$"), F.concat(F.substring(x, 1, 1), F.repeat(F.lit(_HIDE), F.char_length(x) - 2), F.substring(x, -1, 1))).otherwise(x))
+    hidden = F.transform(pieces, lambda x: F.when(x.rlike(r"^[\"“].+[\"”]$"), F.concat(F.substring(x, 1, 1), F.repeat(F.lit(HIDDEN), F.char_length(x) - 2), F.substring(x, -1, 1))).otherwise(x))
     return F.array_join(hidden, "")
 
 
@@ -86,114 +82,6 @@ def measured(text: Column) -> Column:
     return F.aggregate(words(text), start, step, lambda s: F.struct(s["count"].alias("count"), s["seconds"].alias("seconds"), s["least"].alias("least_seconds")))
 
 
-def _cut(phrases: Column, by: str) -> Column:
-    """Phrases cut into trimmed items of at most NAME_WORDS words."""
-    items = F.flatten(F.transform(phrases, lambda x: F.split(x, by)))
-    items = F.transform(items, lambda x: F.trim(F.regexp_replace(x, r"(?i)^\s*(?:(?:any|more|too|very|much|some|the artist|either|themselves|early|late)\s+)+|\s+themselves\s*$", "")))
-    return F.filter(items, lambda x: (x != "") & (F.size(F.split(x, r"\s+")) <= NAME_WORDS))
-
-
-def parsed(prompt: Column) -> Column:
-    """A request: mode, track_count, explicit_count, duration_seconds, least_seconds, references, inclusions, exclusions, alternatives, stages, periods and energy. A null prompt asks for nothing.
-
-    Quoted names come back as they are written; other names in lower case, each once, in the order of the prompt.
-    """
-    p = F.coalesce(prompt, F.lit(""))
-    mask = masked(p)
-    hidden = rf"[\"“]{_HIDE}+[\"”]"
-    quotes = F.regexp_extract_all(p, F.lit(r"(\"[^\"]+\"|“[^”]+”)"), F.lit(1))
-    # Each quoted name is its number while patterns look for phrases.
-    numbered = F.array_join(F.transform(F.split(mask, hidden), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(_OPEN), (i - 1).cast("string"), F.lit(_SHUT), x))), "")
-    show = lambda x: F.when(x.rlike(_OPEN), F.regexp_replace(F.get(quotes, F.regexp_extract(x, rf"{_OPEN}(\d+)", 1).cast("int")), r"^[\"“]|[\"”]$", "")).otherwise(F.lower(x))
-    find = lambda pattern, group=1: F.regexp_extract_all(numbered, F.lit(pattern), F.lit(group))
-    distinct = lambda x: F.array_distinct(F.transform(x, show))
-    m = measured(mask)
-    names = r"\s*(?:,|&|\b(?:and|or|nor)\b)\s*"
-
-    # Names are quoted, capitalised, or short and not a description that begins like a clause.
-    like = F.filter(_cut(find(rf"(?i){_LIKE}(.+?){_END}"), names), lambda x: x.rlike(rf"^(?:{_OPEN}|\p{{Lu}})") | ((F.size(F.split(x, " ")) <= 2) & ~x.rlike(r"(?i)^(?:a|an|the|it|this|that|these|those|something|anything|i|i'd|to|my|some|what|when|\d+)\b")))
-    gone = _cut(find(rf"(?i){_NOT}(.+?)(?=\s*(?:[;.!?\n]|$)|\s+(?:but|instead|rather than|like|similar to|include|including|ending|transitioning)\b|,\s*(?:but|and)?\s*(?:then|start|end|with|like|no|not|without)\b)"), names)
-    gone = F.filter(F.transform(gone, lambda x: F.regexp_replace(x, rf"(?i)^(?:{_NOT})+", "")), lambda x: ~x.rlike(r"(?i)back[ -]to[ -]back|^repeat"))
-    have = _cut(find(rf"(?i){_WITH}(.+?){_END}"), names)
-    either = F.filter(find(r"(?i)((?:\b(?:no|not|without|avoid|except|nor)\s+(?:[\w-]+\s+){0,2})?(?:\beither\s+)?\b[\p{L}][\p{L}-]*\s+or\s+[\p{L}][\p{L}-]*)"), lambda x: ~x.rlike(r"(?i)^(?:no|not|without|avoid|except|nor)\b"))
-    alternatives = F.transform(either, lambda x: F.split(F.lower(F.regexp_replace(x, r"(?i)^either\s+", "")), r"\s+or\s+"))
-
-    path = rf"(?i)\bfrom\s+(?!\d{{4}}\b)(.+?)\s+to\s+(.+?)(?:\s+(?:via|through)\s+(.+?))?{_END}"
-    begins, ends, middle = find(path, 1), find(path, 2), find(r"(?i)\b(?:via|through)\s+(.+?)" + _END)
-    starts = find(rf"(?i)\b(?:start|begin)(?:s|ing|ning)?\s+with\s+(.+?)(?=\s+(?:and|then)\s+(?:end|finish)|\s*[,:;.!?\n]|\s*$|\s+(?:but|for|over|via|through|then)\b)")
-    closes = find(r"(?i)\b(?:end|finish)(?:s|es|ing)?\s+(?:with|at)\s+(.+?)(?=\s*[,:;.!?\n]|\s*$|\s+(?:but|for|over|via|through|then)\b)")
-    stages = F.transform(F.concat(begins, starts, middle, ends, closes), lambda x: F.trim(show(x)))
-    stages = F.array_distinct(F.filter(stages, lambda x: x != ""))
-
-    year = lambda x, g: F.regexp_extract(x, r"(\d{4})\D+(\d{4})", g).cast("int")
-    negated = lambda x: x.rlike(r"(?i)^(?:no|not|without|avoid|except|excluding)\b")
-    before = r"((?:\b(?:no|not|without|avoid|except|excluding)\s+(?:music\s+|songs\s+|tracks\s+|anything\s+)?(?:from\s+)?(?:the\s+)?)?"
-    decades = F.transform(find(rf"(?i){before}\b(?:18|19|20)\d0['’]?s\b)"), lambda x: F.struct(F.regexp_extract(x, r"(\d{4})", 1).cast("int").alias("first"), (F.regexp_extract(x, r"(\d{4})", 1).cast("int") + 9).alias("last"), negated(x).alias("negative")))
-    century = lambda x: F.regexp_extract(x, r"(\d{1,2})(?:st|nd|rd|th)", 1).cast("int")
-    centuries = F.transform(find(rf"(?i){before}\b\d{{1,2}}(?:st|nd|rd|th)[\s\p{{Pd}}]+century\b)"), lambda x: F.struct(((century(x) - 1) * 100 + 1).alias("first"), (century(x) * 100).alias("last"), negated(x).alias("negative")))
-    ranges = F.transform(find(rf"(?i){before}\b(?:between\s+|from\s+)?[12]\d{{3}}\s*(?:to|and|through|until|\p{{Pd}})\s*[12]\d{{3}}\b)"), lambda x: F.struct(year(x, 1).alias("first"), year(x, 2).alias("last"), negated(x).alias("negative")))
-    single = F.transform(find(r"(?i)\b((?:released|recorded|composed|written|made)\s+in\s+[12]\d{3})\b"), lambda x: F.struct(F.regexp_extract(x, r"(\d{4})", 1).cast("int").alias("first"), F.regexp_extract(x, r"(\d{4})", 1).cast("int").alias("last"), F.lit(False).alias("negative")))
-    periods = F.array_distinct(F.filter(F.concat(decades, centuries, ranges, single), lambda x: x["first"] <= x["last"]))
-
-    energy = F.concat(
-        *(
-            F.when(mask.rlike(rf"(?i)\b(?:{phrase})\b"), F.array(F.struct(F.lit(scope).alias("scope"), F.lit(value).alias("value")))).otherwise(F.array().cast("array<struct<scope:string,value:double>>"))
-            for phrase, scope, value in (("starts? easy|starts? calm|begins? calmly", "journey_start", 0.2), ("picks? up the pace|builds? energy", "journey_via", 0.8), ("cools? down|winds? down", "journey_end", 0.2), ("(?<!no )(?<!not )more energy", "playlist", 0.8), ("(?<!no )(?<!not )less energy", "playlist", 0.2))
-        )
-    )
-    return F.struct(
-        F.when(F.size(stages) > 0, "journey").otherwise("similar").alias("mode"),
-        F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce(m["count"], F.lit(PLAIN)))).alias("track_count"),
-        m["count"].isNotNull().alias("explicit_count"),
-        F.when(m["seconds"] > 0, m["seconds"]).alias("duration_seconds"),
-        m["least_seconds"].alias("least_seconds"),
-        distinct(like).alias("references"),
-        distinct(have).alias("inclusions"),
-        distinct(gone).alias("exclusions"),
-        F.array_distinct(alternatives).alias("alternatives"),
-        stages.alias("stages"),
-        periods.alias("periods"),
-        energy.alias("energy"),
-    )
-
-
-def clauses(intents: DataFrame, key: list[str]) -> DataFrame:
-    """One row a requirement: kind, text, scope, negative, strength; each once."""
-
-    def clause(kind: str, text: Column, scope: Column | str = "playlist", negative: Column | bool = False, strength: str = "required") -> Column:
-        as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), as_column(scope).alias("scope"), as_column(negative).alias("negative"), F.lit(strength).alias("strength"))
-
-    rows = F.concat(
-        F.transform("intent.references", lambda x: clause("reference", x, strength="preferred")),
-        F.transform("intent.inclusions", lambda x: clause("inclusion", x)),
-        F.transform("intent.exclusions", lambda x: clause("exclusion", x, negative=True)),
-        F.transform("intent.alternatives", lambda x: clause("alternative", F.array_join(x, "|"))),
-        F.transform("intent.stages", lambda x, i: clause("stage", x, F.concat(F.lit("stage"), i.cast("string")))),
-        F.transform("intent.periods", lambda x: clause("period", F.concat_ws("-", x["first"].cast("string"), x["last"].cast("string")), negative=x["negative"])),
-        F.transform("intent.energy", lambda x: clause("energy", x["value"].cast("string"), x["scope"], strength="preferred")),
-    )
-    return intents.select(*key, F.explode(F.array_distinct(rows)).alias("c")).select(*key, "c.*")
-
-
-def reconciled(model: Column, said: Column) -> Column:
-    """A model's intent (as parsed() gives it) corrected by what the prompt says outright: counts and times are the prompt's, what it names is there, and what it excludes is not asked for."""
-    union = lambda name: F.array_distinct(F.concat(F.coalesce(model[name], F.array().cast("array<string>")), said[name]))
-    gone = union("exclusions")
-    journey = F.size(said["stages"]) > 0
-    return F.struct(
-        F.when(journey, "journey").otherwise(F.coalesce(model["mode"], said["mode"])).alias("mode"),
-        F.when(said["explicit_count"], said["track_count"]).otherwise(F.coalesce(model["track_count"], F.lit(PLAIN))).alias("track_count"),
-        (said["explicit_count"] | F.coalesce(model["explicit_count"], F.lit(False))).alias("explicit_count"),
-        F.coalesce(said["duration_seconds"], model["duration_seconds"]).alias("duration_seconds"),
-        F.array_except(union("references"), gone).alias("references"),
-        F.array_except(union("inclusions"), gone).alias("inclusions"),
-        gone.alias("exclusions"),
-        F.when(journey, said["stages"]).otherwise(F.coalesce(model["stages"], said["stages"])).alias("stages"),
-        said["periods"].alias("periods"),
-    )
-
-
 def problems(intent: Column) -> Column:
     """What is wrong with an intent; an empty array for a good one."""
     checks = [

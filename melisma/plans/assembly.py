@@ -1,4 +1,4 @@
-"""Queries of playlist assembly and intent parsing. A request's pool is the 64 nearest vectors of a seed; length comes from the id."""
+"""Queries of playlist assembly. A request's pool is the 64 nearest vectors of a seed; length comes from the id."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import intent as N
 from ..operators import assembly as A
-from ..sources.tables import table, vectors
+from ..sources.tables import vectors
 from .registry import query
 from .vectors import hits
 
@@ -118,18 +117,6 @@ def stage_reservation(spark: SparkSession, d: str) -> DataFrame:
     return A.capped(pool(spark, d)).groupBy("request").applyInPandas(run, "request long, stage int, id long")
 
 
-@query("intent_parse")
-def intent_parse(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").filter("role = 'user'")
-    return c.select("conv_id", "turn", N.parsed(F.col("text")).alias("i")).select("conv_id", "turn", "i.*")
-
-
-@query("intent_clauses")
-def intent_clauses(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").filter("role = 'user'")
-    return N.clauses(c.select("conv_id", "turn", N.parsed(F.col("text")).alias("intent")), ["conv_id", "turn"])
-
-
 @query("spacing_repair")
 def spacing_repair(spark: SparkSession, d: str) -> DataFrame:
     """The twelve picks in an order without neighbours of one artist, if backtracking finds one."""
