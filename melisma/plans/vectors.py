@@ -1,4 +1,4 @@
-"""Queries of vector search and fusion. Seeds are the ten vectors of least id that end in 7."""
+"""Queries of vector search and fusion. Seeds are all vectors whose id is divisible by 50."""
 
 from __future__ import annotations
 
