@@ -29,6 +29,8 @@ from .terms import LETTERS, occurrences
 LEAST_DOCUMENTS, BEST_TERMS, SCALE = 3, 200, 1_000_000_000
 #: Leaf counters of a task's tries before they are written out, leaves of a page, written leaves of a range.
 HELD, PAGE, RANGE = 400_000, 1024, 65_536
+#: Pages of a batch.
+GATHERED = 64
 #: Ranges of a language at most. They need not grow with the input: a merge keeps one leaf a term, however many pages have it.
 MOST_RANGES = 20_000
 #: Pairs of sources in a term that are worked on at once, and sums that a task holds.
@@ -45,6 +47,22 @@ def key(term: bytes) -> int:
     return int.from_bytes(term[:7].ljust(7, b"\0"), "big")
 
 
+def gathered(make):
+    """For functions that give pages one by one: GATHERED of them leave in one batch, since each batch has its own cost."""
+
+    def together(*args) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for page in make(*args):
+            held.append(page)
+            if len(held) >= GATHERED:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return together
+
+
 class Trie:
     """A radix trie of byte strings in steps of two bytes, three bytes and what is left. Leaves are numbered as they come; their counters stand in arrays beside it."""
 
@@ -145,6 +163,7 @@ ARROW = pa.schema([
 
 
 @K.tidy
+@gathered
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages of the tries of this task, one trie a language: counters of terms a source, and of documents a language, become leaves when there are many or at the end."""
     uses: dict[str, dict[str, Counter]] = {}
@@ -187,6 +206,7 @@ def keys_of(terms: pa.BinaryArray) -> np.ndarray:
 
 
 @K.tidy
+@gathered
 def cut(batches: Iterator[pa.RecordBatch], borders: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Pages cut at the borders of ranges; `at` becomes the range."""
     for batch in batches:
@@ -208,6 +228,7 @@ def cut(batches: Iterator[pa.RecordBatch], borders: dict[str, np.ndarray]) -> It
 
 
 @K.tidy
+@gathered
 def merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Pages come ordered by language and range: each range's become one trie, of which leaves of enough documents stay."""
     of, held = None, Counters()
