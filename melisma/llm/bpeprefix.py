@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from . import kernels as K
 from .store import column, tables, whole
 
-#: Encoded pieces and pairs of tokens that a worker remembers at once; when there are more it begins anew.
-KEPT_PIECES, KEPT_PAIRS = 200_000, 400_000
-#: Pieces of longer texts are taken one by one, and never stand in a list.
-LONG = 1 << 20
+#: Encoded pieces that a worker remembers, in two halves of which the older one goes when the newer one is full, and pairs of tokens; when there are more of these it begins anew.
+KEPT_PIECES, KEPT_PAIRS = 400_000, 1_000_000
+#: Characters of texts that are encoded together. Pieces of a longer text are taken one by one, and never stand in a list; pieces of more characters than PIECE are not remembered.
+LONG, PIECE = 1 << 20, 64
 #: Bytes of ids that a batch of results holds, about.
 BATCH_BYTES = 1 << 23
 NONE = -1
@@ -143,15 +144,16 @@ class Vocabulary:
             i -= len(tokens[token])
         return out[::-1]
 
-    def extend(self, data: bytes, last: list[int], node: int) -> int:
-        """Adds to last the token that ends each longer prefix, given those of the shorter ones and the automaton's node there; gives the node at the end."""
-        steps, shorter, ending, known, i = self.steps, self.shorter, self.ending, self._apart, len(last)
+    def extend(self, data: bytes, last: list[int], nodes: list[int]) -> None:
+        """Adds to last the token that ends each longer prefix, and to nodes the automaton's node there, given those of the shorter ones."""
+        steps, shorter, ending, known, i, node = self.steps, self.shorter, self.ending, self._apart, len(last), nodes[-1]
         for byte in data:
             while (to := steps.get(node << 8 | byte)) is None:
                 if not node:
                     raise ValueError("the vocabulary has no token for a byte")
                 node = shorter[node]
             node = to
+            nodes.append(node)
             for token, size in ending[node]:
                 if size < i:
                     before = last[i - size]
@@ -162,36 +164,38 @@ class Vocabulary:
                 last.append(token)
                 break
             i += 1
-        return node
 
 
 class Prefixes:
     """The encodings of all prefixes of a piece: last[i] ends that of its first i bytes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b"") -> None:
-        self.vocabulary, self.data, self.last, self._node = vocabulary, bytearray(), [NONE], 0
+        self.vocabulary, self.data, self.last, self._nodes = vocabulary, bytearray(), [NONE], [0]
         self.append(data)
 
     def append(self, more: bytes) -> None:
         self.data += more
-        self._node = self.vocabulary.extend(more, self.last, self._node)
+        self.vocabulary.extend(more, self.last, self._nodes)
+
+    def cut(self, size: int) -> None:
+        """Keeps the first `size` bytes."""
+        del self.data[size:], self.last[size + 1 :], self._nodes[size + 1 :]
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Puts new in place of the bytes from start to end; gives the number of entries that were made anew. What follows keeps its entries as soon as all that a token can reach agree."""
-        old, shift, settled, longest = self.last, len(new) - (end - start), start + len(new), self.vocabulary.longest
-        self.data[start:end] = new
-        self.last, same = old[: start + 1], 0
-        # The node at the edit's start depends on the bytes that a token can reach back.
-        back = max(0, start - longest)
-        node = self.vocabulary.extend(bytes(self.data[back:start]), [NONE], 0)
-        for i in range(start + 1, len(self.data) + 1):
-            node = self.vocabulary.extend(self.data[i - 1 : i], self.last, node)
-            same = same + 1 if i > settled and old[i - shift] == self.last[i] else 0
+        last, nodes, shift, settled, longest = self.last, self._nodes, len(new) - (end - start), start + len(new), self.vocabulary.longest
+        data = bytes(self.data[:start]) + new + bytes(self.data[end:])
+        rest, self.last, self._nodes, same = data[start:], last[: start + 1], nodes[: start + 1], 0
+        self.data = bytearray(data)
+        for k in range(len(rest)):
+            self.vocabulary.extend(rest[k : k + 1], self.last, self._nodes)
+            i = start + 1 + k
+            same = same + 1 if i > settled and last[i - shift] == self.last[i] and nodes[i - shift] == self._nodes[i] else 0
             if same >= longest:
-                self.last += old[i - shift + 1 :]
-                return i - start
-        self._node = node
-        return len(self.data) - start
+                self.last += last[i - shift + 1 :]
+                self._nodes += nodes[i - shift + 1 :]
+                return k + 1
+        return len(rest)
 
     def ids(self) -> list[int]:
         return self.vocabulary.read_back(self.last)
@@ -233,7 +237,8 @@ class Pieces:
         if not self.beyond.search(text):
             return self.latin.findall(text) if len(text) < LONG else (m[0] for m in self.latin.finditer(text))
         if self.lately and self.lately.search(text):
-            return (text[a:b] for a, b in self.spans(text))
+            pieces = (text[a:b] for a, b in self.spans(text))
+            return list(pieces) if len(text) < LONG else pieces
         return self.any.findall(text) if len(text) < LONG else (m[0] for m in self.any.finditer(text))
 
 
@@ -243,26 +248,58 @@ class Encoder:
     def __init__(self, content: bytes, pattern: str) -> None:
         self.vocabulary, self.pieces = Vocabulary(content), Pieces(pattern)
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def learn(self, new: set[str]) -> None:
+        """Encodes pieces. In byte order each begins as the one before does, and only appends to what is left of its table."""
+        table, at = Prefixes(self.vocabulary), b""
+        for data, piece in sorted((p.encode(), p) for p in new):
+            if (code := self._older.get(piece)) is None:
+                if (rank := self.vocabulary.ranks.get(data)) is not None:
+                    code = struct.pack("<I", rank)
+                else:
+                    n, most = 0, min(len(at), len(data))
+                    while n < most and at[n] == data[n]:
+                        n += 1
+                    table.cut(n)
+                    table.append(data[n:])
+                    at = data
+                    ids = self.vocabulary.read_back(table.last)
+                    code = struct.pack(f"<{len(ids)}I", *ids)
+            self._known[piece] = code
+
+    def joined(self, found: list[list[str]]) -> list[bytes]:
+        """Lists of pieces, each one's ids together."""
+        known = self._known
+        new = set().union(*found).difference(known)
+        self.learn(new)
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in found]
+        for piece in new:
+            if len(piece) > PIECE:
+                del known[piece]
+        if len(known) > KEPT_PIECES // 2:
+            self._known, self._older = {}, known
+        return out
 
-    def piece(self, piece: str) -> bytes:
-        if (known := self._known.get(piece)) is not None:
-            return known
-        data = piece.encode()
-        if (rank := self.vocabulary.ranks.get(data)) is not None:
-            ids = [rank]
-        else:
-            last = [NONE]
-            self.vocabulary.extend(data, last, 0)
-            ids = self.vocabulary.read_back(last)
-        known = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= 64:
-            if len(self._known) >= KEPT_PIECES:
-                self._known.clear()
-            self._known[piece] = known
-        return known
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text; texts of about LONG characters are encoded together."""
+        some, size = [], 0
+        for text in texts:
+            if len(text) >= LONG:
+                yield from self.joined(some)
+                some, size = [], 0
+                pieces = iter(self.pieces(text))
+                yield b"".join(iter(lambda p=pieces: self.joined([list(itertools.islice(p, 50_000))])[0], b""))
+                continue
+            some.append(self.pieces(text))
+            size += len(text)
+            if size >= LONG:
+                yield from self.joined(some)
+                some, size = [], 0
+        yield from self.joined(some)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.pieces(text)))
+        return next(self.encode_all([text]))
 
 
 class Edited:
@@ -282,7 +319,7 @@ class Edited:
         for begin, end in self.encoder.pieces.spans(self.text, self.ends[-1] if self.ends else 0):
             found += 1
             self.ends.append(end)
-            self.codes.append(self.encoder.piece(self.text[begin:end]))
+            self.codes.append(self.encoder.joined([[self.text[begin:end]]])[0])
             if end >= settled and end in then:
                 i = then[end] + 1
                 self.ends += [e + old[2] for e in old[0][i:]]
@@ -324,7 +361,7 @@ def batches_of(batch: pa.RecordBatch, made: Iterator[bytes], name: str) -> Itera
 def encoded(batches: Iterator[pa.RecordBatch], sent, pattern: str) -> Iterator[pa.RecordBatch]:
     encoder = encoder_of(sent.value, pattern)
     for batch in batches:
-        yield from batches_of(pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]), (encoder.encode(t.as_py() or "") for t in batch.column(1)), "ids")
+        yield from batches_of(pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]), encoder.encode_all(t.as_py() or "" for t in batch.column(1)), "ids")
 
 
 @K.tidy
