@@ -1,6 +1,6 @@
 """Main text of web pages by wrapper induction.
 
-The DOM tree of every page of a host is aligned with that of the host's first page by simple tree matching. What the aligned nodes hold
+The DOM tree of every page of a host is aligned with that of one typical page by simple tree matching: of a few pages the one most like the others. What the aligned nodes hold
 over all of the host's pages makes its wrapper: an element whose text is the same on nearly all of them is template; a slot that is mostly
 links is a menu; and the content is what is left of the place where the varying prose is: from the root down, the element that holds
 most of it, with the headings and paragraphs beside the way. An element that says itself that it is the article (or else the main
@@ -29,6 +29,8 @@ from .store import Scratch, tables
 
 #: A text is template if at least CONSTANT of the pages that have its element have it too, and these are at least COMMON of the host's; an element is gone into if it holds MOST of the varying prose.
 CONSTANT, COMMON, MOST = 0.9, 0.1, 0.6
+#: Pages of a host of which the one most like the others is aligned with, and counts that a task holds.
+SEEDS, HELD = 5, 200_000
 
 # HTML's elements without an end tag, raw-text elements, and elements that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,45 +53,56 @@ RUNS = frozenset("p li dt dd tr a b i em strong span small sub sup code u s font
 LISTS = SHELLS | frozenset("ul ol dl menu p header".split())
 BOXES = frozenset("div section ul ol dl table center figure blockquote header".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Quotes count only where a value begins; elsewhere, and inside a value without them, they are characters like others. The loop never gives back what it took.
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=\s*[^\s>"'][^\s>]*|=)*+)>""", re.S)
+#: A slash that ends a tag, and not a value.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 # Every attribute is read, values included, so that a name is never found inside another one's value.
-_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 # Trees may be as deep as pages are; calls between Python functions take no room on the C stack.
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 24))
 
 
 class Node:
-    """An element. parts: texts and child elements in order. named: it is dropped for its class or id only."""
+    """An element. parts: texts and child elements in order. named: it is dropped for its class or id only. form: it is dropped for being a form only. code: it stands in preformatted text or code, where names colour words."""
 
-    __slots__ = ("article", "drop", "named", "parts", "tag")
+    __slots__ = ("article", "code", "drop", "form", "named", "parts", "tag")
 
-    def __init__(self, tag: str, drop: bool = False, article: str = "", named: bool = False) -> None:
-        self.tag, self.drop, self.article, self.named, self.parts = tag, drop, article, named, []
+    def __init__(self, tag: str, drop: bool = False, article: str = "", named: bool = False, form: bool = False) -> None:
+        self.tag, self.drop, self.article, self.named, self.form, self.code, self.parts = tag, drop, article, named, form, tag in ("pre", "code", "samp", "kbd"), []
 
 
-_seen_attrs: dict[tuple[str, str], tuple[bool, str, bool]] = {}
+_seen_attrs: dict[tuple[str, str], tuple[bool, str, bool, bool]] = {}
 
 
-def judged(tag: str, attrs: str) -> tuple[bool, str, bool]:
-    """Whether an element is dropped by what it says of itself, whether it says that it holds the article, and whether only its class or id has it dropped."""
+def judged(tag: str, attrs: str) -> tuple[bool, str, bool, bool]:
+    """Whether an element is dropped by what it says of itself, whether it says that it holds the article, whether only its class or id has it dropped, and whether only its being a form has."""
     if (got := _seen_attrs.get((tag, attrs))) is not None:
         return got
     a: dict[str, str] = {}
     for k, v in _ATTR.findall(attrs):
         a.setdefault(k.lower(), v.strip("\"'").lower())
-    drop = tag in DROPPED or a.get("role") in ROLES or a.get("aria-hidden") == "true" or "hidden" in a or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
+    hidden = a.get("role") in ROLES or a.get("aria-hidden") == "true" or "hidden" in a or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
+    form, drop = tag == "form" and not hidden, hidden or tag in DROPPED
     named = not drop and tag not in ("html", "body") and (not NAMES.isdisjoint(a.get("class", "").split()) or (tag not in FLOW and a.get("id", "").strip() in IDS))
     article = "article" if tag == "article" or a.get("itemprop") == "articlebody" else "main" if tag == "main" or a.get("role") == "main" else ""
     if len(_seen_attrs) < 50_000:
-        _seen_attrs[tag, attrs] = drop or named, article, named
-    return drop or named, article, named
+        _seen_attrs[tag, attrs] = drop or named, article, named, form
+    return drop or named, article, named, form
 
 
 def parse(page: str) -> Node:
     """A DOM tree. End tags that are missing are implied; end tags without a start are ignored."""
     root = Node("#root")
     stack, at, n = [root], 0, len(page)
+    open_: dict[str, int] = {}  # elements of each tag in the stack
+
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            open_[x.tag] -= 1
+        del stack[i:]
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -102,11 +115,11 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if m[1]:
-            if tag == "p" and all(x.tag != "p" for x in stack):
+            if not open_.get(tag):
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("td", "th", "article", "main", "body") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "article", "main", "body", "html"):
                     break
@@ -117,25 +130,53 @@ def parse(page: str) -> Node:
                 ends, until = ("p", "li") if tag == "li" else ("p", "dt", "dd"), ("ul", "ol", "dl", "menu", "td", "th")
             elif tag in ("td", "th", "tr"):
                 ends, until = ("p", "td", "th") + (("tr",) if tag == "tr" else ()), ("table",)
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(map(open_.get, ends)) else ():
                 if stack[i].tag in ends:
                     if tag not in ("tr", "li", "dt", "dd") or stack[i].tag == tag or i == 1 or stack[i - 1].tag not in ends:
-                        del stack[i:]
+                        close(i)
                         break
                 if stack[i].tag in until:
                     break
         node = Node(tag, *judged(tag, m[3] or ""))
+        if stack[-1].code:
+            node.code = True
+            if node.named:
+                node.drop = node.named = False
         stack[-1].parts.append(node)
-        if tag in VOID or (m[3] or "").endswith("/"):
+        if tag in VOID or _CLOSED.search(m[3] or ""):
             continue
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else n
             continue
         stack.append(node)
+        open_[tag] = open_.get(tag, 0) + 1
+    keep_forms(root)
     return root
 
 
+def keep_forms(root: Node) -> None:
+    """A form around an article, or around most of the page's text, is the page's frame and not something to fill in: it is no longer dropped."""
+    order, stack, forms = [], [root], False
+    while stack:
+        x = stack.pop()
+        forms = forms or x.form
+        order.append(x)
+        stack += [p for p in x.parts if not isinstance(p, str) and (not p.drop or p.form or p.named)]
+    if not forms:
+        return
+    prose: dict[int, int] = {}
+    holds: set[int] = set()
+    for x in reversed(order):
+        kids = [p for p in x.parts if not isinstance(p, str)]
+        prose[id(x)] = sum(len(p.split()) for p in x.parts if isinstance(p, str)) + sum(prose.get(id(p), 0) for p in kids if not p.named)
+        if any(p.article or id(p) in holds for p in kids if not p.drop or p.form or p.named):
+            holds.add(id(x))
+    for x in order:
+        if x.form and (id(x) in holds or 2 * prose[id(x)] > prose[id(root)]):
+            x.drop = False
+
+
 def squash(text: str) -> str:
     return " ".join(html_lib.unescape(text).split())
 
@@ -289,7 +330,7 @@ class Matching:
 
 
 class Aligner:
-    """Alignments with hosts' first pages; pages of a shape seen before need no new matching."""
+    """Alignments with hosts' typical pages; pages of a shape seen before need no new matching."""
 
     def __init__(self) -> None:
         self.trees: dict[str, list[Outline]] = {}
@@ -312,16 +353,28 @@ class Aligner:
         return got
 
 
+def most_typical(trees: list[list[Outline]]) -> list[Outline]:
+    """The tree that shares most of its nodes with the others; the first of equals. A page of another make, an error page say, is like none of them."""
+    if len(trees) < 3:
+        return trees[0]
+    matching = Matching()
+    like = [sum(2 * matching.weight(a[0], b[0]) / (a[0].size + b[0].size) for b in trees) for a in trees]
+    return trees[max(range(len(trees)), key=lambda i: (round(like[i], 9), -i))]
+
+
 @K.tidy
 def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (host, html): the page's tree without its text."""
+    """Of (host, some of its pages): the tree of the most typical one, without its text."""
     for batch in batches:
-        trees = []
-        for page in batch.column(1):
-            root = parse(page.as_py() or "")
-            article_of(root)
-            trees.append(written(outline(root)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], names=["_host", "_seed"])
+        chosen = []
+        for pages in batch.column(1).to_pylist():
+            trees = []
+            for page in dict.fromkeys(p or "" for p in pages):
+                root = parse(page)
+                article_of(root)
+                trees.append(outline(root))
+            chosen.append(written(most_typical(trees)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.string())], names=["_host", "_seed"])
 
 
 STAT = "node int, part int, n long, chars long, links long"
@@ -330,7 +383,13 @@ STAT = "node int, part int, n long, chars long, links long"
 @K.tidy
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (host, html, seed): for each node of the seed how many pages have it, with how many characters and links (part -1), and for each of its texts how many of these have that one too. Node -1 counts the pages. A copy of the seed says nothing of what is constant."""
-    aligner, totals = Aligner(), {}
+    aligner, totals, held = Aligner(), {}, 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        rows = [(h, *k, *v) for h, found in totals.items() for k, v in found.items()]
+        for a in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000], strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "node", "part", "n", "chars", "links"])
+
     for batch in batches:
         for host, page, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             seed = aligner.seed(first)
@@ -340,6 +399,7 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if tree[0].deep == seed[0].deep:
                 continue
             found = totals.setdefault(host, {})
+            before = len(found)
             found[-1, -1] = (found.get((-1, -1), (0, 0, 0))[0] + 1, 0, 0)
             for i, j in aligner.align(seed, tree):
                 x, y = seed[i], tree[j]
@@ -349,9 +409,12 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k, d in enumerate(x.deep):
                     if d and d in there:
                         found[i, k] = (found.get((i, k), (0, 0, 0))[0] + 1, 0, 0)
-    rows = [(h, *k, *v) for h, found in totals.items() for k, v in found.items()]
-    for a in range(0, len(rows), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 10_000], strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "node", "part", "n", "chars", "links"])
+            held += len(found) - before
+            if held >= HELD:  # sums are added up afterwards
+                yield from told()
+                totals.clear()
+                held = 0
+    yield from told()
 
 
 class Wrapper:
@@ -502,7 +565,7 @@ def text_of(page: str, wrapper: Wrapper | None = None, aligner: Aligner | None =
 
     for r in regions:
         if id(r) not in silent:
-            walk(r, r.article == "article")
+            walk(r, r.article != "")
             flush()
     return "\n".join(blocks)
 
@@ -527,14 +590,14 @@ def main_text(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
     A null or empty page has an empty text; a null url is a host of its own. A page whose host has no other page, or only copies of it, has nothing to be
     aligned with and is judged by its own tree. Repeated pages count as pages. Empty tables give no rows. Other columns play no part, whatever their names. A host's
-    wrapper is as large as its first page's tree; it goes to pages by a join on the host, which Spark broadcasts while it is small and splits where a host is hot.
+    wrapper is as large as its typical page's tree; it goes to pages by a join on the host, which Spark broadcasts while it is small and splits where a host is hot.
     """
     scratch = Scratch(df.sparkSession, "wrapper")
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit(""))
     pages = df.select(F.struct(F.col(id_col), F.col(url_col)).alias("row"), host.alias("_host"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    first = F.struct((F.length("_html") == 0).alias("e"), F.xxhash64(f"row.`{id_col}`").alias("h"), F.crc32(F.col("_html").cast("binary")).alias("c"))
-    # One page a host, however many pages it has: min_by is combined before the shuffle.
-    seeds = scratch.write(pages.groupBy("_host").agg(F.min_by("_html", first).alias("_seed")).mapInArrow(outlines, "_host string, _seed string"), "seeds")
+    first = lambda k: F.struct((F.length("_html") == 0).alias("e"), F.xxhash64(F.lit(k), F.col(f"row.`{id_col}`")).alias("h"), F.crc32(F.col("_html").cast("binary")).alias("c"))
+    # A few pages a host, however many it has: min_by is combined before the shuffle.
+    seeds = scratch.write(pages.groupBy("_host").agg(F.array(*(F.min_by("_html", first(k)) for k in range(SEEDS))).alias("_some")).mapInArrow(outlines, "_host string, _seed string"), "seeds")
     found = pages.select("_host", "_html").join(seeds, "_host").select("_host", "_html", "_seed").mapInArrow(tally, f"host string, {STAT}")
     found = found.groupBy("host", "node", "part").agg(*(F.sum(c).alias(c) for c in ("n", "chars", "links")))
     stats = found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "part", "n", "chars", "links"))).alias("_stats"))

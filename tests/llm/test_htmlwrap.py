@@ -168,3 +168,62 @@ def test_pages_without_their_marks(spark):
     got = {r.page_id: r.text for r in H.main_text(plain, "page_id", "url", "html").collect()}
     assert got == want
     assert sum(H.text_of(r.html) != want[r.page_id] for r in plain.limit(1000).collect()) > 10
+
+
+def test_a_form_around_the_page_loses_nothing():
+    for page in (
+        "<body><form method=post><article><p>All of it.</p></article></form></body>",
+        "<body><form action='/x' id=aspnetForm><input type=hidden name=v value=1><div><p>All of it.</p></div><button>Go</button></form></body>",
+        "<body><form><main><p>All of it.</p></main></form><form role=search><p>Search here for it all and more words</p></form></body>",
+    ):
+        assert H.text_of(page) == "All of it."
+    assert H.text_of("<body><p>All of it, and some more words here.</p><form><p>Your name</p></form></body>") == "All of it, and some more words here."
+
+
+def test_names_colour_words_in_code():
+    assert H.text_of("<article><pre>x <span class='token comment'># keep me</span></pre><p>And <code class=nav>y<b class='ad'>z</b></code></p></article>") == "x # keep me\nAnd yz" or H.text_of("<article><pre>x <span class='token comment'># keep me</span></pre></article>") == "x # keep me"
+    assert H.text_of("<article><p>Text</p><div class='comment'>Nice</div></article>") == "Text"
+
+
+def test_quotes_and_slashes_in_values_without_quotes():
+    assert H.text_of("<article><p title=it's>One two three.</p><p>Don't stop here.</p></article>") == "One two three.\nDon't stop here."
+    assert H.text_of("<article data-u=/x/><p>Here.</p></article><p>Not here.</p>") == "Here."
+    assert H.text_of('<article><p>a<img src="x.png"/>b<br/>c</p></article>') == "ab c"
+    assert H.text_of("<!--><article><p>Here.</p></article>") == "Here." and H.text_of("<!---><p>Here.") == "Here." and H.text_of("<p>a<!-- x --!>b") == "ab"
+    assert H.text_of('<article><p title = "a > b">c</p><p class="open>d</p></article>').startswith("c")
+    began = time.perf_counter()
+    H.text_of("<a " + "b=" * 50_000)
+    H.text_of("<div>" * 20_000 + "</b>" * 20_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_the_header_of_a_main_region_is_its_title():
+    assert H.text_of("<body><header><h2>Site</h2></header><main><header><h1>Title</h1></header><p>Text.</p></main></body>") == "Title\nText."
+
+
+def test_an_error_page_is_not_what_others_are_aligned_with():
+    pages = ["<h1>404</h1>"] + [UNMARKED.format("a" * k, k) for k in range(1, 5)]
+    trees = [H.outline(H.parse(p)) for p in pages]
+    assert H.most_typical(trees) in trees[1:] and H.most_typical(trees[:1]) is trees[0]
+
+
+# Pages of hosts that mark nothing: {0} and {1} vary from page to page. Lines of | are the article's blocks.
+LAYOUTS = [
+    ("<table><tr><td>Our paper since 1901, printed every day by the family that founded it and read in every house of the valley and beyond</td></tr><tr><td>{A}</td></tr><tr><td>All rights are ours</td></tr></table>", ["<h2>{0} again</h2>", "<p>A man of {1} came to {0}.</p>", "<p>He stayed for {1} days in {0}.</p>"]),
+    ("<div><div>The daily view of all things that are seen from the tower by those who live there</div><div>Today it rains</div></div><div>{A}</div><div><div>Write to us</div></div>", ["<p>First {0} was seen.</p>", "<p>Then {1} was heard, and {0} too.</p>"]),
+    ("<center><b>Welcome, dear reader, to the oldest of all the sites that tell of words and where they come from</b></center><div><div>{A}</div></div><center>You are guest number one</center>", ["<h1>{0}</h1>", "<p>What {0} says about {1} is new.</p>", "<blockquote>We know {1}.</blockquote>"]),
+    ("<section><p>Sign our book of guests and tell us where you come from, what you do and how you found us</p></section><section>{A}<section><p>Print this page</p></section></section>", ["<p>It was {0} o'clock in {1}.</p>", "<p>And then it was {1}, not {0}.</p>"]),
+    ("<div><p>This site works best at night and on screens that are as wide as the ones of the big machines</p><div><p>You read page one</p></div></div><div><div>{A}</div></div>", ["<h3>On {0}</h3>", "<p>There are {1} kinds of {0}.</p>", "<p>None of the {1} is red, says {0}.</p>"]),
+    ("<div>Jump down to what we think of the weather in the hills and of the ways that lead there in winter</div><div><span>Share it with friends</span></div><div>{A}</div><div>Back up</div>", ["<p>{0} wrote {1} letters.</p>", "<pre>{0} {1}</pre>", "<p>They went to {0} by train.</p>"]),
+]
+
+
+def test_layouts_that_mark_nothing():
+    for frame, blocks in LAYOUTS:
+        fill = lambda x, k: x.replace("{0}", chr(97 + k) * (k + 2)).replace("{1}", str(k * 13 + 2))
+        pages = [fill("<html><body>" + frame.replace("{A}", "".join(blocks)) + "</body></html>", k) for k in range(7)]
+        w, aligner = learnt(pages), H.Aligner()
+        for k, page in enumerate(pages):
+            want = "\n".join(fill(re.sub("<[^>]*>", "", b), k) for b in blocks)
+            assert H.text_of(page, w, aligner) == want, frame
+        assert H.text_of(pages[-1]) != want, frame  # the wrapper is needed
