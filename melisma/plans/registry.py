@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    for m in ("text", "vectors", "catalog", "evidence", "taste", "identity", "library", "learning", "evaluation", "assembly", "requests", "prompts", "discovery"):
+    for m in ("text", "vectors", "catalog", "evidence", "taste", "identity", "library", "learning", "evaluation", "assembly", "requests", "prompts", "discovery", "packs"):
         importlib.import_module(f"melisma.plans.{m}")
 
 
