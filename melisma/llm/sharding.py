@@ -3,7 +3,7 @@
 Global row numbers need no global sort in one place and no sampling: rows are ordered by (hash, id, size, crc32), the hash's
 leading bits cut them into ranges of near equal size, and a range's first number is the sum of the counts before it.
 What is numbered are the distinct (id, size, crc32) with their counts; rows get their numbers by a join, and rows that are equal in these
-take turns by where they lie, so that one repeated very often is never numbered in one place.
+take turns by where they lie in the input, so that one repeated very often is numbered in as many places as it is read in.
 """
 
 from __future__ import annotations
@@ -49,7 +49,8 @@ def shard(df: DataFrame, id_col: str, text_col: str, shards: int = SHARDS, seed:
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(F.col("row")[text_col], F.lit(""))
     rows = whole(df).select("row", F.struct(F.col("row")[id_col].alias("id"), F.octet_length(text).alias("size"), F.crc32(text.cast("binary")).alias("crc")).alias("key"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "key"))
+    # Where a row lies is taken before any shuffle, by which equal rows meet.
+    rows = rows.withColumns({"h": F.xxhash64(F.lit(seed), "key"), "at": F.spark_partition_id(), "nth": F.monotonically_increasing_id()})
     counted = rows.groupBy("h", "key").agg(F.count(F.lit(1)).alias("copies"))
     n = df.count()
     bits = max(0, (n // RANGE_ROWS).bit_length())
@@ -63,7 +64,7 @@ def shard(df: DataFrame, id_col: str, text_col: str, shards: int = SHARDS, seed:
     placed = rows.join(numbered, ["h", "key"])
     out = placed.filter("copies = 1").select("row", F.col("first").alias("number"))
     if numbered.filter("copies > 1").limit(1).count():
-        again = scratch.write(placed.filter("copies > 1").select("row", "h", "key", "first", F.spark_partition_id().alias("at"), F.monotonically_increasing_id().alias("nth")), "repeated")
+        again = scratch.write(placed.filter("copies > 1").select("row", "h", "key", "first", "at", "nth"), "repeated")
         there = again.groupBy("h", "key", "at").agg(F.count(F.lit(1)).alias("there"))
         there = there.select("h", "key", "at", (F.sum("there").over(Window.partitionBy("h", "key").orderBy("at")) - F.col("there")).alias("before"))
         turn = F.row_number().over(Window.partitionBy("h", "key", "at").orderBy("nth")) - 1

@@ -39,6 +39,29 @@ def test_edges(spark):
     assert sharding.shard(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_a_row_of_very_many_copies_is_numbered_where_it_lies(spark):
+    """No task numbers more of them than a partition of the input has, even where the join is a shuffled one."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, sizes = spark.conf.get(key), []
+    write = sharding.Scratch.write
+
+    def watched(self, df, name):
+        out = write(self, df, name)
+        if name == "repeated":
+            sizes.extend(r[0] for r in out.groupBy("h", "key", "at").count().select("count").collect())
+        return out
+
+    spark.conf.set(key, "-1")
+    sharding.Scratch.write = watched
+    try:
+        docs = [(5, "same")] * 40_000 + [(k, "x") for k in range(500)]
+        check(sharding.shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(16), "doc_id", "text").collect(), docs)
+    finally:
+        sharding.Scratch.write = write
+        spark.conf.set(key, before)
+    assert sum(sizes) >= 40_000 and max(sizes) <= 40_500 // 16 + 200
+
+
 def test_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(sharding, "RANGE_ROWS", 10)
     docs = [(k, f"text {k}") for k in range(500)]
