@@ -241,3 +241,36 @@ def reconciled(model: DataFrame, said: DataFrame, prompts: DataFrame, key: str =
     soft = F.when(F.col("start").isNull(), "preferred").otherwise(F.col("strength"))
     columns = [key, "kind", "value", "polarity"]
     return said.select(*columns, "strength", "scope", F.lit("prompt").alias("origin")).unionByName(kept.select(*columns, soft.alias("strength"), "scope", F.lit("model").alias("origin")))
+
+
+# What a clause may be.
+KINDS = ["genre", "style", "mood", "instrument", "vocal", "texture", "activity", "energy", "period", "artist", "recording", "include", "exclude", "start", "via", "destination"]
+POLARITIES, STRENGTHS, SCOPES = ["positive", "negative"], ["required", "essential", "preferred"], ["playlist", "journey_start", "journey_via", "journey_end"]
+#: Terms that one choice may have.
+MOST_CHOICES = 100
+
+
+def clause_problems(clauses: DataFrame, key: str = "key") -> DataFrame:
+    """key and problems, sorted, for each prompt of clauses (key, kind, value, polarity, strength, scope, choice) that has any: of a clause by itself, and of clauses that can't hold together."""
+    first, last = (F.split_part("value", F.lit(":"), F.lit(k)).cast("int") for k in (1, 2))
+    period = F.col("kind") == "period"
+    dated = F.when(F.col("value").rlike(r"^\d{1,4}:\d{1,4}$"), (first >= 1) & (first <= last)).otherwise(F.lit(False))
+    rules = [
+        (~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), "unknown kind"), (F.trim(F.coalesce("value", F.lit(""))) == "", "empty value"), (~F.coalesce(F.col("polarity").isin(*POLARITIES), F.lit(False)), "unknown polarity"),
+        (~F.coalesce(F.col("strength").isin(*STRENGTHS), F.lit(False)), "unknown strength"), (~F.coalesce(F.col("scope").isin(*SCOPES), F.lit(False)), "unknown scope"), (F.coalesce(period & ~dated, F.lit(False)), "period is no range of years"),
+        (F.col("kind").isin("include", "start", "via", "destination") & (F.col("polarity") == "negative"), "a wanted name is refused"), (F.col("choice").isNotNull() & ~F.coalesce((F.col("polarity") == "positive") & (F.col("scope") == "playlist"), F.lit(False)), "a choice is refused or of a stage"),
+    ]
+    own = clauses.select(key, F.explode(F.filter(F.array(*(F.when(wrong, what) for wrong, what in rules)), lambda x: x.isNotNull())).alias("problem"))
+    name = F.lower("value")
+    both = clauses.filter(F.col("kind").isin("include", "exclude", "artist")).groupBy(key, name.alias("name")).agg(F.max((F.col("kind") == "exclude").cast("int")).alias("out"), F.max((F.col("kind") == "include").cast("int")).alias("in"))
+    both = both.filter((F.col("out") == 1) & (F.col("in") == 1)).select(key, F.lit("a name is both wanted and refused").alias("problem"))
+    many = clauses.filter("choice is not null").groupBy(key, "choice").count().filter(F.col("count") > MOST_CHOICES).select(key, F.lit("a choice is too wide").alias("problem"))
+    return own.unionByName(both).unionByName(many).groupBy(key).agg(F.sort_array(F.collect_set("problem")).alias("problems"))
+
+
+def single_genre(clauses: DataFrame, key: str = "key") -> DataFrame:
+    """key and genre, for prompts that ask one genre or style of every track: one wanted for the whole playlist, no other, none as a choice and none of a stage. What is only preferred asks nothing."""
+    asked = clauses.filter(F.col("kind").isin("genre", "style") & (F.col("polarity") == "positive") & (F.col("strength") != "preferred") & (F.trim("value") != ""))
+    apart = F.max((F.col("choice").isNotNull() | (F.col("scope") != "playlist")).cast("int"))
+    one = asked.groupBy(key).agg(F.count_distinct(F.lower("value")).alias("n"), F.min(F.lower("value")).alias("genre"), apart.alias("apart"))
+    return one.filter("n = 1 and apart = 0").select(key, "genre")

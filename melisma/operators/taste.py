@@ -92,7 +92,7 @@ def clusters(weights: DataFrame, vectors: DataFrame, most: int = 4, apart: float
     return _central(p, "listener", "cluster").join(totals, "listener").select("listener", F.col("m.track").alias("medoid"), "size", (F.col("weight") / F.col("total")).alias("share"))
 
 
-def _affinities(batches: Iterator[pa.RecordBatch], names: pa.Array, starts: np.ndarray, by_length: dict[int, tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[pa.RecordBatch]:
+def _affinities(batches: Iterator[pa.RecordBatch], names: pa.Array, starts: np.ndarray, by_length: dict[int, tuple[np.ndarray, np.ndarray]], n: int, most: int | None) -> Iterator[pa.RecordBatch]:
     step = max(1, BLOCK_NUMBERS // n)
     for whole in batches:
         for a in range(0, len(whole), step):
@@ -105,12 +105,17 @@ def _affinities(batches: Iterator[pa.RecordBatch], names: pa.Array, starts: np.n
                 x = np.asarray(column.take(pa.array(own)).flatten(), np.float64).reshape(len(own), d)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     s[np.ix_(at, own)] = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            best = np.fmax.reduceat(s, starts, axis=0).ravel()  # fmax: what is unavailable doesn't count
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(names)), len(ids)))), ids.take(pa.array(np.tile(np.arange(len(ids)), len(names)))), pa.array(best, mask=np.isnan(best))], names=["listener", "id", "affinity"])
+            best = np.fmax.reduceat(s, starts, axis=0)  # fmax: what is unavailable doesn't count
+            keep = np.ones(best.shape, bool)
+            if most and most < best.shape[1]:  # all that are as good as the last of the best, so that the place in this batch decides nothing
+                order = np.round(np.nan_to_num(best, nan=-2.0), 9)
+                keep = order >= np.partition(order, -most, axis=1)[:, [-most]]
+            who, which = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(who)), ids.take(pa.array(which)), pa.array(best[keep], mask=np.isnan(best[keep]))], names=["listener", "id", "affinity"])
 
 
-def affinity(liked: DataFrame, rows: DataFrame) -> DataFrame:
-    """(listener, id, affinity): the greatest cosine of each row (id, vector) to a listener's vectors of `liked` (listener, vector), for every listener and row.
+def affinity(liked: DataFrame, rows: DataFrame, most: int | None = None) -> DataFrame:
+    """(listener, id, affinity): the greatest cosine of each row (id, vector) to a listener's vectors of `liked` (listener, vector), for every listener and row, or for each listener's `most` best rows (equal ones by id).
 
     Null where no pair can be compared (zero vectors, other lengths). Listeners' vectors are sent in blocks; each block is one scan of the rows.
     """
@@ -130,6 +135,11 @@ def affinity(liked: DataFrame, rows: DataFrame) -> DataFrame:
             with np.errstate(invalid="ignore", divide="ignore"):
                 by_length[k] = at, q / np.linalg.norm(q, axis=1, keepdims=True)
         sent = spark.sparkContext.broadcast((names, starts, by_length, len(got)))
-        found = rows.select("id", "vector").mapInArrow(lambda x, sent=sent: _affinities(x, *sent.value), "listener long, id long, affinity double")
+        found = rows.select("id", "vector").mapInArrow(lambda x, sent=sent: _affinities(x, *sent.value, most), "listener long, id long, affinity double")
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "listener long, id long, affinity double")
+    if out is None:
+        return spark.createDataFrame([], "listener long, id long, affinity double")
+    if most is None:
+        return out
+    w = Window.partitionBy("listener").orderBy(F.desc_nulls_last(F.round("affinity", 9)), "id")
+    return out.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
 from ..operators import identity as I
 from ..sources.tables import TRACKS_SQL, table, tracks
 from .registry import query
@@ -137,22 +138,29 @@ def graph_credit_subset(spark: SparkSession, d: str) -> DataFrame:
     return of("l_quantity > 5", "c").join(of("l_linenumber <= 2", "g"), "o", "left").select("o", F.coalesce(F.size(F.array_except("g", "c")) == 0, F.lit(False)).alias("covered"))
 
 
-_GENRES = "edge(child, parent, kind) AS (VALUES ('acid house', 'house', 'subgenre'), ('house', 'electronic', 'subgenre'), ('techno', 'electronic', 'subgenre'), ('electronic', 'dance', 'subgenre'), ('dance', 'electronic', 'subgenre'), ('techno', 'funk', 'influence'))"
+def concepts(spark: SparkSession, d: str) -> DataFrame:
+    """A graph of concepts out of the catalogue: a part's name descends from its noun, the noun from the types it comes in, and types from their first letters, one of which descends from a type, so that there is a cycle. Adjectives are influences, which are no descent."""
+    p = table(spark, d, "part").select(F.lower("p_name").alias("name"), F.lower("p_type").alias("type"))
+    edge = lambda child, parent, kind="subgenre": p.select(child.alias("child"), parent.alias("parent"), F.lit(kind).alias("kind"))
+    noun, first = F.split_part("name", F.lit(" "), F.lit(2)), F.substring("type", 1, 1)
+    cycle = p.groupBy(first.alias("child")).agg(F.min("type").alias("parent")).filter("child = 's'").select("child", "parent", F.lit("subgenre").alias("kind"))
+    return edge(F.col("name"), noun).unionByName(edge(noun, F.col("type"))).unionByName(edge(F.col("type"), first)).unionByName(edge(F.col("name"), F.split_part("name", F.lit(" "), F.lit(1)), "influence")).unionByName(cycle).distinct()
 
 
-@query("genre_closure", f"WITH RECURSIVE {_GENRES}, r(child, parent, depth) AS (SELECT child, parent, 1 FROM edge WHERE kind = 'subgenre' UNION SELECT r.child, e.parent, depth + 1 FROM r JOIN edge e ON e.child = r.parent AND e.kind = 'subgenre' WHERE depth < 8) SELECT DISTINCT child, parent FROM r WHERE child <> parent")
+_CONCEPTS = """p AS (SELECT lower(p_name) AS name, lower(p_type) AS type FROM part), e AS (SELECT name AS child, split_part(name, ' ', 2) AS parent FROM p UNION SELECT split_part(name, ' ', 2), type FROM p UNION SELECT type, type[1] FROM p UNION SELECT 's', min(type) FROM p WHERE type[1] = 's' HAVING count(*) > 0),
+r(child, parent) AS (SELECT * FROM e UNION SELECT r.child, e.parent FROM r JOIN e ON e.child = r.parent)"""
+
+
+@query("genre_closure", f"WITH RECURSIVE {_CONCEPTS} SELECT child, parent FROM r WHERE child <> parent")
 def genre_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Subgenres of any depth; cycles end at a depth of 8, and influence is no descent."""
-    return spark.sql(f"WITH RECURSIVE {_GENRES}, r(child, parent, depth) AS (SELECT child, parent, 1 FROM edge WHERE kind = 'subgenre' UNION ALL SELECT r.child, e.parent, depth + 1 FROM r JOIN edge e ON e.child = r.parent AND e.kind = 'subgenre' WHERE depth < 8) SELECT DISTINCT child, parent FROM r WHERE child <> parent")
+    """Subgenres of any depth, cycles and all; influence is no descent."""
+    return G.closure(concepts(spark, d).filter("kind = 'subgenre'"))
 
 
-@query("concept_ancestry", f"WITH RECURSIVE {_GENRES}, r(child, parent, depth) AS (SELECT child, parent, 1 FROM edge WHERE kind = 'subgenre' UNION SELECT r.child, e.parent, depth + 1 FROM r JOIN edge e ON e.child = r.parent AND e.kind = 'subgenre' WHERE depth < 8), t(id, tag) AS (VALUES (1, 'acid house'), (2, 'techno'), (3, 'funk')) SELECT DISTINCT id, parent AS term FROM t JOIN r ON tag = child UNION SELECT id, tag FROM t")
+@query("concept_ancestry", f"WITH RECURSIVE {_CONCEPTS} SELECT DISTINCT p_partkey AS id, parent AS term FROM part JOIN r ON lower(p_name) = child UNION SELECT p_partkey, lower(p_name) FROM part")
 def concept_ancestry(spark: SparkSession, d: str) -> DataFrame:
-    """Posting terms of a tag: itself and all its ancestors."""
-    t = spark.createDataFrame([(1, "acid house"), (2, "techno"), (3, "funk")], "id int, tag string")
-    up = genre_closure(spark, d)
-    # An element of a cycle is its own ancestor through it, and is there as itself already.
-    return t.join(up, t["tag"] == up["child"]).select("id", F.col("parent").alias("term")).unionByName(t.select("id", F.col("tag").alias("term"))).distinct()
+    """Posting terms of every part: its name and all that the name descends from."""
+    return G.ancestry(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("tag")), genre_closure(spark, d))
 
 
 @query("batch_merge_conflicts", "WITH b AS (SELECT s_suppkey AS id, s_nationkey AS v FROM supplier UNION ALL SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN s_nationkey + 1 ELSE s_nationkey END FROM supplier) SELECT id, count(DISTINCT v) > 1 AS conflict, min(v)::INTEGER AS v FROM b GROUP BY id")

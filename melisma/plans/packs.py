@@ -1,4 +1,4 @@
-"""Queries of packs, of samples that are merged, and of measured preferences."""
+"""Queries of packs, of samples that are merged, of measured preferences, of a history and of graph snapshots."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph as G
 from ..operators import measured as M
 from ..operators import sampling as S
 from ..operators.prompts import atoms
 from ..sources.archives import registered
+from ..sources.history import History
 from ..sources.scratch import folder
 from ..sources.tables import table
 from .prompts import requests, words
@@ -73,3 +75,43 @@ def measured_preferences(spark: SparkSession, d: str) -> DataFrame:
     a = atoms(requests(spark, d), words(spark, d)).filter(F.col("kind").isin("mood", "activity"))
     wishes = a.select(F.col("key").alias("request"), F.col("concept").alias("phrase"), (F.col("polarity") == "positive").alias("wanted")).distinct()
     return M.preferences(wishes, measured_tracks(spark, d), M.rules(spark), BEST)
+
+
+@query("history_page", """WITH h AS (SELECT conv_id AS id, max(turn) AS created, CASE WHEN conv_id % 10 = 1 THEN 'again ' ELSE 'list ' END || conv_id AS title FROM conversations GROUP BY conv_id)
+SELECT * FROM h WHERE id % 10 <> 3 ORDER BY created DESC, id DESC LIMIT 50""")
+def history_page(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations saved as records; some are saved again, by a late revision too, and some are deleted."""
+    h = History(spark, f"{folder(spark)}/history-{uuid.uuid4().hex}", 8)
+    turns = F.to_json(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))))
+    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("created"), turns.alias("payload"))
+    titled = lambda word: rows.withColumn("title", F.concat(F.lit(word), F.col("id").cast("string")))
+    h.save(titled("list "), 1)
+    h.save(titled("again ").filter("id % 10 in (1, 3)"), 3)
+    h.save(titled("late ").filter("id % 10 = 1"), 2)
+    h.delete(rows.filter("id % 10 = 3"), 4)
+    return h.page(50)
+
+
+_RULES = {"performs": ("artist", "recording"), "covers": ("recording", "recording")}
+
+
+def music_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as artists and orders as recordings, with the lines as what joins them; some of it isn't right."""
+    artists = table(spark, d, "supplier").select(F.concat(F.lit("a"), "s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 9 == 0, "band").otherwise("artist").alias("kind"))
+    recordings = table(spark, d, "orders").filter("o_orderkey % 10 <> 7").select(F.concat(F.lit("r"), "o_orderkey").alias("id"), F.lit("recording").alias("kind"))
+    lines = table(spark, d, "lineitem")
+    performs = lines.select(F.concat(F.lit("a"), "l_suppkey").alias("source"), F.concat(F.lit("r"), "l_orderkey").alias("target"), F.lit("performs").alias("kind"))
+    covers = lines.filter("l_linenumber = 1").select(F.concat(F.lit("r"), "l_orderkey").alias("source"), F.concat(F.lit("r"), F.floor(F.col("l_orderkey") / 3).cast("long")).alias("target"), F.when(F.col("l_orderkey") % 11 == 0, "samples").otherwise("covers").alias("kind"))
+    return artists.unionByName(recordings), performs.unionByName(covers)
+
+
+@query("snapshot_problems", """WITH n AS (SELECT 'a' || s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN 'band' ELSE 'artist' END AS kind FROM supplier UNION ALL SELECT 'r' || o_orderkey, 'recording' FROM orders WHERE o_orderkey % 10 <> 7),
+e AS (SELECT source, target, kind, count(*) AS c FROM (SELECT 'a' || l_suppkey AS source, 'r' || l_orderkey AS target, 'performs' AS kind FROM lineitem UNION ALL SELECT 'r' || l_orderkey, 'r' || (l_orderkey // 3), CASE WHEN l_orderkey % 11 = 0 THEN 'samples' ELSE 'covers' END FROM lineitem WHERE l_linenumber = 1) GROUP BY ALL),
+x AS (SELECT e.*, source || '|' || target || '|' || e.kind AS name, a.kind AS f, b.kind AS t FROM e LEFT JOIN n a ON a.id = source LEFT JOIN n b ON b.id = target),
+p AS (SELECT 'node of an unknown kind' AS problem, id AS key FROM n WHERE kind = 'band' UNION ALL SELECT 'edge more than once', name FROM x WHERE c > 1 UNION ALL SELECT 'edge to its own node', name FROM x WHERE source = target
+  UNION ALL SELECT 'edge of an unknown kind', name FROM x WHERE kind = 'samples' UNION ALL SELECT 'edge from nowhere', name FROM x WHERE f IS NULL UNION ALL SELECT 'edge to nowhere', name FROM x WHERE t IS NULL
+  UNION ALL SELECT 'edge between other kinds', name FROM x WHERE f IS NOT NULL AND t IS NOT NULL AND ((kind = 'performs' AND (f <> 'artist' OR t <> 'recording')) OR (kind = 'covers' AND (f <> 'recording' OR t <> 'recording'))))
+SELECT problem, count(*) AS n, min(key) AS first FROM p GROUP BY problem""")
+def snapshot_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with a graph, counted by kind, with an example of each."""
+    return G.snapshot_problems(*music_graph(spark, d), _RULES).groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))

@@ -110,3 +110,40 @@ def model_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def reconciled_clauses(spark: SparkSession, d: str) -> DataFrame:
     r = requests(spark, d)
     return P.reconciled(answers(spark, d), P.atoms(r, words(spark, d)), r)
+
+
+#: Clauses of parts as they might be stored, some of which can't be: kinds, polarities, periods, names and choices.
+_CLAUSES = {
+    "kind": ["'genre'", "CASE WHEN p_size % 5 = 0 THEN 'rhythm' ELSE 'style' END", "'period'", "'include'", "'exclude'"],
+    "value": ["lower(p_type)", "CASE WHEN p_size % 3 = 0 THEN lower(p_type) ELSE p_name END", "(1950 + p_size) || ':1990'", "p_brand", "CASE WHEN p_size % 6 = 0 THEN upper(p_brand) ELSE 'nobody' END"],
+    "polarity": ["'positive'", "CASE WHEN p_size % 7 = 0 THEN 'maybe' ELSE 'positive' END", "'positive'", "CASE WHEN p_size % 11 = 0 THEN 'negative' ELSE 'positive' END", "'negative'"],
+    "strength": ["'essential'", "CASE WHEN p_size % 2 = 0 THEN 'essential' ELSE 'preferred' END", "'required'", "'required'", "'required'"],
+    "scope": ["'playlist'", "CASE WHEN p_size % 4 = 0 THEN 'journey_end' ELSE 'playlist' END", "'playlist'", "'playlist'", "'playlist'"],
+    "choice": ["CASE WHEN p_size % 13 = 0 THEN 1 END", "CASE WHEN p_size % 13 = 0 THEN 1 END", "CAST(NULL AS INT)", "CAST(NULL AS INT)", "CAST(NULL AS INT)"],
+}
+
+
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    rows = ", ".join("struct(" + ", ".join(f"{v[k]} AS {name}" for name, v in _CLAUSES.items()) + ")" for k in range(5))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.explode(F.expr(f"array({rows})")).alias("c")).select("key", "c.*")
+
+
+_STORED = "c AS (" + " UNION ALL ".join("SELECT p_partkey AS key, " + ", ".join(f"{v[k]} AS {name}" for name, v in _CLAUSES.items()) + " FROM part" for k in range(5)) + ")"
+
+
+@query("clause_problems", f"""WITH {_STORED}, p AS (
+  SELECT key, 'unknown kind' AS p FROM c WHERE kind NOT IN ({_LIST(P.KINDS)}) UNION ALL SELECT key, 'unknown polarity' FROM c WHERE polarity NOT IN ('positive', 'negative')
+  UNION ALL SELECT key, 'period is no range of years' FROM c WHERE kind = 'period' AND TRY_CAST(split_part(value, ':', 1) AS INT) > TRY_CAST(split_part(value, ':', 2) AS INT)
+  UNION ALL SELECT key, 'a wanted name is refused' FROM c WHERE kind IN ('include', 'start', 'via', 'destination') AND polarity = 'negative'
+  UNION ALL SELECT key, 'a choice is refused or of a stage' FROM c WHERE choice IS NOT NULL AND NOT (polarity = 'positive' AND scope = 'playlist')
+  UNION ALL SELECT a.key, 'a name is both wanted and refused' FROM c a JOIN c b ON a.key = b.key AND lower(a.value) = lower(b.value) AND a.kind = 'include' AND b.kind = 'exclude')
+SELECT key, list_sort(list(DISTINCT p)) AS problems FROM p GROUP BY key""")
+def clause_problems(spark: SparkSession, d: str) -> DataFrame:
+    return P.clause_problems(stored(spark, d))
+
+
+@query("single_genre", f"""WITH {_STORED}, a AS (SELECT * FROM c WHERE kind IN ('genre', 'style') AND polarity = 'positive' AND strength <> 'preferred')
+SELECT key, min(lower(value)) AS genre FROM a GROUP BY key HAVING count(DISTINCT lower(value)) = 1 AND bool_and(choice IS NULL AND scope = 'playlist')""")
+def single_genre(spark: SparkSession, d: str) -> DataFrame:
+    """The genre that every track has to be of."""
+    return P.single_genre(stored(spark, d))

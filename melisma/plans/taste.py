@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import taste as P
+from ..sources.scratch import folder
 from ..sources.tables import FEEDBACK_SQL, feedback, table
 from ..streaming import feedback as S
 from .registry import query
@@ -64,14 +65,14 @@ def taste_clusters(spark: SparkSession, d: str) -> DataFrame:
     return P.clusters(P.decayed(P.effective(feedback(spark, d))), v)
 
 
-@query("listener_affinity", f"""WITH {_EFF}, l AS (SELECT w.listener, w.track, w.w, e.embedding::DOUBLE[] AS v FROM w JOIN embeddings e ON vec_id = track WHERE w.w > 0.5), r AS (SELECT *, row_number() OVER (PARTITION BY listener ORDER BY round(w, 9) DESC, track) AS k FROM l)
-SELECT r.listener, vec_id AS id, round(max(list_cosine_similarity(v, embedding::DOUBLE[])), 6) AS affinity FROM r, embeddings WHERE k <= 2 GROUP BY ALL""")
+@query("listener_affinity", f"""WITH {_EFF}, l AS (SELECT w.listener, w.track, w.w, e.embedding::DOUBLE[] AS v FROM w JOIN embeddings e ON vec_id = track WHERE w.w > 0.5), r AS (SELECT *, row_number() OVER (PARTITION BY listener ORDER BY round(w, 9) DESC, track) AS k FROM l), a AS (SELECT r.listener, vec_id AS id, max(list_cosine_similarity(v, embedding::DOUBLE[])) AS affinity FROM r, embeddings WHERE k <= 2 GROUP BY ALL)
+SELECT listener, id, round(affinity, 6) AS affinity FROM a QUALIFY row_number() OVER (PARTITION BY listener ORDER BY round(affinity, 9) DESC NULLS LAST, id) <= 100""")
 def listener_affinity(spark: SparkSession, d: str) -> DataFrame:
-    """The greatest similarity of a candidate to a listener's two strongest tracks. Every row is a candidate."""
+    """Each listener's hundred best candidates by the greatest similarity to the listener's two strongest tracks. Every row is a candidate."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     w = P.decayed(P.effective(feedback(spark, d))).filter("w > 0.5").join(e.select(F.col("id").alias("track"), F.col("vector").alias("v")), "track")
     top = w.withColumn("k", F.row_number().over(Window.partitionBy("listener").orderBy(F.desc(F.round("w", 9)), "track"))).filter("k <= 2")
-    return P.affinity(top.select("listener", F.col("v").alias("vector")), e).select("listener", "id", F.round("affinity", 6).alias("affinity"))
+    return P.affinity(top.select("listener", F.col("v").alias("vector")), e, 100).select("listener", "id", F.round("affinity", 6).alias("affinity"))
 
 
 @query("asof_profile_events", f"""WITH {FEEDBACK_SQL}, q AS (SELECT listener, sequence AS query, said FROM feedback WHERE kind = 'accept'), c AS (SELECT quantile_disc(said, 0.8) AS cut FROM feedback)
@@ -112,12 +113,18 @@ def feedback_page(spark: SparkSession, d: str) -> DataFrame:
     return feedback(spark, d).filter("kind = 'exposure'").orderBy(F.desc("said"), F.desc("sequence")).limit(100).select("sequence", "listener", "track")
 
 
-def _drained(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str], order: str | None = None) -> DataFrame:
-    """Runs a stream over the files that there are and returns its table; of rows updated again the last one of each key."""
-    name = f"melisma_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def _drained(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a stream over the files that there are: every batch is merged into a table in the shared folder, of which only the parts that it touches are written, and what stands there is the result."""
+    path, schema = f"{folder(spark)}/stream-{uuid.uuid4().hex}", stream.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        S.upsert(batch.withColumn("_batch", F.lit(number).cast("long")), f"{path}/table", keys, "_batch", parts=16)
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/progress").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    try:
+        return S.current(spark, f"{path}/table").select(*schema.names)
+    except FileNotFoundError:  # no batch had a row
+        return spark.createDataFrame([], schema)
 
 
 def _events_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +140,7 @@ def stream_preferences(spark: SparkSession, d: str) -> DataFrame:
     weights = F.create_map(*(F.lit(x) for k, v in _kinds().items() for x in (k, v[1])))
     e = _events_stream(spark, d)
     rows = e.select(F.col("event_id").alias("sequence"), F.col("user_id").alias("listener"), F.get_json_object("props", "$.k").cast("long").alias("track"), kinds[F.col("event_type")].alias("kind"), weights[F.col("event_type")].alias("weight"))
-    return _drained(spark, S.preferences(rows), "update", ["listener", "track"]).filter("direct_kind is not null or review_kind is not null")
+    return _drained(spark, S.preferences(rows), ["listener", "track"]).filter("direct_kind is not null or review_kind is not null")
 
 
 def _kinds() -> dict:
@@ -144,9 +151,9 @@ def _kinds() -> dict:
 
 @query("stream_activity", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(round(value * 100)::BIGINT) / 100, 2)::DOUBLE AS value FROM events GROUP BY ALL")
 def stream_activity(spark: SparkSession, d: str) -> DataFrame:
-    """Daily windows of event time; the stream ends, so all windows are given out."""
+    """Daily windows of event time, each as of its last change."""
     rows = _events_stream(spark, d).withColumn("value", F.round(F.col("value") * 100).cast("long"))
-    out = _drained(spark, rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value"), "complete", [])
+    out = _drained(spark, rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value"), ["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round(F.col("value") / 100, 2).alias("value"))
 
 

@@ -68,7 +68,7 @@ def upsert(batch: DataFrame, path: str, key: list[str], order: str, parts: int =
         return
     old = [f"{path}/rows/{held[p][0]}/_part={p}" for p in touched if p in held]
     if old:
-        rows = spark.read.option("basePath", path).schema(batch.schema).parquet(*old).select(*batch.columns).withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")).unionByName(rows)
+        rows = spark.read.schema(batch.schema).parquet(*old).select(*batch.columns).withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")).unionByName(rows)
     latest(rows, ["_part", *key], F.desc(order)).repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/rows/{number + 1}")
     held |= {p: (number + 1, parts) for p in touched}
     spark.createDataFrame([(p, v, n) for p, (v, n) in sorted(held.items())], "part int, version int, parts int").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists/{number + 1}")

@@ -183,3 +183,20 @@ def test_problems_and_older_forms(spark):
     assert (new[1].track_count, new[1].explicit_count, new[1].references, new[1].exclusions, new[1].duration_seconds, new[1].mode) == (100, True, ["q"], ["z"], 90, "similar")
     assert (new[2].track_count, new[2].explicit_count, new[2].references) == (20, False, [])
     assert N.migrated(df).count() == 2
+
+
+def test_clauses_that_cannot_be(spark, words):
+    columns = "key int, kind string, value string, polarity string, strength string, scope string, choice int"
+    good = [(1, "genre", "dub", "positive", "essential", "playlist", None), (1, "period", "1960:1969", "positive", "required", "playlist", None), (1, "include", "Roads", "positive", "preferred", "playlist", None)]
+    bad = [
+        (2, "tempo", "fast", "positive", "preferred", "playlist", None), (2, "mood", " ", "positive", "preferred", "playlist", None), (3, "mood", "calm", None, "strong", "start", None), (4, "period", "1990:1980", "positive", "required", "playlist", None),
+        (4, "period", "soon", "positive", "required", "playlist", None), (5, "include", "Air", "positive", "preferred", "playlist", None), (5, "exclude", "AIR", "negative", "required", "playlist", None), (6, "genre", "dub", "negative", "required", "playlist", 1),
+    ] + [(7, "genre", f"g{k}", "positive", "essential", "playlist", 3) for k in range(101)]
+    got = {r.key: r.problems for r in P.clause_problems(spark.createDataFrame(good + bad, columns)).collect()}
+    assert got == {
+        2: ["empty value", "unknown kind"], 3: ["unknown polarity", "unknown scope", "unknown strength"], 4: ["period is no range of years"], 5: ["a name is both wanted and refused"], 6: ["a choice is refused or of a stage"], 7: ["a choice is too wide"],
+    }
+    prompts = spark.createDataFrame([(k, p) for k, p in enumerate(["dub for a party", "dub or ska", "from dub to ska", "dub, no ska", "mostly dub", "dub and ska", "dub, Dub"])], "key int, text string")
+    said = P.atoms(prompts, words)
+    assert {r.key: r.genre for r in P.single_genre(said).collect()} == {0: "dub", 3: "dub", 6: "dub"}
+    assert P.clause_problems(said.withColumn("value", F.coalesce("concept", "value"))).count() == 0
