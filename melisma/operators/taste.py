@@ -115,30 +115,35 @@ def _affinities(batches: Iterator[pa.RecordBatch], names: pa.Array, starts: np.n
 
 
 def affinity(liked: DataFrame, rows: DataFrame, most: int | None = None) -> DataFrame:
-    """(listener, id, affinity): the greatest cosine of each row (id, vector) to a listener's vectors of `liked` (listener, vector), for every listener and row, or for each listener's `most` best rows (equal ones by id).
+    """(listener, id, affinity): the greatest cosine of each row (id, vector) to a listener's vectors of `liked` (listener, vector), for every listener and id, or for each listener's `most` best ids (equal ones by id).
 
-    Null where no pair can be compared (zero vectors, other lengths). Listeners' vectors are sent in blocks; each block is one scan of the rows.
+    Null where no pair can be compared (zero vectors, other lengths). Listeners' vectors are sent in blocks; each block is one scan of the rows. Pairs are shuffled only where ids repeat, of whose rows the best counts.
     """
     spark = rows.sparkSession
+    repeated = not rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     n, d = liked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     blocks, out = max(1, -(-n * max(d or 1, 1) // search.QUERY_NUMBERS)), None
     for b in range(blocks):
-        got = liked.filter(F.pmod(F.xxhash64("listener"), F.lit(blocks)) == b).orderBy("listener").collect()
-        if not got:
+        got = liked.filter(F.pmod(F.xxhash64("listener"), F.lit(blocks)) == b).select(F.col("listener").cast("long").alias("listener"), F.col("vector").cast("array<double>").alias("vector")).orderBy("listener").toArrow()
+        if not len(got):
             continue
-        starts = np.array([i for i, r in enumerate(got) if not i or r.listener != got[i - 1].listener])
-        names = pa.array([got[i].listener for i in starts], pa.int64())
-        lengths, by_length = np.array([len(r.vector or ()) for r in got]), {}
+        who, column = got["listener"].combine_chunks(), got["vector"].combine_chunks()
+        here, there = np.asarray(who.fill_null(0)), np.asarray(who.is_valid())
+        starts = np.flatnonzero(np.concatenate([[True], (here[1:] != here[:-1]) | (there[1:] != there[:-1])]))
+        names = who.take(pa.array(starts))
+        lengths, by_length = np.asarray(column.value_lengths().fill_null(0)), {}
         for k in sorted(set(lengths.tolist()) - {0}):
             at = np.flatnonzero(lengths == k)
-            q = np.array([got[i].vector for i in at], np.float64)
+            q = np.asarray(column.take(pa.array(at)).flatten(), np.float64).reshape(-1, k)
             with np.errstate(invalid="ignore", divide="ignore"):
                 by_length[k] = at, q / np.linalg.norm(q, axis=1, keepdims=True)
         sent = spark.sparkContext.broadcast((names, starts, by_length, len(got)))
-        found = rows.select("id", "vector").mapInArrow(lambda x, sent=sent: _affinities(x, *sent.value, most), "listener long, id long, affinity double")
+        found = rows.select("id", "vector").mapInArrow(lambda x, sent=sent: _affinities(x, *sent.value, None if repeated else most), "listener long, id long, affinity double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "listener long, id long, affinity double")
+    if repeated:
+        out = out.groupBy("listener", "id").agg(F.max("affinity").alias("affinity"))
     if most is None:
         return out
     w = Window.partitionBy("listener").orderBy(F.desc_nulls_last(F.round("affinity", 9)), "id")

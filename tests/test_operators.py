@@ -155,7 +155,11 @@ def test_affinity_scores_every_candidate(spark, tmp_path, monkeypatch):
     e = spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
     e.write.parquet(f"{tmp_path}/events.parquet")
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(float)
-    got = {(r.listener, r.id) for r in registry.QUERIES["listener_affinity"](spark, str(tmp_path)).collect()}
+    got = registry.QUERIES["listener_affinity"](spark, str(tmp_path))
+    assert got.count() == 2 * 20_000 and got.select("id").distinct().count() == 20_000
+    whole = spark.read.parquet(f"{tmp_path}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    strongest = whole.filter("id in (5, 7, 9)").select(F.when(F.col("id") == 7, 2).otherwise(1).cast("long").alias("listener"), "vector")
+    got = {(r.listener, r.id) for r in P.affinity(strongest, whole, 100).collect()}
     for n, ts in {1: (5, 9), 2: (7,)}.items():
         best = np.max([u @ u[t] for t in ts], axis=0)
         mine = sorted(best[i] for k, i in got if k == n)
@@ -169,6 +173,30 @@ def test_affinity_scores_every_candidate(spark, tmp_path, monkeypatch):
         assert got.keys() == want.keys() and all((got[k] is None) == (w is None) and (w is None or abs(got[k] - w) < 1e-9) for k, w in want.items())
 
 
+def test_affinity_returns_every_pair_once(spark, tmp_path):
+    """Every listener with every candidate, the far ones too; rows that repeat an id, or have none, give one pair of it with the best of them."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    ids = [*range(290), 150, 150, 151, 289, *[None] * 6]
+    spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    liked = {1: (5, 9), 2: (7,), None: (3,)}
+    events = [(i, u, "purchase", f'{{"k": {t}}}') for i, (u, t) in enumerate((u, t) for u, ts in liked.items() for t in ts)]
+    e = spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(float)
+    want = {}
+    for n, ts in liked.items():
+        for i, c in zip(ids, np.max([u @ u[t] for t in ts], axis=0), strict=True):
+            want[n, i] = max(c, want.get((n, i), -2.0))
+    rows = registry.QUERIES["listener_affinity"](spark, str(tmp_path)).collect()
+    got = {(r.listener, r.id): r.affinity for r in rows}
+    assert len(rows) == len(want) == 3 * 291 and got.keys() == want.keys() and all(abs(got[k] - w) < 2e-6 for k, w in want.items())
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, vector array<double>")
+    best = P.affinity(spark.createDataFrame([(2, x[7].tolist())], "listener long, vector array<double>"), vectors, 285).collect()
+    mine = sorted((c for (n, _), c in want.items() if n == 2), reverse=True)[:285]
+    assert len(best) == 285 and np.allclose(sorted((r.affinity for r in best), reverse=True), mine, atol=2e-6)
+
+
 def test_temporal_split_keeps_ties_together(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([1, 2, 2, 3, 3])], "id long, t long")
     got = {r.id: r.split for r in E.temporal_split(df, "t").collect()}
