@@ -496,3 +496,46 @@ def test_any_module_of_queries_can_be_the_first():
     for m in ("vectors", "assembly", "requests", "registry"):
         code = f"import melisma.plans.{m}; from melisma.plans import registry; assert 'mmr_select' in registry.QUERIES"
         subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_nearest_equals_all_pairs_with_ties_copies_and_missing_ids(spark, monkeypatch):
+    """Blocks of any size give the best of all pairs: scores that are equal to nine places by id, ids that repeat, a query's own id left out however often it is there."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 4)), 5, axis=0) * rng.uniform(0.5, 2, size=(200, 1))
+    x[7] = 0
+    ids = rng.permutation(200).tolist()
+    ids[3], ids[4], ids[5], ids[6] = ids[0], ids[0], None, None
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(900, [1.0])], "id long, vector array<double>").repartition(3)
+    q = rows.filter("id % 9 = 0 and size(vector) = 4 and id <> 900")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = {}
+    for a, i in enumerate(ids):
+        if i is not None and i % 9 == 0 and a != 7:
+            want.setdefault(i, []).extend((-round(float(u[a] @ u[b]), 9), j) for b, j in enumerate(ids) if b != 7 and j not in (None, i))
+    for k in (1, 6, 300):
+        best = sorted((i, j, r + 1) for i, w in want.items() for r, (_, j) in enumerate(sorted(w)[:k]))
+        for block, take in ((2_000_000, 8192), (30, 7), (1, 1)):
+            if k == 6 or block > 1:
+                monkeypatch.setattr(S, "BLOCK_NUMBERS", block)
+                monkeypatch.setattr(S, "BLOCK_ROWS", take)
+                assert sorted((r.query, r.id, r.rank) for r in S.nearest(rows, q, k).collect()) == best
+    own = S.nearest(rows, q.filter("id <> 0"), 1, exclude_self=False).collect()
+    assert own and all(abs(r.score - 1) < 1e-9 for r in own)
+
+
+def test_nearest_holds_blocks_only(monkeypatch):
+    """A task's memory is that of a block of similarities and of k rows a query, whatever numbers of queries and rows meet."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    q, x = rng.normal(size=(4000, 8)), rng.normal(size=(10_000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "vector"])
+    names, q = np.arange(20_000, 24_000), q / np.linalg.norm(q, axis=1, keepdims=True)
+    args = (names, q, 3, True) if hasattr(S, "BLOCK_NUMBERS") else (names.tolist(), q, 4)
+    tracemalloc.start()
+    found = sum(b.num_rows for b in S._best(iter([batch, batch]), *args))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 4000 * 3 and most < 150e6  # 320 MB would be all similarities of a batch
