@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,7 +119,9 @@ def _drained(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFra
     path, schema = f"{folder(spark)}/stream-{uuid.uuid4().hex}", stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
-        S.upsert(batch.withColumn("_batch", F.lit(number).cast("long")), f"{path}/table", keys, "_batch", parts=16)
+        rows = batch.withColumn("_batch", F.lit(number).cast("long")).persist(StorageLevel.DISK_ONLY)  # upsert reads them twice, and the state would be gone through each time
+        S.upsert(rows, f"{path}/table", keys, "_batch", parts=16)
+        rows.unpersist()
 
     stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/progress").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     try:
@@ -140,7 +143,7 @@ def stream_preferences(spark: SparkSession, d: str) -> DataFrame:
     weights = F.create_map(*(F.lit(x) for k, v in _kinds().items() for x in (k, v[1])))
     e = _events_stream(spark, d)
     rows = e.select(F.col("event_id").alias("sequence"), F.col("user_id").alias("listener"), F.get_json_object("props", "$.k").cast("long").alias("track"), kinds[F.col("event_type")].alias("kind"), weights[F.col("event_type")].alias("weight"))
-    return _drained(spark, S.preferences(rows), ["listener", "track"]).filter("direct_kind is not null or review_kind is not null")
+    return _drained(spark, S.preferences(rows), ["listener", "track"])
 
 
 def _kinds() -> dict:

@@ -2,40 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.taste import DIRECT
 
-STATE = "direct_sequence long, direct_kind string, direct_weight double, review_sequence long, review_kind string, review_weight double"
-OUTPUT = "listener long, track long, direct_kind string, direct_weight double, review_kind string, review_weight double"
-
-
 def once(events: DataFrame, late: str = "35 days") -> DataFrame:
     """Each event once, however often it is appended; ids are remembered as long as events may be late."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    s = list(state.get) if state.exists else [-1, None, None, -1, None, None]
-    for rows in batches:
-        for r in rows.sort_values("sequence").itertuples():
-            if r.kind == "exposure":
-                continue
-            at = 0 if r.kind in DIRECT else 3
-            if r.sequence >= s[at]:  # what comes late but was said earlier changes nothing
-                s[at : at + 3] = [int(r.sequence), r.kind, float(r.weight)]
-    state.update(tuple(s))
-    yield pd.DataFrame([(int(key[0]), int(key[1]), s[1], s[2], s[4], s[5])], columns=["listener", "track", "direct_kind", "direct_weight", "review_kind", "review_weight"])
-
-
 def preferences(events: DataFrame) -> DataFrame:
-    """Streaming last-write-wins by (listener, track): rows of sequence, listener, track, kind, weight in, the current preference out after every change."""
-    return events.groupBy("listener", "track").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """Streaming last-write-wins by (listener, track): rows of sequence, listener, track, kind, weight in, the current preference out after every change.
+
+    An aggregate that Spark keeps as its state: of each slot what was said last, whenever it comes. Exposures, and events without a listener or track, are no preferences and take no state.
+    """
+    direct = F.col("kind").isin(*DIRECT)
+    last = lambda slot: F.max_by(F.struct("kind", "weight"), F.when(slot, F.col("sequence")))
+    said = events.filter((F.col("kind") != "exposure") & F.col("listener").isNotNull() & F.col("track").isNotNull())
+    now = said.groupBy("listener", "track").agg(last(direct).alias("direct"), last(~direct).alias("review"))
+    return now.select("listener", "track", *(F.col(s)[c].alias(f"{s}_{c}") for s in ("direct", "review") for c in ("kind", "weight")))
 
 
 def activity(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
