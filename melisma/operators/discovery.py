@@ -22,7 +22,10 @@ def budgeted(channels: list[tuple[str, DataFrame, int]]) -> DataFrame:
     every = every.groupBy("request", "id", "channel", "place", "budget").agg(F.max("score").alias("score"))
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("request", "place").orderBy(F.desc("score"), "id")))
     one = ranked.groupBy("request", "id").agg(F.min(F.struct("rank", "place", "channel", "budget")).alias("own"), F.sort_array(F.collect_list(F.struct("place", "channel", "rank", "score"))).alias("said"))
+    # Written once: three steps read it, and none of them should search again.
+    keep = keeper(channels[0][1].sparkSession, "budgeted")
     own = one.select("request", "id", "own.channel", "own.place", "own.budget", F.row_number().over(Window.partitionBy("request", "own.place").orderBy("own.rank", "id")).alias("turn"), F.transform("said", lambda x: F.struct(x["channel"].alias("channel"), x["rank"].alias("rank"), x["score"].alias("score"))).alias("provenance"))
+    own = keep(own, "own")
     total = sum(b for *_, b in channels)
     used = own.groupBy("request").agg(F.count(F.when(F.col("turn") <= F.col("budget"), 1)).alias("used"))
     over = F.col("turn") > F.col("budget")
