@@ -15,6 +15,8 @@ from . import search
 
 #: Similarities that a task holds at once: at most so many numbers.
 BLOCK_NUMBERS = 2_000_000
+#: Pairs of listeners and rows that a task gives.
+TASK_PAIRS = 8_000_000
 
 DAY = 86_400
 LONG_HALF_LIFE, SHORT_HALF_LIFE, LEAST_EXPOSURE, MOST_EXPOSURES = 30 * DAY, 7 * DAY, 0.01, 2048
@@ -92,53 +94,96 @@ def clusters(weights: DataFrame, vectors: DataFrame, most: int = 4, apart: float
     return _central(p, "listener", "cluster").join(totals, "listener").select("listener", F.col("m.track").alias("medoid"), "size", (F.col("weight") / F.col("total")).alias("share"))
 
 
-def _affinities(batches: Iterator[pa.RecordBatch], names: pa.Array, starts: np.ndarray, by_length: dict[int, tuple[np.ndarray, np.ndarray]], n: int, most: int | None) -> Iterator[pa.RecordBatch]:
-    step = max(1, BLOCK_NUMBERS // n)
+def _affinities(batches: Iterator[pa.RecordBatch], names: pa.Array, set_of: np.ndarray, starts: np.ndarray, by_length: dict[int, tuple[np.ndarray, np.ndarray]], most: int | None, digits: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows are scored by each set of vectors once, and then said for each listener that has the set (names, with set_of in ascending order). starts: where each set begins, and the end."""
+    step = max(1, min(search.BLOCK_ROWS, BLOCK_NUMBERS // int(np.diff(starts).max())))
     for whole in batches:
         for a in range(0, len(whole), step):
             batch = whole.slice(a, step)
-            ids, column = batch.column(0), batch.column(1)
+            ids, column, m = batch.column(0), batch.column(1), min(step, len(whole) - a)
             lengths = np.asarray(column.value_lengths().fill_null(-1))
-            s = np.full((n, len(ids)), np.nan)
-            for d, (at, q) in by_length.items():
+            rows = {}
+            for d in by_length:
                 own = np.flatnonzero(lengths == d)
                 x = np.asarray(column.take(pa.array(own)).flatten(), np.float64).reshape(len(own), d)
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    s[np.ix_(at, own)] = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            best = np.fmax.reduceat(s, starts, axis=0)  # fmax: what is unavailable doesn't count
-            keep = np.ones(best.shape, bool)
-            if most and most < best.shape[1]:  # all that are as good as the last of the best, so that the place in this batch decides nothing
-                order = np.round(np.nan_to_num(best, nan=-2.0), 9)
-                keep = order >= np.partition(order, -most, axis=1)[:, [-most]]
-            who, which = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(who)), ids.take(pa.array(which)), pa.array(best[keep], mask=np.isnan(best[keep]))], names=["listener", "id", "affinity"])
-
-
-def affinity(liked: DataFrame, rows: DataFrame, most: int | None = None) -> DataFrame:
-    """(listener, id, affinity): the greatest cosine of each row (id, vector) to a listener's vectors of `liked` (listener, vector), for every listener and id, or for each listener's `most` best ids (equal ones by id).
-
-    Null where no pair can be compared (zero vectors, other lengths). Listeners' vectors are sent in blocks; each block is one scan of the rows. Pairs are shuffled only where ids repeat, of whose rows the best counts.
+                    rows[d] = own, (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+            first = 0
+            while first < len(starts) - 1:  # as many sets as a block holds, and one at least
+                last = max(first + 1, int(np.searchsorted(starts, starts[first] + BLOCK_NUMBERS // m, "right")) - 1)
+                s = np.full((starts[last] - starts[first], m), np.nan)
+                for d, (at, q) in by_length.items():
+                    i, j = np.searchsorted(at, (starts[first], starts[last]))
+                    own, x = rows[d]
+                    with np.errstate(invalid="ignore"):
+                        s[np.ix_(at[i:j] - starts[first], own)] = q[i:j] @ x
+                best = np.fmax.reduceat(s, starts[first:last] - starts[first], axis=0)  # fmax: what is unavailable doesn't count
+                if digits is not None:
+                    best = np.round(best, digits) + 0.0
+                yield from _said(best, ids, names, *np.searchsorted(set_of, (first, last)), set_of, first, most)
+                first = last
+
+
+def _said(best: np.ndarray, ids: pa.Array, names: pa.Array, one: int, end: int, set_of: np.ndarray, first: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    m = best.shape[1]
+    few, missing = max(1, search.BLOCK_ROWS // m), bool(np.isnan(best).any())
+    for a in range(one, end, few):
+        here = np.arange(a, min(end, a + few))
+        score = best[set_of[here] - first]
+        who, what = np.repeat(here, m), ids if len(here) == 1 else ids.take(pa.array(np.tile(np.arange(m), len(here))))
+        score = score.ravel()
+        if most and most < m:  # all that are as good as the last of the best, so that the place in this batch decides nothing
+            order = np.round(np.nan_to_num(score.reshape(-1, m), nan=-2.0), 9)
+            keep = np.flatnonzero(order >= np.partition(order, -most, axis=1)[:, [-most]])
+            who, what, score = who[keep], what.take(pa.array(keep)), score[keep]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(who)), what, pa.array(score, mask=np.isnan(score) if missing else None)], names=["listener", "id", "affinity"])
+
+
+def _sets(who: pa.Array, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Of listeners, in order, and their vectors: the names by set, the set of each, where each set of vectors begins and ends, and unit vectors by length with their places. Listeners of the same vectors share a set."""
+    here, there = np.asarray(who.fill_null(0)), np.asarray(who.is_valid())
+    begins = np.flatnonzero(np.concatenate([[True], (here[1:] != here[:-1]) | (there[1:] != there[:-1])]))
+    lengths, flat = np.asarray(column.value_lengths().fill_null(0)), np.asarray(column.flatten(), np.float64)
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    known: dict[frozenset, int] = {}
+    sets: list[list[np.ndarray]] = []
+    of = []
+    for a, b in zip(begins, [*begins[1:], len(lengths)], strict=True):
+        mine = {(v := flat[at[i] : at[i + 1]]).tobytes(): v for i in range(a, b)}
+        k = known.setdefault(frozenset(mine), len(sets))
+        if k == len(sets):
+            sets.append(list(mine.values()))
+        of.append(k)
+    every = [v for vs in sets for v in vs]
+    sizes, by_length = np.array([len(v) for v in every]), {}
+    for k in sorted(set(sizes.tolist()) - {0}):
+        own = np.flatnonzero(sizes == k)
+        q = np.stack([every[i] for i in own])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            by_length[k] = own, q / np.linalg.norm(q, axis=1, keepdims=True)
+    order = np.argsort(of, kind="stable")
+    return who.take(pa.array(begins[order])), np.array(of)[order], np.concatenate([[0], np.cumsum([len(vs) for vs in sets])]), by_length
+
+
+def affinity(liked: DataFrame, rows: DataFrame, most: int | None = None, digits: int | None = None) -> DataFrame:
+    """(listener, id, affinity): the greatest cosine of each row (id, vector) to a listener's vectors of `liked` (listener, vector), for every listener and id, or for each listener's `most` best ids (equal ones by id); rounded to `digits`, if given.
+
+    Null where no pair can be compared (zero vectors, other lengths). Listeners' vectors are sent in blocks; each block is one scan of the rows, and listeners of the same vectors share their scores. Pairs are shuffled only where ids repeat, of whose rows the best counts.
     """
     spark = rows.sparkSession
-    repeated = not rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    there, most_of_an_id = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    repeated = most_of_an_id > 1
     n, d = liked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     blocks, out = max(1, -(-n * max(d or 1, 1) // search.QUERY_NUMBERS)), None
     for b in range(blocks):
         got = liked.filter(F.pmod(F.xxhash64("listener"), F.lit(blocks)) == b).select(F.col("listener").cast("long").alias("listener"), F.col("vector").cast("array<double>").alias("vector")).orderBy("listener").toArrow()
         if not len(got):
             continue
-        who, column = got["listener"].combine_chunks(), got["vector"].combine_chunks()
-        here, there = np.asarray(who.fill_null(0)), np.asarray(who.is_valid())
-        starts = np.flatnonzero(np.concatenate([[True], (here[1:] != here[:-1]) | (there[1:] != there[:-1])]))
-        names = who.take(pa.array(starts))
-        lengths, by_length = np.asarray(column.value_lengths().fill_null(0)), {}
-        for k in sorted(set(lengths.tolist()) - {0}):
-            at = np.flatnonzero(lengths == k)
-            q = np.asarray(column.take(pa.array(at)).flatten(), np.float64).reshape(-1, k)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                by_length[k] = at, q / np.linalg.norm(q, axis=1, keepdims=True)
-        sent = spark.sparkContext.broadcast((names, starts, by_length, len(got)))
-        found = rows.select("id", "vector").mapInArrow(lambda x, sent=sent: _affinities(x, *sent.value, None if repeated else most), "listener long, id long, affinity double")
+        sets = _sets(got["listener"].combine_chunks(), got["vector"].combine_chunks())
+        sent = spark.sparkContext.broadcast(sets)
+        # A small file of rows is one task's; what it gives for all listeners is not small.
+        tasks = min(there, -(-there * len(sets[0]) // TASK_PAIRS))
+        found = (rows.select("id", "vector").repartition(tasks) if tasks > 1 else rows.select("id", "vector")).mapInArrow(lambda x, sent=sent: _affinities(x, *sent.value, None if repeated else most, None if most else digits), "listener long, id long, affinity double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "listener long, id long, affinity double")
@@ -147,4 +192,5 @@ def affinity(liked: DataFrame, rows: DataFrame, most: int | None = None) -> Data
     if most is None:
         return out
     w = Window.partitionBy("listener").orderBy(F.desc_nulls_last(F.round("affinity", 9)), "id")
-    return out.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    best = out.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    return best if digits is None else best.withColumn("affinity", F.round("affinity", digits))

@@ -73,7 +73,7 @@ def listener_affinity(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     w = P.decayed(P.effective(feedback(spark, d))).filter("w > 0.5").join(e.select(F.col("id").alias("track"), F.col("vector").alias("v")), "track")
     top = w.withColumn("k", F.row_number().over(Window.partitionBy("listener").orderBy(F.desc(F.round("w", 9)), "track"))).filter("k <= 2")
-    return P.affinity(top.select("listener", F.col("v").alias("vector")), e).select("listener", "id", F.round("affinity", 6).alias("affinity"))
+    return P.affinity(top.select("listener", F.col("v").alias("vector")), e, digits=6)
 
 
 @query("asof_profile_events", f"""WITH {FEEDBACK_SQL}, q AS (SELECT listener, sequence AS query, said FROM feedback WHERE kind = 'accept'), c AS (SELECT quantile_disc(said, 0.8) AS cut FROM feedback)
